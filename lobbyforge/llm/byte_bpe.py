@@ -108,7 +108,8 @@ def boundaries(points: np.ndarray, ends: np.ndarray, block: int = 64) -> np.ndar
     for t in range(block):
         if fresh[t].any():
             funcs[:, fresh[t]] = CLOSED
-        funcs = step[grid[t] + funcs]
+        funcs += grid[t]
+        funcs = step.take(funcs, mode="clip")
     shift = 1
     while shift < blocks:  # prefix composition by doubling
         later = funcs[:, shift:].copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, simple8b, winnowing
 from .common import documents
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -17,8 +17,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(documents(spark, sf_dir), public_tokenizers.path(RANKS))
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digest(documents(spark, sf_dir))
+
+
+def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.read_files(simple8b.write_files(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_winnowing": op2_winnowing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op9_simple8b": op9_simple8b,
 }
 
 #: SQL for the queries that SQL can express.
