@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, simple8b, winnowing
-from .common import documents
+from . import byte_bpe, quality, simple8b, toxicity, winnowing
+from .common import crc_mod5, documents
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -21,6 +22,16 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digest(documents(spark, sf_dir))
 
 
+def op6_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = toxicity.judge(docs, labels)
+    return judged.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "toxic_words")
+
+
+def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_files(simple8b.write_files(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER)))
 
@@ -28,6 +39,8 @@ def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing": op2_winnowing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_deobfuscation": op6_deobfuscation,
+    "op7_divergence": op7_divergence,
     "op9_simple8b": op9_simple8b,
 }
 
