@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality, simple8b, toxicity, winnowing
+from . import byte_bpe, mixing, quality, sharding, simple8b, toxicity, winnowing
 from .common import crc_mod5, documents
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -18,6 +18,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(documents(spark, sf_dir), public_tokenizers.path(RANKS))
 
 
+OLD_SHARDS, NEW_SHARDS = 16, 24
+
+
+def op1_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 16 shards by source, which are uneven, to 24 even ones."""
+    old = F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS))
+    return sharding.reshard(documents(spark, sf_dir), old, NEW_SHARDS)
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digest(documents(spark, sf_dir))
 
@@ -32,17 +41,59 @@ def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op8_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows taken: one for each document and epoch."""
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", mixing.token_estimate().cast("long").alias("n_tokens"))
+    taken = mixing.mix_documents(docs, tokens=F.col("n_tokens"))
+    return taken.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("leaf_lang"), F.col("_source").alias("leaf_source"), "n_tokens", F.col("_epoch").alias("epoch"), F.col("_order").alias("epoch_order"))
+
+
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_files(simple8b.write_files(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER)))
 
 
+def _filled(name: str, nodes: str, parent: str, key: str) -> str:
+    """CTEs that share each parent's budget among its children by weight, with limits."""
+    own = f"PARTITION BY {parent}" if parent else ""
+    order = f"{own} ORDER BY supply::DOUBLE / weight::DOUBLE, {key}"
+    return f"""
+{name}_s AS (SELECT *, coalesce(sum(supply) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used,
+    (sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS rest FROM ({nodes})),
+{name}_f AS (SELECT *, supply * rest <= (given - used) * weight AS is_full FROM {name}_s),
+{name}_w AS (SELECT *, coalesce(sum(CASE WHEN is_full THEN supply END) OVER ({own}), 0)::BIGINT AS spent,
+    coalesce(sum(CASE WHEN NOT is_full THEN weight END) OVER ({own}), 1)::BIGINT AS open_weight FROM {name}_f),
+{name} AS (SELECT *, CASE WHEN is_full THEN supply ELSE (given - spent) * weight // open_weight END AS budget FROM {name}_w)"""
+
+
+MIX_SQL = (
+    """WITH d AS (SELECT doc_id, coalesce('d' || CAST(ascii(right(source, 1)) % 4 AS VARCHAR), 'none') AS domain, coalesce(lang, 'none') AS leaf_lang,
+    coalesce(source, 'none') AS leaf_source, greatest(1, (strlen(coalesce(text, '')) + 3) // 4)::BIGINT AS n_tokens FROM documents),
+leaf AS (SELECT domain, leaf_lang, leaf_source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),"""
+    + _filled("a", """SELECT domain, sum(tokens)::BIGINT * 2 AS supply, CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END::BIGINT AS weight,
+    (SELECT sum(tokens)::BIGINT * 60 // 100 FROM leaf) AS given FROM leaf GROUP BY domain""", "", "domain")
+    + ","
+    + _filled("b", """SELECT l.domain, l.leaf_lang, sum(l.tokens)::BIGINT * 2 AS supply, CASE l.leaf_lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END::BIGINT AS weight,
+    max(a.budget)::BIGINT AS given FROM leaf l JOIN a ON a.domain = l.domain GROUP BY l.domain, l.leaf_lang""", "domain", "leaf_lang")
+    + ","
+    + _filled("c", """SELECT l.domain, l.leaf_lang, l.leaf_source, l.tokens, l.tokens * 2 AS supply, 1::BIGINT AS weight, b.budget AS given
+    FROM leaf l JOIN b ON b.domain = l.domain AND b.leaf_lang = l.leaf_lang""", "domain, leaf_lang", "leaf_source")
+    + """,
+e AS (SELECT d.*, n.epoch, c.budget // c.tokens AS whole, c.budget % c.tokens AS part, md5('17:' || CAST(n.epoch AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'none')) AS epoch_order
+    FROM d JOIN c USING (domain, leaf_lang, leaf_source) CROSS JOIN (VALUES (0), (1)) AS n(epoch)),
+r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, leaf_lang, leaf_source, epoch ORDER BY epoch_order, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM e)
+SELECT doc_id, domain, leaf_lang, leaf_source, n_tokens, epoch, epoch_order FROM r WHERE epoch < whole OR (epoch = whole AND upto <= part)"""
+)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_min_cost_flow": op1_min_cost_flow,
     "op2_winnowing": op2_winnowing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_deobfuscation": op6_deobfuscation,
     "op7_divergence": op7_divergence,
+    "op8_hierarchical_mix": op8_hierarchical_mix,
     "op9_simple8b": op9_simple8b,
 }
 
 #: SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_hierarchical_mix": MIX_SQL}
