@@ -174,6 +174,42 @@ def tokenizer(path: str):
 CACHED_PIECES = 500_000
 
 
+@lru_cache(2)
+def token_bytes(path: str) -> np.ndarray:
+    """Bytes of each id's token (the vocabulary writes one character for each byte)."""
+    vocabulary = tokenizer(path)[0].get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        out[i] = len(token)
+    return out
+
+
+TOGETHER = 200
+
+
+def encode_pieces(pieces: list[str], path: str) -> dict[str, bytes]:
+    """Ids (little-endian) of distinct pieces by the library.
+
+    A call costs more than a piece, so pieces of a blank and letters, which the library
+    splits apart again, go in together; the bytes of the tokens tell whose they are.
+    """
+    found, out = tokenizer(path)[0], {}
+    words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+    joined = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+    for group, coded in zip(joined, found.encode_batch_fast(["".join(g) for g in joined], add_special_tokens=False)):
+        ids = np.array(coded.ids, "<u4")
+        ends = np.cumsum([len(p.encode()) for p in group])
+        cuts = np.searchsorted(np.cumsum(token_bytes(path)[ids]), ends, side="left") + 1
+        raw, at = ids.tobytes(), 0
+        for piece, cut in zip(group, cuts.tolist()):
+            out[piece] = raw[4 * at : 4 * cut]
+            at = cut
+    rest = [p for p in pieces if p not in out]
+    for piece, coded in zip(rest, found.encode_batch_fast(rest, add_special_tokens=False)):
+        out[piece] = np.array(coded.ids, "<u4").tobytes()
+    return out
+
+
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text by the tokenizers library; each distinct piece is encoded once a cache."""
     found, cache = tokenizer(path)
@@ -184,8 +220,7 @@ def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     if len(cache) + len(new) > CACHED_PIECES:
         cache.clear()
         new = list(set(pieces))
-    for piece, coded in zip(new, found.encode_batch_fast(new, add_special_tokens=False)):
-        cache[piece] = np.array(coded.ids, "<u4").tobytes()
+    cache.update(encode_pieces(new, path))
     coded = list(map(cache.__getitem__, pieces))
     return [np.frombuffer(b"".join(coded[a:b]), "<u4") for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
@@ -194,22 +229,23 @@ FILE_IDS = 1 << 20
 
 
 def write_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
-    """Files of about FILE_IDS ids: rows (part, seq, n_docs, n_ids, data), in ascending doc_id order.
+    """Files of about FILE_IDS ids: rows (part, seq, before, n_docs, n_ids, data), in ascending doc_id order.
 
-    Documents are dealt to ranges of doc_id; (part, seq) is the order of the files.
+    Documents are dealt to ranges of doc_id; (part, seq) is the order of the files, and
+    ``before`` the number of ids in the earlier files of the part.
     """
     spark = docs.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held = TaskContext.get().partitionId(), 0, 0
+        part, seq, held, before = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list = []
         ids: list[np.ndarray] = []
 
         def file() -> pa.RecordBatch:
             data = pack_file(doc_ids, np.array([len(x) for x in ids]), np.concatenate(ids))
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "data": pa.array([data], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
             for piece in slices(batch):
@@ -219,23 +255,21 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, partition
                 held += sum(map(len, new))
                 if held >= FILE_IDS:
                     yield file()
-                    seq, held, doc_ids, ids = seq + 1, 0, [], []
+                    seq, before, held, doc_ids, ids = seq + 1, before + held, 0, [], []
         if doc_ids:
             yield file()
 
-    return written(dealt.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, data binary"), "simple8b")
+    return written(dealt.mapInArrow(run, "part int, seq int, before long, n_docs long, n_ids long, data binary"), "simple8b")
 
 
 def read_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files alone.
 
-    ``start`` needs the ids in all files before: sums of whole parts (as many rows as
-    there are parts) and, within a part, sums over its files.
+    ``start`` needs the ids of all earlier parts: one sum for each part, of which there
+    are as many as ``write_files`` made ranges; these sums are broadcast.
     """
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    parts = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
-    places = files.select("part", "seq", "n_ids").withColumn("inside", F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids"))
-    places = places.join(parts, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
+    parts = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("earlier"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,4 +280,4 @@ def read_files(files: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(ends - lengths + start.as_py(), pa.int64()), "n_tokens": pa.array(lengths.astype(np.int64), pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    return files.join(places, ["part", "seq"]).select("data", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(F.broadcast(parts), "part").select("data", (F.col("earlier") + F.col("before")).alias("start")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
