@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality, sharding, simple8b, toxicity, winnowing
+from . import byte_bpe, mixing, near_dedup, quality, sharding, simple8b, toxicity, winnowing
 from .common import crc_mod5, documents
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -52,6 +52,10 @@ def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_files(simple8b.write_files(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER)))
 
 
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(documents(spark, sf_dir))
+
+
 def _filled(name: str, nodes: str, parent: str, key: str) -> str:
     """CTEs that share each parent's budget among its children by weight, with limits."""
     own = f"PARTITION BY {parent}" if parent else ""
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_divergence": op7_divergence,
     "op8_hierarchical_mix": op8_hierarchical_mix,
     "op9_simple8b": op9_simple8b,
+    "op10_chosen_path": op10_chosen_path,
 }
 
 #: SQL for the queries that SQL can express.
