@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, near_dedup, quality, sharding, simple8b, toxicity, winnowing
+from . import byte_bpe, mixing, near_dedup, ppm, quality, sharding, simple8b, toxicity, winnowing
 from .common import crc_mod5, documents
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scores(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(documents(spark, sf_dir), public_tokenizers.path(RANKS))
 
@@ -92,6 +96,7 @@ SELECT doc_id, domain, leaf_lang, leaf_source, n_tokens, epoch, epoch_order FROM
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_min_cost_flow": op1_min_cost_flow,
     "op2_winnowing": op2_winnowing,
+    "op4_ppm": op4_ppm,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_deobfuscation": op6_deobfuscation,
     "op7_divergence": op7_divergence,
