@@ -253,15 +253,15 @@ class Trie:
             inside = at < len(above)
             table[at[inside] * self.classes + self.symbol[keys[inside] & mask(1)]] = np.flatnonzero(inside)
             self.child.append(table)
-            self.count.append(np.append(np.log(np.maximum(level["count"][order], 1e-300)), -np.inf))
+            self.count.append(np.append(np.log(2.0 * level["count"][order] - 1), -np.inf))
             follow.append(np.append(level["follow"][order], 0).astype(float))
             kinds.append(np.append(level["kinds"][order], 0).astype(float))
             shorter.append(np.append(level["shorter"][order], 0).astype(float))
             above = keys
         with np.errstate(divide="ignore"):
             # as the first context, or after the escape from the string one longer
-            self.first = [np.log(n + d) for n, d in zip(follow, kinds)]
-            self.escape = [np.log(d) - np.log(n + d) for n, d in zip(follow, kinds)]
+            self.first = [np.log(2 * n) for n in follow]
+            self.escape = [np.log(d) - np.log(np.maximum(2 * n, 1)) for n, d in zip(follow, kinds)]
         self.follow, self.kinds, self.shorter = follow, kinds, shorter
 
     def log10(self, texts: list[str]) -> np.ndarray:
@@ -310,7 +310,7 @@ class Trie:
                 n_left = self.follow[k][c] - self.shorter[k + 1][longer]
                 d_left = self.kinds[k][c] - self.kinds[k + 1][longer]
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    cost = np.where(own, self.count[k + 1][at[k + 1][rest[later]]], np.log(d_left)) - np.log(n_left + d_left)
+                    cost = np.where(own, self.count[k + 1][at[k + 1][rest[later]]], np.log(d_left)) - np.log(2 * n_left)
                 total[rest[later]] += np.where(n_left > 0, cost, 0.0)
                 done[later] = own
             going = ~done
