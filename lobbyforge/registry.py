@@ -1,10 +1,8 @@
-"""Queries of the engine and the SQL that states the same results."""
+"""All queries of the engine; importing the plans registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .catalog import ORACLES, QUERIES
+from .plans import core  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
