@@ -6,13 +6,15 @@ a tree, a node picks one of the positions, and with some chance a second, and ev
 in it goes on to the child of its value there.  Similar sets part ways rarely, others
 soon.  Independent trees are grown until a pair at the threshold is found with the
 target recall.  Small nodes are compared exhaustively.  A node that stays large gets
-pivots, with which all its sets are compared, and is branched further; what is still in
-one large node in the end, but not yet in one component, is compared with all of it.
+pivots, with which all its sets are compared.  If most of them look like a pivot, it is
+a group of near copies that no branching would split; else it is branched further.
+What is in one large node in the end, but not in one component, is compared with all of it.
 
 Comparisons first look at sizes and at two bits of each minwise value (in parallel, as
-words); what passes is a candidate.  Links are confirmed on whole sets.  Of the
-candidates, each class first tries its most similar one; pairs whose classes are by
-then in one component need no confirming, as they change no group.
+words); what passes is a candidate.  Links are confirmed on whole sets, in rounds: each
+class tries its most similar candidate that is not in its component yet; pairs inside a
+component need no confirming, as they change no group.  What the rounds leave over is
+confirmed pair by pair.
 
 Words are runs without white space, A-Z lower-cased.  A text with fewer words than a
 shingle has the whole sequence as its one shingle.  Texts without words and nulls have
@@ -51,9 +53,11 @@ class Settings:
     trees: int = 5
     branching: float = 1.65
     small_node: int = 64
-    node_share: float = 0.05
+    node_share: float = 0.03
     pivots: int = 4
-    more_levels: int = 2
+    more_levels: int = 8
+    tight: float = 0.5
+    rounds: int = 8
 
     @property
     def threshold(self) -> float:
@@ -167,16 +171,21 @@ def candidates(classes: DataFrame, settings: Settings) -> tuple[DataFrame, list[
         apart, close = near("x", "y", settings)
         small = rows.filter(F.col("in_node") <= settings.small_node)
         found.append(small.alias("x").join(small.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.class") < F.col("y.class")) & close).select(*pair(apart)))
-        large = rows.filter(F.col("in_node") > settings.small_node).drop("in_node")
+        large = rows.filter(F.col("in_node") > settings.small_node)
         if large.isEmpty():
             break
         pivot = large.groupBy("node", F.pmod(F.xxhash64("class", "node"), F.lit(settings.pivots)).alias("_p")).agg(F.min(F.struct(F.xxhash64("node", "class"), "class", "n", "bits0", "bits1")).alias("s"))
         pivot = pivot.select("node", "s.class", "s.n", "s.bits0", "s.bits1")
-        found.append(large.alias("x").join(pivot.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.class") != F.col("y.class")) & close).select(*pair(apart)))
-        if extra == settings.more_levels:
-            late.append(large)
-        else:
-            rows = branch(large.join(classes.select("class", "sig"), "class"), 1, settings, depth + extra)
+        met = large.alias("x").join(pivot.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.class") != F.col("y.class")) & close)
+        met = written(met.select("x.node", "x.class", "x.in_node", *pair(apart)), "pivoted")
+        found.append(met.select("a", "b", "apart"))
+        alike = met.groupBy("node", "class").agg(F.first("in_node").alias("in_node")).groupBy("node").agg(F.count(F.lit(1)).alias("alike"), F.first("in_node").alias("all"))
+        tight = alike.filter(F.col("alike") >= settings.tight * F.col("all")).select("node")
+        last = extra == settings.more_levels
+        late.append(large if last else large.join(tight, "node", "left_semi"))
+        rows = branch(large.join(tight, "node", "left_anti").join(classes.select("class", "sig"), "class"), 1, settings, depth + extra)
+        if last:
+            break
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
@@ -244,15 +253,23 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, late: list[DataFrame], settings: Settings) -> DataFrame:
     """(node, root) of the classes with links."""
     members = whole_sets(docs, classes, pairs, settings)
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
-    best = both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
-    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = confirmed(best, members, settings)
-    roots = components(links)
-    rest = written(across(pairs, roots).join(best, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.union(confirmed(rest, members, settings))
+    links, tried, roots = None, None, None
+    open_pairs = pairs
+    for step in range(settings.rounds + 1):
+        best = open_pairs.select("a", "b")
+        if step < settings.rounds:
+            both = open_pairs.union(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+            best = both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("s")).select(F.least("a", "s.b").alias("a"), F.greatest("a", "s.b").alias("b")).distinct()
+        best = written(best, "best")
+        new = confirmed(best, members, settings)
+        links = new if links is None else links.union(new)
+        tried = best if tried is None else tried.union(best)
         roots = components(links)
+        if step == settings.rounds:
+            break
+        open_pairs = written(across(open_pairs, roots).join(best, ["a", "b"], "left_anti").select("a", "b", "apart"), "open")
+        if open_pairs.isEmpty():
+            break
     for large in late:  # nodes that stayed large: sets outside a node's main component meet all of it
         placed = large.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         sizes = placed.groupBy("node", "root").agg(F.count(F.lit(1)).alias("size"))
@@ -261,7 +278,7 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, late: list[Dat
         odd = placed.filter(F.col("root") != F.col("main"))
         apart, close = near("x", "y", settings)
         met = odd.alias("x").join(placed.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close).select(*pair(apart)).distinct()
-        met = written(met.join(pairs, ["a", "b"], "left_anti"), "met")
+        met = written(met.join(tried, ["a", "b"], "left_anti"), "met")
         if not met.isEmpty():
             links = links.union(confirmed(met, whole_sets(docs, classes, met, settings), settings))
             roots = components(links)
