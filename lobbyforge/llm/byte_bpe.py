@@ -33,6 +33,10 @@ LETTER, NUMBER, OTHER, SPACE_LAST, WHITE_LAST, WHITE, APOS1, APOS2, RESET = rang
 #: States: nothing open, letters, numbers, other signs, one space that joins what follows,
 #: white space, a contraction with one or two letters to come.
 CLOSED, IN_LETTERS, IN_NUMBERS, IN_OTHER, SPACE_OPEN, IN_WHITE, ONE_LEFT, TWO_LEFT = range(8)
+#: States that every symbol sends to the same state are of one kind; functions are kept for
+#: one state of each kind.
+KINDS = (CLOSED, IN_OTHER, ONE_LEFT, TWO_LEFT)
+KIND_OF = np.array([0, 0, 0, 1, 1, 0, 2, 3], np.intp)
 #: White_Space of Unicode besides U+0009-U+000D and U+0020 (fixed values).
 WHITE_SPACE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -104,7 +108,7 @@ def boundaries(points: np.ndarray, ends: np.ndarray, block: int = 64) -> np.ndar
     starts = np.concatenate([[0], ends[:-1]])
     first[starts] = True
     fresh = np.ascontiguousarray(first.reshape(blocks, block).T)
-    funcs = np.repeat(np.arange(8, dtype=np.uint8)[:, None], blocks, 1)
+    funcs = np.repeat(np.array(KINDS, np.uint8)[:, None], blocks, 1)
     for t in range(block):
         if fresh[t].any():
             funcs[:, fresh[t]] = CLOSED
@@ -113,9 +117,9 @@ def boundaries(points: np.ndarray, ends: np.ndarray, block: int = 64) -> np.ndar
     shift = 1
     while shift < blocks:  # prefix composition by doubling
         later = funcs[:, shift:].copy()
-        funcs[:, shift:] = np.take_along_axis(later, funcs[:, :-shift].astype(np.intp), 0)
+        funcs[:, shift:] = np.take_along_axis(later, KIND_OF[funcs[:, :-shift]], 0)
         shift *= 2
-    state = np.concatenate([[CLOSED], funcs[CLOSED, :-1]]).astype(np.uint8)
+    state = np.concatenate([[CLOSED], funcs[0, :-1]]).astype(np.uint8)
     out = np.empty((block, blocks), bool)
     for t in range(block):
         state[fresh[t]] = CLOSED

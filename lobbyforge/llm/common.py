@@ -67,7 +67,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | lis
     return df.mapInArrow(run, schema)
 
 
-SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 2000, 2 << 20
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

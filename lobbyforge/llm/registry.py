@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, near_dedup, ppm, quality, sharding, simple8b, toxicity, winnowing
+from . import byte_bpe, licenses, mixing, near_dedup, ppm, quality, sharding, simple8b, toxicity, winnowing
 from .common import crc_mod5, documents
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
+def op3_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its licence sentences and licences, each joined by a bar."""
+    found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("license_ids", "|").alias("license_ids"), F.array_join("licenses", "|").alias("licenses"), F.size("licenses").cast("long").alias("n_licenses"))
+
+
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(documents(spark, sf_dir))
 
@@ -93,9 +99,25 @@ SELECT doc_id, domain, leaf_lang, leaf_source, n_tokens, epoch, epoch_order FROM
 )
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+LICENSE_SQL = f"""WITH known(sentence, id) AS (VALUES {", ".join(f"({_quoted(s)}, {_quoted(i)})" for s, i in licenses.SENTENCES.items())}),
+rules(n, name, ids) AS (VALUES {", ".join(f"({n}, {_quoted(name)}, {_quoted('|' + '||'.join(ids) + '|')})" for n, (name, ids) in enumerate(licenses.RULES))}),
+cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), {_quoted(licenses.CUT)}, '\\1\n', 'g'), chr(10)) AS s FROM documents),
+one AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS at FROM cut),
+ids AS (SELECT o.doc_id, string_agg(k.id, '|' ORDER BY o.at) AS license_ids, '|' || string_agg(k.id, '||' ORDER BY o.at) || '|' AS rest FROM one o
+    JOIN known k ON k.sentence = regexp_replace(regexp_replace(regexp_replace(translate(o.s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_quoted(licenses.MARKS)}, '', 'g'), {_quoted(licenses.BLANKS)}, ' ', 'g'), {_quoted(licenses.ENDS)}, '', 'g') GROUP BY o.doc_id),
+fold AS (SELECT doc_id, license_ids, list_reduce(list_prepend({{'n': -1, 'name': '', 'ids': '', 'rest': rest, 'found': ['']}}, (SELECT list({{'n': n, 'name': name, 'ids': ids, 'rest': '', 'found': ['']}} ORDER BY n) FROM rules)),
+    lambda a, b: {{'n': b.n, 'name': b.name, 'ids': b.ids, 'rest': replace(a.rest, b.ids, ''), 'found': CASE WHEN contains(a.rest, b.ids) AND NOT list_contains(a.found, b.name) THEN list_append(a.found, b.name) ELSE a.found END}}) AS f FROM ids)
+SELECT d.doc_id, coalesce(license_ids, '') AS license_ids, coalesce(array_to_string(f.found[2:], '|'), '') AS licenses, coalesce(len(f.found) - 1, 0)::BIGINT AS n_licenses FROM documents d LEFT JOIN fold USING (doc_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_min_cost_flow": op1_min_cost_flow,
     "op2_winnowing": op2_winnowing,
+    "op3_sentence_rules": op3_sentence_rules,
     "op4_ppm": op4_ppm,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_deobfuscation": op6_deobfuscation,
@@ -106,4 +128,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op8_hierarchical_mix": MIX_SQL}
+ORACLES: dict[str, str] = {"op3_sentence_rules": LICENSE_SQL, "op8_hierarchical_mix": MIX_SQL}

@@ -161,6 +161,17 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return doc_ids, parts[2], decode(parts[4].astype(np.uint64), parts[3], n)
 
 
+class Pieces(dict):
+    """Ids of pieces; a piece that is missing is noted and gives None."""
+
+    def __init__(self):
+        super().__init__()
+        self.missing: set[str] = set()
+
+    def __missing__(self, piece: str) -> None:
+        self.missing.add(piece)
+
+
 @lru_cache(2)
 def tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -168,10 +179,10 @@ def tokenizer(path: str):
 
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True
-    return found, {}
+    return found, Pieces()
 
 
-CACHED_PIECES = 500_000
+CACHED_PIECES = 400_000
 
 
 @lru_cache(2)
@@ -216,16 +227,18 @@ def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     joined, starts, upto = split(texts)
     bounds = starts.tolist()
     pieces = [joined[a:b] for a, b in zip(bounds, bounds[1:])]
-    new = list(set(pieces).difference(cache))
-    if len(cache) + len(new) > CACHED_PIECES:
-        cache.clear()
-        new = list(set(pieces))
-    cache.update(encode_pieces(new, path))
     coded = list(map(cache.__getitem__, pieces))
+    if cache.missing:
+        new = encode_pieces(list(cache.missing), path)
+        coded = [new[p] if c is None else c for p, c in zip(pieces, coded)]
+        if len(cache) + len(new) > CACHED_PIECES:
+            cache.clear()
+        cache.update(new)
+        cache.missing.clear()
     return [np.frombuffer(b"".join(coded[a:b]), "<u4") for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
 
-FILE_IDS = 1 << 20
+FILE_IDS = 1 << 19
 
 
 def write_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
