@@ -92,12 +92,13 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
-    """Each taken document's columns, then _domain, _lang, _source, _tokens, _epoch, _order.
+    """Each taken document as ``_doc``, then _domain, _lang, _source, _tokens, _epoch, _order.
 
     _order is the hash by which the document stands in its epoch.
     """
     rows = docs.select(
-        "*",
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"),
+        F.col("doc_id").alias("_id"),
         (domain if domain is not None else domain_of(F.col("source"))).alias("_domain"),
         F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("_lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("none")).alias("_source"),
@@ -106,14 +107,19 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = Non
     leaves = rows.groupBy(*LEVELS).agg(F.sum("_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, mix).select(*LEVELS, F.expr("budget div tokens").alias("_whole"), F.expr("budget % tokens").alias("_part"))
     number = F.explode(F.sequence(F.lit(0), F.lit(mix.max_epochs - 1)))
-    order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).cast("binary"))
+    order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_epoch").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("none"))).cast("binary"))
     wanted = rows.join(budgets, list(LEVELS)).withColumn("_epoch", number).filter((F.col("_epoch") < F.col("_whole")) | ((F.col("_epoch") == F.col("_whole")) & (F.col("_part") > 0)))
     wanted = wanted.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, 3))
     key = [*LEVELS, "_epoch", "_bucket"]
     sums = wanted.filter(F.col("_epoch") == F.col("_whole")).groupBy(*key).agg(F.sum("_tokens").alias("_sum"))
     starts = Window.partitionBy(*key[:-1]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(starts), F.lit(0)))
-    inside = Window.partitionBy(*key).orderBy("_order", "doc_id", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*key).orderBy("_order", "_id", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dealt = wanted.join(sums, key, "left").withColumn("_end", F.col("_start") + F.sum("_tokens").over(inside))
     taken = dealt.filter((F.col("_epoch") < F.col("_whole")) | (F.col("_end") <= F.col("_part")))
-    return taken.select(*docs.columns, *LEVELS, "_tokens", "_epoch", "_order")
+    return taken.select("_doc", *LEVELS, "_tokens", "_epoch", "_order")
+
+
+def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The documents taken, with their own columns; one row for each time a document is taken."""
+    return mix_documents(docs, mix).select("_doc.*")

@@ -291,4 +291,4 @@ def kept_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     Rows that repeat that doc_id stay together: one document of each group is kept.
     """
     decided = groups(docs, settings).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(decided, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(decided, docs["doc_id"].cast("long").eqNullSafe(decided["_id"]), "left_semi")

@@ -238,6 +238,11 @@ def verdict(n_chars: int, n_words: int, by_class: float, by_word: float, limits:
 
 def judge(docs: DataFrame, limits: Limits = Limits(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep``, then the base counts, both distances and ``kept`` of each document."""
+    return measured(docs, limits, keep).toDF(*keep, *MEASURES)
+
+
+def measured(docs: DataFrame, limits: Limits, keep: tuple[str, ...]) -> DataFrame:
+    """``judge`` with columns c0, c1, ...: no name clashes with a document's."""
     known = references(docs, limits)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     fields = [(c, docs.schema[c].dataType) for c in keep]
@@ -257,8 +262,8 @@ def judge(docs: DataFrame, limits: Limits = Limits(), keep: tuple[str, ...] = ("
 
     names = [f"c{i}" for i in range(len(fields) + 9)]
     kinds = [t.simpleString() for _, t in fields] + ["long"] * 5 + ["boolean", "double", "double", "boolean"]
-    judged = arrow_map(docs.select(F.col("lang").cast("string").alias("lang"), "text", *(F.col(c) for c in keep)), run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
-    return judged.toDF(*keep, *MEASURES)
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), "text", *(F.col(f"`{c}`") for c in keep))
+    return arrow_map(rows.toDF(*(f"i{i}" for i in range(len(keep) + 2))), run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_divergence", "word_divergence", "kept")
@@ -266,5 +271,6 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def kept_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, with their own columns."""
-    measured = judge(docs.select(*docs.columns), limits, tuple(docs.columns))
-    return measured.filter(measured[measured.columns[-1]]).select(*(measured[c] for c in docs.columns))
+    columns = tuple(docs.columns)
+    judged = measured(docs, limits, columns)
+    return judged.filter(judged.columns[-1]).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))

@@ -55,7 +55,7 @@ def op8_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows taken: one for each document and epoch."""
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source", mixing.token_estimate().cast("long").alias("n_tokens"))
     taken = mixing.mix_documents(docs, tokens=F.col("n_tokens"))
-    return taken.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("leaf_lang"), F.col("_source").alias("leaf_source"), "n_tokens", F.col("_epoch").alias("epoch"), F.col("_order").alias("epoch_order"))
+    return taken.select("_doc.doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("leaf_lang"), F.col("_source").alias("leaf_source"), F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_order").alias("epoch_order"))
 
 
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
