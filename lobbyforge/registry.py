@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .catalog import ORACLES, QUERIES
-from .plans import core, items  # noqa: F401
+from .plans import core, items, ops  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
