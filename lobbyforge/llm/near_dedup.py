@@ -5,16 +5,18 @@ class; what follows works on classes.  Minwise values of a set are its path choi
 a tree, a node picks one of the positions, and with some chance a second, and every set
 in it goes on to the child of its value there.  Similar sets part ways rarely, others
 soon.  Independent trees are grown until a pair at the threshold is found with the
-target recall.  Small nodes are compared exhaustively.  A node that stays large gets
-pivots, with which all its sets are compared.  If most of them look like a pivot, it is
-a group of near copies that no branching would split; else it is branched further.
-What is in one large node in the end, but not in one component, is compared with all of it.
+target recall.  Small nodes are compared exhaustively: sizes and two bits of each
+minwise value (in parallel, as words) must allow a link.  What passes is a candidate.
 
-Comparisons first look at sizes and at two bits of each minwise value (in parallel, as
-words); what passes is a candidate.  Links are confirmed on whole sets, in rounds: each
-class tries its most similar candidate that is not in its component yet; pairs inside a
-component need no confirming, as they change no group.  What the rounds leave over is
-confirmed pair by pair.
+A node that stays large holds a group of near copies or sets around a common passage.
+Its sets meet a few pivots, which joins most copies to a few components.  Then all sets
+from such nodes are joined exactly by prefixes: two sets that are similar enough share
+one of their rarest shingles.  For each shingle the sets outside its main component meet
+the others that have it, so a group of copies is not compared with itself.
+
+Links are confirmed on whole sets, in rounds: each class tries its most similar
+candidate that is not in its component yet; pairs inside a component need no
+confirming, as they change no group.  What the rounds leave is confirmed pair by pair.
 
 Words are runs without white space, A-Z lower-cased.  A text with fewer words than a
 shingle has the whole sequence as its one shingle.  Texts without words and nulls have
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, texts_of, written
@@ -55,9 +57,7 @@ class Settings:
     small_node: int = 64
     node_share: float = 0.03
     pivots: int = 4
-    more_levels: int = 8
-    tight: float = 0.5
-    rounds: int = 8
+    rounds: int = 2
 
     @property
     def threshold(self) -> float:
@@ -69,6 +69,12 @@ class Settings:
         p = 0.75 * (1 - self.threshold)
         return math.ceil(POSITIONS * p + 4 * math.sqrt(POSITIONS * p * (1 - p)))
 
+    @property
+    def likely_apart(self) -> int:
+        """Positions whose two bits are expected to differ at the threshold, and a deviation."""
+        p = 0.75 * (1 - self.threshold)
+        return math.ceil(POSITIONS * p + math.sqrt(POSITIONS * p * (1 - p)))
+
     def levels(self, classes: int) -> int:
         """Depth at which nodes of unlike sets are expected to be small."""
         return max(1, math.ceil(math.log(max(1, classes) / 16, 1 / self.node_share))) if classes > 16 else 1
@@ -160,41 +166,26 @@ def pair(apart):
     return F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"), apart.cast("int").alias("apart")
 
 
-def candidates(classes: DataFrame, settings: Settings) -> tuple[DataFrame, list[DataFrame]]:
-    """(pairs a < b with their distance of sketches, rows of the nodes that stayed large)."""
-    depth = settings.levels(classes.count())
-    rows = branch(classes, depth, settings)
-    found, late = [], []
-    for extra in range(settings.more_levels + 1):
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("in_node")).filter("in_node > 1")
-        rows = written(rows.join(counts, "node"), "nodes")
-        apart, close = near("x", "y", settings)
-        small = rows.filter(F.col("in_node") <= settings.small_node)
-        found.append(small.alias("x").join(small.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.class") < F.col("y.class")) & close).select(*pair(apart)))
-        large = rows.filter(F.col("in_node") > settings.small_node)
-        if large.isEmpty():
-            break
-        pivot = large.groupBy("node", F.pmod(F.xxhash64("class", "node"), F.lit(settings.pivots)).alias("_p")).agg(F.min(F.struct(F.xxhash64("node", "class"), "class", "n", "bits0", "bits1")).alias("s"))
-        pivot = pivot.select("node", "s.class", "s.n", "s.bits0", "s.bits1")
-        met = large.alias("x").join(pivot.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.class") != F.col("y.class")) & close)
-        met = written(met.select("x.node", "x.class", "x.in_node", *pair(apart)), "pivoted")
-        found.append(met.select("a", "b", "apart"))
-        alike = met.groupBy("node", "class").agg(F.first("in_node").alias("in_node")).groupBy("node").agg(F.count(F.lit(1)).alias("alike"), F.first("in_node").alias("all"))
-        tight = alike.filter(F.col("alike") >= settings.tight * F.col("all")).select("node")
-        last = extra == settings.more_levels
-        late.append(large if last else large.join(tight, "node", "left_semi"))
-        rows = branch(large.join(tight, "node", "left_anti").join(classes.select("class", "sig"), "class"), 1, settings, depth + extra)
-        if last:
-            break
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    return written(pairs.distinct(), "pairs"), late
-
-
-def whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
-    """(class, members) of every class in a pair, from the text of one of its documents."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+def candidates(classes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(pairs a < b with their distance of sketches, classes of the nodes that stayed large)."""
+    rows = branch(classes, settings.levels(classes.count()), settings)
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("in_node")).filter("in_node > 1")
+    rows = written(rows.join(counts, "node"), "nodes")
+    apart, close = near("x", "y", settings)
+    small = rows.filter(F.col("in_node") <= settings.small_node)
+    small = small.alias("x").join(small.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.class") < F.col("y.class")) & close)
+    large = rows.filter(F.col("in_node") > settings.small_node)
+    pivot = large.groupBy("node", F.pmod(F.xxhash64("class", "node"), F.lit(settings.pivots)).alias("_p")).agg(F.min(F.struct(F.xxhash64("node", "class"), "class", "n", "bits0", "bits1")).alias("s"))
+    pivot = pivot.select("node", "s.class", "s.n", "s.bits0", "s.bits1")
+    likely = (F.col("x.node") == F.col("y.node")) & (F.col("x.class") != F.col("y.class")) & close & (apart <= settings.likely_apart)
+    met = large.alias("x").join(pivot.alias("y"), likely)
+    pairs = small.select(*pair(apart)).union(met.select(*pair(apart)))
+    return written(pairs.distinct(), "pairs"), written(large.select("class").distinct(), "late")
+
+
+def whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, late: DataFrame, settings: Settings) -> DataFrame:
+    """(class, members) of every class in a pair or in ``late``, from the text of one of its documents."""
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).union(late).distinct()
     one = classes.join(wanted, "class", "left_semi").select("class", F.col("first").alias("doc_id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d").join(one.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id"))).select("class", "text")
 
@@ -250,41 +241,61 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, late: list[DataFrame], settings: Settings) -> DataFrame:
+def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, late: DataFrame, settings: Settings) -> DataFrame:
     """(node, root) of the classes with links."""
-    members = whole_sets(docs, classes, pairs, settings)
-    links, tried, roots = None, None, None
+    members = whole_sets(docs, classes, pairs, late, settings)
+    links, roots = None, None
     open_pairs = pairs
     for step in range(settings.rounds + 1):
         best = open_pairs.select("a", "b")
         if step < settings.rounds:
             both = open_pairs.union(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
             best = both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("s")).select(F.least("a", "s.b").alias("a"), F.greatest("a", "s.b").alias("b")).distinct()
-        best = written(best, "best")
+            best = written(best, "best")
         new = confirmed(best, members, settings)
         links = new if links is None else links.union(new)
-        tried = best if tried is None else tried.union(best)
         roots = components(links)
-        if step == settings.rounds:
-            break
-        open_pairs = written(across(open_pairs, roots).join(best, ["a", "b"], "left_anti").select("a", "b", "apart"), "open")
-        if open_pairs.isEmpty():
-            break
-    for large in late:  # nodes that stayed large: sets outside a node's main component meet all of it
-        placed = large.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        sizes = placed.groupBy("node", "root").agg(F.count(F.lit(1)).alias("size"))
-        main = sizes.groupBy("node").agg(F.max(F.struct("size", "root")).alias("m")).select("node", F.col("m.root").alias("main"))
-        placed = written(placed.join(main, "node"), "late")
-        odd = placed.filter(F.col("root") != F.col("main"))
-        apart, close = near("x", "y", settings)
-        met = odd.alias("x").join(placed.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close).select(*pair(apart)).distinct()
-        met = written(met.join(tried, ["a", "b"], "left_anti"), "met")
-        if not met.isEmpty():
-            links = links.union(confirmed(met, whole_sets(docs, classes, met, settings), settings))
-            roots = components(links)
+        if step < settings.rounds:
+            open_pairs = written(across(open_pairs, roots).join(best, ["a", "b"], "left_anti").select("a", "b", "apart"), "open")
+            if open_pairs.isEmpty():
+                break
+    if not late.isEmpty():
+        more = prefix_pairs(late, members, classes, roots, settings)
+        links = links.union(confirmed(more, members, settings))
+        roots = components(links)
     return roots
 
 
+def prefix_pairs(late: DataFrame, members: DataFrame, classes: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of late classes in different components that share a shingle of their prefixes.
+
+    The prefix of a set of n are its n - ceil(threshold * n) + 1 rarest shingles, by how many
+    late sets have them: sets at the threshold have one of these in common.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets_of = [np.frombuffer(m, np.int64) for m in batch.column(1).to_pylist()]
+        owner = pa.array(np.repeat(np.arange(len(sets_of)), [len(x) for x in sets_of]))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.concatenate(sets_of) if sets_of else np.zeros(0, np.int64))], names=["class", "shingle"])
+
+    own = arrow_map(members.join(late, "class", "left_semi").select("class", "members"), run, "class binary, shingle long")
+    rarity = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
+    order = Window.partitionBy("class").orderBy("sets", "shingle")
+    sketch = classes.select("class", "n", "bits0", "bits1").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    ranked = own.join(rarity.filter("sets > 1"), "shingle").withColumn("rank", F.row_number().over(order))
+    # shingles of one set alone lead its order; they are counted, not joined
+    single = own.join(rarity.filter("sets = 1"), "shingle", "left_semi").groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
+    ranked = ranked.join(single, "class", "left").join(sketch, "class")
+    length = F.expr(f"n - ceil(n * {settings.at_least} / {settings.of}) + 1")
+    prefix = written(ranked.filter(F.col("rank") + F.coalesce("alone", F.lit(0)) <= length).select("shingle", "class", "n", "bits0", "bits1", "root"), "prefixes")
+    sizes = prefix.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "root")).alias("m")).select("shingle", F.col("m.root").alias("main"))
+    odd = prefix.join(main, "shingle").filter(F.col("root") != F.col("main"))
+    apart, close = near("x", "y", settings)
+    met = odd.alias("x").join(prefix.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & close)
+    return met.select(*pair(apart)[:2]).distinct()
+
+
 def kept_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of each group's least doc_id, with the documents' own columns.
 
