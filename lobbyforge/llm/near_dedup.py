@@ -39,9 +39,11 @@ from .common import arrow_map, texts_of, written
 from .components import components
 from .quality import FOLD, word_hashes, words_of
 
-POSITIONS = 64
+#: Minwise values of a set; of the few sets in large nodes, and the words of 64 bits these fill.
+POSITIONS, WIDE, WORDS = 64, 1024, 16
 U32 = np.uint64(32)
-FACTORS = np.random.default_rng(20).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WIDE_FACTORS = np.random.default_rng(20).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = WIDE_FACTORS[:POSITIONS]
 MIXER = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -63,11 +65,10 @@ class Settings:
     def threshold(self) -> float:
         return self.at_least / self.of
 
-    @property
-    def most_apart(self) -> int:
+    def most_apart(self, positions: int = POSITIONS) -> int:
         """Positions whose two bits may differ: four deviations over what is expected at the threshold."""
         p = 0.75 * (1 - self.threshold)
-        return math.ceil(POSITIONS * p + 4 * math.sqrt(POSITIONS * p * (1 - p)))
+        return math.ceil(positions * p + 4 * math.sqrt(positions * p * (1 - p)))
 
     @property
     def likely_apart(self) -> int:
@@ -100,14 +101,20 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
+def signature(found: np.ndarray, factors: np.ndarray = FACTORS) -> np.ndarray:
     """Minwise values of a set at all positions."""
-    best = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 4096):
-        best = np.minimum(best, (found[at : at + 4096, None] * FACTORS).min(0))
+    best = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    step = (1 << 18) // len(factors)
+    for at in range(0, len(found), step):
+        best = np.minimum(best, (found[at : at + step, None] * factors).min(0))
     return (mix(best) >> U32).astype(np.uint32)
 
 
+def two_bits(sig: np.ndarray) -> np.ndarray:
+    """The last bits of all values, then the bits before them, as words."""
+    return np.packbits(np.stack([sig & 1, (sig >> 1) & 1]).astype(np.uint8), axis=1).view(np.int64).ravel()
+
+
 def sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, class (null: no shingles), signature and its bits of each row."""
 
@@ -117,7 +124,7 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
             found = shingles(text, width)
             if len(found):
                 sig = signature(found)
-                bits = np.packbits(np.stack([sig & 1, (sig >> 1) & 1]).astype(np.uint8), axis=1).view(np.int64).ravel()
+                bits = two_bits(sig)
                 rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), sig.tobytes(), int(bits[0]), int(bits[1])))
             else:
                 rows.append((0, None, None, 0, 0))
@@ -155,11 +162,13 @@ def branch(classes: DataFrame, levels: int, settings: Settings, first: int = 0)
     return arrow_map(classes.select("class", "sig", "n", "bits0", "bits1", *([] if rooted else ["node"])), run, "node long, class binary, n long, bits0 long, bits1 long")
 
 
-def near(a: str, b: str, settings: Settings):
-    """Columns: how far apart two sketches are, and whether sizes and sketches allow a link."""
-    apart = F.expr(f"bit_count(({a}.bits0 ^ {b}.bits0) | ({a}.bits1 ^ {b}.bits1))")
+def near(a: str, b: str, settings: Settings, sketch: bool = True):
+    """Column: whether sizes allow a link; with the sketch: how far it is apart, and whether both allow one."""
     sizes = F.expr(f"least({a}.n, {b}.n) * {settings.of} >= greatest({a}.n, {b}.n) * {settings.at_least}")
-    return apart, sizes & (apart <= settings.most_apart)
+    if not sketch:
+        return sizes
+    apart = F.expr(f"bit_count(({a}.bits0 ^ {b}.bits0) | ({a}.bits1 ^ {b}.bits1))")
+    return apart, sizes & (apart <= settings.most_apart())
 
 
 def pair(apart):
@@ -278,22 +287,31 @@ def prefix_pairs(late: DataFrame, members: DataFrame, classes: DataFrame, roots:
         owner = pa.array(np.repeat(np.arange(len(sets_of)), [len(x) for x in sets_of]))
         return pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.concatenate(sets_of) if sets_of else np.zeros(0, np.int64))], names=["class", "shingle"])
 
-    own = arrow_map(members.join(late, "class", "left_semi").select("class", "members"), run, "class binary, shingle long")
+    def wide(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = [two_bits(signature(np.frombuffer(m, np.uint64), WIDE_FACTORS)) for m in batch.column(1).to_pylist()]
+        columns = np.array(bits, np.int64).reshape(-1, 2 * WORDS).T
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["class", *words])
+
+    words = [f"w{i}" for i in range(2 * WORDS)]
+    mine = members.join(late, "class", "left_semi").select("class", "members")
+    own = arrow_map(mine, run, "class binary, shingle long")
+    bits = arrow_map(mine, wide, "class binary, " + ", ".join(f"{w} long" for w in words))
     rarity = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
     order = Window.partitionBy("class").orderBy("sets", "shingle")
-    sketch = classes.select("class", "n", "bits0", "bits1").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    sketch = bits.join(classes.select("class", "n"), "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     ranked = own.join(rarity.filter("sets > 1"), "shingle").withColumn("rank", F.row_number().over(order))
     # shingles of one set alone lead its order; they are counted, not joined
     single = own.join(rarity.filter("sets = 1"), "shingle", "left_semi").groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
     ranked = ranked.join(single, "class", "left").join(sketch, "class")
     length = F.expr(f"n - ceil(n * {settings.at_least} / {settings.of}) + 1")
-    prefix = written(ranked.filter(F.col("rank") + F.coalesce("alone", F.lit(0)) <= length).select("shingle", "class", "n", "bits0", "bits1", "root"), "prefixes")
+    prefix = written(ranked.filter(F.col("rank") + F.coalesce("alone", F.lit(0)) <= length).select("shingle", "class", "n", "root", *words), "prefixes")
     sizes = prefix.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "root")).alias("m")).select("shingle", F.col("m.root").alias("main"))
     odd = prefix.join(main, "shingle").filter(F.col("root") != F.col("main"))
-    apart, close = near("x", "y", settings)
+    apart = F.expr(" + ".join(f"bit_count((x.w{i} ^ y.w{i}) | (x.w{i + WORDS} ^ y.w{i + WORDS}))" for i in range(WORDS)))
+    close = near("x", "y", settings, sketch=False) & (apart <= settings.most_apart(WIDE))
     met = odd.alias("x").join(prefix.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & close)
-    return met.select(*pair(apart)[:2]).distinct()
+    return met.select(*pair(F.lit(0))[:2]).distinct()
 
 
 def kept_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
