@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import split
+from .byte_bpe import WHITE_SPACE
 from .common import slices, texts_of, written
 
 #: (values, bits of each) by selector; 0 is the escape (fixed values of the coding).
@@ -161,15 +161,33 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return doc_ids, parts[2], decode(parts[4].astype(np.uint64), parts[3], n)
 
 
+#: Pieces that a cache holds in each of its two generations.
+CACHED_PIECES = 300_000
+
+
 class Pieces(dict):
-    """Ids of pieces; a piece that is missing is noted and gives None."""
+    """Ids of pieces of text.  A full generation becomes the old one, from which pieces in
+    use return; a piece in neither is noted and gives None."""
 
     def __init__(self):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.missing: set[str] = set()
 
-    def __missing__(self, piece: str) -> None:
-        self.missing.add(piece)
+    def __missing__(self, piece: str) -> bytes | None:
+        found = self.old.get(piece)
+        if found is None:
+            self.missing.add(piece)
+        else:
+            self[piece] = found
+        return found
+
+    def learn(self, new: dict[str, bytes]) -> None:
+        self.missing.clear()
+        if len(self) + len(new) > CACHED_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self.update(new)
 
 
 @lru_cache(2)
@@ -182,9 +200,6 @@ def tokenizer(path: str):
     return found, Pieces()
 
 
-CACHED_PIECES = 400_000
-
-
 @lru_cache(2)
 def token_bytes(path: str) -> np.ndarray:
     """Bytes of each id's token (the vocabulary writes one character for each byte)."""
@@ -198,44 +213,75 @@ def token_bytes(path: str) -> np.ndarray:
 TOGETHER = 200
 
 
-def encode_pieces(pieces: list[str], path: str) -> dict[str, bytes]:
-    """Ids (little-endian) of distinct pieces by the library.
+def encode_together(pieces: list[str], path: str) -> dict[str, bytes]:
+    """Ids (little-endian) of distinct pieces by the library, many in a call.
 
-    A call costs more than a piece, so pieces of a blank and letters, which the library
-    splits apart again, go in together; the bytes of the tokens tell whose they are.
+    The pieces must be such as the library splits apart again when they follow one
+    another; the bytes of the tokens tell whose they are.
     """
     found, out = tokenizer(path)[0], {}
-    words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-    joined = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-    for group, coded in zip(joined, found.encode_batch_fast(["".join(g) for g in joined], add_special_tokens=False)):
+    groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+    for group, coded in zip(groups, found.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
         ids = np.array(coded.ids, "<u4")
         ends = np.cumsum([len(p.encode()) for p in group])
-        cuts = np.searchsorted(np.cumsum(token_bytes(path)[ids]), ends, side="left") + 1
+        cuts = np.searchsorted(np.cumsum(token_bytes(path)[ids]), ends) + 1
         raw, at = ids.tobytes(), 0
         for piece, cut in zip(group, cuts.tolist()):
             out[piece] = raw[4 * at : 4 * cut]
             at = cut
-    rest = [p for p in pieces if p not in out]
-    for piece, coded in zip(rest, found.encode_batch_fast(rest, add_special_tokens=False)):
-        out[piece] = np.array(coded.ids, "<u4").tobytes()
     return out
 
 
+#: White space other than blanks and line ends, and white space next to white space.
+UNUSUAL = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+WHITE = tuple(map(chr, WHITE_SPACE))
+
+
+def plain(text: str) -> bool:
+    """Whether words are set apart by single blanks and line ends alone."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, UNUSUAL)):
+        return False
+    return text.isascii() or not any(map(text.__contains__, WHITE))
+
+
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text by the tokenizers library; each distinct piece is encoded once a cache."""
+    """Ids of each text by the tokenizers library; each distinct word is encoded once a cache.
+
+    In a plain text the library always begins a piece at a blank and at a line end, so it
+    can be cut there into words, each with the blank or line end before it.  Other texts
+    go to the library whole.
+    """
     found, cache = tokenizer(path)
-    joined, starts, upto = split(texts)
-    bounds = starts.tolist()
-    pieces = [joined[a:b] for a, b in zip(bounds, bounds[1:])]
-    coded = list(map(cache.__getitem__, pieces))
+    easy = list(map(plain, texts))
+    words: list[str] = []
+    firsts: list[str] = []
+    upto = [0]
+    for text, ok in zip(texts, easy):
+        if ok:
+            first, *rest = text.replace("\n", " \n").split(" ")
+            firsts.append(first)
+            words += rest
+            upto.append(len(words))
+    coded = list(map(cache.__getitem__, words))
     if cache.missing:
-        new = encode_pieces(list(cache.missing), path)
-        coded = [new[p] if c is None else c for p, c in zip(pieces, coded)]
-        if len(cache) + len(new) > CACHED_PIECES:
-            cache.clear()
-        cache.update(new)
-        cache.missing.clear()
-    return [np.frombuffer(b"".join(coded[a:b]), "<u4") for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+        wanted = list(cache.missing)
+        chunks = [w if w[0] == "\n" else " " + w for w in wanted]
+        got = encode_together(chunks, path)
+        new = {w: got[c] for w, c in zip(wanted, chunks)}
+        coded = [new[w] if c is None else c for w, c in zip(words, coded)]
+        cache.learn(new)
+    whole = [t for t, ok in zip(texts, easy) if not ok]
+    heads = iter([np.array(x.ids, "<u4").tobytes() for x in found.encode_batch_fast(firsts, add_special_tokens=False)])
+    others = iter([np.array(x.ids, "<u4") for x in found.encode_batch_fast(whole, add_special_tokens=False)])
+    spans = iter(zip(upto, upto[1:]))
+    out = []
+    for ok in easy:
+        if ok:
+            a, b = next(spans)
+            out.append(np.frombuffer(next(heads) + b"".join(coded[a:b]), "<u4"))
+        else:
+            out.append(next(others))
+    return out
 
 
 FILE_IDS = 1 << 19

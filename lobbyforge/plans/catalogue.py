@@ -109,10 +109,10 @@ def flt_facets(b):
     return b.d_units.filter("cost > 0").select("cost").distinct()
 
 
-@query("flt_sanitize_board", """SELECT u.board_id, u.unit_row, u.character_id, coalesce((SELECT string_agg(item_id, '|' ORDER BY slot) FROM b_items i WHERE i.board_id = u.board_id AND i.unit_row = u.unit_row AND i.item_id <> 'TFT_Item_I8'), '') AS kept FROM b_units u JOIN d_units d USING (character_id) WHERE u.board_id < 2000""")
+@query("flt_sanitize_board", """SELECT u.board_id, u.unit_row, u.character_id, coalesce((SELECT string_agg(item_id, '|' ORDER BY slot) FROM b_items i WHERE i.board_id = u.board_id AND i.unit_row = u.unit_row AND i.item_id <> 'TFT_Item_I8'), '') AS kept FROM b_units u JOIN d_units d USING (character_id)""")
 def flt_sanitize_board(b):
-    known = b.items.filter("board_id < 2000 AND item_id <> 'TFT_Item_I8'").groupBy("board_id", "unit_row").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("slot", "item_id"))), lambda x: x["item_id"]), 1, 3).alias("items"))
-    units = b.units.filter("board_id < 2000").join(F.broadcast(b.d_units.select("character_id")), "character_id", "left_semi")
+    known = b.items.filter("item_id <> 'TFT_Item_I8'").groupBy("board_id", "unit_row").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("slot", "item_id"))), lambda x: x["item_id"]), 1, 3).alias("items"))
+    units = b.units.join(F.broadcast(b.d_units.select("character_id")), "character_id", "left_semi")
     return units.join(known, ["board_id", "unit_row"], "left").select("board_id", "unit_row", "character_id", F.coalesce(joined("items"), F.lit("")).alias("kept"))
 
 
@@ -227,7 +227,7 @@ def fn_bin_lookup(b):
 
 
 def board_cells(b):
-    placed = b.units.filter("board_id < 800 AND unit_row <= 28")
+    placed = b.units.filter("unit_row <= 28")
     items = b.items.groupBy("board_id", "unit_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "item_id"))), lambda x: x["item_id"]).alias("it"))
     rows = placed.join(items, ["board_id", "unit_row"], "left")
     cell = F.struct((F.col("unit_row") - 1).alias("i"), F.col("character_id").alias("u"), F.coalesce("it", F.array().cast("array<string>")).alias("it"))
@@ -235,23 +235,23 @@ def board_cells(b):
 
 
 @query("fn_encode_board", """SELECT board_id, '1' || replace(replace(replace(base64(encode('[' || string_agg('{"i":' || (unit_row - 1) || ',"u":"' || character_id || '"' || CASE WHEN it IS NULL THEN '' ELSE ',"it":[' || it || ']' END || '}', ',' ORDER BY unit_row) || ']')), '=', ''), '+', '-'), '/', '_') AS code
-    FROM b_units u LEFT JOIN (SELECT board_id, unit_row, string_agg('"' || item_id || '"', ',' ORDER BY slot) AS it FROM b_items GROUP BY ALL) i USING (board_id, unit_row) WHERE board_id < 800 AND unit_row <= 28 GROUP BY 1""")
+    FROM b_units u LEFT JOIN (SELECT board_id, unit_row, string_agg('"' || item_id || '"', ',' ORDER BY slot) AS it FROM b_items GROUP BY ALL) i USING (board_id, unit_row) WHERE unit_row <= 28 GROUP BY 1""")
 def fn_encode_board(b):
     return board_cells(b).select("board_id", codecs.encode_board(F.col("cells")).alias("code"))
 
 
-@query("fn_decode_board", """SELECT board_id, string_agg(character_id, ' ' ORDER BY unit_row) AS units FROM b_units WHERE board_id < 800 AND unit_row <= 28 GROUP BY 1""")
+@query("fn_decode_board", """SELECT board_id, string_agg(character_id, ' ' ORDER BY unit_row) AS units FROM b_units WHERE unit_row <= 28 GROUP BY 1""")
 def fn_decode_board(b):
     cells = codecs.decode_board(codecs.encode_board(F.col("cells")))
     return board_cells(b).select("board_id", F.array_join(F.transform(cells, lambda c: c["u"]), " ").alias("units"))
 
 
-CODES = "SELECT u.board_id, list(DISTINCT 1 + ascii(right(character_id, 1)) - 48 ORDER BY 1 + ascii(right(character_id, 1)) - 48) AS c FROM b_units u WHERE board_id < 800 GROUP BY 1"
+CODES = "SELECT u.board_id, list(DISTINCT 1 + ascii(right(character_id, 1)) - 48 ORDER BY 1 + ascii(right(character_id, 1)) - 48) AS c FROM b_units u GROUP BY 1"
 
 
 def unit_codes(b):
     code = (1 + F.ascii(F.right("character_id", F.lit(1))) - 48).alias("c")
-    return b.units.filter("board_id < 800").groupBy("board_id").agg(F.array_sort(F.collect_set(code)).alias("codes"))
+    return b.units.groupBy("board_id").agg(F.array_sort(F.collect_set(code)).alias("codes"))
 
 
 @query("fn_encode_riot", f"SELECT board_id, '02' || rpad(array_to_string(list_transform(c, lambda x: lpad(upper(to_hex(x)), 3, '0')), ''), 30, '0') || 'TFTSet17' AS code FROM ({CODES})")
@@ -265,11 +265,11 @@ def fn_decode_riot(b):
     return unit_codes(b).select("board_id", F.array_join(codecs.decode_planner(code).cast("array<string>"), " ").alias("codes"))
 
 
-@query("fn_active_traits", """, f AS (SELECT u.board_id, t.trait_id, count(DISTINCT u.character_id)::BIGINT AS count FROM b_units u JOIN d_unit_traits t USING (character_id) WHERE board_id < 2000 GROUP BY ALL)
+@query("fn_active_traits", """, f AS (SELECT u.board_id, t.trait_id, count(DISTINCT u.character_id)::BIGINT AS count FROM b_units u JOIN d_unit_traits t USING (character_id) GROUP BY ALL)
     SELECT f.board_id, f.trait_id, f.count, (SELECT count(*) FROM d_breakpoints d WHERE d.trait_id = f.trait_id AND d.min_units <= f.count)::INT AS style, (SELECT min(min_units) FROM d_breakpoints d WHERE d.trait_id = f.trait_id AND d.min_units > f.count) AS next_at FROM f""")
 def fn_active_traits(b):
     """Units by trait, style by the breakpoints met and the next one."""
-    innate = b.units.filter("board_id < 2000").select("board_id", "character_id").distinct().join(F.broadcast(b.d_unit_traits), "character_id")
+    innate = b.units.select("board_id", "character_id").distinct().join(F.broadcast(b.d_unit_traits), "character_id")
     each = innate.groupBy("board_id", "trait_id", "character_id").agg(F.max(F.lit(1)).alias("c"))
     count = each.groupBy("board_id", "trait_id").agg(F.sum("c").alias("count"))
     steps = F.broadcast(b.d_breakpoints.groupBy("trait_id").agg(F.array_sort(F.collect_list("min_units")).alias("mins")))

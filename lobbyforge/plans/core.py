@@ -249,9 +249,9 @@ def agg_placement_hist(b):
     return out.select("placement", "boards", r6(F.try_divide("boards", F.sum("boards").over(Window.partitionBy(F.lit(0))))).alias("share"))
 
 
-@query("agg_play_trend", "SELECT CAST(game_datetime AS DATE) AS day, count(*)::BIGINT AS games, round(avg(placement), 6) AS avg_placement, count(*) FILTER (WHERE placement <= 4)::BIGINT AS top4 FROM clustered WHERE comp_id % 3 = 0 GROUP BY 1", ctes=ALL)
+@query("agg_play_trend", "SELECT k.gkey, CAST(game_datetime AS DATE) AS day, count(*)::BIGINT AS games, round(avg(placement), 6) AS avg_placement, count(*) FILTER (WHERE placement <= 4)::BIGINT AS top4 FROM clustered c JOIN (SELECT DISTINCT comp_id, gkey FROM keyed) k USING (comp_id) GROUP BY 1, 2", ctes=ALL)
 def agg_play_trend(b):
-    return stages.clustered(b).filter("comp_id % 3 = 0").groupBy(F.to_date("game_datetime").alias("day")).agg(F.count(F.lit(1)).alias("games"), r6(F.avg("placement")).alias("avg_placement"), F.count_if(F.col("placement") <= 4).alias("top4"))
+    return stages.clustered(b).filter("comp_id IS NOT NULL").groupBy(rollup.gkey(stages.label(F.col("comp_id")), F.col("comp_id")).alias("gkey"), F.to_date("game_datetime").alias("day")).agg(F.count(F.lit(1)).alias("games"), r6(F.avg("placement")).alias("avg_placement"), F.count_if(F.col("placement") <= 4).alias("top4"))
 
 
 @query("agg_bucket_day", "SELECT CAST(m.game_datetime AS DATE) AS day, count(*)::BIGINT AS boards FROM b_players p JOIN b_matches m USING (match_id) WHERE m.queue_id = 1100 AND m.patch_id = 1 GROUP BY 1")
@@ -260,12 +260,13 @@ def agg_bucket_day(b):
     return b.players.select("match_id").join(matches, "match_id").groupBy(F.to_date("game_datetime").alias("day")).agg(F.count(F.lit(1)).alias("boards"))
 
 
-@query("join_two_grain", """, d AS (SELECT CAST(game_datetime AS DATE) AS day, count(*) AS games FROM clustered WHERE comp_id % 3 = 0 GROUP BY 1), a AS (SELECT CAST(game_datetime AS DATE) AS day, count(*) AS boards FROM ranked GROUP BY 1)
-    SELECT d.day, d.games::BIGINT AS games, round(d.games / a.boards, 6) AS play_rate FROM d LEFT JOIN a USING (day)""", ctes=ALL)
+@query("join_two_grain", """, d AS (SELECT comp_id % 20 AS slice, CAST(game_datetime AS DATE) AS day, count(*) AS games FROM clustered WHERE comp_id IS NOT NULL GROUP BY 1, 2), a AS (SELECT CAST(game_datetime AS DATE) AS day, count(*) AS boards FROM ranked GROUP BY 1)
+    SELECT d.slice, d.day, d.games::BIGINT AS games, round(d.games / a.boards, 6) AS play_rate FROM d LEFT JOIN a USING (day)""", ctes=ALL)
 def join_two_grain(b):
-    boards = stages.clustered(b).select(F.to_date("game_datetime").alias("day"), (F.col("comp_id") % 3 == 0).alias("mine"))
-    out = boards.groupBy("day").agg(F.count_if("mine").alias("games"), F.count(F.lit(1)).alias("boards")).filter("games > 0")
-    return out.select("day", "games", r6(F.col("games") / F.col("boards")).alias("play_rate"))
+    boards = stages.clustered(b).select(F.to_date("game_datetime").alias("day"), (F.col("comp_id") % 20).alias("slice"))
+    per_day = boards.groupBy("day").agg(F.count(F.lit(1)).alias("boards"))
+    per_slice = boards.filter("slice IS NOT NULL").groupBy("slice", "day").agg(F.count(F.lit(1)).alias("games"))
+    return per_slice.join(F.broadcast(per_day), "day").select("slice", "day", "games", r6(F.col("games") / F.col("boards")).alias("play_rate"))
 
 
 @query("agg_distinct_count", "SELECT character_id, count(DISTINCT board_id)::BIGINT AS boards FROM b_units GROUP BY 1")

@@ -182,23 +182,23 @@ def rm_selection(b):
     return combos.orderBy(F.desc("patch_id"), F.desc("n"), "region", "rank_bucket").limit(1)
 
 
-@query("rm_stale_key", """SELECT k.comp_id, CASE WHEN k.comp_id % 3 = 0 THEN 'm:fam' || (k.comp_id % 20) ELSE 'c:' || k.comp_id END AS gkey FROM (SELECT DISTINCT comp_id FROM keyed) k WHERE k.comp_id % 7 = 0""", ctes=ALL)
+@query("rm_stale_key", """SELECT k.comp_id, CASE WHEN k.comp_id % 3 = 0 THEN 'm:fam' || (k.comp_id % 20) ELSE 'c:' || k.comp_id END AS gkey FROM (SELECT DISTINCT comp_id FROM keyed) k""", ctes=ALL)
 def rm_stale_key(b):
     """A key ``c:id`` of before a merge resolves to the group the comp is in now."""
-    stale = stages.stats(b).select("comp_id").distinct().filter("comp_id % 7 = 0").select(F.concat(F.lit("c:"), F.col("comp_id").cast("string")).alias("key"))
+    stale = stages.stats(b).select("comp_id").distinct().select(F.concat(F.lit("c:"), F.col("comp_id").cast("string")).alias("key"))
     ids = stale.select(F.split_part("key", F.lit(":"), F.lit(2)).cast("long").alias("comp_id"))
     return ids.join(stages.keyed(b).select("comp_id", "gkey").distinct(), "comp_id")
 
 
-@query("rm_profile", "SELECT p.puuid, p.match_id, p.placement, p.level, count(u.unit_row)::BIGINT AS units FROM b_players p LEFT JOIN b_units u USING (board_id) WHERE p.puuid IN ('P1', 'P2', 'P3') GROUP BY ALL")
+@query("rm_profile", "SELECT p.puuid, p.match_id, p.placement, p.level, count(u.unit_row)::BIGINT AS units FROM b_players p LEFT JOIN b_units u USING (board_id) GROUP BY p.board_id, p.puuid, p.match_id, p.placement, p.level")
 def rm_profile(b):
-    mine = b.players.filter(F.col("puuid").isin("P1", "P2", "P3")).select("puuid", "board_id", "match_id", "placement", "level")
-    return mine.join(b.units, "board_id", "left").groupBy("puuid", "match_id", "placement", "level").agg(F.count("unit_row").alias("units"))
+    mine = b.players.select("puuid", "board_id", "match_id", "placement", "level")
+    return mine.join(b.units, "board_id", "left").groupBy("board_id", "puuid", "match_id", "placement", "level").agg(F.count("unit_row").alias("units")).drop("board_id")
 
 
-@query("rm_match", "SELECT p.match_id, p.placement, p.puuid, string_agg(u.character_id, ' ' ORDER BY u.character_id) AS units FROM b_players p JOIN b_units u USING (board_id) WHERE p.lobby < 20 GROUP BY ALL")
+@query("rm_match", "SELECT p.match_id, p.placement, p.puuid, string_agg(u.character_id, ' ' ORDER BY u.character_id) AS units FROM b_players p JOIN b_units u USING (board_id) GROUP BY ALL")
 def rm_match(b):
-    boards = b.players.filter("lobby < 20").select("match_id", "placement", "puuid", "board_id")
+    boards = b.players.select("match_id", "placement", "puuid", "board_id")
     return boards.join(b.units, "board_id").groupBy("match_id", "placement", "puuid").agg(F.array_join(F.array_sort(F.collect_list("character_id")), " ").alias("units"))
 
 
