@@ -279,7 +279,8 @@ def prefix_pairs(late: DataFrame, members: DataFrame, classes: DataFrame, roots:
     """Pairs of late classes in different components that share a shingle of their prefixes.
 
     The prefix of a set of n are its n - ceil(threshold * n) + 1 rarest shingles, by how many
-    late sets have them: sets at the threshold have one of these in common.
+    late sets have them: sets at the threshold have one of these in common, and the first of
+    them stands early enough in both.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -302,16 +303,19 @@ def prefix_pairs(late: DataFrame, members: DataFrame, classes: DataFrame, roots:
     ranked = own.join(rarity.filter("sets > 1"), "shingle").withColumn("rank", F.row_number().over(order))
     # shingles of one set alone lead its order; they are counted, not joined
     single = own.join(rarity.filter("sets = 1"), "shingle", "left_semi").groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
-    ranked = ranked.join(single, "class", "left").join(sketch, "class")
+    ranked = ranked.join(single, "class", "left").join(sketch, "class").withColumn("place", F.col("rank") + F.coalesce("alone", F.lit(0)))
     length = F.expr(f"n - ceil(n * {settings.at_least} / {settings.of}) + 1")
-    prefix = written(ranked.filter(F.col("rank") + F.coalesce("alone", F.lit(0)) <= length).select("shingle", "class", "n", "root", *words), "prefixes")
+    prefix = written(ranked.filter(F.col("place") <= length).select("shingle", "class", "n", "root", "place", *words), "prefixes")
     sizes = prefix.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "root")).alias("m")).select("shingle", F.col("m.root").alias("main"))
     odd = prefix.join(main, "shingle").filter(F.col("root") != F.col("main"))
     apart = F.expr(" + ".join(f"bit_count((x.w{i} ^ y.w{i}) | (x.w{i + WORDS} ^ y.w{i + WORDS}))" for i in range(WORDS)))
-    close = near("x", "y", settings, sketch=False) & (apart <= settings.most_apart(WIDE))
+    # from the first shingle in common on, what is left must do for the overlap that is needed
+    enough = F.expr(f"(least(x.n - x.place, y.n - y.place) + 1) * {settings.at_least + settings.of} >= {settings.at_least} * (x.n + y.n)")
+    close = near("x", "y", settings, sketch=False) & enough & (apart <= settings.most_apart(WIDE))
     met = odd.alias("x").join(prefix.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & close)
-    return met.select(*pair(F.lit(0))[:2]).distinct()
+    met = met.select(*pair(F.lit(0))[:2])
+    return met.distinct()
 
 
 def kept_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
