@@ -58,7 +58,7 @@ class Settings:
     branching: float = 1.65
     small_node: int = 64
     node_share: float = 0.03
-    pivots: int = 4
+    pivots: int = 2
     rounds: int = 2
 
     @property

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import numbers
 
 import duckdb
 import pytest
@@ -29,11 +30,11 @@ def plain(frame):
     def cell(v):
         if v is None or type(v).__name__ == "NAType" or v != v:
             return "NULL"
-        if isinstance(v, bool) or type(v).__name__ == "bool_":
+        if isinstance(v, bool) or type(v).__name__ in ("bool", "bool_"):
             return str(bool(v))
         if hasattr(v, "isoformat"):
             return v.isoformat()[:26].removesuffix("T00:00:00")
-        if hasattr(v, "as_integer_ratio"):
+        if isinstance(v, numbers.Real):
             return f"{float(v):.5f}"
         return str(v)
 
