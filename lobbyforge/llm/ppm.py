@@ -4,8 +4,9 @@ The model is a trie of byte contexts of up to ORDER bytes.  A symbol (a byte, or
 end of the text) is sought in the longest context that was seen; where it is missing,
 the model escapes to the context one byte shorter, and the symbols of the longer one
 are excluded there.  With n occurrences and d different symbols in a context (after
-exclusion), a symbol seen c times has probability c / (n + d) and the escape d / (n + d)
-(method C).  Below the empty context all symbols not yet excluded are equally likely.
+exclusion), a symbol seen c times has probability (2c - 1) / 2n and the escape d / 2n
+(method D).  Shorter contexts count a symbol once for each context they are the end of,
+as when a trie is updated with exclusion.  Below the empty context all symbols not yet excluded are equally likely.
 
 Pretrained scoring: counts come from the training documents, by context, summed over
 the whole corpus.  Documents are dealt to chunks of bounded size; a chunk gets the
@@ -154,34 +155,42 @@ def gather(rows: DataFrame, chunks: int) -> DataFrame:
     return written(summed.filter("count > 0"), "counts")
 
 
-def contexts(counts: DataFrame) -> DataFrame:
-    """(kind, key) of the contexts, kind symbols long, with what follows each.
+def contexts(counts: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """(kind, key, weight, follow, kinds, shorter) of strings up to ORDER symbols; (follow, kinds) of the root.
 
-    follow: occurrences of any symbol after it; kinds: different ones; shorter: what the
-    same symbols count after the context one symbol shorter.
+    weight: how often a string counts.  As in updating with exclusion, a string that is not
+    of full length counts once for each symbol that goes before it, and once if it begins a
+    text.  follow: weights of all strings one symbol longer; kinds: how many there are;
+    shorter: the weights that their symbols have after the context one symbol shorter.
     """
     string = counts.filter(f"first AND kind > {WORD}").select("kind", "key", "count")
-    suffix = string.select((F.col("kind") + 1).cast("byte").alias("kind"), F.col("key").alias("low"), F.col("count").alias("short"))
     low = F.expr(f"key & (shiftleft(1L, (kind - 1) * {WIDTH}) - 1)")
-    longer = string.filter("kind > 1").withColumn("low", low).join(suffix, ["kind", "low"]).select("kind", "key", "short")
-    single = string.filter("kind = 1").select("kind", "key", F.lit(0).cast("long").alias("short"))
-    above = longer.union(single).groupBy((F.col("kind") - 1).cast("byte").alias("kind"), F.shiftright("key", WIDTH).alias("key"))
-    # every string of two symbols or more adds its own count to what follows its context
-    follow = string.groupBy((F.col("kind") - 1).cast("byte").alias("kind"), F.shiftright("key", WIDTH).alias("key")).agg(F.sum("count").alias("follow"), F.count(F.lit(1)).alias("kinds"))
-    return written(follow.join(above.agg(F.sum("short").alias("shorter")), ["kind", "key"]), "contexts")
+    down = (F.col("kind") - 1).cast("byte").alias("kind")
+    before = string.filter("kind > 1").groupBy(down, low.alias("key")).agg(F.count(F.lit(1)).alias("symbols"), F.sum("count").alias("times"))
+    begins = F.when(F.col("count") > F.coalesce("times", F.lit(0)), 1).otherwise(0)
+    inner = string.filter(f"kind <= {ORDER}").join(before, ["kind", "key"], "left").select("kind", "key", (F.coalesce("symbols", F.lit(0)) + begins).alias("weight"))
+    full = string.filter(f"kind > {ORDER}").select("kind", "key", F.col("count").alias("weight"))
+    weighted = written(inner.union(full), "weights")
+    up = weighted.select((F.col("kind") + 1).cast("byte").alias("kind"), F.col("key").alias("low"), F.col("weight").alias("short"))
+    longer = weighted.withColumn("low", low).join(up, ["kind", "low"], "left")
+    after = longer.groupBy(down, F.shiftright("key", WIDTH).alias("key")).agg(F.sum("weight").alias("follow"), F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum("short"), F.lit(0)).alias("shorter"))
+    after = written(after, "contexts")
+    root = after.filter("kind = 0").select("follow", "kinds").first() or (0, 0)
+    own = weighted.filter(f"kind <= {ORDER}").join(after, ["kind", "key"], "left")
+    none = F.lit(0).cast("long")
+    return own.select("kind", "key", "weight", *(F.coalesce(c, none).alias(c) for c in ("follow", "kinds", "shorter"))), (int(root[0]), int(root[1]))
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     rows, chunks = chunked(docs)
     counts = gather(rows, chunks)
-    context = contexts(counts)
+    strings, root = contexts(counts)
     words, vocabulary, ends = counts.filter("first").agg(F.sum(F.when(F.col("kind") == WORD, F.col("count"))), F.count_if(F.col("kind") == WORD), F.sum(F.when((F.col("kind") == 1) & (F.col("key") == END), F.col("count")))).first()
     ends = ends or 0
-    root = context.filter("kind = 0").select("follow", "kinds").first() or (0, 0)
-    constants = ((words or 0) + ends, vocabulary + (ends > 0), ends, (int(root[0]), int(root[1])))
+    constants = ((words or 0) + ends, vocabulary + (ends > 0), ends, root)
     inner = F.col("kind").between(1, ORDER)
-    placed = counts.filter(inner).join(context, ["kind", "key"], "left").select("chunk", "kind", "key", "count", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("follow", "kinds", "shorter")))
+    placed = counts.filter(inner).select("chunk", "kind", "key").join(strings, ["kind", "key"]).select("chunk", "kind", "key", F.col("weight").alias("count"), "follow", "kinds", "shorter")
     none = F.lit(0).cast("long")
     wanted = placed.union(counts.filter(~inner).select("chunk", "kind", "key", "count", none, none, none))
 

@@ -164,12 +164,18 @@ def test_licences(spark, docs):
 
 
 def brute_ppm(train, text, order):
-    counts = defaultdict(Counter)
+    seen = defaultdict(set)
+    full = Counter()
     for t in train:
         symbols = [*t.encode(), ppm.END]
         for p, s in enumerate(symbols):
             for k in range(min(order, p) + 1):
-                counts[tuple(symbols[p - k : p])][s] += 1
+                before = symbols[p - k - 1] if p > k else "begin"
+                seen[tuple(symbols[p - k : p]), s].add(before)
+                full[tuple(symbols[p - k : p]), s] += k == order
+    counts = defaultdict(dict)
+    for (ctx, s), before in seen.items():
+        counts[ctx][s] = full[ctx, s] if len(ctx) == order else len(before)
     symbols, total = [*text.encode(), ppm.END], 0.0
     for p, s in enumerate(symbols):
         out: set = set()
