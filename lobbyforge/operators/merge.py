@@ -250,8 +250,8 @@ def pick(p: Profile, archetypes: dict[int, Archetype], ids: Iterable[int], confi
     return (best[1], best[2]) if best else (None, 0.0)
 
 
-def merge(profiles: list[Profile], config: Config) -> list[Archetype]:
-    """Passes 1 to 3: greedy grouping, folding of the small, refinement."""
+def group(profiles: list[Profile], config: Config) -> tuple[dict[int, Archetype], Index]:
+    """Pass 1: each comp joins the best archetype so far that takes it, or founds one."""
     order = sorted(profiles, key=lambda p: (p.evidence(), -p.boards, p.comp_id))
     archetypes: dict[int, Archetype] = {}
     index = Index()
@@ -262,6 +262,11 @@ def merge(profiles: list[Profile], config: Config) -> list[Archetype]:
             archetypes[k] = Archetype()
         archetypes[k].add(p)
         index.add(k, p.units)
+    return archetypes, index
+
+
+def fold(archetypes: dict[int, Archetype], index: Index, config: Config) -> None:
+    """Pass 2: from the smallest up, an archetype goes into one at least as heavy that takes it."""
     for k in sorted(archetypes, key=lambda k: (archetypes[k].total, archetypes[k].anchor())):
         small = archetypes[k]
         met = index.candidates(small.unit_weight)
@@ -271,9 +276,37 @@ def merge(profiles: list[Profile], config: Config) -> list[Archetype]:
             archetypes[j].absorb(small)
             index.add(j, small.unit_weight)
             del archetypes[k]
+
+
+def merge(profiles: list[Profile], config: Config) -> list[Archetype]:
+    """Passes 1 to 3: greedy grouping, folding of the small, refinement."""
+    archetypes, index = group(profiles, config)
+    fold(archetypes, index, config)
     return refine(archetypes, index, config)
 
 
+def trace(profiles: list[Profile], config: Config) -> list[tuple]:
+    """(comp, anchor after each pass, label, score in its archetype, reason) of every comp."""
+    placed = lambda groups: {p.comp_id: a.anchor() for a in groups for p in a.members}
+    archetypes, index = group(profiles, config)
+    first = placed(archetypes.values())
+    fold(archetypes, index, config)
+    second = placed(archetypes.values())
+    final = refine(archetypes, index, config)
+    third, named = placed(final), labels(final, config)
+    return [(p.comp_id, first[p.comp_id], second[p.comp_id], third[p.comp_id], named[p.comp_id], *compare(p, a, config)) for a in final for p in a.members]
+
+
+def trace_profiles(profiles: DataFrame, config: Config) -> DataFrame:
+    """``trace`` of all profiles that are not in the tail."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = trace([to_profile(r) for r in pdf.itertuples() if not r.tail], config)
+        return pd.DataFrame(rows, columns=["comp_id", "pass1", "pass2", "pass3", "label", "score", "reason"])
+
+    return profiles.groupBy("set_number").applyInPandas(run, "comp_id long, pass1 long, pass2 long, pass3 long, label string, score double, reason string")
+
+
 def refine(archetypes: dict[int, Archetype], index: Index, config: Config) -> list[Archetype]:
     """Every comp against the archetypes as they stand; it moves if another is clearly better."""
     moves: dict[int, list[Profile]] = defaultdict(list)
