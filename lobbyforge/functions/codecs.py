@@ -25,6 +25,7 @@ METHOD_OF_PATH = (
     ("/tft/league/v1/challenger", "league.apex"), ("/tft/league/v1/grandmaster", "league.apex"), ("/tft/league/v1/master", "league.apex"),
     ("/tft/match/v1/matches/by-puuid", "match.idsByPuuid"), ("/tft/match/v1/matches/", "match.byId"),
 )
+#: Patterns of ids and names that are no real items, and of classes of items (fixed values of the domain).
 ITEM_JUNK = "(?i)Grant|Tutorial|Trainer|Encounter|Tooltip|Debug|Test|Placeholder|Consumable|Reforger|Remover|Duplicator|Magnetic|TacticianCrown|Choncc|Unstable|Component$"
 ITEM_NAME_JUNK = r"(?i)\bAnvil\b|Tome of Traits|^TFT\b|\bMode\b|^Jammed!$|^Unusable Slot$|^game_item_displayname_|^tft_item_name_"
 ARTIFACT, RADIANT, MECHANIC = "(?i)_Item_Artifact_|_Item_Ornn", "(?i)Radiant", "(?i)AnimaSquadItem"
