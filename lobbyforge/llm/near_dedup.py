@@ -300,10 +300,10 @@ def prefix_pairs(late: DataFrame, members: DataFrame, classes: DataFrame, roots:
     rarity = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
     order = Window.partitionBy("class").orderBy("sets", "shingle")
     sketch = bits.join(classes.select("class", "n"), "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    ranked = own.join(rarity.filter("sets > 1"), "shingle").withColumn("rank", F.row_number().over(order))
-    # shingles of one set alone lead its order; they are counted, not joined
-    single = own.join(rarity.filter("sets = 1"), "shingle", "left_semi").groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
-    ranked = ranked.join(single, "class", "left").join(sketch, "class").withColumn("place", F.col("rank") + F.coalesce("alone", F.lit(0)))
+    # shingles of one set alone lead its order: they are what is left of its n
+    common = F.count(F.lit(1)).over(Window.partitionBy("class"))
+    ranked = own.join(rarity.filter("sets > 1"), "shingle").withColumns({"rank": F.row_number().over(order), "common": common})
+    ranked = ranked.join(sketch, "class").withColumn("place", F.col("rank") + F.col("n") - F.col("common"))
     length = F.expr(f"n - ceil(n * {settings.at_least} / {settings.of}) + 1")
     prefix = written(ranked.filter(F.col("place") <= length).select("shingle", "class", "n", "root", "place", *words), "prefixes")
     sizes = prefix.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
