@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, texts_of, written
 
 #: Character classes: lower case, upper case, other letters, blanks, line ends, common
 #: punctuation, symbols of the contract, all other signs; digits are left out.
@@ -195,6 +195,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str | None, R
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "cell": pa.array(at, pa.int32()), "count": pa.array(mine[at])})
 
     counted = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(count, "lang string, cell int, count long")
+    counted = written(counted, "histograms")  # a few cells a task and language: read thrice below
     own = counted.filter(F.col("lang").isNotNull())
     sums = own.groupBy("lang", "cell").agg(F.sum("count").alias("count")).unionByName(counted.groupBy("cell").agg(F.sum("count").alias("count")).withColumn("lang", F.lit(None).cast("string")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "cell"))
