@@ -34,7 +34,7 @@ from .common import crc_mod5, written
 from .quality import FOLD, word_hashes, words_of
 
 ORDER, END, SYMBOLS, WIDTH = 4, 256, 257, 9
-CHUNK_BYTES, LEAST_CHUNKS = 56 << 20, 16
+CHUNK_BYTES, LEAST_CHUNKS = 28 << 20, 32
 WORD = 0  # kind of a row of word counts; a row of kind k counts strings of k symbols
 
 
