@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, texts_of, written
@@ -41,6 +41,8 @@ from .quality import FOLD, word_hashes, words_of
 
 #: Minwise values of a set; of the few sets in large nodes, and the words of 64 bits these fill.
 POSITIONS, WIDE, WORDS = 64, 1024, 16
+#: Buckets in which shingles of late sets are counted.
+BUCKETS = 1 << 17
 U32 = np.uint64(32)
 WIDE_FACTORS = np.random.default_rng(20).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = WIDE_FACTORS[:POSITIONS]
@@ -269,53 +271,66 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, late: DataFram
             if open_pairs.isEmpty():
                 break
     if not late.isEmpty():
-        more = prefix_pairs(late, members, classes, roots, settings)
+        more = prefix_pairs(late, members, roots, settings)
         links = links.union(confirmed(more, members, settings))
         roots = components(links)
     return roots
 
 
-def prefix_pairs(late: DataFrame, members: DataFrame, classes: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
+def prefix_pairs(late: DataFrame, members: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
     """Pairs of late classes in different components that share a shingle of their prefixes.
 
-    The prefix of a set of n are its n - ceil(threshold * n) + 1 rarest shingles, by how many
-    late sets have them: sets at the threshold have one of these in common, and the first of
-    them stands early enough in both.
+    The prefix of a set of n are its first n - ceil(threshold * n) + 1 shingles in an order
+    that holds for all sets: sets at the threshold have one of these in common, and the
+    first of them stands early enough in both.  The order puts rare shingles first; how
+    rare one is, is counted over all late sets in BUCKETS of its hash.
     """
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets_of = [np.frombuffer(m, np.int64) for m in batch.column(1).to_pylist()]
-        owner = pa.array(np.repeat(np.arange(len(sets_of)), [len(x) for x in sets_of]))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.concatenate(sets_of) if sets_of else np.zeros(0, np.int64))], names=["class", "shingle"])
-
-    def wide(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits = [two_bits(signature(np.frombuffer(m, np.uint64), WIDE_FACTORS)) for m in batch.column(1).to_pylist()]
-        columns = np.array(bits, np.int64).reshape(-1, 2 * WORDS).T
-        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["class", *words])
-
+    mine = members.join(late, "class", "left_semi").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    mine = written(mine.select("class", F.coalesce("root", "class").alias("root"), "members"), "late_sets")
+
+    def count(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for m in batch.column(0).to_pylist():
+                total += np.bincount(np.frombuffer(m, np.uint64) % np.uint64(BUCKETS), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at])})
+
+    rarity = np.zeros(BUCKETS, np.int64)
+    for bucket, n in mine.select("members").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
+        rarity[bucket] = n
+    shared = late.sparkSession.sparkContext.broadcast(rarity)
     words = [f"w{i}" for i in range(2 * WORDS)]
-    mine = members.join(late, "class", "left_semi").select("class", "members")
-    own = arrow_map(mine, run, "class binary, shingle long")
-    bits = arrow_map(mine, wide, "class binary, " + ", ".join(f"{w} long" for w in words))
-    rarity = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
-    order = Window.partitionBy("class").orderBy("sets", "shingle")
-    sketch = bits.join(classes.select("class", "n"), "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    # shingles of one set alone lead its order: they are what is left of its n
-    common = F.count(F.lit(1)).over(Window.partitionBy("class"))
-    ranked = own.join(rarity.filter("sets > 1"), "shingle").withColumns({"rank": F.row_number().over(order), "common": common})
-    ranked = ranked.join(sketch, "class").withColumn("place", F.col("rank") + F.col("n") - F.col("common"))
-    length = F.expr(f"n - ceil(n * {settings.at_least} / {settings.of}) + 1")
-    prefix = written(ranked.filter(F.col("place") <= length).select("shingle", "class", "n", "root", "place", *words), "prefixes")
-    sizes = prefix.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "root")).alias("m")).select("shingle", F.col("m.root").alias("main"))
-    odd = prefix.join(main, "shingle").filter(F.col("root") != F.col("main"))
+
+    def prefix(batch: pa.RecordBatch) -> pa.RecordBatch:
+        owner, shingle, size, place, bits = [], [], [], [], []
+        for row, m in enumerate(batch.column(2).to_pylist()):
+            found = np.frombuffer(m, np.uint64)
+            n = len(found)
+            length = n - -(-n * settings.at_least // settings.of) + 1
+            first = np.lexsort((found, shared.value[found % np.uint64(BUCKETS)]))[:length]
+            owner.append(np.full(length, row))
+            shingle.append(found[first].view(np.int64))
+            size.append(np.full(length, n))
+            place.append(np.arange(1, length + 1))
+            bits.append(np.repeat(two_bits(signature(found, WIDE_FACTORS))[:, None], length, 1))
+        flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        planes = np.concatenate(bits, 1) if bits else np.zeros((2 * WORDS, 0), np.int64)
+        whose = pa.array(flat(owner))
+        return pa.RecordBatch.from_arrays([pa.array(flat(shingle)), batch.column(0).take(whose), batch.column(1).take(whose), pa.array(flat(size)), pa.array(flat(place)), *map(pa.array, planes)], names=["shingle", "class", "root", "n", "place", *words])
+
+    kinds = "shingle long, class binary, root binary, n long, place long, " + ", ".join(f"{w} long" for w in words)
+    rows = written(arrow_map(mine, prefix, kinds), "prefixes")
+    sizes = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("shingle", F.col("m.root").alias("main"))
+    met = written(rows.join(main, "shingle"), "met")
+    odd = met.filter(F.col("root") != F.col("main"))
     apart = F.expr(" + ".join(f"bit_count((x.w{i} ^ y.w{i}) | (x.w{i + WORDS} ^ y.w{i + WORDS}))" for i in range(WORDS)))
     # from the first shingle in common on, what is left must do for the overlap that is needed
     enough = F.expr(f"(least(x.n - x.place, y.n - y.place) + 1) * {settings.at_least + settings.of} >= {settings.at_least} * (x.n + y.n)")
     close = near("x", "y", settings, sketch=False) & enough & (apart <= settings.most_apart(WIDE))
-    met = odd.alias("x").join(prefix.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & close)
-    met = met.select(*pair(F.lit(0))[:2])
-    return met.distinct()
+    pairs = odd.alias("x").join(met.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & close)
+    return pairs.select(*pair(F.lit(0))[:2]).distinct()
 
 
 def kept_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
