@@ -43,9 +43,15 @@ MAGIC = b"S8B1"
 STEPS = np.array([min(b for b in BITS.tolist() if b >= bits) for bits in range(65)], np.uint8)
 
 
+#: The same for every value of 16 bits.
+SHORT = STEPS[np.frexp(np.arange(1 << 16, dtype=np.float64))[1]]
+
+
 def widths(values: np.ndarray) -> np.ndarray:
     """Width of the table that each value needs; a value just under a power of two of over
     53 bits may count as one bit more, which costs room only."""
+    if len(values) and values.max() < len(SHORT):
+        return SHORT[values]
     return STEPS[np.minimum(np.frexp(values.astype(np.float64))[1], 64)]
 
 
@@ -56,11 +62,11 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32)
     pad = 128
-    grid = np.zeros((blocks, BLOCK + pad), np.uint64)
-    flat = np.zeros(blocks * BLOCK, np.uint64)
+    grid = np.zeros((blocks, BLOCK + pad), np.uint8)
+    flat = np.zeros(blocks * BLOCK + pad, np.uint64)
     flat[:n] = values
-    grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    most = {1: widths(grid)}
+    grid[:, :BLOCK] = widths(flat[: blocks * BLOCK]).reshape(blocks, BLOCK)
+    most = {1: grid}
     size = 1
     while size < 64:
         before = most[size]
@@ -72,7 +78,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = 1 << (count.bit_length() - 1)
         window = np.maximum(most[half][:, :BLOCK], most[half][:, count - half : count - half + BLOCK])
         choice[window <= bits] = selector
-    flat_choice, flat = choice.ravel(), grid[:, :BLOCK].ravel()
+    flat_choice = choice.ravel()
     lanes = np.arange(blocks)
     at, slot = lanes * BLOCK, np.zeros(blocks, np.int64)
     end = np.minimum(at + BLOCK, n)
@@ -90,7 +96,6 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(per_block)])
     place = first[lane] + slot
     words = np.zeros(int(first[-1]), np.uint64)
-    flat = np.concatenate([flat, np.zeros(pad, np.uint64)])
     for s in np.unique(selector):
         count, bits = SELECTORS[s]
         mine = np.flatnonzero(selector == s)
@@ -162,7 +167,7 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 #: Pieces that a cache holds in each of its two generations.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 600_000
 
 
 class Pieces(dict):
