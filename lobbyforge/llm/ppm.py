@@ -142,9 +142,14 @@ def gather(rows: DataFrame, chunks: int) -> DataFrame:
             total = np.zeros(len(every), np.int64)
             total[np.searchsorted(every, known)] = n
             parts[WORD].append((every, total))
+            if len(parts[WORD]) > 6:  # sums of the portions so far take less room
+                for found in parts.values():
+                    found[:] = [counted(*(np.concatenate(x) for x in zip(*found)))]
+                pa.default_memory_pool().release_unused()
         out = []
         for kind, found in parts.items():
             keys, n = counted(*(np.concatenate(x) for x in zip(*found)))
+            found.clear()
             out.append(pa.table({"chunk": pa.array(np.full(len(keys), table.column("chunk")[0].as_py(), np.int32)), "kind": pa.array(np.full(len(keys), kind, np.int8)), "key": pa.array(keys), "n": pa.array(n)}))
         return pa.concat_tables(out)
 
@@ -224,6 +229,8 @@ def score_chunk(table: pa.Table, counts: pa.Table, known: int, vocabulary: int,
         out["n_known"].append(hits[upto[1:]] - hits[upto[:-1]] + (ends > 0))
         out["base_score"].append(logs[upto[1:]] - logs[upto[:-1]] + math.log10((ends + 0.5) / floor))
         out["score"].append(trie.log10(texts))
+    del trie, columns, kind
+    pa.default_memory_pool().release_unused()
     flat = {c: np.concatenate(v) if v else np.zeros(0) for c, v in out.items()}
     return pa.table({
         "doc_id": table.column("doc_id"), "held_out": pa.array(~table.column("train").to_numpy().astype(bool)),
