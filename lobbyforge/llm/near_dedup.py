@@ -41,8 +41,8 @@ from .quality import FOLD, word_hashes, words_of
 
 #: Minwise values of a set; of the few sets in large nodes, and the words of 64 bits these fill.
 POSITIONS, WIDE, WORDS = 64, 1024, 16
-#: Buckets in which shingles of late sets are counted.
-BUCKETS = 1 << 17
+#: Buckets in which shingles of late sets are counted, and how many of them a row holds.
+BUCKETS, LANE = 1 << 14, 64
 U32 = np.uint64(32)
 WIDE_FACTORS = np.random.default_rng(20).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = WIDE_FACTORS[:POSITIONS]
@@ -293,12 +293,15 @@ def prefix_pairs(late: DataFrame, members: DataFrame, roots: DataFrame, settings
         for batch in batches:
             for m in batch.column(0).to_pylist():
                 total += np.bincount(np.frombuffer(m, np.uint64) % np.uint64(BUCKETS), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at])})
+        lanes = total.reshape(-1, LANE)
+        used = np.flatnonzero(lanes.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *map(pa.array, np.ascontiguousarray(lanes[used].T))], names=["lane", *cells])
 
+    cells = [f"c{i}" for i in range(LANE)]
+    sums = mine.select("members").mapInArrow(count, "lane int, " + ", ".join(f"{c} long" for c in cells)).groupBy("lane").agg(*(F.sum(c).alias(c) for c in cells))
     rarity = np.zeros(BUCKETS, np.int64)
-    for bucket, n in mine.select("members").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        rarity[bucket] = n
+    for lane, *n in sums.collect():
+        rarity[lane * LANE : (lane + 1) * LANE] = n
     shared = late.sparkSession.sparkContext.broadcast(rarity)
     words = [f"w{i}" for i in range(2 * WORDS)]
 
