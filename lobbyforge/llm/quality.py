@@ -8,9 +8,16 @@ distance (base 2, 0 to 1).  Short texts say little: each comparison has a least
 and an allowance that shrinks with the length.  Digits are in no class: numbers,
 addresses and keys are no sign of another language.
 
+Limits on words are parts of ``none``, the distance at which a text without any common
+word stands.  Besides the distance over all common words, which in short texts is
+mostly chance, the share of common words as a whole is compared (two bins): too few of
+them is the sign of another language, of gibberish and of lists.
+
 Null texts and texts without words have no words and fail the base rule.  A document
-without language, or whose language has under MIN_REFERENCE_WORDS words, is compared
-with the reference of all documents.  Repeated rows stay; an empty table gives none.
+without language is compared with the reference of all documents, its words with the
+nearest reference of any language.  One whose language has under MIN_REFERENCE_WORDS words
+is compared with that of all documents too, but its words do not reject it, as nothing says
+what is usual there.  Repeated rows stay; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -43,8 +50,11 @@ class Limits:
     class_distance: float = 0.09
     class_allowance: float = 1.2
     min_common_words: int = 40
-    word_distance: float = 0.55
-    word_allowance: float = 1.5
+    word_distance: float = 0.8  # of none
+    word_allowance: float = 1.2
+    min_few_words: int = 20
+    few_distance: float = 0.4  # of none
+    few_allowance: float = 1.45  # 3.4 standard deviations of a share; as a floor, not added
 
 
 MIN_REFERENCE_WORDS = 1000
@@ -169,6 +179,11 @@ class Reference:
     place: np.ndarray  # bucket -> bin of ``words``
     words: np.ndarray
 
+    @property
+    def none(self) -> float:
+        """The word distance of a text without common words."""
+        return distance(np.eye(len(self.words))[-1], self.words)
+
 
 def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str | None, Reference]:
     """References by language (None: of all documents), counted over all documents.
@@ -223,18 +238,43 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str | None, R
     return out
 
 
-def divergences(text: str, reference: Reference) -> tuple[float, float]:
-    """Jensen-Shannon distances (character classes, common words) from the reference."""
+@dataclass(frozen=True)
+class Apart:
+    """How far a text is from its reference; ``none`` is 0 where words cannot reject it."""
+
+    by_class: float
+    by_word: float
+    few: float  # of two bins, common words and others; 0 if it has no fewer than usual
+    none: float
+
+
+def word_divergences(buckets: np.ndarray, reference: Reference) -> tuple[float, float]:
+    """Distances of all common words one by one, and of their share if it is too small."""
+    found = np.bincount(reference.place[buckets], minlength=len(reference.words))
+    own, usual = (np.array([h[:-1].sum(), h[-1]], float) for h in (found, reference.words))
+    less = own[0] * usual.sum() < usual[0] * own.sum()
+    return distance(found, reference.words), distance(own, usual) if less else 0.0
+
+
+def divergences(text: str, lang: str | None, known: dict[str | None, Reference], none: dict[str | None, float]) -> Apart:
+    """Jensen-Shannon distances from the reference of the language (see above for others)."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    bins = reference.place[word_buckets(raw, *words_of(raw))]
-    return distance(class_counts(text).astype(float), reference.classes), distance(np.bincount(bins, minlength=len(reference.words)), reference.words)
+    buckets = word_buckets(raw, *words_of(raw))
+    usual = known.get(lang, known[None])
+    by_class = distance(class_counts(text).astype(float), usual.classes)
+    if lang is not None:
+        return Apart(by_class, *word_divergences(buckets, usual), none[lang] if lang in known else 0.0)
+    return Apart(by_class, *min((*word_divergences(buckets, r), none[k]) for k, r in known.items() if k is not None or len(known) == 1))
 
 
-def verdict(n_chars: int, n_words: int, by_class: float, by_word: float, limits: Limits) -> bool:
+def verdict(n_chars: int, n_words: int, apart: Apart, limits: Limits) -> bool:
     """True if the text is long enough to judge nowhere, or near enough everywhere."""
-    odd_classes = n_chars >= limits.min_chars and by_class > limits.class_distance + limits.class_allowance / n_chars**0.5
-    odd_words = n_words >= limits.min_common_words and by_word > limits.word_distance + limits.word_allowance / n_words**0.5
-    return not (odd_classes or odd_words)
+    odd_classes = n_chars >= limits.min_chars and apart.by_class > limits.class_distance + limits.class_allowance / n_chars**0.5
+    if odd_classes or not apart.none:
+        return not odd_classes
+    odd_words = n_words >= limits.min_common_words and apart.by_word > limits.word_distance * apart.none + limits.word_allowance / n_words**0.5
+    few_words = n_words >= limits.min_few_words and apart.few > max(limits.few_distance * apart.none, limits.few_allowance / n_words**0.5)
+    return not (odd_words or few_words)
 
 
 def judge(docs: DataFrame, limits: Limits = Limits(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -245,17 +285,17 @@ def judge(docs: DataFrame, limits: Limits = Limits(), keep: tuple[str, ...] = ("
 def measured(docs: DataFrame, limits: Limits, keep: tuple[str, ...]) -> DataFrame:
     """``judge`` with columns c0, c1, ...: no name clashes with a document's."""
     known = references(docs, limits)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast((known, {k: r.none for k, r in known.items()}))
     fields = [(c, docs.schema[c].dataType) for c in keep]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        refs = shared.value
+        refs, none = shared.value
         out = []
         for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
             n, chars, signs, lines, again = base_counts(text, limits.window)
             failed = n < limits.min_words or 100 * again > limits.repeat_percent * n
-            by_class, by_word = divergences(text, refs.get(lang, refs[None])) if n else (0.0, 0.0)
-            out.append((n, chars, signs, lines, again, failed, by_class, by_word, not failed and verdict(len(text), n, by_class, by_word, limits)))
+            apart = divergences(text, lang, refs, none) if n else Apart(0.0, 0.0, 0.0, 0.0)
+            out.append((n, chars, signs, lines, again, failed, apart.by_class, apart.by_word, not failed and verdict(len(text), n, apart, limits)))
         columns = list(zip(*out)) or [()] * 9
         types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
         arrays = [*batch.columns[2:], *(pa.array(c, t) for c, t in zip(columns, types))]

@@ -325,6 +325,23 @@ def test_divergence(spark):
     assert quality.distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1) and quality.distance(np.zeros(2), np.ones(2)) == 0
 
 
+def test_words_of_another_language(spark):
+    r = random.Random(7)
+    usual = {lang: [a + b for a in first for b in "aeiou"] for lang, first in (("en", "bcdfghjk"), ("fr", "lmnprstv"))}
+    stem = lambda: "".join(r.choice(["ra", "ti", "no", "le", "ma", "su", "de", "po"]) for _ in range(r.randrange(3, 6)))
+    made = lambda n, common: " ".join(r.choice(common) if common and r.random() < 0.3 else stem() for _ in range(n))
+    lengths = (30, 60, 150, 600)
+    good = [(lang, made(r.choice(lengths), usual[lang])) for lang in usual for _ in range(150)]
+    odd = [("en", made(n, usual["fr"])) for n in lengths] + [("fr", made(n, usual["en"])) for n in lengths] + [("en", made(n, None)) for n in lengths]
+    free = [(None, made(n, usual[lang])) for lang in usual for n in lengths[1:]] + [("xx", made(100, None))]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate([*good, *odd, *free])], "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in quality.judge(docs).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert sum(got[i].kept for i in range(len(good))) >= 0.99 * len(good)
+    assert [got[len(good) + i].kept for i in range(len(odd))] == [False] * len(odd)
+    assert [got[len(good) + len(odd) + i].kept for i in range(len(free))] == [True] * len(free)
+
+
 # ---------------------------------------------------------------- 8
 
 
