@@ -1,8 +1,10 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences (at line ends and after ``. ! ?`` with a blank), which are
-normalised: A-Z lower-cased, marks of comments and quotation dropped, blanks joined, end
-punctuation cut.  A table maps normalised sentences to identifiers; those of a document
+A text is cut into pieces (at line ends and after ``. ! ?`` with a blank), which become
+words: A-Z lower-cased, runs of other ASCII signs and of typographic quotes one blank.  A
+known sentence is found where one piece, or several with no blank line between them (wrapped
+lines, or ``v. 2.0``), are its words and no more.  Of those that begin together the longest
+counts.  A table maps sentences to identifiers; those of a document
 form a sequence.  Rules are tried in order; a rule names a licence and the sequence of
 identifiers that must follow one another somewhere in the document's.  The first rule
 of each licence family that matches reports; its identifiers are then used up, so a
@@ -14,6 +16,8 @@ empty texts have no sentences and no licences.  Repeated rows stay.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,25 +96,46 @@ RULES = (
     ("Public-Domain", ("PublicDomain",)),
     ("All-Rights-Reserved", ("Reserved",)),
 )
-LONGEST = max(map(len, SENTENCES))
-#: Cut points, marks that normalising drops, blanks, end punctuation.
+#: Sentences of the official texts that go on where those above end, and what they contain.
+OFFICIAL = {
+    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the software), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions": ("MitGrant",),
+    "the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement": ("AsIs",),
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": ("AsIs",),
+    "the software is provided as is and isc disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": ("AsIs",),
+    "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": ("IscGrant",),
+    "permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": ("IscGrant",),
+    "licensed under the apache license, version 2.0 (the license); you may not use this file except in compliance with the license": ("Apache2Ref", "Apache2Comply"),
+    "this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose": ("GplHope",),
+}
+#: Cut points, marks that normalising drops, blanks, end punctuation (of sentences on one line).
 CUT, MARKS, BLANKS, ENDS = r"([.!?])[ \t]+", "[\"'`*#/<>]+", r"[ \t\r]+", r"^[ .,;:!?-]+|[ .,;:!?-]+$"
+#: What stands between words; line ends are kept.
+BETWEEN = "[\\x00-\\x09\\x0B-/:-@\\[-`{-\\x7F\u00a0\u201c\u201d\u2018\u2019\u00ab\u00bb]+"
+
+
+def words_of(sentence: str) -> str:
+    return " ".join(re.findall("[a-z0-9]+", sentence))
+
+
+KNOWN = {words_of(s): (i,) for s, i in SENTENCES.items()} | {words_of(s): ids for s, ids in OFFICIAL.items()}
+#: Every known sentence has one of these words (checked by a test); others are in one word each.
+HINTS = "licens|permi|redistribut|copyright|warrant|rights reserved|public domain|free software|endorse|compliance|applicable law|unencumbered"
+HINT_WORDS = HINTS.replace("rights reserved", "reserved").replace("public domain", "domain").replace("free software", "software").replace("applicable law", "applicable")
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order.
 
-    Raw sentences far longer than any known one are passed over before the costly steps.
+    Texts without any word of licences are passed over before the costly steps.
     """
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), CUT, "$1\n"), "\n")
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    near = F.filter(F.transform(cut, lambda s: F.translate(s, UPPER, LOWER)), lambda s: F.length(s).between(12, 2 * LONGEST) & s.rlike(HINTS))
-    clean = F.transform(near, lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, MARKS, ""), BLANKS, " "), ENDS, ""))
-    return F.filter(F.transform(clean, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
-
-
-#: Every known sentence has one of these (checked by a test).
-HINTS = "licens|permi|redistribut|copyright|warrant|rights reserved|public domain|free software|endorse|compliance|applicable law|unencumbered"
+    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    pieces = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, CUT, "$1\n"), BETWEEN, " "), " ?\n ?", "\n")
+    pieces = F.concat(F.lit("\n"), F.trim(pieces), F.lit("\n"))
+    longest_first = sorted(KNOWN, key=lambda s: (-len(s), s))
+    pattern = "\n(" + "|".join(s.replace(" ", "[ \n]") for s in longest_first) + ")(?=\n)"
+    known = F.create_map(*(x for s, ids in KNOWN.items() for x in (F.lit(s), F.array(*map(F.lit, ids)))))
+    found = F.transform(F.regexp_extract_all(pieces, F.lit(pattern), F.lit(1)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
+    return F.when(low.rlike(HINT_WORDS), F.flatten(found)).otherwise(F.array().cast("array<string>"))
 
 
 def match_rules(ids: Column) -> Column:

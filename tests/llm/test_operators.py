@@ -160,6 +160,48 @@ def test_licences(spark, docs):
     assert all(i in known for _, ids in licenses.RULES for i in ids)
 
 
+MIT_END = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS BE LIABLE FOR ANY CLAIM.'
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version %d of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+WRAPPED = {
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n' + MIT_END,
+    "BSD-3-Clause": BSD + "\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+    "BSD-2-Clause": BSD,
+    "Apache-2.0": '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an "AS IS" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "GPL-3.0-or-later": GPL % 3,
+    "GPL-2.0-or-later": "".join(f" * {line}\r\n" for line in (GPL % 2).split("\n")),
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT',
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */",
+    "Unlicense": "This is free and unencumbered software released into the public\ndomain.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+    "All-Rights-Reserved": "Copyright (c) 2020 someone. All rights\nreserved.",
+}
+
+
+def test_wrapped_licences(spark):
+    cases = {t: name for name, t in WRAPPED.items()} | {"This work is dedicated to the\n\npublic domain": "", "No rights. Not licensed under the MIT license": ""}
+    got = {r.text: r for r in licenses.scan(spark.createDataFrame([(t,) for t in cases], "text string")).collect()}
+    assert {t: "|".join(got[t].licenses) for t in cases} == cases
+    full = {"MIT": 3, "BSD-3-Clause": 4, "BSD-2-Clause": 3, "Apache-2.0": 3, "GPL-3.0-or-later": 2, "GPL-2.0-or-later": 2, "ISC": 2}
+    assert {n: len(got[WRAPPED[n]].license_ids) for n in full} == full
+
+
 # ---------------------------------------------------------------- 4
 
 
