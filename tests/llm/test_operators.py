@@ -202,6 +202,13 @@ def test_wrapped_licences(spark):
     assert {n: len(got[WRAPPED[n]].license_ids) for n in full} == full
 
 
+def test_every_licence_entry_is_found(spark):
+    entries = {s: (i,) for s, i in licenses.SENTENCES.items()} | licenses.OFFICIAL
+    got = {r.text: tuple(r.license_ids) for r in licenses.scan(spark.createDataFrame([(s,) for s in entries], "text string")).collect()}
+    assert got == entries
+    assert all(re.search(licenses.HINT_WORDS, s) for s in entries)
+
+
 # ---------------------------------------------------------------- 4
 
 
