@@ -38,7 +38,9 @@ EDGE, FOREIGN, SIZE = 26, 27, 28
 #: Costs in nats: a sign read as a letter, a sign or mark dropped, a sign kept, letters run together.
 READ, DROP_SIGN, DROP_MARK, KEEP, SQUEEZE = 0.7, 9.0, 0.5, 4.0, 0.5
 
+#: Longer tokens are cut at marks; what is longer still is decoded in windows of so many that overlap by half.
 MAX_TOKEN = 40
+BREAKS = re.compile(r"[-_.~^/\\,:;=#%&*|+]+")
 #: A stem counts if two words or more begin with it, one of them in so many words of the text.
 STEM, STEM_EVERY = 4, 150
 SPELT = re.compile(r"(?<!\S)\S(?:[ \t]+\S){3,}(?!\S)")
@@ -140,10 +142,22 @@ def skeleton(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word, flags=re.S)
 
 
+def parts_of(tokens: list[str]) -> list[str]:
+    """The tokens; long ones with runs written thrice (they read the same) and cut at marks."""
+    if not any(len(t) > MAX_TOKEN for t in tokens):
+        return tokens
+    out: list[str] = []
+    for token in tokens:
+        if len(token) > MAX_TOKEN:
+            token = re.sub(r"(.)\1{3,}", r"\1\1\1", token, flags=re.S)
+        out.extend(filter(None, BREAKS.split(token)) if len(token) > MAX_TOKEN else [token])
+    return out
+
+
 def tampered(token: str) -> bool:
     """Whether signs stand among letters, or a letter comes three times in a row."""
     letters = sum(map(str.isalpha, token))
-    if letters < 2 or len(token) > MAX_TOKEN:
+    if letters < 2:
         return False
     inside = token.rstrip(TRIM)
     return bool(RUN.search(token)) or any(not c.isalpha() for c in inside.lstrip(".-_*~'`^/\\,:;=#%&?\"()[]{}<>"))
@@ -171,13 +185,13 @@ class Restorer:
     def spell(self, token: str) -> tuple[str, ...]:
         core = token.strip(TRIM)
         out = {skeleton(p) for p in PLAIN.findall(core)} if not core.isalpha() else {skeleton(core)}
-        if tampered(token):
+        if len(token) <= MAX_TOKEN and tampered(token):
             out.update(skeleton(p) for p in restore(token.rstrip("!?.,;:*%&#\"'"), self.costs).split("?") if p)
         return tuple(out)
 
     def text(self, text: str) -> set[str]:
         """Words of a text, and stems (with ``~``) that begin several of its words densely."""
-        tokens = text.lower().split()
+        tokens = parts_of(text.lower().split())
         words = self.words
         found: set[str] = set()
         for token in set(tokens):
@@ -190,12 +204,16 @@ class Restorer:
         return found
 
     def spelt(self, text: str) -> list[str]:
-        """Skeletons of the letters set apart by blanks."""
+        """Skeletons of the letters set apart by blanks, and of long tokens in windows."""
         out = []
         for m in SPELT.finditer(text):
             letters = re.sub(r"[ \t]+", "", m[0].lower())
             for at in range(0, len(letters), 200):  # overlapping windows: any length in bounded time
                 out.append(skeleton(restore(letters[at : at + 240], self.costs)))
+        for token in parts_of(text.lower().split()):
+            if len(token) > MAX_TOKEN and tampered(token):
+                for at in range(0, len(token) - MAX_TOKEN // 2, MAX_TOKEN // 2):
+                    out.append(skeleton(restore(token[at : at + MAX_TOKEN], self.costs)))
         return out
 
 

@@ -335,6 +335,28 @@ def test_deobfuscation(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+@pytest.fixture(scope="module")
+def spelt(spark):
+    r = random.Random(4)
+    part = ["read", "ing", "th", "er", "on", "ous", "ment", "le", "ra", "sti", "po", "can"]
+    plain = [" ".join("".join(r.choice(part) for _ in range(r.randrange(1, 5))) for _ in range(30)) for _ in range(400)]
+    bad = [f"{p} {w} {v}" for p, w, v in zip(plain[:80], itertools.cycle(["idiot", "moron", "stupid"]), itertools.cycle(["moron", "scum"]))]
+    known = list(enumerate([*plain, *bad]))
+    labels = spark.createDataFrame([(i, 1, int(i >= 400)) for i, _ in known], "doc_id long, quality int, toxic int")
+
+    def judged(texts):
+        docs = spark.createDataFrame([*known, *((1000 + i, t) for i, t in enumerate(texts))], "doc_id long, text string")
+        return {r.text: r.predicted for r in toxicity.judge(docs, labels, keep=("doc_id", "text")).filter("doc_id >= 1000").collect()}
+
+    return judged
+
+
+def test_long_tokens_are_decoded(spelt):
+    toxic = ["over 1d1" + "0" * 50 + "t there", "on_the_er_1d10t_and_the_m0r0n_over_ing_read_le_ra", "read/" * 12 + "m0r0n", "read1ng" * 6 + "m0r0n" + "read1ng" * 6]
+    clean = ["see http://example.org/" + "reading/the/" * 8 + "4", "9" * 300, "key " + "a1b2c3" * 20]
+    assert spelt([*toxic, *clean]) == {t: 1 for t in toxic} | {t: 0 for t in clean}
+
+
 def test_toxicity_edges(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     kept = toxicity.clean_documents(docs, none)
