@@ -49,6 +49,10 @@ PLAIN = re.compile(r"[^\W\d_]+")
 TRIM = "".join(sorted(MARKS)) + "!?\"()[]{}<>$|+@«»…"
 
 
+#: Characters in a piece of a word that blanks break; signs that close a clause.
+PIECE, CLOSING = 4, "!?.,;:\"')"
+
+
 @dataclass(frozen=True)
 class Settings:
     max_labelled: int = 20_000
@@ -217,6 +221,77 @@ class Restorer:
         return out
 
 
+class Joiner:
+    """Learnt words whose letters stand in tokens next to one another (``s c u m``, ``mo ron``)."""
+
+    def __init__(self, model: Model):
+        self.costs = model.costs
+        self.words = {w for w in model.weights if not w.endswith("~")}
+        self.heads = {w[:n] for w in self.words for n in range(1, len(w) + 1)}
+        self.steps: dict[tuple[frozenset[str], str], frozenset[str]] = {}
+        self.first: dict[str, frozenset[str]] = {}
+
+    def step(self, heads: frozenset[str], token: str) -> frozenset[str]:
+        """Beginnings of learnt words after a further piece, in every reading of its characters."""
+        found = self.steps.get((heads, token))
+        if found is None:
+            now = set(heads)
+            for c in token:
+                if c not in MARKS:
+                    letters = LEET.get(c, c)
+                    now = {h + x for h in now for x in letters if h + x in self.heads} | {h for h in now if h and h[-1] in letters}
+            found = frozenset(now)
+            if len(self.steps) >= CACHED:
+                self.steps.clear()
+            self.steps[heads, token] = found
+        return found
+
+    def begin(self, token: str) -> frozenset[str]:
+        found = self.first.get(token)
+        if found is None:
+            if len(self.first) >= CACHED:
+                self.first.clear()
+            found = self.step(frozenset([""]), token) if len(token) <= PIECE and not ends(token) else frozenset()
+            found = found - {""}
+            self.first[token] = found
+        return found
+
+    def cost(self, word: str) -> float:
+        a, b, total = EDGE, EDGE, 0.0
+        for c in word:
+            i = int(IDS[ord(c)])
+            total += self.costs[a, b, i]
+            a, b = b, i
+        return total + self.costs[a, b, EDGE]
+
+    def find(self, tokens: list[str]) -> set[str]:
+        """Words that a run of pieces makes, if they are likelier in one than apart."""
+        begin, out = self.begin, set()
+        for at, token in enumerate(tokens):
+            heads = begin(token)
+            if not heads:
+                continue
+            for end in range(at + 1, len(tokens)):
+                piece = tokens[end]
+                last = piece.rstrip(CLOSING)
+                if len(last) > PIECE or not last:
+                    break
+                heads = self.step(heads, last)
+                if not heads:
+                    break
+                if hits := (heads & self.words) - out:
+                    apart = sum(self.cost(p) for p in (*tokens[at:end], last))
+                    out.update(w for w in hits if self.cost(w) + DROP_MARK * (end - at) < apart)
+                if ends(piece):
+                    break
+        return out
+
+
+def ends(token: str) -> bool:
+    """Whether a piece closes a clause, so that no word goes on behind it."""
+    return len(token) > 2 and token[-1] in CLOSING
+
+
 def group_of(words: set[str]) -> int:
     """The least hash of the longer words: near copies mostly have the same, others do not."""
     return min((zlib.crc32(w.encode()) for w in words if len(w) > 8 and w.isalpha()), default=min((zlib.crc32(w.encode()) for w in words), default=0))
@@ -259,11 +334,12 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return Model(costs, {w: float(x) for w, x in chosen}, math.log((toxic + 1) / (clean + 9)))
 
 
-def score(text: str, restorer: Restorer, model: Model) -> tuple[float, list[str]]:
+def score(text: str, restorer: Restorer, joiner: Joiner, model: Model) -> tuple[float, list[str]]:
     """(probability, toxic words found) of a text."""
     hits = {w for w in restorer.text(text) if w in model.weights}
     for letters in restorer.spelt(text) if text else ():
         hits.update(w for w in model.weights if w in letters and len(w) > STEM)
+    hits |= joiner.find(parts_of(text.lower().split()))
     logit = model.prior + sum(model.weights[w] for w in sorted(hits))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), sorted(hits)
 
@@ -277,13 +353,13 @@ def scored(docs: DataFrame, labels: DataFrame, settings: Settings, keep: tuple[s
     """``judge`` with columns c0, c1, ...: no name clashes with a document's."""
     model = learn(docs, labels, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    state: list[Restorer] = []
+    state: list = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value
         if not state:
-            state.append(Restorer(own.costs))
-        found = [score(t, state[0], own) for t in texts_of(batch.column(0))]
+            state.extend((Restorer(own.costs), Joiner(own)))
+        found = [score(t, *state, own) for t in texts_of(batch.column(0))]
         points = [s for s, _ in found]
         arrays = [*batch.columns[1:], pa.array(points, pa.float64()), pa.array([int(s >= 0.5) for s in points], pa.int32()), pa.array([h for _, h in found], pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])

@@ -357,6 +357,12 @@ def test_long_tokens_are_decoded(spelt):
     assert spelt([*toxic, *clean]) == {t: 1 for t in toxic} | {t: 0 for t in clean}
 
 
+def test_words_in_pieces(spelt):
+    toxic = ["reading s c u m there", "a mo ron over", "the stu pid thing", "ra id i 0t.", "the on s c u m o n"]
+    clean = ["the mo. Ron is over", "s c of u m", "the er on ra"]
+    assert spelt([*toxic, *clean]) == {t: 1 for t in toxic} | {t: 0 for t in clean}
+
+
 def test_toxicity_edges(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     kept = toxicity.clean_documents(docs, none)
