@@ -65,11 +65,14 @@ class Config:
     ranked_queue: int = 1100
     full_lobby: int = 8
     require_emblem: bool = False
+    hero_rate: float = 0.5
+    hero_champions: tuple[str, ...] = ()
+    gated_units: tuple[str, ...] = ()
 
 
 PRODUCTION = Config()
 #: For the small derived boards of the test tables, on which the floors of production select nothing.
-FIXTURE = replace(PRODUCTION, min_board_units=3, tier_min_sample=3, trend_min_sample=2, emblem_split_floor=3)
+FIXTURE = replace(PRODUCTION, min_board_units=3, tier_min_sample=3, trend_min_sample=2, emblem_split_floor=3, hero_champions=("U0", "U1"), gated_units=("U2", "U5"))
 
 #: Items that are parts, not finished (fixed values of the domain); the views of the test tables have one.
 COMPONENT_ITEMS = (

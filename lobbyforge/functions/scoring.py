@@ -63,15 +63,38 @@ def static_tier(score: Column, config: Config) -> Column:
     return out
 
 
+#: Slices of the scores 0 to 1 within which rows are ranked.
+SLICES = 4096
+
+
+def ranked(scores: DataFrame, by: list[str], *ties: str) -> DataFrame:
+    """Adds ``_rank`` (1: highest score) within ``by`` and ``_all``, the rows there.
+
+    A few groups may hold all rows, so none is sorted as a whole: rows are counted by slice
+    of the score, which gives each slice its first rank, and sorted within their slice.
+    """
+    rows = scores.withColumn("_slice", F.floor((1 - clamp01(F.col("score"))) * SLICES).cast("int"))
+    counts = rows.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(*by)
+    before = own.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(own).alias("_all"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(F.desc("score"), *ties)
+    placed = rows.withColumn("_in", F.row_number().over(inside)).join(starts, [*by, "_slice"])
+    return placed.withColumn("_rank", F.col("_before") + F.col("_in")).drop("_slice", "_in", "_before")
+
+
 def cutoffs(scores: DataFrame, by: list[str], config: Config) -> DataFrame:
     """(by..., s, a, b, c): score at floor(p * count) in descending order; no row under the least count.
 
     Only the four ranks wanted leave each group, so no list of scores is built.
     """
     finite = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))
-    counts = finite.groupBy(*by).agg(F.count(F.lit(1)).alias("_all")).filter(F.col("_all") >= config.min_tier_scores)
-    order = Window.partitionBy(*by).orderBy(F.desc("score"))
-    ranked = finite.join(counts, by).withColumn("_rank", F.row_number().over(order))
+    return cuts_of(ranked(finite, by), by, config)
+
+
+def cuts_of(ranked: DataFrame, by: list[str], config: Config) -> DataFrame:
+    """``cutoffs`` from rows that have their rank."""
+    ranked = ranked.filter(F.col("_all") >= config.min_tier_scores)
     at = [F.least(F.col("_all") - 1, F.floor(p * F.col("_all"))) + 1 for p in config.tier_percentiles]
     names = ("cut_s", "cut_a", "cut_b", "cut_c")
     return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("_rank") == x, F.col("score"))).alias(n) for x, n in zip(at, names)))

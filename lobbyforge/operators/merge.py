@@ -1,18 +1,24 @@
 """Archetype merge: near-identical compositions become one group.
 
 Comparison works on one record a comp (a profile) and an accumulator of an archetype's
-members.  The passes decide in order, each on what the ones before did, so they run in
-Python on all profiles of a set; how many there are is bounded by the sample floor,
-which only comps with enough boards pass.  Everything before and after is DataFrames.
+members.  Passes 1 to 3 decide in order, each on what was decided before, so they run in
+one task for each set, on the comps that were seen often enough to found or join an
+archetype; how many there are is bounded by the sample floors.  A matrix of the
+archetypes' unit weights tells, for one comp at a time, the few that its units allow.
+Comps of the tail only join what came out: they are dealt to tasks, each of which
+compares them with all archetypes at once.
+
+Ties: of archetypes that take a comp equally well the one founded first gets it.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +26,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 
 UNKNOWN = -1.0
+#: Rounding that the matrices may differ by from sums in another order.
+SLIP = 1e-9
 
 
 @dataclass
@@ -86,6 +94,7 @@ class Archetype:
 
     def __init__(self):
         self.members: list[Profile] = []
+        self.anchor = 0
         self.total = self.evidence = self.hit_weight = self.level_sum = self.level_weight = 0.0
         self.unit_weight: Counter = Counter()
         self.unit_sum: Counter = Counter()
@@ -103,6 +112,7 @@ class Archetype:
 
     def add(self, p: Profile) -> Archetype:
         w = p.weight
+        self.anchor = min(self.anchor, p.comp_id) if self.members else p.comp_id
         self.members.append(p)
         self.total += w
         for u in p.units:
@@ -152,14 +162,11 @@ class Archetype:
             }
         return self.cached
 
-    def anchor(self) -> int:
-        return min(p.comp_id for p in self.members)
-
     def profile(self, config: Config) -> Profile:
-        """The archetype as a comp of its own, for folding."""
+        """The archetype as a comp of its own, for folding and for the tail."""
         d = self.derive(config)
         rates = {u: x / self.evidence for u, x in self.hero_rate.items()} if self.evidence else {}
-        return Profile(self.anchor(), frozenset(d["units"]), dict(d["units"]), d["carries"], d["damage"], d["grade3"], d["copy"], d["hero"], rates, d["emblem"], d["gated"], int(self.total), d["level"], d["frame"])
+        return Profile(self.anchor, frozenset(d["units"]), dict(d["units"]), d["carries"], d["damage"], d["grade3"], d["copy"], d["hero"], rates, d["emblem"], d["gated"], int(self.total), d["level"], d["frame"])
 
 
 def carry_overlap(p: Profile, d: dict) -> float:
@@ -190,8 +197,8 @@ def hero_conflict(p: Profile, a: Archetype, d: dict, config: Config) -> bool:
     return rate <= config.merge_hero_low
 
 
-def compare(p: Profile, a: Archetype, config: Config) -> tuple[float, str]:
-    """(score, reason): reason is empty if the comp belongs to the archetype."""
+def judged(p: Profile, a: Archetype, config: Config) -> tuple[float, float, list[str]]:
+    """(score, agreement of carries, every reason why the comp does not belong to the archetype)."""
     d = a.derive(config)
     overlap = carry_overlap(p, d)
     weights = {u: p.weights.get(u, 1.0) for u in p.units}
@@ -216,116 +223,133 @@ def compare(p: Profile, a: Archetype, config: Config) -> tuple[float, str]:
         ("jaccard", jaccard < config.merge_jaccard - slack_j),
         ("score", score < config.merge_score + margin - slack_s),
     )
-    return score, next((name for name, bad in failed if bad), "")
-
-
-def explain(a: Profile, b: Profile, config: Config) -> dict:
-    score, reason = compare(a, Archetype().add(b), config)
-    return {"score": score, "reason": reason, "merges": not reason}
-
+    return score, overlap, [name for name, bad in failed if bad]
 
-class Index:
-    """Archetypes by unit: a comp meets those that share a unit, as no other can pass."""
-
-    def __init__(self):
-        self.by_unit: dict[str, set[int]] = defaultdict(set)
-
-    def add(self, k: int, units: Iterable[str]) -> None:
-        for u in units:
-            self.by_unit[u].add(k)
-
-    def candidates(self, units: Iterable[str]) -> list[int]:
-        return sorted(set().union(*(self.by_unit[u] for u in units if u in self.by_unit)))
-
-
-def pick(p: Profile, archetypes: dict[int, Archetype], ids: Iterable[int], config: Config) -> tuple[int | None, float]:
-    """Best archetype that takes the comp: with carries before without, then the higher score."""
-    best: tuple | None = None
-    for k in ids:
-        score, reason = compare(p, archetypes[k], config)
-        if not reason:
-            rank = (bool(archetypes[k].evidence), score, -archetypes[k].anchor())
-            if best is None or rank > best[0]:
-                best = (rank, k, score)
-    return (best[1], best[2]) if best else (None, 0.0)
-
-
-def group(profiles: list[Profile], config: Config) -> tuple[dict[int, Archetype], Index]:
-    """Pass 1: each comp joins the best archetype so far that takes it, or founds one."""
-    order = sorted(profiles, key=lambda p: (p.evidence(), -p.boards, p.comp_id))
-    archetypes: dict[int, Archetype] = {}
-    index = Index()
-    for p in order:
-        k, _ = pick(p, archetypes, index.candidates(p.units), config)
-        if k is None:
-            k = len(archetypes)
-            archetypes[k] = Archetype()
-        archetypes[k].add(p)
-        index.add(k, p.units)
-    return archetypes, index
-
-
-def fold(archetypes: dict[int, Archetype], index: Index, config: Config) -> None:
-    """Pass 2: from the smallest up, an archetype goes into one at least as heavy that takes it."""
-    for k in sorted(archetypes, key=lambda k: (archetypes[k].total, archetypes[k].anchor())):
-        small = archetypes[k]
-        met = index.candidates(small.unit_weight)
-        larger = [j for j in met if j != k and j in archetypes and archetypes[j].total >= small.total]
-        j, _ = pick(small.profile(config), archetypes, larger, config)
-        if j is not None:
-            archetypes[j].absorb(small)
-            index.add(j, small.unit_weight)
-            del archetypes[k]
 
-
-def merge(profiles: list[Profile], config: Config) -> list[Archetype]:
-    """Passes 1 to 3: greedy grouping, folding of the small, refinement."""
-    archetypes, index = group(profiles, config)
-    fold(archetypes, index, config)
-    return refine(archetypes, index, config)
-
-
-def trace(profiles: list[Profile], config: Config) -> list[tuple]:
-    """(comp, anchor after each pass, label, score in its archetype, reason) of every comp."""
-    placed = lambda groups: {p.comp_id: a.anchor() for a in groups for p in a.members}
-    archetypes, index = group(profiles, config)
-    first = placed(archetypes.values())
-    fold(archetypes, index, config)
-    second = placed(archetypes.values())
-    final = refine(archetypes, index, config)
-    third, named = placed(final), labels(final, config)
-    return [(p.comp_id, first[p.comp_id], second[p.comp_id], third[p.comp_id], named[p.comp_id], *compare(p, a, config)) for a in final for p in a.members]
+def compare(p: Profile, a: Archetype, config: Config) -> tuple[float, str]:
+    """(score, first reason): the reason is empty if the comp belongs to the archetype."""
+    score, _, reasons = judged(p, a, config)
+    return score, reasons[0] if reasons else ""
 
 
-def trace_profiles(profiles: DataFrame, config: Config) -> DataFrame:
-    """``trace`` of all profiles that are not in the tail."""
+def explain(a: Profile, b: Profile, config: Config) -> dict:
+    score, overlap, reasons = judged(a, Archetype().add(b), config)
+    return {"score": score, "carry_overlap": overlap, "reasons": reasons, "merges": not reasons}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = trace([to_profile(r) for r in pdf.itertuples() if not r.tail], config)
-        return pd.DataFrame(rows, columns=["comp_id", "pass1", "pass2", "pass3", "label", "score", "reason"])
 
-    return profiles.groupBy("set_number").applyInPandas(run, "comp_id long, pass1 long, pass2 long, pass3 long, label string, score double, reason string")
+class Shelf:
+    """Archetypes in order of founding, and the weights of their units as a matrix.
 
+    One product of the matrix with a comp's units gives containment and Jaccard against
+    all archetypes; those of another class, of another level, or that no slack could let
+    pass are not compared.
+    """
 
-def refine(archetypes: dict[int, Archetype], index: Index, config: Config) -> list[Archetype]:
-    """Every comp against the archetypes as they stand; it moves if another is clearly better."""
+    def __init__(self, profiles: list[Profile], config: Config):
+        self.config = config
+        self.column = {u: i for i, u in enumerate(sorted(set().union(*(p.units for p in profiles))))}
+        self.alive: dict[int, Archetype] = {}
+        self.weights = np.zeros((64, max(1, len(self.column))))
+        self.sums, self.levels, self.kinds = np.zeros(64), np.zeros(64), np.zeros(64, np.int64)
+        self.codes: dict[tuple[str, str], int] = {}
+        self.least_jaccard = config.merge_jaccard - config.merge_carry_slack - config.merge_trait_slack[0]
+        self.least_score = config.merge_score - config.merge_carry_slack - config.merge_trait_slack[1] - config.merge_weights[2]
+
+    def kind(self, copy_sig: str, gated_sig: str) -> int:
+        return self.codes.setdefault((copy_sig, gated_sig), len(self.codes))
+
+    def put(self, k: int, a: Archetype) -> None:
+        """Founds archetype k, or takes note that it changed."""
+        if k >= len(self.weights):
+            self.weights, self.sums, self.levels, self.kinds = (np.concatenate([x, np.zeros_like(x)]) for x in (self.weights, self.sums, self.levels, self.kinds))
+        d = a.derive(self.config)
+        self.alive[k] = a
+        self.weights[k] = 0
+        for u, w in d["units"].items():
+            self.weights[k, self.column[u]] = w
+        self.sums[k], self.levels[k], self.kinds[k] = self.weights[k].sum(), d["level"], self.kind(d["copy"], d["gated"])
+
+    def drop(self, k: int) -> None:
+        del self.alive[k]
+        self.weights[k] = self.sums[k] = 0
+
+    def near(self, p: Profile) -> list[int]:
+        """Archetypes that share enough of the comp's units, in order of founding."""
+        ok = (self.sums > 0) & (self.kinds == self.kind(p.copy_sig, p.gated_sig))
+        if p.level > 0:
+            ok &= (self.levels == 0) | (np.abs(self.levels - p.level) < self.config.merge_level_gap)
+        at = np.flatnonzero(ok)
+        units = [u for u in p.units if u in self.column]
+        mine = np.array([p.weights.get(u, 1.0) for u in units])
+        theirs, sums = self.weights[at[:, None], [self.column[u] for u in units]], self.sums[at]
+        both = ((theirs > 0) @ mine + theirs.sum(1)) / 2
+        own = sum(p.weights.get(u, 1.0) for u in p.units)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            contained, jaccard = both / np.minimum(own, sums), both / (own + sums - both)
+        score = self.config.merge_weights[0] * contained + self.config.merge_weights[1] * jaccard
+        return at[(contained >= self.config.merge_containment - SLIP) & (jaccard >= self.least_jaccard - SLIP) & (score >= self.least_score - SLIP)].tolist()
+
+    def takers(self, p: Profile, ids: Iterable[int]) -> Iterator[tuple[int, bool, float]]:
+        """(archetype, whether it has evidence, score) of those that take the comp."""
+        for k in ids:
+            score, reason = compare(p, self.alive[k], self.config)
+            if not reason:
+                yield k, bool(self.alive[k].evidence), score
+
+
+def group(profiles: list[Profile], config: Config) -> Shelf:
+    """Pass 1: each comp joins the best archetype so far that takes it (those with carries
+    before those without, then the higher score), or founds one."""
+    shelf = Shelf(profiles, config)
+    founded = 0
+    for p in sorted(profiles, key=lambda p: (p.evidence(), -p.boards, p.comp_id)):
+        found = max(shelf.takers(p, shelf.near(p)), key=lambda x: x[1:], default=None)
+        if found is None:
+            shelf.put(founded, Archetype().add(p))
+            founded += 1
+        else:
+            shelf.put(found[0], shelf.alive[found[0]].add(p))
+    return shelf
+
+
+def fold(shelf: Shelf, config: Config) -> None:
+    """Pass 2: from the smallest up, an archetype goes into the one at least as heavy that takes it best."""
+    for k in sorted(shelf.alive, key=lambda k: (shelf.alive[k].total, k)):
+        small = shelf.alive[k]
+        own = small.profile(config)
+        larger = [j for j in shelf.near(own) if j != k and shelf.alive[j].total >= small.total]
+        found = max(shelf.takers(own, larger), key=lambda x: x[2], default=None)
+        if found is not None:
+            shelf.put(found[0], shelf.alive[found[0]].absorb(small))
+            shelf.drop(k)
+
+
+def refine(shelf: Shelf, config: Config) -> list[Archetype]:
+    """Pass 3: every comp against the archetypes as they stand; it moves to one that is better
+    by a margin, or that has carries where its own has none, and never the other way."""
     moves: dict[int, list[Profile]] = defaultdict(list)
-    for k, own in archetypes.items():
+    for k, own in shelf.alive.items():
         for p in own.members:
             score, reason = compare(p, own, config)
-            bar = score + config.merge_refine_margin if not reason else -math.inf
-            others = [j for j in index.candidates(p.units) if j != k and j in archetypes and not (own.evidence and not archetypes[j].evidence)]
-            j, better = pick(p, archetypes, others, config)
-            moves[j if j is not None and better > bar else k].append(p)
+            bar = (bool(own.evidence), score + config.merge_refine_margin if not reason else -math.inf)
+            found = max(shelf.takers(p, (j for j in shelf.near(p) if j != k)), key=lambda x: x[1:], default=None)
+            moves[found[0] if found is not None and found[1:] > bar else k].append(p)
     out = []
-    for members in moves.values():
+    for k in sorted(moves):
         rebuilt = Archetype()
-        for p in members:
+        for p in moves[k]:
             rebuilt.add(p)
         out.append(rebuilt)
     return out
 
 
+def merge(profiles: list[Profile], config: Config) -> list[Archetype]:
+    """Passes 1 to 3: greedy grouping, folding of the small, refinement."""
+    shelf = group(profiles, config)
+    fold(shelf, config)
+    return refine(shelf, config)
+
+
 def label(a: Archetype, config: Config) -> str:
     d = a.derive(config)
     text = "|".join(sorted(d["carries"])) or "|".join(sorted(d["grade3"])) or "no_carry"
@@ -334,78 +358,191 @@ def label(a: Archetype, config: Config) -> str:
     return text
 
 
-def labels(archetypes: list[Archetype], config: Config) -> dict[int, str]:
-    """comp -> label; the heaviest of equal labels keeps it, others add their least comp."""
-    named: dict[str, list[Archetype]] = defaultdict(list)
-    for a in archetypes:
-        named[label(a, config)].append(a)
-    out = {}
+def labels(archetypes: list[Archetype], config: Config) -> list[str]:
+    """Pass 4: label of each archetype; the heaviest of equal ones keeps it, others add their least comp."""
+    named: dict[str, list[int]] = defaultdict(list)
+    for i, a in enumerate(archetypes):
+        named[label(a, config)].append(i)
+    out = [""] * len(archetypes)
     for text, group in named.items():
-        for i, a in enumerate(sorted(group, key=lambda a: (-a.total, a.anchor()))):
-            for p in a.members:
-                out[p.comp_id] = text if i == 0 else f"{text}##k:{a.anchor()}"
+        for rank, i in enumerate(sorted(group, key=lambda i: (-archetypes[i].total, archetypes[i].anchor))):
+            out[i] = text if rank == 0 else f"{text}##k:{archetypes[i].anchor}"
     return out
 
 
+def labelled(archetypes: list[Archetype], config: Config) -> dict[int, str]:
+    """comp -> label."""
+    return {p.comp_id: text for a, text in zip(archetypes, labels(archetypes, config)) for p in a.members}
+
+
 def parse_label(text: str) -> dict:
     """Carries, classes and anchor of a label."""
     head, *rest = text.split("##")
     parts = dict(x.split(":", 1) for x in rest if ":" in x)
     carries = [] if head == "no_carry" else head.split("|")
-    return {"carries": carries, "dup": parts.get("dup", ""), "aug": parts.get("aug", ""), "emb": parts.get("emb", ""), "gate": parts.get("gate", ""), "anchor": parts.get("k", "")}
-
-
-def assign_tail(p: Profile, archetypes: list[Archetype], config: Config) -> Archetype | None:
-    """The archetype for a comp of few boards, known by its units alone; None if none takes it."""
-    best = None
-    for a in archetypes:
-        d = a.derive(config)
-        proxies = [u for u in d["carries"] if u in d["units"]]
-        present = sum(u in p.units for u in proxies) / len(proxies) if proxies else 0.0
-        contained, jaccard = weighted_overlap({u: 1.0 for u in p.units}, d["units"])
-        wc, wj, wo = config.merge_weights
+    return {"carries": carries, **{name: parts.get(key, "") for name, key in (("dup", "dup"), ("aug", "aug"), ("emb", "emb"), ("gate", "gate"), ("anchor", "k"))}}
+
+
+def trace(profiles: list[Profile], config: Config) -> list[tuple]:
+    """(comp, anchor after each pass, label, score in its archetype, reason) of every comp."""
+    placed = lambda groups: {p.comp_id: a.anchor for a in groups for p in a.members}
+    shelf = group(profiles, config)
+    first = placed(shelf.alive.values())
+    fold(shelf, config)
+    second = placed(shelf.alive.values())
+    final = refine(shelf, config)
+    named = labels(final, config)
+    return [(p.comp_id, first[p.comp_id], second[p.comp_id], a.anchor, text, *compare(p, a, config)) for a, text in zip(final, named) for p in a.members]
+
+
+def assign_tail(tail: list[Profile], archetypes: list[Profile], config: Config, block: int = 256) -> list[int | None]:
+    """For comps known by their units alone: the archetype (its place) that takes each best, if any.
+
+    The archetypes are profiles as the passes left them.  All conditions but that on trait
+    frames are matrices of comps and archetypes; frames are compared where the rest holds.
+    """
+    if not archetypes or not tail:
+        return [None] * len(tail)
+    column = {u: i for i, u in enumerate(sorted(set().union(*(a.units | a.carries | a.grade3 for a in archetypes))))}
+
+    def marks(sets: list[Iterable[str]]) -> np.ndarray:
+        out = np.zeros((len(sets), len(column)))
+        for i, units in enumerate(sets):
+            out[i, [column[u] for u in units if u in column]] = 1
+        return out
+
+    units, proxies, grade3 = marks([a.units for a in archetypes]), marks([a.carries & a.units for a in archetypes]), marks([a.grade3 for a in archetypes])
+    weights = units.copy()
+    for i, a in enumerate(archetypes):
+        for u in a.units:
+            weights[i, column[u]] = a.weights.get(u, 1.0)
+    sums, checkable = weights.sum(1), proxies.sum(1)
+    text = lambda rows, name: np.array([getattr(r, name) for r in rows], object)
+    number = lambda rows, name: np.array([getattr(r, name) for r in rows], float)
+    evidence = np.array([bool(a.carries) for a in archetypes])
+    same = ("copy_sig", "gated_sig", "hero_sig") + (("emblem_sig",) if config.require_emblem else ())
+    classes = {name: text(archetypes, name) for name in same}
+    levels, hits = number(archetypes, "level"), grade3.any(1)
+    wc, wj, wo = config.merge_weights
+    out: list[int | None] = []
+    for at in range(0, len(tail), block):
+        part = tail[at : at + block]
+        mine = marks([p.units for p in part])
+        own = np.array([sum(p.weights.get(u, 1.0) for u in p.units) for p in part])
+        if any(p.weights for p in part):
+            raise ValueError("comps of the tail have no weights of their own")
+        both = (mine @ units.T + mine @ weights.T) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            present = np.where(checkable > 0, (mine @ proxies.T) / checkable, 1.0)
+            contained = both / np.minimum(own[:, None], sums)
+            jaccard = both / (own[:, None] + sums - both)
+        slack = np.where(present >= config.merge_carry_strong, config.merge_carry_slack, 0.0)
         score = wc * contained + wj * jaccard + wo * present
-        slack = config.merge_carry_slack if present >= config.merge_carry_strong else 0.0
-        fits = p.copy_sig == d["copy"] and p.gated_sig == d["gated"] and present >= config.merge_carry_overlap and contained >= config.merge_containment
-        if fits and jaccard >= config.merge_jaccard - slack and score >= config.merge_score + config.merge_assign_margin - slack:
-            rank = (bool(a.evidence), score, -a.anchor())
-            if best is None or rank > best[0]:
-                best = (rank, a)
-    return best[1] if best else None
+        fits = (present >= config.merge_carry_overlap) & (contained >= config.merge_containment) & (jaccard >= config.merge_jaccard - slack) & (score >= config.merge_score + config.merge_assign_margin - slack)
+        for name, theirs in classes.items():
+            fits &= text(part, name)[:, None] == theirs
+        level = number(part, "level")[:, None]
+        fits &= ~((level > 0) & (levels > 0) & (np.abs(level - levels) >= config.merge_level_gap))
+        third = marks([p.grade3 for p in part])
+        sampled = np.array([bool(p.grade3) and p.boards >= config.merge_grade3_min_n for p in part])
+        fits &= ~(sampled[:, None] & hits & (third @ grade3.T == 0))
+        for row, p in enumerate(part):
+            found = [k for k in np.flatnonzero(fits[row]).tolist() if not 0 <= frame_similarity(p.frame, archetypes[k].frame) < config.merge_trait_min]
+            out.append(max(found, key=lambda k: (evidence[k], score[row, k], -k), default=None))
+    return out
 
 
 def to_profile(row) -> Profile:
-    """A profile from a row of the profiles table."""
+    """A profile from a row of the profiles table (or of the table of archetypes)."""
     some = lambda x: frozenset(x) if x is not None else frozenset()
     pairs = lambda x: dict(x) if x is not None else {}
-    return Profile(int(row.comp_id), some(row.units), pairs(row.weights), some(row.carries), some(row.damage), some(row.grade3), row.copy_sig or "", "", {}, row.emblem_sig or "", row.gated_sig or "", int(row.boards), float(row.level or 0.0), pairs(row.frame))
+    return Profile(
+        int(row.comp_id), some(row.units), pairs(row.weights), some(row.carries), some(row.damage), some(row.grade3), row.copy_sig or "", row.hero_sig or "",
+        pairs(row.hero_rates), row.emblem_sig or "", row.gated_sig or "", int(row.boards), float(row.level or 0.0), pairs(row.frame),
+    )
+
+
+#: Columns of a profile in a table.
+PROFILE = (
+    "comp_id long, set_number int, units array<string>, weights map<string,double>, carries array<string>, damage array<string>, grade3 array<string>, copy_sig string, hero_sig string, "
+    "hero_rates map<string,double>, emblem_sig string, gated_sig string, boards long, level double, frame map<string,double>"
+)
+MERGED = f"{PROFILE}, label string, place int, members array<long>"
+
+
+def merge_sets(profiles: DataFrame, config: Config) -> DataFrame:
+    """Archetypes of each set: profile, label, place in the order of founding, and members.
 
+    Rows marked ``tail`` take no part.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        archetypes = merge([to_profile(r) for r in pdf.itertuples()], config)
+        rows = []
+        for place, (a, text) in enumerate(zip(archetypes, labels(archetypes, config))):
+            p = a.profile(config)
+            rows.append((
+                p.comp_id, int(pdf.set_number.iloc[0]), sorted(p.units), p.weights, sorted(p.carries), sorted(p.damage), sorted(p.grade3), p.copy_sig, p.hero_sig,
+                p.hero_rates, p.emblem_sig, p.gated_sig, p.boards, p.level, p.frame, text, place, [m.comp_id for m in a.members],
+            ))
+        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in MERGED.split(", ")])
+
+    return profiles.filter("NOT tail").groupBy("set_number").applyInPandas(run, MERGED)
 
-def merge_profiles(profiles: DataFrame, config: Config) -> DataFrame:
-    """(comp_id, meta_comp) for profiles (set_number, ..., tail): one group for each set.
 
-    Rows marked ``tail`` take no part in the passes; they are assigned to what came out.
+def tail_labels(profiles: DataFrame, archetypes: DataFrame, config: Config, tasks: int) -> DataFrame:
+    """(comp_id, meta_comp) of the comps of the tail that an archetype takes.
+
+    Comps are dealt to groups; the archetypes of the set, which the sample floors bound, go
+    to each.
     """
+    deal = F.pmod(F.xxhash64("comp_id"), F.lit(tasks)).cast("int")
+    comps = profiles.filter("tail").withColumn("dealt", deal)
+    every = archetypes.drop("members").withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+
+    def run(tail: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
+        rows = [to_profile(r) for r in tail.itertuples()]
+        made = made.sort_values("place")
+        found = assign_tail(rows, [to_profile(r) for r in made.itertuples()], config)
+        names = made.label.tolist()
+        return pd.DataFrame([(p.comp_id, names[k]) for p, k in zip(rows, found) if k is not None], columns=["comp_id", "meta_comp"])
+
+    return comps.groupBy("set_number", "dealt").cogroup(every.groupBy("set_number", "dealt")).applyInPandas(run, "comp_id long, meta_comp string")
+
+
+def merge_profiles(profiles: DataFrame, config: Config, saved: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(comp_id, meta_comp) of all comps that belong to an archetype; ``saved`` writes and rereads a table."""
+    profiles = saved(profiles, "profiles")
+    archetypes = saved(merge_sets(profiles, config), "archetypes")
+    tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = archetypes.select(F.explode("members").alias("comp_id"), F.col("label").alias("meta_comp"))
+    return own.unionByName(tail_labels(profiles, archetypes, config, tasks))
+
+
+def trace_profiles(profiles: DataFrame, config: Config) -> DataFrame:
+    """``trace`` of all profiles that are not in the tail."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(to_profile(r), bool(r.tail)) for r in pdf.itertuples()]
-        archetypes = merge([p for p, tail in rows if not tail], config)
-        named = labels(archetypes, config)
-        for p, tail in rows:
-            if tail and (a := assign_tail(p, archetypes, config)):
-                named[p.comp_id] = named[a.members[0].comp_id]
-        return pd.DataFrame(sorted(named.items()), columns=["comp_id", "meta_comp"])
+        rows = trace([to_profile(r) for r in pdf.itertuples()], config)
+        return pd.DataFrame(rows, columns=["comp_id", "pass1", "pass2", "pass3", "label", "score", "reason"])
 
-    return profiles.groupBy("set_number").applyInPandas(run, "comp_id long, meta_comp string")
+    return profiles.filter("NOT tail").groupBy("set_number").applyInPandas(run, "comp_id long, pass1 long, pass2 long, pass3 long, label string, score double, reason string")
 
 
 def set_similarity_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, shared): pairs of comps whose unit sets (comp_id, unit) reach a Jaccard, by shared units.
+    """(a, b, shared, sa, sb): pairs of comps whose unit sets (comp_id, unit) reach a Jaccard; their shared units and sizes.
 
-    Candidates come from an equality join on units; the bound on the shared count prunes them.
+    Two such sets share one of their rarest units: of a set of n only the first
+    n - ceil(least * n) + 1, in an order by how many sets have a unit, are joined on, sizes
+    must allow the pair, and it counts at the first unit that both prefixes have.
     """
-    size = sets.groupBy("comp_id").agg(F.count(F.lit(1)).alias("size"))
-    both = sets.alias("x").join(sets.alias("y"), (F.col("x.unit") == F.col("y.unit")) & (F.col("x.comp_id") < F.col("y.comp_id")))
-    shared = both.groupBy(F.col("x.comp_id").alias("a"), F.col("y.comp_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    sized = shared.join(size.select(F.col("comp_id").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("comp_id").alias("b"), F.col("size").alias("sb")), "b")
-    return sized.filter(F.col("shared") >= least / (1 + least) * (F.col("sa") + F.col("sb")) - 1e-9).select("a", "b", "shared")
+    common = sets.groupBy("unit").agg(F.count(F.lit(1)).alias("of"))
+    ordered = sets.join(common, "unit").groupBy("comp_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("of", "unit"))), lambda x: x["unit"]).alias("units"))
+    size = F.size("units")
+    prefix = ordered.withColumn("size", size).withColumn("prefix", F.slice("units", F.lit(1), size - F.ceil(F.lit(least) * size - 1e-9).cast("int") + 1))
+    rows = prefix.select("comp_id", "units", "size", "prefix", F.explode("prefix").alias("unit"))
+    met = rows.alias("x").join(rows.alias("y"), (F.col("x.unit") == F.col("y.unit")) & (F.col("x.comp_id") < F.col("y.comp_id")) & (F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-9))
+    first = F.try_element_at(F.array_intersect("x.prefix", "y.prefix"), F.lit(1)) == F.col("x.unit")
+    shared = F.size(F.array_intersect("x.units", "y.units")).cast("long")
+    pairs = met.filter(first).select(F.col("x.comp_id").alias("a"), F.col("y.comp_id").alias("b"), shared.alias("shared"), F.col("x.size").alias("sa"), F.col("y.size").alias("sb"))
+    return pairs.filter(F.col("shared") >= least / (1 + least) * (F.col("sa") + F.col("sb")) - 1e-9)

@@ -123,7 +123,7 @@ def join_board_traits(b):
 
 @query("join_stats_comps", "SELECT s.comp_id, s.patch_id, s.region, s.rank_bucket, s.n, c.signature FROM stats s JOIN (SELECT DISTINCT signature, ('0x' || substr(md5(signature), 1, 15))::BIGINT AS comp_id FROM signed) c USING (comp_id)", ctes=ALL)
 def join_stats_comps(b):
-    return stages.stats(b).join(identity.comps(stages.signed(b)).select("comp_id", "signature"), "comp_id").select("comp_id", "patch_id", "region", "rank_bucket", "n", "signature")
+    return stages.stats(b).join(stages.comps(b).select("comp_id", "signature"), "comp_id").select("comp_id", "patch_id", "region", "rank_bucket", "n", "signature")
 
 
 @query("join_wanted_keys", "SELECT comp_id, patch_id, region, rank_bucket, gkey, n FROM keyed WHERE gkey IN ('m:fam0', 'm:fam3', 'm:fam7')", ctes=ALL)
@@ -148,7 +148,7 @@ def join_left_totals(b):
 
 @query("join_left_stats", "SELECT c.comp_id, coalesce(sum(s.n), 0)::BIGINT AS total FROM (SELECT DISTINCT comp_id FROM clustered WHERE comp_id IS NOT NULL) c LEFT JOIN (SELECT * FROM stats WHERE n >= 2) s USING (comp_id) GROUP BY c.comp_id", ctes=ALL)
 def join_left_stats(b):
-    comps = identity.comps(stages.signed(b)).select("comp_id")
+    comps = stages.comps(b).select("comp_id")
     return comps.join(stages.stats(b).filter("n >= 2").select("comp_id", "n"), "comp_id", "left").groupBy("comp_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
 
 
@@ -182,7 +182,7 @@ def agg_pool_members(b):
 def agg_trend_snapshot(b):
     c = stages.clustered(b)
     totals = F.broadcast(rollup.bucket_totals(c))
-    rows = rollup.comp_stats(c).withColumn("gkey", rollup.gkey(stages.label(F.col("comp_id")), F.col("comp_id"))).join(totals, list(rollup.BUCKET), "left")
+    rows = stages.grouped(b, rollup.comp_stats(c)).join(totals, list(rollup.BUCKET), "left")
     out = rows.groupBy("gkey", *rollup.BUCKET).agg(F.min("comp_id").alias("anchor"), F.sum("n").alias("n"), F.max("total_boards").alias("bucket_total"), *(F.sum(c).alias(c) for c in ("placement_sum", "top4_count", "win_count")))
     return out.filter(F.col("n") >= b.config.trend_min_sample)
 
@@ -251,7 +251,7 @@ def agg_placement_hist(b):
 
 @query("agg_play_trend", "SELECT k.gkey, CAST(game_datetime AS DATE) AS day, count(*)::BIGINT AS games, round(avg(placement), 6) AS avg_placement, count(*) FILTER (WHERE placement <= 4)::BIGINT AS top4 FROM clustered c JOIN (SELECT DISTINCT comp_id, gkey FROM keyed) k USING (comp_id) GROUP BY 1, 2", ctes=ALL)
 def agg_play_trend(b):
-    return stages.clustered(b).filter("comp_id IS NOT NULL").groupBy(rollup.gkey(stages.label(F.col("comp_id")), F.col("comp_id")).alias("gkey"), F.to_date("game_datetime").alias("day")).agg(F.count(F.lit(1)).alias("games"), r6(F.avg("placement")).alias("avg_placement"), F.count_if(F.col("placement") <= 4).alias("top4"))
+    return stages.grouped(b, stages.clustered(b).filter("comp_id IS NOT NULL")).groupBy("gkey", F.to_date("game_datetime").alias("day")).agg(F.count(F.lit(1)).alias("games"), r6(F.avg("placement")).alias("avg_placement"), F.count_if(F.col("placement") <= 4).alias("top4"))
 
 
 @query("agg_bucket_day", "SELECT CAST(m.game_datetime AS DATE) AS day, count(*)::BIGINT AS boards FROM b_players p JOIN b_matches m USING (match_id) WHERE m.queue_id = 1100 AND m.patch_id = 1 GROUP BY 1")
@@ -310,7 +310,7 @@ cuts AS (SELECT patch_id, region, rank_bucket, max(score) FILTER (WHERE rk = lea
     max(score) FILTER (WHERE rk = least(c - 1, floor(0.5 * c)) + 1) AS cut_b, max(score) FILTER (WHERE rk = least(c - 1, floor(0.75 * c)) + 1) AS cut_c FROM f WHERE c >= 8 GROUP BY ALL)"""
 
 
-@query("win_tier_cutoffs", CUTS + "SELECT patch_id, region, rank_bucket, round(cut_s, 6) AS cut_s, round(cut_a, 6) AS cut_a, round(cut_b, 6) AS cut_b, round(cut_c, 6) AS cut_c FROM cuts", ctes=ALL)
+@query("win_tier_cutoffs", CUTS + "SELECT patch_id, region, rank_bucket, round(cut_s, 6) AS cut_s, round(cut_a, 6) AS cut_a, round(cut_b, 6) AS cut_b, round(cut_c, 6) AS cut_c FROM cuts", ctes=ALL, stored=True)
 def win_tier_cutoffs(b):
     s = stages.archetypes(b).withColumn("score", scoring.shrunk_score(b.config)).filter(F.col("n") >= b.config.tier_min_sample)
     c = scoring.cutoffs(s, list(rollup.BUCKET), b.config)
@@ -322,28 +322,28 @@ DYNAMIC = f"CASE WHEN cut_s IS NULL THEN {STATIC} WHEN score >= cut_s THEN 'S' W
 
 
 def tiered(b):
+    """Groups over the floor with score, rank in their bucket and tier."""
     s = stages.archetypes(b).withColumn("score", scoring.shrunk_score(b.config)).filter(F.col("n") >= b.config.tier_min_sample)
-    cut = scoring.cutoffs(s, list(rollup.BUCKET), b.config)
-    return s.join(F.broadcast(cut), list(rollup.BUCKET), "left").withColumn("tier", scoring.dynamic_tier(F.col("score"), b.config))
+    rows = scoring.ranked(s, list(rollup.BUCKET), "gkey")
+    cut = scoring.cuts_of(rows, list(rollup.BUCKET), b.config)
+    return rows.join(F.broadcast(cut), list(rollup.BUCKET), "left").withColumn("tier", scoring.dynamic_tier(F.col("score"), b.config))
 
 
-@query("win_tier_assign", CUTS + f"SELECT gkey, patch_id, region, rank_bucket, {DYNAMIC} AS tier FROM scored LEFT JOIN cuts USING (patch_id, region, rank_bucket) WHERE n >= 3", ctes=ALL)
+@query("win_tier_assign", CUTS + f"SELECT gkey, patch_id, region, rank_bucket, {DYNAMIC} AS tier FROM scored LEFT JOIN cuts USING (patch_id, region, rank_bucket) WHERE n >= 3", ctes=ALL, stored=True)
 def win_tier_assign(b):
     return tiered(b).select("gkey", *rollup.BUCKET, "tier")
 
 
 @query("win_rank_bucket", f"""SELECT comp_id, patch_id, region, rank_bucket, {STATIC} AS tier, row_number() OVER (PARTITION BY patch_id, region, rank_bucket ORDER BY score DESC, comp_id) AS rank_order
-    FROM (SELECT *, {SCORE} AS score FROM stats WHERE n >= 2)""", ctes=ALL)
+    FROM (SELECT *, {SCORE} AS score FROM stats WHERE n >= 2)""", ctes=ALL, stored=True)
 def win_rank_bucket(b):
     s = stages.stats(b).filter(F.col("n") >= b.config.seed_min_total).withColumn("score", scoring.shrunk_score(b.config))
-    order = Window.partitionBy(*rollup.BUCKET).orderBy(F.desc("score"), "comp_id")
-    return s.select("comp_id", *rollup.BUCKET, scoring.static_tier(F.col("score"), b.config).alias("tier"), F.row_number().over(order).cast("long").alias("rank_order"))
+    rows = scoring.ranked(s, list(rollup.BUCKET), "comp_id")
+    return rows.select("comp_id", *rollup.BUCKET, scoring.static_tier(F.col("score"), b.config).alias("tier"), F.col("_rank").alias("rank_order"))
 
 
 @query("rm_tier_list", CUTS + f"""SELECT gkey, patch_id, region, rank_bucket, {DYNAMIC} AS tier, n, round(score, 6) AS score, round(placement_sum / n, 6) AS avg_placement, round(top4_count / n, 6) AS top4_rate, round(n / total_boards, 6) AS play_rate,
-    row_number() OVER (PARTITION BY patch_id, region, rank_bucket ORDER BY score DESC, gkey) AS position FROM scored LEFT JOIN cuts USING (patch_id, region, rank_bucket) JOIN totals USING (patch_id, region, rank_bucket) WHERE n >= 3""", ctes=ALL)
+    row_number() OVER (PARTITION BY patch_id, region, rank_bucket ORDER BY score DESC, gkey) AS position FROM scored LEFT JOIN cuts USING (patch_id, region, rank_bucket) JOIN totals USING (patch_id, region, rank_bucket) WHERE n >= 3""", ctes=ALL, stored=True, merged=True)
 def rm_tier_list(b):
-    totals = F.broadcast(rollup.bucket_totals(stages.clustered(b)))
-    order = Window.partitionBy(*rollup.BUCKET).orderBy(F.desc("score"), "gkey")
-    rows = tiered(b).join(totals, list(rollup.BUCKET))
-    return rows.select("gkey", *rollup.BUCKET, "tier", "n", r6("score").alias("score"), r6(F.col("placement_sum") / F.col("n")).alias("avg_placement"), r6(F.col("top4_count") / F.col("n")).alias("top4_rate"), r6(F.col("n") / F.col("total_boards")).alias("play_rate"), F.row_number().over(order).cast("long").alias("position"))
+    rows = tiered(b).join(F.broadcast(stages.totals(b)), list(rollup.BUCKET))
+    return rows.select("gkey", *rollup.BUCKET, "tier", "n", r6("score").alias("score"), r6(F.col("placement_sum") / F.col("n")).alias("avg_placement"), r6(F.col("top4_count") / F.col("n")).alias("top4_rate"), r6(F.col("n") / F.col("total_boards")).alias("play_rate"), F.col("_rank").alias("position"))

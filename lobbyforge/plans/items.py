@@ -77,7 +77,7 @@ def agg_itemization(b):
 @query("agg_hero_aug", RATES + """SELECT t.comp_id, h.character_id, round(coalesce(r.damage_rate, 0), 6) AS damage_rate FROM tot t CROSS JOIN (VALUES ('U0'), ('U1')) AS h(character_id)
     LEFT JOIN rates r ON r.comp_id = t.comp_id AND r.character_id = h.character_id""", ctes=ALL)
 def agg_hero_aug(b):
-    champions = F.explode(F.array(F.lit("U0"), F.lit("U1"))).alias("character_id")
+    champions = F.explode(F.array(*map(F.lit, b.config.hero_champions))).alias("character_id")
     eligible = comp_boards(b).select("comp_id").distinct().select("comp_id", champions)
     return eligible.join(comp_rates(b), ["comp_id", "character_id"], "left").select("comp_id", "character_id", r6(F.coalesce("damage_rate", F.lit(0.0))).alias("damage_rate"))
 
@@ -106,7 +106,7 @@ def prof_copy_sig(b):
 
 @query("prof_gated_sig", "SELECT DISTINCT signature, CASE WHEN core_units LIKE '%U2%' THEN 'U2' ELSE '' END || CASE WHEN core_units LIKE '%U2%' AND core_units LIKE '%U5%' THEN '|' ELSE '' END || CASE WHEN core_units LIKE '%U5%' THEN 'U5' ELSE '' END AS gated_sig FROM signed", ctes=ALL)
 def prof_gated_sig(b):
-    gated = F.array(F.lit("U2"), F.lit("U5"))
+    gated = F.array(*map(F.lit, b.config.gated_units))
     return stages.signed(b).select("signature", joined(F.array_sort(F.array_intersect("core_units", gated))).alias("gated_sig")).distinct()
 
 
@@ -167,7 +167,7 @@ def agg_variant_tally(b):
 @query("agg_pick_variant", TALLY + """SELECT gkey, trait_id, boards FROM (SELECT k.gkey, t.trait_id, sum(t.boards)::BIGINT AS boards, row_number() OVER (PARTITION BY k.gkey ORDER BY sum(t.boards) DESC, t.trait_id) AS r
     FROM tally t JOIN (SELECT DISTINCT comp_id, gkey FROM keyed) k USING (comp_id) GROUP BY k.gkey, t.trait_id) WHERE r = 1""", ctes=ALL)
 def agg_pick_variant(b):
-    keyed = tallies(b).withColumn("gkey", rollup.gkey(stages.label(F.col("comp_id")), F.col("comp_id")))
+    keyed = stages.grouped(b, tallies(b))
     sums = keyed.groupBy("gkey", "trait_id").agg(F.sum("boards").alias("boards"))
     order = Window.partitionBy("gkey").orderBy(F.desc("boards"), "trait_id")
     return sums.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
@@ -240,7 +240,7 @@ def agg_mode_itemset(b):
 @query("agg_mode_build", SETS + """, g AS (SELECT k.gkey, st.character_id, st.done, sum(st.boards)::BIGINT AS boards, sum(placement_sum) AS ps FROM st JOIN (SELECT DISTINCT comp_id, gkey FROM keyed) k USING (comp_id) GROUP BY ALL HAVING sum(st.boards) >= 5)
     SELECT gkey, character_id, done, boards, round(ps / boards, 6) AS avg_placement, r AS position FROM (SELECT *, row_number() OVER (PARTITION BY gkey, character_id ORDER BY boards DESC, done) AS r FROM g) WHERE r <= 3""", ctes=ALL)
 def agg_mode_build(b):
-    keyed = set_counts(b).withColumn("gkey", rollup.gkey(stages.label(F.col("comp_id")), F.col("comp_id")))
+    keyed = stages.grouped(b, set_counts(b))
     sums = keyed.groupBy("gkey", "character_id", "done").agg(F.sum("boards").alias("boards"), F.sum("placement_sum").alias("ps")).filter(F.col("boards") >= b.config.build_min_boards)
     order = Window.partitionBy("gkey", "character_id").orderBy(F.desc("boards"), "done")
     return sums.withColumn("position", F.row_number().over(order).cast("long")).filter("position <= 3").select("gkey", "character_id", "done", "boards", r6(F.col("ps") / F.col("boards")).alias("avg_placement"), "position")
@@ -287,7 +287,7 @@ def board_build(b):
 def agg_hit_states(b):
     from ..operators import identity
 
-    three = identity.comps(stages.signed(b)).select("comp_id", joined("three_stars").alias("state"))
+    three = stages.comps(b).select("comp_id", joined("three_stars").alias("state"))
     sums = stages.keyed(b).join(three, "comp_id").groupBy("gkey", "state").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("gkey").orderBy(F.desc("n"), "state")
     ranked = sums.withColumn("_r", F.row_number().over(order))
@@ -301,9 +301,8 @@ def agg_hit_states(b):
     FROM st JOIN tot t USING (gkey) GROUP BY st.gkey, st.character_id) WHERE boards >= least(10, greatest(1, ceil(total / 2)))""", ctes=ALL)
 def agg_unit_rollup(b):
     boards = comp_boards(b).select("board_id", "comp_id", "placement")
-    key = rollup.gkey(stages.label(F.col("comp_id")), F.col("comp_id"))
     per = b.units.join(boards, "board_id").groupBy("comp_id", "board_id", "placement", "character_id").agg(F.max("star_tier").alias("star"))
-    star = per.groupBy(key.alias("gkey"), "character_id", "star").agg(F.count(F.lit(1)).alias("n"), F.sum("placement").alias("ps"))
+    star = stages.grouped(b, per).groupBy("gkey", "character_id", "star").agg(F.count(F.lit(1)).alias("n"), F.sum("placement").alias("ps"))
     total = rollup.pool(stages.keyed(b), "gkey").select("gkey", F.col("n").alias("total"), (F.col("placement_sum") / F.col("n")).alias("a"))
     rows = star.groupBy("gkey", "character_id").agg(F.sum("n").alias("boards"), F.max_by("star", F.col("n") * 10 - F.col("star")).alias("modal_star"), (F.sum("ps") / F.sum("n")).alias("avg_placement"))
     floor = F.least(F.lit(b.config.unit_min_boards), F.greatest(F.lit(1), F.ceil(F.col("total") / 2)))

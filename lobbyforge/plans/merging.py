@@ -7,52 +7,78 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import scoring
-from ..operators import identity, itemization, merge, rollup
+from ..operators import itemization, merge, rollup
+from ..sources import store
 from . import stages
 from .core import joined, r6
-from .items import comp_boards, comp_rates, emblems_of
+from .items import CARRIES, comp_boards, comp_rates
 from .stages import SCORE, SEM, sql
 
 ALL = sql()
 
 
 def profiles(b):
-    """One profile a comp that has enough boards in some bucket or in all (the rest: tail)."""
+    """One profile a comp with boards: of those that reach the floor in some bucket with what
+    their units hold, of the others by units and levels alone.  ``tail``: seen too seldom to
+    found or shape an archetype.
+    """
     c = b.config
-    boards = comp_boards(b)
+    seen = stages.clustered(b).filter("comp_id IS NOT NULL").select("board_id", "comp_id", "set_number", "level")
     totals = stages.stats(b).groupBy("comp_id").agg(F.sum("n").alias("boards"), F.max("n").alias("most"))
-    level = boards.groupBy("comp_id").agg(F.avg("level").alias("level"))
-    rates = comp_rates(b)
-    carry = itemization.carries(rates, c)
-    damage = F.when(F.col("damage_rate") >= c.merge_damage_rate, F.col("character_id"))
-    carried = carry.groupBy("comp_id").agg(F.array_sort(F.collect_set("character_id")).alias("carries"), F.array_sort(F.collect_set(damage)).alias("damage"))
-    comps = identity.comps(stages.signed(b))
+    floored = totals.filter(F.col("most") >= c.tier_min_sample).select("comp_id")
+    level = seen.groupBy("comp_id").agg(F.avg("level").alias("level"), F.max("set_number").alias("set_number"))
+    comps = stages.comps(b)
     cost = F.broadcast(b.d_units.select("character_id", "cost"))
-    unit = comps.select("comp_id", F.explode(F.array_distinct("core_units")).alias("character_id"), "three_stars").join(cost, "character_id").join(rates, ["comp_id", "character_id"], "left")
-    unit = unit.join(carried.select("comp_id", "carries"), "comp_id", "left")
-    full, top = F.coalesce("full_rate", F.lit(0.0)), F.coalesce("top_rate", F.lit(0.0))
-    strong = F.array_contains("three_stars", F.col("character_id")) | F.coalesce(F.array_contains("carries", F.col("character_id")), F.lit(False)) | (top >= c.merge_fallback_rate)
+
+    ids = seen.join(floored, "comp_id", "left_semi").select("board_id", "comp_id")
+    held = itemization.copies(b.units.join(ids, "board_id", "left_semi"), b.items.join(ids, "board_id", "left_semi"))
+    rates = itemization.rates(ids, held, c)
+    damage = F.when(F.col("damage_rate") >= c.merge_damage_rate, F.col("character_id"))
+    carried = itemization.carries(rates, c).groupBy("comp_id").agg(F.array_sort(F.collect_set("character_id")).alias("carries"), F.array_sort(F.collect_set(damage)).alias("damage"))
+    unit = comps.join(floored, "comp_id", "left_semi").select("comp_id", F.explode(F.array_distinct("core_units")).alias("character_id"), "three_stars")
+    unit = unit.join(cost, "character_id").join(rates, ["comp_id", "character_id"], "left").join(carried.select("comp_id", "carries"), "comp_id", "left")
+    full, top, hurt = (F.coalesce(x, F.lit(0.0)) for x in ("full_rate", "top_rate", "damage_rate"))
+    third = F.array_contains("three_stars", F.col("character_id"))
+    itemized = F.coalesce(F.array_contains("carries", F.col("character_id")), F.lit(False)) | (top >= c.merge_fallback_rate)
     flex = (F.col("cost") >= c.merge_flex_min_cost) & (full < c.merge_flex_item_rate) & (top < c.merge_flex_item_rate)
-    weight = F.when(strong, 1.0).when(flex, c.merge_weight_flex).otherwise(c.merge_weight_core)
-    grade = F.when(F.array_contains("three_stars", F.col("character_id")) & strong, F.col("character_id"))
-    weighted = unit.groupBy("comp_id").agg(F.collect_list(F.struct("character_id", weight.alias("w"))).alias("pairs"), F.array_sort(F.collect_set(grade)).alias("grade3"))
-    frame = itemization.trait_frame(b.units, b.d_unit_traits, emblems_of(b), b.d_breakpoints)
-    per_comp = boards.select("board_id", "comp_id").join(frame, "board_id").groupBy("comp_id", "trait_id").agg(F.max("level").cast("double").alias("x"))
-    frames = per_comp.groupBy("comp_id").agg(F.map_from_entries(F.collect_list(F.struct("trait_id", "x"))).alias("frame"))
+    weight = F.when(third | itemized, 1.0).when(flex, c.merge_weight_flex).otherwise(c.merge_weight_core)
+    champion = third & F.col("character_id").isin(*c.hero_champions)
+    hero = F.when(champion, F.struct(F.col("character_id").alias("key"), hurt.alias("value")))
+    strongest = F.min(F.when(champion & (hurt >= c.hero_rate), F.struct((-hurt).alias("by"), "character_id")))
+    weighted = unit.groupBy("comp_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("character_id", weight.alias("w")))).alias("weights"),
+        F.array_sort(F.collect_set(F.when(third & itemized, F.col("character_id")))).alias("hits"),
+        F.map_from_entries(F.collect_list(hero)).alias("hero_rates"),
+        strongest["character_id"].alias("hero_sig"),
+    )
+
+    worn = comps.select(F.col("comp_id").alias("board_id"), F.explode("emblems").alias("item_id")).select("board_id", itemization.emblem_trait(F.col("item_id")).alias("trait_id"))
+    fielded = comps.select(F.col("comp_id").alias("board_id"), F.explode("core_units").alias("character_id"))
+    frame = itemization.trait_frame(fielded, b.d_unit_traits, worn, b.d_breakpoints)
+    frames = frame.groupBy(F.col("board_id").alias("comp_id")).agg(F.map_from_entries(F.collect_list(F.struct("trait_id", F.col("level").cast("double")))).alias("frame"))
     cheap = F.broadcast(b.d_units.filter(F.col("cost").between(1, 3)).select(F.col("character_id").alias("u")))
     doubled = comps.select("comp_id", F.explode("core_units").alias("u")).join(cheap, "u").groupBy("comp_id", "u").agg(F.count(F.lit(1)).alias("k")).filter("k >= 2").groupBy("comp_id").agg(joined(F.array_sort(F.collect_list("u"))).alias("copy_sig"))
-    base = comps.select("comp_id", F.lit(17).alias("set_number"), F.array_distinct("core_units").alias("units"), joined("emblems").alias("emblem_sig"), F.lit("").alias("gated_sig"))
-    out = base
-    for more in (totals, level, carried, weighted, frames, doubled):
+    gated = joined(F.array_sort(F.array_intersect("core_units", F.array(*map(F.lit, c.gated_units)).cast("array<string>"))))
+    out = comps.select("comp_id", F.array_distinct("core_units").alias("units"), F.array_distinct("three_stars").alias("threes"), joined("emblems").alias("emblem_sig"), gated.alias("gated_sig")).join(totals, "comp_id")
+    for more in (level, carried, weighted, frames, doubled):
         out = out.join(more, "comp_id", "left")
-    tail = (F.col("most") < c.tier_min_sample) & (F.col("boards") < c.seed_min_total)
-    return out.select("comp_id", "set_number", "units", F.map_from_entries("pairs").alias("weights"), "carries", "damage", "grade3", F.coalesce("copy_sig", F.lit("")).alias("copy_sig"), "emblem_sig", "gated_sig", "boards", "level", "frame", tail.alias("tail"))
+    known = F.col("most") >= c.tier_min_sample
+    grade3 = F.when(known, F.coalesce("hits", F.array().cast("array<string>"))).otherwise(F.col("threes"))
+    tail = ~known & (F.col("boards") < c.seed_min_total)
+    text = lambda name: F.coalesce(name, F.lit("")).alias(name)
+    return out.select(
+        "comp_id", "set_number", "units", "weights", "carries", "damage", grade3.alias("grade3"), text("copy_sig"), text("hero_sig"), "hero_rates",
+        "emblem_sig", "gated_sig", "boards", "level", "frame", tail.alias("tail"))
 
 
-@query("mrg_stage")
+def merged_labels(b):
+    return merge.merge_profiles(profiles(b), b.config, store.saved)
+
+
+@query("mrg_stage", stored=True)
 def mrg_stage(b):
     """comp -> archetype label: load, merge, assign the tail."""
-    return merge.merge_profiles(profiles(b), b.config)
+    return merged_labels(b)
 
 
 @query("prof_load_floored", "SELECT comp_id, sum(n)::BIGINT AS boards FROM stats GROUP BY comp_id HAVING max(n) >= 3 OR sum(n) >= 2", ctes=ALL)
@@ -60,14 +86,26 @@ def prof_load_floored(b):
     return profiles(b).filter("NOT tail").select("comp_id", "boards")
 
 
-@query("mrg_parse_label")
-def mrg_parse_label(b):
-    """Labels of the merge taken apart again."""
-    rows = merge.merge_profiles(profiles(b), b.config).select("meta_comp").distinct()
-    parts = F.split("meta_comp", "##")
+PARSE = CARRIES + """, lab AS (SELECT c.comp_id, c.carries || CASE WHEN c.comp_id % 2 = 0 THEN '##dup:' || c.carries ELSE '' END || CASE WHEN c.comp_id % 3 = 0 THEN '##gate:U2' ELSE '' END || '##k:' || c.comp_id AS meta_comp FROM (SELECT comp_id, string_agg(character_id, '|' ORDER BY character_id) AS carries FROM carry GROUP BY 1) c)
+    SELECT meta_comp, split_part(meta_comp, '##', 1) AS carries, regexp_extract(meta_comp, '##dup:([^#]*)', 1) AS dup, regexp_extract(meta_comp, '##gate:([^#]*)', 1) AS gate, regexp_extract(meta_comp, '##k:([^#]*)', 1) AS anchor FROM lab"""
+
+
+def parsed(label):
+    """Columns of what a label says: carries, dup, aug, gate and anchor."""
+    parts = F.split(label, "##")
     head = F.get(parts, F.lit(0))
     value = lambda name: F.coalesce(F.try_element_at(F.transform(F.filter(parts, lambda x: x.startswith(name)), lambda x: F.substring(x, len(name) + 1, 1000)), F.lit(1)), F.lit(""))
-    return rows.select("meta_comp", F.when(head == "no_carry", "").otherwise(head).alias("carries"), value("dup:").alias("dup"), value("k:").alias("anchor"))
+    return {"carries": F.when(head == "no_carry", "").otherwise(head), **{k: value(f"{p}:") for k, p in (("dup", "dup"), ("aug", "aug"), ("gate", "gate"), ("anchor", "k"))}}
+
+
+@query("mrg_parse_label", PARSE, ctes=ALL)
+def mrg_parse_label(b):
+    """Labels in the form of the merge, of all comps with carries, taken apart."""
+    carry = itemization.carries(comp_rates(b), b.config).groupBy("comp_id").agg(joined(F.array_sort(F.collect_list("character_id"))).alias("c"))
+    k = F.col("comp_id")
+    text = F.concat("c", F.when(k % 2 == 0, F.concat(F.lit("##dup:"), "c")).otherwise(""), F.when(k % 3 == 0, "##gate:U2").otherwise(""), F.lit("##k:"), k.cast("string"))
+    found = parsed(F.col("meta_comp"))
+    return carry.select(text.alias("meta_comp")).select("meta_comp", *(found[n].alias(n) for n in ("carries", "dup", "gate", "anchor")))
 
 
 SETS = """, u AS (SELECT DISTINCT ('0x' || substr(md5(signature), 1, 15))::BIGINT AS comp_id, unnest(string_split(core_units, '|')) AS unit FROM signed), big AS (SELECT comp_id FROM stats GROUP BY 1 HAVING sum(n) >= 4), s AS (SELECT u.* FROM u JOIN big USING (comp_id)), z AS (SELECT comp_id, count(*) AS size FROM s GROUP BY 1)"""
@@ -75,29 +113,27 @@ SETS = """, u AS (SELECT DISTINCT ('0x' || substr(md5(signature), 1, 15))::BIGIN
 
 def unit_sets(b):
     big = stages.stats(b).groupBy("comp_id").agg(F.sum("n").alias("t")).filter("t >= 4").select("comp_id")
-    comps = identity.comps(stages.signed(b)).join(big, "comp_id", "left_semi")
+    comps = stages.comps(b).join(big, "comp_id", "left_semi")
     return comps.select("comp_id", F.explode(F.array_distinct("core_units")).alias("unit"))
 
 
 @query("join_inverted_index", SETS + """SELECT a, b, shared::BIGINT AS shared FROM (SELECT x.comp_id AS a, y.comp_id AS b, count(*) AS shared FROM s x JOIN s y ON x.unit = y.unit AND x.comp_id < y.comp_id GROUP BY ALL) p
     JOIN z za ON za.comp_id = p.a JOIN z zb ON zb.comp_id = p.b WHERE shared >= 0.54 / 1.54 * (za.size + zb.size) - 1e-9""", ctes=ALL)
 def join_inverted_index(b):
-    return merge.set_similarity_pairs(unit_sets(b), 0.54)
+    return merge.set_similarity_pairs(unit_sets(b), 0.54).select("a", "b", "shared")
 
 
 @query("mrg_dice", SETS + """SELECT a, b, round(2 * shared / (za.size + zb.size), 6) AS dice FROM (SELECT x.comp_id AS a, y.comp_id AS b, count(*) AS shared FROM s x JOIN s y ON x.unit = y.unit AND x.comp_id < y.comp_id GROUP BY ALL) p
     JOIN z za ON za.comp_id = p.a JOIN z zb ON zb.comp_id = p.b WHERE 2 * shared >= 0.75 * (za.size + zb.size)""", ctes=ALL)
 def mrg_dice(b):
-    rows = merge.set_similarity_pairs(unit_sets(b), 0.54)
-    size = unit_sets(b).groupBy("comp_id").agg(F.count(F.lit(1)).alias("size"))
-    sized = rows.join(size.toDF("a", "sa"), "a").join(size.toDF("b", "sb"), "b")
+    sized = merge.set_similarity_pairs(unit_sets(b), 0.54)
     return sized.filter("2 * shared >= 0.75 * (sa + sb)").select("a", "b", r6(2 * F.col("shared") / (F.col("sa") + F.col("sb"))).alias("dice"))
 
 
 @query("set_intersect", """, c AS (SELECT DISTINCT ('0x' || substr(md5(signature), 1, 15))::BIGINT AS comp_id, core_units FROM signed) SELECT comp_id, coalesce(array_to_string(list_sort(list_intersect(list_distinct(string_split(core_units, '|')), ['U1', 'U3', 'U5'])), '|'), '') AS heroes FROM c""", ctes=ALL)
 def set_intersect(b):
     heroes = F.array(F.lit("U1"), F.lit("U3"), F.lit("U5"))
-    return identity.comps(stages.signed(b)).select("comp_id", joined(F.array_sort(F.array_intersect("core_units", heroes))).alias("heroes"))
+    return stages.comps(b).select("comp_id", joined(F.array_sort(F.array_intersect("core_units", heroes))).alias("heroes"))
 
 
 @query("set_except", "SELECT puuid FROM b_players WHERE lobby % 2 = 1 EXCEPT SELECT puuid FROM b_players WHERE lobby % 3 = 0")
@@ -119,10 +155,10 @@ def set_union_all(b):
 @query("rm_archetype_row", f""", m AS (SELECT k.*, s.three_stars, s.three_stars <> '' AS hit FROM keyed k JOIN (SELECT DISTINCT ('0x' || substr(md5(signature), 1, 15))::BIGINT AS comp_id, three_stars FROM signed) s USING (comp_id)),
     p AS (SELECT gkey, patch_id, region, rank_bucket, sum(n)::BIGINT AS n, sum(placement_sum)::BIGINT AS placement_sum, sum(top4_count)::BIGINT AS top4_count, sum(CASE WHEN hit THEN n ELSE 0 END) / sum(n) AS hit_share FROM m GROUP BY ALL),
     r AS (SELECT m.gkey, m.patch_id, m.region, m.rank_bucket, m.comp_id, row_number() OVER (PARTITION BY m.gkey, m.patch_id, m.region, m.rank_bucket ORDER BY (p.hit_share >= 0.35 AND m.hit AND m.n >= greatest(5, ceil(0.05 * p.n))) DESC, m.n DESC, m.comp_id) AS k FROM m JOIN p USING (gkey, patch_id, region, rank_bucket))
-    SELECT p.gkey, p.patch_id, p.region, p.rank_bucket, p.n, r.comp_id AS representative, round(p.hit_share, 6) AS hit_share, round({SCORE}, 6) AS score FROM p JOIN r USING (gkey, patch_id, region, rank_bucket) WHERE r.k = 1""", ctes=ALL)
+    SELECT p.gkey, p.patch_id, p.region, p.rank_bucket, p.n, r.comp_id AS representative, round(p.hit_share, 6) AS hit_share, round({SCORE}, 6) AS score FROM p JOIN r USING (gkey, patch_id, region, rank_bucket) WHERE r.k = 1""", ctes=ALL, stored=True, merged=True)
 def rm_archetype_row(b):
     key = ["gkey", *rollup.BUCKET]
-    three = identity.comps(stages.signed(b)).select("comp_id", (F.size("three_stars") > 0).alias("hit"))
+    three = stages.comps(b).select("comp_id", (F.size("three_stars") > 0).alias("hit"))
     m = stages.keyed(b).join(three, "comp_id")
     own = Window.partitionBy(*key)
     total = F.sum("n").over(own)
@@ -139,10 +175,10 @@ FAMILY = f""", v AS (SELECT k.gkey, s.worn AS emblem, sum(n)::BIGINT AS n, sum(p
     k AS (SELECT w.*, b.base, b.base_avg, b.base_avg - w.placement_sum / w.n AS swing, CASE WHEN w.sem * w.sem + b.base_sem * b.base_sem > 0 THEN sqrt(w.sem * w.sem + b.base_sem * b.base_sem) ELSE 'infinity'::DOUBLE END AS both_sem FROM w JOIN b USING (gkey))"""
 
 
-@query("rm_family", FAMILY + """SELECT gkey, CASE WHEN emblem <> '' AND emblem <> base AND swing >= 0.15 AND swing >= 1.5 * both_sem AND n >= greatest(3, ceil(0.05 * family_n)) THEN emblem ELSE base END AS variant, sum(n)::BIGINT AS n, count(*)::BIGINT AS parts FROM k GROUP BY ALL""", ctes=ALL)
+@query("rm_family", FAMILY + """SELECT gkey, CASE WHEN emblem <> '' AND emblem <> base AND swing >= 0.15 AND swing >= 1.5 * both_sem AND n >= greatest(3, ceil(0.05 * family_n)) THEN emblem ELSE base END AS variant, sum(n)::BIGINT AS n, count(*)::BIGINT AS parts FROM k GROUP BY ALL""", ctes=ALL, stored=True, merged=True)
 def rm_family(b):
     c = b.config
-    worn = identity.comps(stages.signed(b)).select("comp_id", joined(F.transform("emblems", lambda e: F.concat(F.lit("emb:"), e))).alias("emblem"))
+    worn = stages.comps(b).select("comp_id", joined(F.transform("emblems", lambda e: F.concat(F.lit("emb:"), e))).alias("emblem"))
     v = rollup.pool(stages.keyed(b).join(worn, "comp_id"), "gkey", "emblem")
     own = Window.partitionBy("gkey")
     order = own.orderBy((F.col("emblem") != ""), F.desc("n"), "emblem")
@@ -155,20 +191,20 @@ def rm_family(b):
     return w.groupBy("gkey", F.when(keep, F.col("emblem")).otherwise(F.col("base")).alias("variant")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
 
 
-@query("agg_inspector", """SELECT gkey, sum(n)::BIGINT AS n, count(DISTINCT comp_id)::BIGINT AS comps, string_agg(comp_id || ':' || n, ' ' ORDER BY n DESC, comp_id) AS members FROM (SELECT gkey, comp_id, sum(n)::BIGINT AS n FROM keyed GROUP BY ALL) GROUP BY gkey""", ctes=ALL)
+@query("agg_inspector", """SELECT gkey, comp_id, n, sum(n) OVER (PARTITION BY gkey)::BIGINT AS group_n, count(*) OVER (PARTITION BY gkey) AS comps FROM (SELECT gkey, comp_id, sum(n)::BIGINT AS n FROM keyed GROUP BY ALL)""", ctes=ALL)
 def agg_inspector(b):
+    """Members of every group with their boards, a row each, beside the group's totals."""
     rows = stages.keyed(b).groupBy("gkey", "comp_id").agg(F.sum("n").alias("n"))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("comp_id").alias("c"))))
-    text = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["c"].cast("string"), (-x["k"]).cast("string"))), " ")
-    return rows.groupBy("gkey").agg(F.sum("n").alias("n"), F.count_distinct("comp_id").alias("comps"), text.alias("members"))
+    sums = rows.groupBy("gkey").agg(F.sum("n").alias("group_n"), F.count(F.lit(1)).alias("comps"))
+    return rows.join(sums, "gkey").select("gkey", "comp_id", "n", "group_n", "comps")
 
 
 @query("rm_core_flex", """, t AS (SELECT gkey, sum(n) AS total FROM keyed GROUP BY 1), f AS (SELECT k.gkey, x.character_id, count(*) AS boards FROM (SELECT DISTINCT u.board_id, u.character_id, c.comp_id FROM b_units u JOIN clustered c USING (board_id) WHERE c.comp_id IS NOT NULL) x JOIN (SELECT DISTINCT comp_id, gkey FROM keyed) k USING (comp_id) GROUP BY ALL),
     g AS (SELECT f.gkey, f.character_id, f.boards / t.total AS freq FROM f JOIN t USING (gkey)), q AS (SELECT *, freq >= 0.75 AS is_core, row_number() OVER (PARTITION BY gkey, freq >= 0.75 ORDER BY freq DESC, character_id) AS r, count(*) FILTER (WHERE freq >= 0.75) OVER (PARTITION BY gkey) AS cores FROM g WHERE freq >= 0.25)
-    SELECT gkey, character_id, round(freq, 6) AS freq, CASE WHEN is_core THEN 'core' ELSE 'flex' END AS part FROM q WHERE is_core OR r <= least(8, 10 - cores)""", ctes=ALL)
+    SELECT gkey, character_id, round(freq, 6) AS freq, CASE WHEN is_core THEN 'core' ELSE 'flex' END AS part FROM q WHERE is_core OR r <= least(8, 10 - cores)""", ctes=ALL, stored=True, merged=True)
 def rm_core_flex(b):
     c = b.config
-    boards = comp_boards(b).select("board_id", rollup.gkey(stages.label(F.col("comp_id")), F.col("comp_id")).alias("gkey"))
+    boards = stages.grouped(b, comp_boards(b).select("board_id", "comp_id")).drop("comp_id")
     total = boards.groupBy("gkey").agg(F.count(F.lit(1)).alias("total"))
     held = b.units.select("board_id", "character_id").distinct().join(boards, "board_id").groupBy("gkey", "character_id").agg(F.count(F.lit(1)).alias("boards"))
     g = held.join(total, "gkey").withColumn("freq", F.col("boards") / F.col("total")).filter(F.col("freq") >= c.detail_flex_freq).withColumn("core", F.col("freq") >= c.detail_core_freq)
@@ -176,13 +212,13 @@ def rm_core_flex(b):
     return g.filter(F.col("core") | (F.col("r") <= F.least(F.lit(8), 10 - F.col("cores")))).select("gkey", "character_id", r6("freq").alias("freq"), F.when(F.col("core"), "core").otherwise("flex").alias("part"))
 
 
-@query("rm_selection", "SELECT patch_id, region, rank_bucket, n FROM (SELECT patch_id, region, rank_bucket, sum(n)::BIGINT AS n FROM stats GROUP BY ALL) ORDER BY patch_id DESC, n DESC, region, rank_bucket LIMIT 1", ctes=ALL)
+@query("rm_selection", "SELECT patch_id, region, rank_bucket, n FROM (SELECT patch_id, region, rank_bucket, sum(n)::BIGINT AS n FROM stats GROUP BY ALL) ORDER BY patch_id DESC, n DESC, region, rank_bucket LIMIT 1", ctes=ALL, stored=True)
 def rm_selection(b):
     combos = stages.stats(b).groupBy(*rollup.BUCKET).agg(F.sum("n").alias("n"))
     return combos.orderBy(F.desc("patch_id"), F.desc("n"), "region", "rank_bucket").limit(1)
 
 
-@query("rm_stale_key", """SELECT k.comp_id, CASE WHEN k.comp_id % 3 = 0 THEN 'm:fam' || (k.comp_id % 20) ELSE 'c:' || k.comp_id END AS gkey FROM (SELECT DISTINCT comp_id FROM keyed) k""", ctes=ALL)
+@query("rm_stale_key", """SELECT k.comp_id, CASE WHEN k.comp_id % 3 = 0 THEN 'm:fam' || (k.comp_id % 20) ELSE 'c:' || k.comp_id END AS gkey FROM (SELECT DISTINCT comp_id FROM keyed) k""", ctes=ALL, stored=True)
 def rm_stale_key(b):
     """A key ``c:id`` of before a merge resolves to the group the comp is in now."""
     stale = stages.stats(b).select("comp_id").distinct().select(F.concat(F.lit("c:"), F.col("comp_id").cast("string")).alias("key"))
@@ -212,10 +248,10 @@ def rm_crawl_boundary(b):
     y AS (SELECT *, sum(boards) OVER (PARTITION BY gkey, character_id) AS appears, sum(boards) OVER (PARTITION BY gkey, character_id, copies) AS of_copies FROM y0),
     z AS (SELECT y.*, y.appears / t.total AS freq, row_number() OVER (PARTITION BY gkey, character_id ORDER BY of_copies DESC, copies, boards DESC, stars) AS r FROM y JOIN t USING (gkey)),
     q AS (SELECT *, row_number() OVER (PARTITION BY gkey ORDER BY freq DESC, character_id) AS place FROM z WHERE r = 1 AND freq >= 0.5)
-    SELECT gkey, character_id, copies::BIGINT AS copies, stars, round(freq, 6) AS freq FROM q WHERE place <= 10""", ctes=ALL)
+    SELECT gkey, character_id, copies::BIGINT AS copies, stars, round(freq, 6) AS freq FROM q WHERE place <= 10""", ctes=ALL, stored=True, merged=True)
 def rm_example_team(b):
     c = b.config
-    boards = comp_boards(b).select("board_id", rollup.gkey(stages.label(F.col("comp_id")), F.col("comp_id")).alias("gkey"))
+    boards = stages.grouped(b, comp_boards(b).select("board_id", "comp_id")).drop("comp_id")
     total = boards.groupBy("gkey").agg(F.count(F.lit(1)).alias("total"))
     stars = F.array_join(F.sort_array(F.collect_list(F.coalesce("star_tier", F.lit(0))), asc=False).cast("array<string>"), ",")
     shape = b.units.join(boards, "board_id").groupBy("gkey", "board_id", "character_id").agg(F.count(F.lit(1)).alias("copies"), stars.alias("stars"))

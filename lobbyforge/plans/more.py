@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import codecs, service
-from ..operators import identity, itemization, merge, rollup
+from ..operators import itemization, merge
+from ..sources import store
 from . import stages
 from .core import joined, r6
 from .items import CARRIES, FRAME, comp_boards, comp_rates, emblems_of
@@ -18,59 +19,68 @@ from .stages import sql
 ALL = sql()
 
 
-def gkey():
-    return rollup.gkey(stages.label(F.col("comp_id")), F.col("comp_id"))
-
-
 def traced(b):
     return merge.trace_profiles(profiles(b), b.config)
 
 
-@query("mrg_pass1")
+@query("mrg_pass1", stored=True)
 def mrg_pass1(b):
     return traced(b).select("comp_id", "pass1")
 
 
-@query("mrg_pass2_fold")
+@query("mrg_pass2_fold", stored=True)
 def mrg_pass2_fold(b):
     return traced(b).select("comp_id", "pass1", "pass2")
 
 
-@query("mrg_pass3_refine")
+@query("mrg_pass3_refine", stored=True)
 def mrg_pass3_refine(b):
     return traced(b).select("comp_id", "pass2", "pass3")
 
 
-@query("mrg_pass4_label")
+@query("mrg_pass4_label", stored=True)
 def mrg_pass4_label(b):
     return traced(b).select("comp_id", "label")
 
 
-@query("mrg_compare")
+@query("mrg_compare", stored=True)
 def mrg_compare(b):
     return traced(b).select("comp_id", "label", r6("score").alias("score"), "reason")
 
 
-@query("mrg_debug")
+@query("mrg_debug", stored=True)
 def mrg_debug(b):
     """Comps that their own archetype would not take today, with the reason."""
     return traced(b).filter("reason <> ''").select("comp_id", "label", "reason")
 
 
-@query("mrg_tail")
+@query("mrg_tail", stored=True)
 def mrg_tail(b):
     """Comps of few boards and the archetype they were assigned to."""
-    tail = profiles(b).filter("tail").select("comp_id")
-    return merge.merge_profiles(profiles(b), b.config).join(tail, "comp_id", "left_semi")
+    made = store.saved(profiles(b), "profiles")
+    archetypes = store.saved(merge.merge_sets(made, b.config), "archetypes")
+    return merge.tail_labels(made, archetypes, b.config, int(b.spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-@query("mrg_eval")
+@query("mrg_eval", stored=True)
 def mrg_eval(b):
-    """Pairs of comps of one archetype against their unit overlap: verdict by the rule."""
-    pairs = merge.set_similarity_pairs(unit_sets(b), 0.54)
-    named = merge.merge_profiles(profiles(b), b.config)
-    a, c = named.toDF("a", "la"), named.toDF("b", "lb")
-    return pairs.join(a, "a").join(c, "b").select("a", "b", "shared", (F.col("la") == F.col("lb")).alias("merged"))
+    """Pairs of comps with a wanted outcome against what the merge did with them.
+
+    Wanted: pairs whose unit sets agree nine tenths are to merge, pairs whose classes (copies,
+    gated units, heroes) differ are not.  ``known`` marks failures that the merge is known to
+    make: the units agree, but the carries have nothing in common.  Verdict: pass, known or fail.
+    """
+    made = store.saved(profiles(b), "profiles")
+    classes = F.struct("copy_sig", "gated_sig", "hero_sig")
+    of = lambda side: made.select(F.col("comp_id").alias(side), classes.alias(f"class_{side}"), F.coalesce("carries", F.array().cast("array<string>")).alias(f"carries_{side}"))
+    pairs = merge.set_similarity_pairs(unit_sets(b), 0.54).join(of("a"), "a").join(of("b"), "b")
+    wanted = F.when(F.col("class_a") != F.col("class_b"), "split").when(F.col("shared") >= 0.9 * F.greatest("sa", "sb"), "merge")
+    named = stages.labels(b)
+    rows = pairs.withColumn("wanted", wanted).filter("wanted IS NOT NULL").join(named.toDF("a", "la"), "a").join(named.toDF("b", "lb"), "b")
+    got = F.when(F.col("la") == F.col("lb"), "merge").otherwise("split")
+    apart = ~F.arrays_overlap("carries_a", "carries_b") & (F.size("carries_a") > 0) & (F.size("carries_b") > 0)
+    verdict = F.when(got == F.col("wanted"), "pass").when(apart & (F.col("wanted") == "merge"), "known").otherwise("fail")
+    return rows.select("a", "b", "shared", "wanted", got.alias("got"), verdict.alias("verdict"))
 
 
 PAIRS = SETS + """, pr AS (SELECT p.a, p.b, p.shared, za.size AS sa, zb.size AS sb FROM (SELECT x.comp_id AS a, y.comp_id AS b, count(*) AS shared FROM s x JOIN s y ON x.unit = y.unit AND x.comp_id < y.comp_id GROUP BY ALL) p
@@ -79,8 +89,7 @@ PAIRS = SETS + """, pr AS (SELECT p.a, p.b, p.shared, za.size AS sa, zb.size AS
 
 @query("mrg_overlap", PAIRS + "SELECT a, b, round(shared / least(sa, sb), 6) AS containment, round(shared / (sa + sb - shared), 6) AS jaccard FROM pr", ctes=ALL)
 def mrg_overlap(b):
-    size = unit_sets(b).groupBy("comp_id").agg(F.count(F.lit(1)).alias("size"))
-    rows = merge.set_similarity_pairs(unit_sets(b), 0.54).join(size.toDF("a", "sa"), "a").join(size.toDF("b", "sb"), "b")
+    rows = merge.set_similarity_pairs(unit_sets(b), 0.54)
     shared = F.col("shared")
     return rows.select("a", "b", r6(shared / F.least("sa", "sb")).alias("containment"), r6(shared / (F.col("sa") + F.col("sb") - shared)).alias("jaccard"))
 
@@ -105,7 +114,7 @@ def mrg_trait_sim(b):
 @query("prof_tail", "SELECT DISTINCT ('0x' || substr(md5(signature), 1, 15))::BIGINT AS comp_id, core_units, three_stars AS grade3 FROM signed", ctes=ALL)
 def prof_tail(b):
     """Profiles by presence alone: units and all three-star units."""
-    return identity.comps(stages.signed(b)).select("comp_id", joined("core_units").alias("core_units"), joined("three_stars").alias("grade3"))
+    return stages.comps(b).select("comp_id", joined("core_units").alias("core_units"), joined("three_stars").alias("grade3"))
 
 
 ELECT = CARRIES + """, ev AS (SELECT k.gkey, c.character_id, sum(k.n) AS w FROM carry c JOIN (SELECT comp_id, gkey, sum(n) AS n FROM keyed GROUP BY ALL) k USING (comp_id) GROUP BY ALL),
@@ -131,7 +140,7 @@ def agg_weighted_election(b):
     SELECT w.gkey, u.unit, sum(w.n)::BIGINT AS weight FROM w JOIN u USING (comp_id) GROUP BY ALL""", ctes=ALL)
 def agg_accumulate(b):
     """Board-weighted units of each group: sums, so members may come in any order."""
-    units = identity.comps(stages.signed(b)).select("comp_id", F.explode(F.array_distinct("core_units")).alias("unit"))
+    units = stages.comps(b).select("comp_id", F.explode(F.array_distinct("core_units")).alias("unit"))
     return stages.keyed(b).select("gkey", "comp_id", "n").join(units, "comp_id").groupBy("gkey", "unit").agg(F.sum("n").alias("weight"))
 
 
@@ -152,7 +161,7 @@ def agg_weighted_mean_frame(b):
     return mean_frames(b).select("gkey", "trait_id", r6("mean").alias("mean"))
 
 
-@query("rm_key_traits", MEAN + "SELECT gkey, trait_id, round(mean, 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY gkey ORDER BY round(mean, 9) DESC, trait_id) AS r FROM mf) WHERE r <= 2", ctes=ALL)
+@query("rm_key_traits", MEAN + "SELECT gkey, trait_id, round(mean, 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY gkey ORDER BY round(mean, 9) DESC, trait_id) AS r FROM mf) WHERE r <= 2", ctes=ALL, stored=True, merged=True)
 def rm_key_traits(b):
     order = Window.partitionBy("gkey").orderBy(F.desc(F.round("mean", 9)), "trait_id")
     return mean_frames(b).withColumn("r", F.row_number().over(order)).filter("r <= 2").select("gkey", "trait_id", r6("mean").alias("mean"))

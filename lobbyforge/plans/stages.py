@@ -1,7 +1,8 @@
 """The derived tables of a pass over the test tables' boards, in Spark and as SQL.
 
-A pass goes boards -> signatures -> comps -> statistics -> groups.  As the greedy merge
-is not for SQL, the read models of the test tables take labels from a rule on comp ids.
+A pass goes boards -> signatures -> comps -> statistics -> groups.  The greedy merge is not
+for SQL: where a query is held against SQL its groups come from a rule on comp ids, and the
+same query runs over the merge's groups as ``name_merged``.
 """
 
 from __future__ import annotations
@@ -25,20 +26,46 @@ def signed(b: Boards) -> DataFrame:
 
 
 def clustered(b: Boards) -> DataFrame:
+    if b.stored:
+        return b.once("clustered", lambda: identity.assign(ranked_boards(b), signed(b)))
     return identity.assign(ranked_boards(b), signed(b))
 
 
+def comps(b: Boards) -> DataFrame:
+    if b.stored:
+        return b.once("comps", lambda: identity.comps(signed(b)))
+    return identity.comps(signed(b))
+
+
 def stats(b: Boards) -> DataFrame:
+    if b.stored:
+        return b.once("stats", lambda: rollup.comp_stats(clustered(b)))
     return rollup.comp_stats(clustered(b))
 
 
-def label(comp):
-    """Archetype of a comp of the test tables: one in three has one, of twenty."""
-    return F.when(comp % 3 == 0, F.concat(F.lit("fam"), comp % 20)).otherwise("")
+def totals(b: Boards) -> DataFrame:
+    return b.once("totals", lambda: rollup.bucket_totals(clustered(b))) if b.stored else rollup.bucket_totals(clustered(b))
+
+
+def labels(b: Boards) -> DataFrame:
+    """(comp_id, meta_comp) of the archetype merge."""
+    from .merging import merged_labels
+
+    return b.once("labels", lambda: merged_labels(b))
+
+
+def grouped(b: Boards, rows: DataFrame) -> DataFrame:
+    """Adds the grouping key to rows with a comp_id."""
+    if b.merged:
+        found = rows.join(labels(b), "comp_id", "left")
+        return found.withColumn("gkey", rollup.gkey(F.coalesce("meta_comp", F.lit("")), F.col("comp_id"))).drop("meta_comp")
+    comp = F.col("comp_id")  # by rule one comp in three has an archetype, of twenty
+    family = F.when(comp % 3 == 0, F.concat(F.lit("fam"), comp % 20)).otherwise("")
+    return rows.withColumn("gkey", rollup.gkey(family, comp))
 
 
 def keyed(b: Boards) -> DataFrame:
-    return stats(b).withColumn("gkey", rollup.gkey(label(F.col("comp_id")), F.col("comp_id")))
+    return grouped(b, stats(b))
 
 
 def archetypes(b: Boards) -> DataFrame:

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import FIXTURE, Config
+from . import store
 
 
 class Boards:
-    """Views of one data folder; nothing runs before a query asks for rows."""
+    """Views of one data folder; nothing runs before a query asks for rows.
 
-    def __init__(self, spark: SparkSession, folder: str, config: Config = FIXTURE):
-        self.spark, self.folder, self.config = spark, folder, config
+    ``stored``: tables of the pass (clustered boards, comps, statistics) are written once
+    and read by every query after that, as read models do.  ``merged``: groups are those of
+    the archetype merge, not those of the rule that the test tables' SQL can state.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, config: Config = FIXTURE, stored: bool = False, merged: bool = False):
+        self.spark, self.folder, self.config, self.stored, self.merged = spark, folder, config, stored, merged
+
+    @cached_property
+    def state(self) -> tuple:
+        """What the views were read from: changed files make new stored tables."""
+        return self.folder, self.config, *(store.state_of(self.spark, f"{self.folder}/{t}.parquet") for t in ("orders", "lineitem", "region"))
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return store.once(self.spark, name, self.state, build)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of this machine only where the session names none, as in tests."""
+    """``spark.checkpoint.dir``; a folder of this machine only in a local session that names none, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lobbyforge.store", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lobbyforge-")
         spark.conf.set("spark.lobbyforge.store", found)
     return found.rstrip("/")
@@ -34,6 +37,32 @@ def saved(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Tables of this application that stand for what they were made from: key -> path.
+MADE: dict[tuple, str] = {}
+
+
+def state_of(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, latest change) of a file or of all files of a folder, in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, size, changed = fs.listFiles(root, True), 0, 0
+    while files.hasNext():
+        status = files.next()
+        size, changed = size + status.getLen(), max(changed, status.getModificationTime())
+    return size, changed
+
+
+def once(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written the first time it is asked for under this key and read from then on."""
+    key = (spark.sparkContext.applicationId, name, *key)
+    if key not in MADE:
+        path = new_path(spark, name)
+        build().write.parquet(path)
+        MADE[key] = path
+    return spark.read.parquet(MADE[key])
+
+
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key."""
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

@@ -113,26 +113,6 @@ def test_codecs(spark):
     assert codecs.buckets_in_scope(("challenger", "ALL")) is None
 
 
-def test_merge_scenarios():
-    shell = frozenset("ABCDEFGH")
-    p = lambda i, carries, n, units=shell, **k: Profile(i, units, carries=frozenset(carries), damage=frozenset(carries), boards=n, **k)
-    same = merge.merge([p(1, "AB", 100, grade3=frozenset("AB")), p(2, "A", 50, grade3=frozenset("A")), p(3, "A", 20)], PRODUCTION)
-    assert len(same) == 1
-    apart = merge.merge([p(1, "AB", 100), p(2, "CD", 80)], PRODUCTION)
-    assert len(apart) == 2
-    frames = merge.merge([p(1, "AB", 100, frame={"V": 1.0, "S": 1.0}), p(2, "AB", 80, frame={"So": 1.0, "St": 1.0})], PRODUCTION)
-    assert len(frames) == 2
-    assert merge.dice("A", "ABC") == 0.5 and merge.frame_similarity({}, {"a": 1}) == -1
-    named = merge.labels([*same, *apart], PRODUCTION)
-    assert sorted(set(named.values())) and merge.parse_label("A|B##dup:C##k:7") == {"carries": ["A", "B"], "dup": "C", "aug": "", "emb": "", "gate": "", "anchor": "7"}
-    tail = Profile(9, shell, boards=1)
-    assert merge.assign_tail(tail, same, PRODUCTION) is same[0]
-    assert merge.assign_tail(Profile(9, frozenset("XYZ")), same, PRODUCTION) is None
-    assert merge.explain(p(1, "AB", 9), p(2, "AB", 9), PRODUCTION)["merges"]
-    order = [p(i, "AB", 10 + i) for i in range(5)]
-    assert merge.labels(merge.merge(order, PRODUCTION), PRODUCTION) == merge.labels(merge.merge(order[::-1], PRODUCTION), PRODUCTION)
-
-
 def test_overlap_bounds():
     assert merge.weighted_overlap({}, {}) == (0.0, 1.0)
     assert merge.weighted_overlap({"a": 1.0}, {}) == (0.0, 0.0)
