@@ -70,10 +70,10 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | lis
 SLICE_ROWS, SLICE_BYTES = 2000, 2 << 20
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into slices of bounded rows and bytes (a single longer row stays whole)."""
     rows = batch.num_rows
-    step = max(1, min(SLICE_ROWS, int(rows * SLICE_BYTES / max(1, batch.nbytes))))
+    step = max(1, min(SLICE_ROWS, int(rows * most_bytes / max(1, batch.nbytes))))
     for at in range(0, rows, step):
         yield batch.slice(at, step)
 

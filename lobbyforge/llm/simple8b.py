@@ -13,14 +13,20 @@ a lost task leaves nothing behind.
 
 Null texts count as empty, and a document always has its end id.  Null doc_ids sort
 first.  Rows with the same doc_id stay, ordered by their text.  An empty table gives no files.
+A very long text is one document of one file: its task holds the text, its ids and the coded
+words at once (some 40 bytes for each id); a file is closed once it holds FILE_IDS ids.
+Only doc_id and text are read; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,9 +34,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .byte_bpe import WHITE_SPACE
 from .common import slices, texts_of, written
+from .quality import word_hashes
 
 #: (values, bits of each) by selector; 0 is the escape (fixed values of the coding).
 SELECTORS = ((1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -66,18 +74,17 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = np.zeros(blocks * BLOCK + pad, np.uint64)
     flat[:n] = values
     grid[:, :BLOCK] = widths(flat[: blocks * BLOCK]).reshape(blocks, BLOCK)
-    most = {1: grid}
-    size = 1
-    while size < 64:
-        before = most[size]
-        most[2 * size] = np.maximum(before, np.concatenate([before[:, size:], np.zeros((blocks, size), np.uint8)], 1))
-        size *= 2
+    most, size = grid, 1  # the widest of the next ``size`` values
     choice = np.zeros((blocks, BLOCK), np.uint8)
     for selector in range(15, 0, -1):  # ever more values in a word; the last that fits stays
         count, bits = SELECTORS[selector]
-        half = 1 << (count.bit_length() - 1)
-        window = np.maximum(most[half][:, :BLOCK], most[half][:, count - half : count - half + BLOCK])
-        choice[window <= bits] = selector
+        while 2 * size <= count:
+            most = np.maximum(most, np.concatenate([most[:, size:], np.zeros((blocks, size), np.uint8)], 1))
+            size *= 2
+        fits = np.maximum(most[:, :BLOCK], most[:, count - size : count - size + BLOCK]) <= bits
+        if not fits.any():  # then none fits more values of fewer bits
+            break
+        choice[fits] = selector
     flat_choice = choice.ravel()
     lanes = np.arange(blocks)
     at, slot = lanes * BLOCK, np.zeros(blocks, np.int64)
@@ -166,77 +173,116 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return doc_ids, parts[2], decode(parts[4].astype(np.uint64), parts[3], n)
 
 
-#: Pieces that a cache holds in each of its two generations.
-CACHED_PIECES = 600_000
+#: Words that a cache holds before it begins anew.
+CACHED_WORDS = 1_400_000
 
 
-class Pieces(dict):
-    """Ids of pieces of text.  A full generation becomes the old one, from which pieces in
-    use return; a piece in neither is noted and gives None."""
+class Words:
+    """Ids of words, each with the byte before it: one array of all ids, and where each word's are."""
 
     def __init__(self):
-        super().__init__()
-        self.old: dict[str, bytes] = {}
-        self.missing: set[str] = set()
-
-    def __missing__(self, piece: str) -> bytes | None:
-        found = self.old.get(piece)
-        if found is None:
-            self.missing.add(piece)
-        else:
-            self[piece] = found
-        return found
-
-    def learn(self, new: dict[str, bytes]) -> None:
-        self.missing.clear()
-        if len(self) + len(new) > CACHED_PIECES:
-            self.old = dict(self)
-            self.clear()
-        self.update(new)
+        self.place: dict[bytes, int] = {}
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.starts, self.sizes = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+
+    def clear_if_full(self) -> None:
+        if len(self.place) > CACHED_WORDS:
+            self.place.clear()
+            self.used = 0
+
+    def of(self, word: bytes) -> bytes:
+        i = self.place[word]
+        return self.ids[self.starts[i] : self.starts[i] + self.sizes[i]].tobytes()
+
+    def learn(self, words: list[bytes], coded: list[bytes]) -> None:
+        """Adds words that are not there yet, with their ids (little-endian)."""
+        n, count = len(self.place), len(words)
+        sizes = np.fromiter(map(len, coded), np.int64, count) // 4
+        total = int(sizes.sum())
+        while n + count > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(coded), "<u4")
+        self.sizes[n : n + count] = sizes
+        self.starts[n : n + count] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        self.place.update(zip(words, range(n, n + count)))
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these words one after another, where each word's end)."""
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        shift = np.repeat(self.starts[which] - (ends - sizes), sizes)
+        return self.ids[np.arange(len(shift)) + shift], ends
+
+
+@dataclass
+class Coder:
+    """The library's tokenizer and what is kept from call to call."""
+
+    library: Tokenizer
+    words: Words
+    signs: dict[bytes, bytes]  # ids of punctuation behind words
+    cuttable: bool  # whether texts may be cut at blanks, see ``splits_at_blanks``
+    added: tuple[str, ...]  # texts of tokens that the library seeks before all else
+
+
+def splits_at_blanks(config: dict) -> bool:
+    """Whether a tokenizer file says that pieces begin at each blank and that nothing joins them.
+
+    That is byte-level BPE with its own pattern (a blank goes with the word behind it, a line
+    end is a piece), no text changed before and no id added after.
+    """
+    before = config.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    model = config.get("model") or {}
+    return bool(plain and config.get("normalizer") is None and config.get("post_processor") is None and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
 
 
 @lru_cache(2)
-def tokenizer(path: str):
+def coder(path: str) -> Coder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found, Pieces()
+    library = Tokenizer.from_file(path)
+    config = json.loads(library.to_str())
+    added = tuple(t["content"] for t in config.get("added_tokens") or [])
+    return Coder(library, Words(), {}, splits_at_blanks(config), added)
 
 
 @lru_cache(2)
 def token_bytes(path: str) -> np.ndarray:
     """Bytes of each id's token (the vocabulary writes one character for each byte)."""
-    vocabulary = tokenizer(path)[0].get_vocab()
+    vocabulary = coder(path).library.get_vocab()
     out = np.zeros(max(vocabulary.values()) + 1, np.int64)
     for token, i in vocabulary.items():
         out[i] = len(token)
     return out
 
 
-TOGETHER = 200
+TOGETHER = 1000
 
 
-def encode_together(pieces: list[str], path: str) -> dict[str, bytes]:
-    """Ids (little-endian) of distinct pieces by the library, many in a call.
+def encode_together(pieces: list[bytes], path: str) -> list[bytes]:
+    """Ids (little-endian) of pieces by the library, many in a call.
 
     The pieces must be such as the library splits apart again when they follow one
     another; the bytes of the tokens tell whose they are.
     """
-    found, out = tokenizer(path)[0], {}
+    library, size, out = coder(path).library, token_bytes(path), []
     groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
-    for group, coded in zip(groups, found.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+    for group, coded in zip(groups, library.encode_batch_fast([b"".join(g).decode() for g in groups], add_special_tokens=False)):
         ids = np.array(coded.ids, "<u4")
-        ends = np.cumsum([len(p.encode()) for p in group])
-        cuts = np.searchsorted(np.cumsum(token_bytes(path)[ids]), ends) + 1
-        raw, at = ids.tobytes(), 0
-        for piece, cut in zip(group, cuts.tolist()):
-            out[piece] = raw[4 * at : 4 * cut]
-            at = cut
+        ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
+        cuts = (4 * (np.searchsorted(np.cumsum(size[ids]), ends) + 1)).tolist()
+        raw = ids.tobytes()
+        out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
     return out
 
 
+def encode_apart(texts: list[str], path: str) -> list[bytes]:
+    return [np.array(x.ids, "<u4").tobytes() for x in coder(path).library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 #: White space other than blanks and line ends, and white space next to white space.
 UNUSUAL = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 WHITE = tuple(map(chr, WHITE_SPACE))
@@ -244,52 +290,83 @@ WHITE = tuple(map(chr, WHITE_SPACE))
 
 def plain(text: str) -> bool:
     """Whether words are set apart by single blanks and line ends alone."""
-    if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, UNUSUAL)):
+    if not text or text[0] in " \n" or text[-1] in " \n" or "\0" in text or any(map(text.__contains__, UNUSUAL)):
         return False
     return text.isascii() or not any(map(text.__contains__, WHITE))
 
 
+#: Signs that, behind an ASCII letter or digit at the end of a word, are a piece of their own.
+CLOSING = string.punctuation.encode()
+#: What stands before a word: a blank, a line end, or the beginning of the text.
+BLANK, LINE_END, BEGIN = b" \n\0"
+
+
+def learn(words: list[bytes], path: str) -> None:
+    """Encodes words, each with the byte before it, that the cache does not have.
+
+    Signs at the end of a word that follow a letter or digit are one piece and have no part
+    in what the word before them becomes, so both are encoded apart and most stems are known.
+    """
+    mine = coder(path)
+    stems = [w.rstrip(CLOSING) for w in words]
+    for i, (word, stem) in enumerate(zip(words, stems)):
+        if len(stem) < len(word) and not (len(stem) > 1 and stem[-1:].isalnum()):
+            stems[i] = word
+    place = mine.words.place
+    fresh = list({t for t in stems if t not in place})
+    begins = [t for t in fresh if t[0] == BEGIN]
+    inner = [t for t in fresh if t[0] != BEGIN]
+    mine.words.learn(begins + inner, encode_apart([t[1:].decode() for t in begins], path) + encode_together(inner, path))
+    longer = [(w, t, w[len(t) :]) for w, t in zip(words, stems) if len(t) < len(w)]
+    if signs := list({x for *_, x in longer if x not in mine.signs}):
+        if len(mine.signs) + len(signs) > CACHED_WORDS:
+            mine.signs.clear()
+            signs = list({x for *_, x in longer})
+        mine.signs.update(zip(signs, encode_apart([x.decode() for x in signs], path)))
+    mine.words.learn([w for w, _, _ in longer], [mine.words.of(t) + mine.signs[x] for _, t, x in longer])
+
+
+def plain_ids(texts: list[str], path: str) -> list[np.ndarray] | None:
+    """Ids of plain texts (none if hashes clash): their words are cut and told apart as arrays,
+    each different word of a call is looked up once, and each of a cache encoded once."""
+    words = coder(path).words
+    data = ("\0" + "\0".join(texts)).encode()
+    raw = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero((raw == BLANK) | (raw == LINE_END) | (raw == BEGIN))
+    end = np.append(at[1:], len(raw))
+    _, first, which = np.unique(word_hashes(raw, at, end), return_index=True, return_inverse=True)
+    sizes, shift = end - at, (at[first][which] - at).astype(np.int32)
+    if not (sizes[first][which] == sizes).all() or not (raw[np.arange(len(raw), dtype=np.int32) + np.repeat(shift, sizes)] == raw).all():
+        return None
+    words.clear_if_full()
+    keys = [data[a:b] for a, b in zip(at[first].tolist(), end[first].tolist())]
+    found = list(map(words.place.get, keys))
+    if None in found:
+        learn([k for k, i in zip(keys, found) if i is None], path)
+        found = [words.place[k] if i is None else i for k, i in zip(keys, found)]
+    ids, ends = words.gather(np.array(found, np.int64)[which])
+    last = np.append(np.flatnonzero(raw[at] == BEGIN)[1:], len(at)) - 1
+    return np.split(ids, ends[last[:-1]])
+
+
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text by the tokenizers library; each distinct word is encoded once a cache.
+    """Ids of each text as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 
-    In a plain text the library always begins a piece at a blank and at a line end, so it
-    can be cut there into words, each with the blank or line end before it.  Other texts
-    go to the library whole.
+    In a plain text byte-level BPE always begins a piece at a blank and at a line end, so it
+    can be cut there into words.  Other texts, texts with the text of an added token, and all
+    texts of tokenizers of another kind go to the library whole.
     """
-    found, cache = tokenizer(path)
-    easy = list(map(plain, texts))
-    words: list[str] = []
-    firsts: list[str] = []
-    upto = [0]
-    for text, ok in zip(texts, easy):
-        if ok:
-            first, *rest = text.replace("\n", " \n").split(" ")
-            firsts.append(first)
-            words += rest
-            upto.append(len(words))
-    coded = list(map(cache.__getitem__, words))
-    if cache.missing:
-        wanted = list(cache.missing)
-        chunks = [w if w[0] == "\n" else " " + w for w in wanted]
-        got = encode_together(chunks, path)
-        new = {w: got[c] for w, c in zip(wanted, chunks)}
-        coded = [new[w] if c is None else c for w, c in zip(words, coded)]
-        cache.learn(new)
-    whole = [t for t, ok in zip(texts, easy) if not ok]
-    heads = iter([np.array(x.ids, "<u4").tobytes() for x in found.encode_batch_fast(firsts, add_special_tokens=False)])
-    others = iter([np.array(x.ids, "<u4") for x in found.encode_batch_fast(whole, add_special_tokens=False)])
-    spans = iter(zip(upto, upto[1:]))
-    out = []
-    for ok in easy:
-        if ok:
-            a, b = next(spans)
-            out.append(np.frombuffer(next(heads) + b"".join(coded[a:b]), "<u4"))
-        else:
-            out.append(next(others))
-    return out
+    mine = coder(path)
+    easy = [mine.cuttable and plain(t) and not any(map(t.__contains__, mine.added)) for t in texts]
+    cut = plain_ids([t for t, ok in zip(texts, easy) if ok], path) if any(easy) else []
+    if cut is None:
+        easy, cut = [False] * len(texts), []
+    whole = (np.frombuffer(x, "<u4") for x in encode_apart([t for t, ok in zip(texts, easy) if not ok], path))
+    found = iter(cut)
+    return [next(found) if ok else next(whole) for ok in easy]
 
 
-FILE_IDS = 1 << 19
+FILE_IDS, ENCODE_BYTES = 1 << 19, 4 << 20
 
 
 def write_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
@@ -312,7 +389,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, partition
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, ENCODE_BYTES):
                 doc_ids += piece.column(0).to_pylist()
                 new = [np.append(x, np.uint32(end_id)) for x in token_ids(texts_of(piece.column(1)), tokenizer_path)]
                 ids += new

@@ -313,6 +313,22 @@ def test_token_files(docs, empty):
     assert simple8b.read_files(simple8b.write_files(empty, TOKENIZER)).count() == 0
 
 
+def test_ids_are_the_library_s():
+    """Special tokens in texts, signs behind words, contractions, and tokenizers of another kind."""
+    r = random.Random(12)
+    parts = ["word", "Word", "l'été", "don't", "x.", "y,", "z!?", "a.b", "(c)", "12.", "3's.", "'s.", "été.", "ñ,", "-", "...", "<|endoftext|>", "<|endoftext|>.", "a_b_", "中。", "é!", "$5", "Ⅷ.", "²!", "e\u0301."]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", "\n", "  "]) for _ in range(r.randrange(1, 9))).strip(" ") for _ in range(4000)]
+    library = Tokenizer.from_file(TOKENIZER)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in simple8b.token_ids(texts, TOKENIZER)] == want
+    assert [x.tolist() for x in simple8b.token_ids(texts[::-1], TOKENIZER)] == want[::-1]
+    assert any(50256 in w for w in want) and simple8b.coder(TOKENIZER).cuttable
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert not simple8b.coder(other).cuttable
+    library = Tokenizer.from_file(other)
+    assert [x.tolist() for x in simple8b.token_ids(texts[:300], other)] == [library.encode(t, add_special_tokens=False).ids for t in texts[:300]]
+
+
 # ---------------------------------------------------------------- 6
 
 
