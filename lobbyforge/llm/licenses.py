@@ -4,14 +4,16 @@ A text is cut into pieces (at line ends and after ``. ! ?`` with a blank), which
 words: A-Z lower-cased, runs of other ASCII signs and of typographic quotes one blank.  A
 known sentence is found where one piece, or several with no blank line between them (wrapped
 lines, or ``v. 2.0``), are its words and no more.  Of those that begin together the longest
-counts.  A table maps sentences to identifiers; those of a document
-form a sequence.  Rules are tried in order; a rule names a licence and the sequence of
-identifiers that must follow one another somewhere in the document's.  The first rule
-of each licence family that matches reports; its identifiers are then used up, so a
-weaker rule does not report them again.
+counts, and the next is sought behind it.  A table maps sentences to identifiers; those of a
+document form a sequence.  Rules are tried in order; a rule names a licence and the
+identifiers that must follow one another, with none between, in the document's sequence.
+Identifiers that a rule has used stay in their places but no later rule sees them.  A licence
+is reported once, at the first of its rules that matches.
 
 Everything is done within a row, by column functions: nothing is shuffled.  Null and
-empty texts have no sentences and no licences.  Repeated rows stay.
+empty texts have no sentences and no licences.  Repeated rows stay; an empty table gives an
+empty one.  Columns ``license_ids`` and ``licenses`` of the input are replaced, others stay as
+they are.  A very long text is one value of one row: it costs a few copies of itself, in turn.
 """
 
 from __future__ import annotations
@@ -49,8 +51,6 @@ SENTENCES = {
     "this work is licensed under the gnu general public license, version 3": "Gpl3Ref",
     "licensed under the gnu general public license, version 3": "Gpl3Ref",
     "licensed under the gnu general public license, version 2": "Gpl2Ref",
-    "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "Gpl3Grant",
-    "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version": "Gpl2Grant",
     "this program is distributed in the hope that it will be useful, but without any warranty": "GplHope",
     "spdx-license-identifier: gpl-3.0-only": "Gpl3Ref",
     "spdx-license-identifier: gpl-2.0-only": "Gpl2Ref",
@@ -67,14 +67,66 @@ SENTENCES = {
     "this is free and unencumbered software released into the public domain": "Unlicense",
     "all rights reserved": "Reserved",
 }
+#: Sentences of the official texts, and what they contain (fixed values; wording of the public licences).
+OFFICIAL = {
+    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the software), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions": ("MitGrant",),
+    "the above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the software": ("MitNotice",),
+    "the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement": ("AsIs",),
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": ("AsIs",),
+    "the software is provided as is and isc disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": ("AsIs",),
+    "in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software": ("MitLiability",),
+    "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": ("IscGrant",),
+    "permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": ("IscGrant",),
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed": ("BsdAsIs",),
+    "neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": ("BsdNoEndorse",),
+    "licensed under the apache license, version 2.0 (the license); you may not use this file except in compliance with the license": ("Apache2Ref", "Apache2Comply"),
+    "apache license version 2.0, january 2004": ("Apache2Title",),
+    "terms and conditions for use, reproduction, and distribution": ("Apache2Terms",),
+    "subject to the terms and conditions of this license, each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare derivative works of, publicly display, publicly perform, sublicense, and distribute the work and such derivative works in source or object form": ("Apache2Grant",),
+    "this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose": ("GplHope",),
+    "this library is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose": ("GplHope",),
+    "everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed": ("FsfVerbatim",),
+    "gnu general public license version 2, june 1991": ("Gpl2Title",),
+    "gnu general public license version 3, 29 june 2007": ("Gpl3Title",),
+    "gnu lesser general public license version 2.1, february 1999": ("Lgpl21Title",),
+    "gnu lesser general public license version 3, 29 june 2007": ("Lgpl3Title",),
+    "gnu affero general public license version 3, 19 november 2007": ("Agpl3Title",),
+    "mozilla public license version 2.0": ("Mpl2Title",),
+    "if a copy of the mpl was not distributed with this file, you can obtain one at http://mozilla.org/mpl/2.0/": ("Mpl2Copy",),
+    "if a copy of the mpl was not distributed with this file, you can obtain one at https://mozilla.org/mpl/2.0/": ("Mpl2Copy",),
+    "licensed under the gnu lesser general public license, version 2.1": ("Lgpl21Ref",),
+    "this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was not distributed with this file, you can obtain one at http://mozilla.org/mpl/2.0/": ("Mpl2Ref", "Mpl2Copy"),
+}
+#: Grants of the GNU licences: what is granted, version, sign before and behind "either", identifier.
+GNU = (
+    ("general", "2", ";", "Gpl2Grant"), ("general", "3", ":", "Gpl3Grant"), ("lesser general", "2.1", ";", "Lgpl21Grant"),
+    ("lesser general", "3", ":", "Lgpl3Grant"), ("affero general", "3", ":", "Agpl3Grant"),
+)
+OFFICIAL |= {
+    f"this {thing} is free software{sign} you can redistribute it and/or modify it under the terms of the gnu {kind} public license as published by the free software foundation{sign} either version {version} of the license, or (at your option) any later version": (name,)
+    for kind, version, sign, name in GNU
+    for thing in ("program", "library")
+}
+#: Licences with a short identifier that files state as ``SPDX-License-Identifier``.
+SPDX = (
+    "ISC", "MPL-2.0", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense",
+)
+OFFICIAL |= {f"spdx-license-identifier: {name.lower()}": (f"Spdx-{name}",) for name in SPDX}
 #: (licence, identifiers in sequence), the most specific first (fixed values).
 RULES = (
     ("MIT", ("MitGrant", "MitNotice", "AsIs")),
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdNoEndorse")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
+    ("Apache-2.0", ("Apache2Title", "Apache2Terms", "Apache2Grant")),
     ("Apache-2.0", ("Apache2Ref", "Apache2Comply", "Apache2AsIs")),
+    *((f"{name}-only", (title, "FsfVerbatim")) for name, title in (("GPL-2.0", "Gpl2Title"), ("GPL-3.0", "Gpl3Title"), ("LGPL-2.1", "Lgpl21Title"), ("LGPL-3.0", "Lgpl3Title"), ("AGPL-3.0", "Agpl3Title"))),
     ("GPL-3.0-or-later", ("Gpl3Grant", "GplHope")),
     ("GPL-2.0-or-later", ("Gpl2Grant", "GplHope")),
+    ("LGPL-2.1-or-later", ("Lgpl21Grant", "GplHope")),
+    ("LGPL-3.0-or-later", ("Lgpl3Grant", "GplHope")),
+    ("AGPL-3.0-or-later", ("Agpl3Grant", "GplHope")),
+    ("MPL-2.0", ("Mpl2Ref", "Mpl2Copy")),
     ("ISC", ("IscGrant", "AsIs")),
     ("MIT", ("MitGrant",)),
     ("MIT", ("MitRef",)),
@@ -83,33 +135,27 @@ RULES = (
     ("BSD-2-Clause", ("Bsd2Ref",)),
     ("GPL-3.0-or-later", ("Gpl3Grant",)),
     ("GPL-2.0-or-later", ("Gpl2Grant",)),
+    ("LGPL-2.1-or-later", ("Lgpl21Grant",)),
+    ("LGPL-3.0-or-later", ("Lgpl3Grant",)),
+    ("AGPL-3.0-or-later", ("Agpl3Grant",)),
     ("GPL-3.0-only", ("Gpl3Ref",)),
     ("GPL-2.0-only", ("Gpl2Ref",)),
+    ("LGPL-2.1-only", ("Lgpl21Ref",)),
     ("LGPL-3.0-only", ("Lgpl3Ref",)),
     ("AGPL-3.0-only", ("Agpl3Ref",)),
     ("MPL-2.0", ("Mpl2Ref",)),
+    ("MPL-2.0", ("Mpl2Title",)),
     ("CC-BY-NC-4.0", ("CcByNc4Ref",)),
     ("CC-BY-SA-4.0", ("CcBySa4Ref",)),
     ("CC-BY-4.0", ("CcBy4Ref",)),
+    *((name, (f"Spdx-{name}",)) for name in SPDX),
     ("ISC", ("IscGrant",)),
     ("Unlicense", ("Unlicense",)),
     ("Public-Domain", ("PublicDomain",)),
     ("All-Rights-Reserved", ("Reserved",)),
 )
-#: Sentences of the official texts that go on where those above end, and what they contain.
-OFFICIAL = {
-    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the software), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions": ("MitGrant",),
-    "the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement": ("AsIs",),
-    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": ("AsIs",),
-    "the software is provided as is and isc disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": ("AsIs",),
-    "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": ("IscGrant",),
-    "permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": ("IscGrant",),
-    "licensed under the apache license, version 2.0 (the license); you may not use this file except in compliance with the license": ("Apache2Ref", "Apache2Comply"),
-    "this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose": ("GplHope",),
-}
-#: Cut points, marks that normalising drops, blanks, end punctuation (of sentences on one line).
-CUT, MARKS, BLANKS, ENDS = r"([.!?])[ \t]+", "[\"'`*#/<>]+", r"[ \t\r]+", r"^[ .,;:!?-]+|[ .,;:!?-]+$"
-#: What stands between words; line ends are kept.
+#: Cut points (fixed values); what stands between words, line ends being kept.
+CUT = r"([.!?])[ \t]+"
 BETWEEN = "[\\x00-\\x09\\x0B-/:-@\\[-`{-\\x7F\u00a0\u201c\u201d\u2018\u2019\u00ab\u00bb]+"
 
 
@@ -118,9 +164,8 @@ def words_of(sentence: str) -> str:
 
 
 KNOWN = {words_of(s): (i,) for s, i in SENTENCES.items()} | {words_of(s): ids for s, ids in OFFICIAL.items()}
-#: Every known sentence has one of these words (checked by a test); others are in one word each.
-HINTS = "licens|permi|redistribut|copyright|warrant|rights reserved|public domain|free software|endorse|compliance|applicable law|unencumbered"
-HINT_WORDS = HINTS.replace("rights reserved", "reserved").replace("public domain", "domain").replace("free software", "software").replace("applicable law", "applicable")
+#: Every known sentence has one of these within a word (checked by a test): a text without any has none.
+HINTS = "licens|permi|redistribut|copyright|warrant|reserved|domain|software|endorse|compliance|applicable|unencumbered|conditions|mpl"
 
 
 def sentence_ids(text: Column) -> Column:
@@ -135,7 +180,11 @@ def sentence_ids(text: Column) -> Column:
     pattern = "\n(" + "|".join(s.replace(" ", "[ \n]") for s in longest_first) + ")(?=\n)"
     known = F.create_map(*(x for s, ids in KNOWN.items() for x in (F.lit(s), F.array(*map(F.lit, ids)))))
     found = F.transform(F.regexp_extract_all(pieces, F.lit(pattern), F.lit(1)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
-    return F.when(low.rlike(HINT_WORDS), F.flatten(found)).otherwise(F.array().cast("array<string>"))
+    return F.when(low.rlike(HINTS), F.flatten(found)).otherwise(F.array().cast("array<string>"))
+
+
+#: What stands in the place of identifiers that a rule has used.
+USED = "|.|"
 
 
 def match_rules(ids: Column) -> Column:
@@ -146,7 +195,7 @@ def match_rules(ids: Column) -> Column:
     def step(state: Column, rule: Column) -> Column:
         hit = state["rest"].contains(rule["ids"])
         found = F.when(hit, F.concat(state["found"], F.array(rule["name"]))).otherwise(state["found"])
-        return F.struct(F.replace(state["rest"], rule["ids"], F.lit("")).alias("rest"), found.alias("found"))
+        return F.struct(F.replace(state["rest"], rule["ids"], F.lit(USED)).alias("rest"), found.alias("found"))
 
     return F.aggregate(rules, start, step, lambda state: F.array_distinct(state["found"]))
 

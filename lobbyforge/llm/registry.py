@@ -103,15 +103,28 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-LICENSE_SQL = f"""WITH known(sentence, id) AS (VALUES {", ".join(f"({_quoted(s)}, {_quoted(i)})" for s, i in licenses.SENTENCES.items())}),
-rules(n, name, ids) AS (VALUES {", ".join(f"({n}, {_quoted(name)}, {_quoted('|' + '||'.join(ids) + '|')})" for n, (name, ids) in enumerate(licenses.RULES))}),
-cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), {_quoted(licenses.CUT)}, '\\1\n', 'g'), chr(10)) AS s FROM documents),
-one AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS at FROM cut),
-ids AS (SELECT o.doc_id, string_agg(k.id, '|' ORDER BY o.at) AS license_ids, '|' || string_agg(k.id, '||' ORDER BY o.at) || '|' AS rest FROM one o
-    JOIN known k ON k.sentence = regexp_replace(regexp_replace(regexp_replace(translate(o.s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_quoted(licenses.MARKS)}, '', 'g'), {_quoted(licenses.BLANKS)}, ' ', 'g'), {_quoted(licenses.ENDS)}, '', 'g') GROUP BY o.doc_id),
-fold AS (SELECT doc_id, license_ids, list_reduce(list_prepend({{'n': -1, 'name': '', 'ids': '', 'rest': rest, 'found': ['']}}, (SELECT list({{'n': n, 'name': name, 'ids': ids, 'rest': '', 'found': ['']}} ORDER BY n) FROM rules)),
-    lambda a, b: {{'n': b.n, 'name': b.name, 'ids': b.ids, 'rest': replace(a.rest, b.ids, ''), 'found': CASE WHEN contains(a.rest, b.ids) AND NOT list_contains(a.found, b.name) THEN list_append(a.found, b.name) ELSE a.found END}}) AS f FROM ids)
-SELECT d.doc_id, coalesce(license_ids, '') AS license_ids, coalesce(array_to_string(f.found[2:], '|'), '') AS licenses, coalesce(len(f.found) - 1, 0)::BIGINT AS n_licenses FROM documents d LEFT JOIN fold USING (doc_id)"""
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(map(str, row)) + ")" for row in rows)
+
+
+#: Pieces by position; spans of pieces without a blank one between that are a known sentence; of
+#: those the first, then the first behind it, and so on; then a fold over the rules.
+LICENSE_SQL = f"""WITH known(sentence, ids) AS (VALUES {_values((_quoted(s), _quoted('|'.join(ids))) for s, ids in licenses.KNOWN.items())}),
+rules(n, name, ids) AS (VALUES {_values((n, _quoted(name), _quoted('|' + '||'.join(ids) + '|')) for n, (name, ids) in enumerate(licenses.RULES))}),
+numbered AS (SELECT row_number() OVER () AS row_id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+cut AS (SELECT row_id, string_split(trim(regexp_replace(regexp_replace(regexp_replace(low, {_quoted(licenses.CUT)}, '\\1\n', 'g'), {_quoted(licenses.BETWEEN)}, ' ', 'g'), ' ?\n ?', '\n', 'g'), ' '), chr(10)) AS s
+    FROM numbered WHERE regexp_matches(low, {_quoted(licenses.HINTS)})),
+one AS (SELECT row_id, unnest(s) AS piece, generate_subscripts(s, 1) AS pos FROM cut),
+run AS (SELECT *, sum(CASE WHEN piece = '' THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY pos) AS blanks FROM one),
+begins AS (SELECT * FROM run WHERE piece <> '' AND split_part(piece, ' ', 1) IN (SELECT split_part(sentence, ' ', 1) FROM known)),
+span AS (SELECT b.row_id, b.pos, r.pos AS upto, string_agg(r.piece, ' ') OVER (PARTITION BY b.row_id, b.pos ORDER BY r.pos) AS sentence FROM begins b
+    JOIN run r ON r.row_id = b.row_id AND r.blanks = b.blanks AND r.piece <> '' AND r.pos BETWEEN b.pos AND b.pos + {max(len(s.split()) for s in licenses.KNOWN)}),
+hit AS (SELECT row_id, pos, max(upto) AS upto, max_by(ids, upto) AS ids FROM span JOIN known USING (sentence) GROUP BY row_id, pos),
+taken AS (SELECT row_id, list_reduce(list_prepend({{'pos': 0, 'upto': 0, 'ids': ''}}, list({{'pos': pos, 'upto': upto, 'ids': ids}} ORDER BY pos)),
+    lambda a, b: {{'pos': b.pos, 'upto': CASE WHEN b.pos > a.upto THEN b.upto ELSE a.upto END, 'ids': CASE WHEN b.pos > a.upto THEN a.ids || '|' || b.ids ELSE a.ids END}}).ids[2:] AS license_ids FROM hit GROUP BY row_id),
+fold AS (SELECT row_id, license_ids, list_reduce(list_prepend({{'n': -1, 'name': '', 'ids': '', 'rest': '|' || replace(license_ids, '|', '||') || '|', 'found': ['']}}, (SELECT list({{'n': n, 'name': name, 'ids': ids, 'rest': '', 'found': ['']}} ORDER BY n) FROM rules)),
+    lambda a, b: {{'n': b.n, 'name': b.name, 'ids': b.ids, 'rest': replace(a.rest, b.ids, '{licenses.USED}'), 'found': CASE WHEN contains(a.rest, b.ids) AND NOT list_contains(a.found, b.name) THEN list_append(a.found, b.name) ELSE a.found END}}) AS f FROM taken)
+SELECT d.doc_id, coalesce(license_ids, '') AS license_ids, coalesce(array_to_string(f.found[2:], '|'), '') AS licenses, coalesce(len(f.found) - 1, 0)::BIGINT AS n_licenses FROM numbered d LEFT JOIN fold USING (row_id)"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -7,10 +7,13 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -155,9 +158,9 @@ def test_licences(spark, docs):
     got = {r.text: "|".join(r.found) for r in licenses.scan(df.select("text")).withColumnRenamed("licenses", "found").collect()}
     assert got == cases
     assert licenses.scan(docs).count() == len(rows())
-    assert all(re.search(licenses.HINTS, s) or len(s) < 12 for s in licenses.SENTENCES if not s.startswith("the software is"))
-    known = set(licenses.SENTENCES.values())
+    known = {i for ids in licenses.KNOWN.values() for i in ids}
     assert all(i in known for _, ids in licenses.RULES for i in ids)
+    assert len(licenses.KNOWN) == len(licenses.SENTENCES) + len(licenses.OFFICIAL)
 
 
 MIT_END = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS BE LIABLE FOR ANY CLAIM.'
@@ -206,7 +209,67 @@ def test_every_licence_entry_is_found(spark):
     entries = {s: (i,) for s, i in licenses.SENTENCES.items()} | licenses.OFFICIAL
     got = {r.text: tuple(r.license_ids) for r in licenses.scan(spark.createDataFrame([(s,) for s in entries], "text string")).collect()}
     assert got == entries
-    assert all(re.search(licenses.HINT_WORDS, s) for s in entries)
+    assert all(re.search(licenses.HINTS, s) for s in entries)
+
+
+#: How the official texts begin, as published.
+TITLES = {
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   2. Grant of Copyright License. Subject to the terms and conditions of\n      this License, each Contributor hereby grants to You a perpetual,\n      worldwide, non-exclusive, no-charge, royalty-free, irrevocable\n      copyright license to reproduce, prepare Derivative Works of,\n      publicly display, publicly perform, sublicense, and distribute the\n      Work and such Derivative Works in Source or Object form.\n",
+    "GPL-3.0-only": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n",
+    "LGPL-2.1-only": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991, 1999 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n",
+    "LGPL-2.1-or-later": "// This library is free software; you can redistribute it and/or\n// modify it under the terms of the GNU Lesser General Public\n// License as published by the Free Software Foundation; either\n// version 2.1 of the License, or (at your option) any later version.\n//\n// This library is distributed in the hope that it will be useful,\n// but WITHOUT ANY WARRANTY; without even the implied warranty of\n// MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "/* SPDX-License-Identifier: LGPL-3.0-or-later */",
+}
+
+
+def rewrapped(text, r):
+    """The text at another width, as a comment, with doubled blanks, marks or another case."""
+    paragraphs = [" ".join(p.split()) for p in re.split("\n\\s*\n", text)]
+    lead = r.choice(["", "# ", " * ", "// ", "\t", "> "])
+    out = "\n\n".join(textwrap.fill(p, r.choice([40, 60, 72, 100])) for p in paragraphs)
+    out = "\n".join(lead + line for line in out.split("\n"))
+    if r.random() < 0.4:
+        out = out.replace(" ", "  ", r.randrange(1, 9))
+    if r.random() < 0.3:
+        out += r.choice(["\n" + "*" * 700, " ****", "\n\n--\nthe end of it"])
+    return out.upper() if r.random() < 0.2 else out
+
+
+def test_licence_titles_and_wrapping(spark):
+    r = random.Random(14)
+    plain = {**TITLES, **{k: v.replace("\r", "").replace("\n * ", "\n").replace("\n# ", "\n").replace("\n#\n", "\n\n").lstrip("# *") for k, v in WRAPPED.items() if k not in ("MPL-2.0", "All-Rights-Reserved")}}
+    cases = [(t, n) for n, t in TITLES.items()] + [(rewrapped(t, r), n) for n, t in plain.items() for _ in range(12) if n not in ("LGPL-3.0-or-later", "GPL-3.0-only", "LGPL-2.1-only")]
+    got = {x.text: x.licenses for x in licenses.scan(spark.createDataFrame([(t,) for t, _ in cases], "text string")).collect()}
+    assert [(n, got[t]) for t, n in cases if n not in got[t]] == []
+
+
+def test_used_identifiers_do_not_meet(spark):
+    """A used identifier keeps those on its sides apart."""
+    rows = spark.createDataFrame([(["Mpl2Ref", "MitRef", "Mpl2Copy"],), (["Gpl3Grant", "MitGrant", "MitNotice", "AsIs", "GplHope"],)], "ids array<string>")
+    assert [r[0] for r in rows.select(licenses.match_rules(F.col("ids"))).collect()] == [["MIT", "MPL-2.0"], ["MIT", "GPL-3.0-or-later"]]
+
+
+def test_licence_sql_on_mutations(spark):
+    """The query's SQL gives the same on licences rewrapped, cut, mixed and marked at random."""
+    r = random.Random(15)
+    entries = [*licenses.SENTENCES, *licenses.OFFICIAL, *TITLES.values(), *WRAPPED.values(), "all other words", "the licensed thing", "", "permission"]
+
+    def broken(text):
+        for _ in range(r.choice([0, 0, 1, 2, 4])):
+            at = r.randrange(len(text) + 1)
+            text = text[:at] + r.choice([" ", "\n", "\n\n", "* ", "\u00a0", "é", ". ", "\t", "\r\n", "#", "\u201d"]) + text[at + r.choice([0, 0, 1]) :]
+        return rewrapped(text, r) if r.random() < 0.3 else text
+
+    texts = [r.choice(["\n", ". ", " ", "\n\n", "! "]).join(broken(r.choice(entries)) for _ in range(r.randrange(1, 5))) for _ in range(1500)] + [None, ""]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = {row[0]: row[1:] for row in con.execute(registry.LICENSE_SQL).fetchall()}
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", F.array_join("license_ids", "|"), F.array_join("licenses", "|"), F.size("licenses"))
+    got = {row[0]: tuple(row[1:]) for row in found.collect()}
+    assert [(texts[i], got[i], want[i]) for i in got if got[i] != want[i]] == [] and len(got) == len(want)
+    assert sum(bool(v[0]) for v in got.values()) > 500
 
 
 # ---------------------------------------------------------------- 4
