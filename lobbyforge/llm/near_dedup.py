@@ -21,7 +21,10 @@ confirming, as they change no group.  What the rounds leave is confirmed pair by
 Words are runs without white space, A-Z lower-cased.  A text with fewer words than a
 shingle has the whole sequence as its one shingle.  Texts without words and nulls have
 no shingles and stay alone.  Repeated rows fall into one class.  A group's id is its
-least doc_id; null doc_ids count last, and a group of nulls alone has none.
+least doc_id; null doc_ids count last, and a group of nulls alone has none.  An empty table
+gives an empty one; only doc_id and text are read, whatever other columns there are.  A very
+long text is hashed as arrays of some 40 bytes a byte of its text, in its own task; sets of
+candidates travel whole, 8 bytes a shingle.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of, written
+from .common import arrow_map, discard, texts_of, written
 from .components import components
 from .quality import FOLD, word_hashes, words_of
 
@@ -118,7 +121,7 @@ def two_bits(sig: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, class (null: no shingles), signature and its bits of each row."""
+    """doc_id, key (a hash of the text), n_shingles, class (null: no shingles), signature and its bits of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -132,10 +135,30 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
                 rows.append((0, None, None, 0, 0))
         columns = list(zip(*rows)) or [()] * 5
         types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n", "class", "sig", "bits0", "bits1"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "key", "n", "class", "sig", "bits0", "bits1"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return arrow_map(rows, run, "doc_id long, n long, class binary, sig binary, bits0 long, bits1 long")
+    return arrow_map(keyed(docs).select("doc_id", "text", "key"), run, "doc_id long, key long, n long, class binary, sig binary, bits0 long, bits1 long")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the hash of the text by which rows of one doc_id are told apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+
+
+#: A class is named by its least doc_id and its hash, so the least class of a group has its
+#: least doc_id: a byte that puts nulls last, 8 bytes in the order of signed numbers, 16 of the hash.
+SIGN = -(1 << 63)
+
+
+def named(doc_id: Column, digest: Column) -> Column:
+    number = F.unhex(F.lpad(F.hex(F.coalesce(doc_id, F.lit(0)).bitwiseXOR(F.lit(SIGN))), 16, "0"))
+    return F.concat(F.when(doc_id.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), number, digest)
+
+
+def least_id(name: Column) -> Column:
+    """The doc_id in a class's name, null for a class of nulls."""
+    number = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(SIGN))
+    return F.when(F.substring(name, 1, 1) == F.unhex(F.lit("00")), number)
 
 
 def branch(classes: DataFrame, levels: int, settings: Settings, first: int = 0) -> DataFrame:
@@ -191,20 +214,22 @@ def candidates(classes: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
     likely = (F.col("x.node") == F.col("y.node")) & (F.col("x.class") != F.col("y.class")) & close & (apart <= settings.likely_apart)
     met = large.alias("x").join(pivot.alias("y"), likely)
     pairs = small.select(*pair(apart)).union(met.select(*pair(apart)))
-    return written(pairs.distinct(), "pairs"), written(large.select("class").distinct(), "late")
+    pairs, late = written(pairs.distinct(), "pairs"), written(large.select("class").distinct(), "late")
+    discard(rows)
+    return pairs, late
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, late: DataFrame, settings: Settings) -> DataFrame:
     """(class, members) of every class in a pair or in ``late``, from the text of one of its documents."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).union(late).distinct()
-    one = classes.join(wanted, "class", "left_semi").select("class", F.col("first").alias("doc_id"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d").join(one.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id"))).select("class", "text")
+    one = classes.join(wanted, "class", "left_semi").select("class", "first", "key")
+    rows = keyed(docs).alias("d").join(one.alias("o"), (F.col("d.key") == F.col("o.key")) & F.col("d.doc_id").eqNullSafe(F.col("o.first"))).select("class", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep, members = [], []
         for cls, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
             found = shingles(text, settings.width).tobytes()
-            if hashlib.blake2b(found, digest_size=16).digest() == cls:  # not another row with this doc_id
+            if hashlib.blake2b(found, digest_size=16).digest() == cls[-16:]:  # not a text of the same key
                 keep.append(cls)
                 members.append(found)
         return pa.RecordBatch.from_arrays([pa.array(keep, pa.binary()), pa.array(members, pa.binary())], names=["class", "members"])
@@ -237,18 +262,23 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
 
 
-def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
+def placed(docs: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, key, n and root (null: no shingles) of each row: root is the least class of its group."""
     rows = written(sets(docs, settings.width), "sets")
-    classes = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"))
-    classes = written(classes, "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("s")
+    classes = rows.filter(F.col("class").isNotNull()).groupBy(F.col("class").alias("digest")).agg(first, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"))
+    classes = written(classes.select(named(F.col("s.doc_id"), F.col("digest")).alias("class"), "digest", F.col("s.doc_id").alias("first"), F.col("s.key").alias("key"), "n", "sig", "bits0", "bits1"), "classes")
     pairs, late = candidates(classes, settings)
     roots = linked(docs, classes, pairs, late, settings)
-    firsts = classes.select("class", "first").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    lowest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = firsts.join(lowest, "root").select("class", "component_id")
-    own = rows.filter(F.col("class").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = rows.join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(own)
+    found = classes.select("digest", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("digest", F.coalesce("root", "class").alias("root"))
+    joined = rows.select("doc_id", "key", "n", F.col("class").alias("digest")).join(found, "digest", "left")
+    return joined.select("doc_id", "key", "n", "root")
+
+
+def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row."""
+    rows = placed(docs, settings)
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(least_id(F.col("root"))).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -256,7 +286,7 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, late: DataFram
     """(node, root) of the classes with links."""
     members = whole_sets(docs, classes, pairs, late, settings)
     links, roots = None, None
-    open_pairs = pairs
+    open_pairs, spent = pairs, [members]
     for step in range(settings.rounds + 1):
         best = open_pairs.select("a", "b")
         if step < settings.rounds:
@@ -264,6 +294,7 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, late: DataFram
             best = both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("s")).select(F.least("a", "s.b").alias("a"), F.greatest("a", "s.b").alias("b")).distinct()
             best = written(best, "best")
         new = confirmed(best, members, settings)
+        spent += [t for t in (best, new, open_pairs) if hasattr(t, "written_to")]
         links = new if links is None else links.union(new)
         roots = components(links)
         if step < settings.rounds:
@@ -271,14 +302,17 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, late: DataFram
             if open_pairs.isEmpty():
                 break
     if not late.isEmpty():
-        more = prefix_pairs(late, members, roots, settings)
-        links = links.union(confirmed(more, members, settings))
+        more, tables = prefix_pairs(late, members, roots, settings)
+        new = confirmed(more, members, settings)
+        spent += [new, *tables]
+        links = links.union(new)
         roots = components(links)
+    discard(late, *spent)
     return roots
 
 
-def prefix_pairs(late: DataFrame, members: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of late classes in different components that share a shingle of their prefixes.
+def prefix_pairs(late: DataFrame, members: DataFrame, roots: DataFrame, settings: Settings) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of late classes in different components that share a shingle of their prefixes, and the tables they come from.
 
     The prefix of a set of n are its first n - ceil(threshold * n) + 1 shingles in an order
     that holds for all sets: sets at the threshold have one of these in common, and the
@@ -333,13 +367,26 @@ def prefix_pairs(late: DataFrame, members: DataFrame, roots: DataFrame, settings
     enough = F.expr(f"(least(x.n - x.place, y.n - y.place) + 1) * {settings.at_least + settings.of} >= {settings.at_least} * (x.n + y.n)")
     close = near("x", "y", settings, sketch=False) & enough & (apart <= settings.most_apart(WIDE))
     pairs = odd.alias("x").join(met.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & close)
-    return pairs.select(*pair(F.lit(0))[:2]).distinct()
+    return pairs.select(*pair(F.lit(0))[:2]).distinct(), [mine, rows, met]
 
 
 def kept_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of each group's least doc_id, with the documents' own columns.
+    """One row of each group, of its least doc_id, with the documents' own columns.
 
-    Rows that repeat that doc_id stay together: one document of each group is kept.
+    Rows without shingles stay, but of rows that repeat doc_id and text (of null doc_ids: the
+    text) only one; where their other columns differ, it may be any of them.
     """
-    decided = groups(docs, settings).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(decided, docs["doc_id"].cast("long").eqNullSafe(decided["_id"]), "left_semi")
+    rows = placed(docs, settings)
+    counted = rows.groupBy("doc_id", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    counted = written(counted, "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key", "n")).alias("s")
+    grouped = counted.filter("root IS NOT NULL").groupBy("root").agg(first).select("s.doc_id", "s.key", "s.n")
+    kept = grouped.union(counted.filter("root IS NULL").select("doc_id", "key", "n")).toDF("_id", "_key", "_n")
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    alone = docs.join(kept.filter("_n = 1"), here, "left_semi")
+    again = kept.filter("_n > 1")
+    if again.isEmpty():
+        return alone
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    rest = docs.join(again, here, "left_semi").select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), every)
+    return alone.unionByName(rest.groupBy("_id", "_key").agg(F.first("_row").alias("_row")).select("_row.*"))

@@ -547,9 +547,55 @@ def test_near_duplicates(spark, docs, empty, width):
     assert got == brute_groups(rows(), width, 80)
     kept = near_dedup.kept_documents(docs, settings)
     assert kept.columns == docs.columns
+    seen = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert max(seen.values()) == 1  # repeats of a row are one document
+    want = {(i, c) for i, _, c in brute_groups(rows(), width, 80)}
+    assert {i for i, _ in seen if i is not None} == {i for i, c in want if i == c and i is not None}
     assert near_dedup.kept_documents(empty, settings).count() == 0
 
 
+def test_rows_without_ids(spark):
+    """Null doc_ids do not meet one another, and a group keeps one row whatever its ids are."""
+    r = random.Random(10)
+    texts = [" ".join(r.choice(WORDS) for _ in range(40)) for _ in range(60)]
+    data = [(None, t) for t in texts] * 3 + [(5, texts[0]), (5, texts[1]), (-7, texts[2]), (None, texts[3] + " more"), (None, None), (None, None), (4, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in near_dedup.groups(docs).collect())
+    assert got == brute_groups(data, 2, 80)
+    kept = Counter(map(tuple, near_dedup.kept_documents(docs).collect()))
+    assert kept == Counter([*((None, t) for t in texts[3:]), (5, texts[0]), (5, texts[1]), (-7, texts[2]), (None, None), (4, "")])
+
+
+def exact_links(texts, width, at_least):
+    """Pairs of equal or similar shingle sets, by the prefixes of rare shingles."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate(FOLD))
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset())
+    common = Counter(x for s in sets for x in s)
+    by, links = defaultdict(list), set()
+    for i, s in enumerate(sets):
+        first = sorted(s, key=lambda x: (common[x], x))[: len(s) - -(-at_least * len(s) // 100) + 1]
+        for j in {j for x in first for j in by[x]}:
+            if 100 * len(s & sets[j]) >= at_least * len(s | sets[j]):
+                links.add((j, i))
+        for x in first:
+            by[x].append(i)
+    return links
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_recall_of_links(spark, width):
+    """Of all links of the test table at least nine in ten are found (its target; all, as it stands)."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    data = rows.collect()
+    links = exact_links([r.text for r in data], width, 80)
+    group = {r.doc_id: r.component_id for r in near_dedup.groups(rows, near_dedup.Settings(width=width)).collect()}
+    found = sum(group[data[i].doc_id] == group[data[j].doc_id] for i, j in links)
+    assert len(links) > 20 and found >= 0.9 * len(links)
+    print("recall", found / len(links))
+
+
 def test_large_groups_and_common_passages(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
