@@ -8,15 +8,19 @@ exclusion), a symbol seen c times has probability (2c - 1) / 2n and the escape d
 (method D).  Shorter contexts count a symbol once for each context they are the end of,
 as when a trie is updated with exclusion.  Below the empty context all symbols not yet excluded are equally likely.
 
-Pretrained scoring: counts come from the training documents, by context, summed over
-the whole corpus.  Documents are dealt to chunks of bounded size; a chunk gets the
-counts of the contexts and words that occur in it, and no task or broadcast ever holds
-the whole model.  Adaptive scoring (``adaptive_bits``) learns within one text.
+The model is pretrained: counts come from the training documents, by context, summed over
+the whole corpus.  Documents are dealt to chunks of bounded size, each of which is a
+partition of its own; a chunk states what strings and words it has, these are summed over
+all chunks before any row meets its sum again, and a chunk gets the counts of the contexts
+and words that occur in it.  No task or broadcast ever holds the whole model.
 
 The base model is a unigram model of words with additive smoothing, over the same counts.
 
 Null texts are empty: they hold the end of text alone.  Null doc_ids count as the empty
-text in the choice of training rows.  Repeated rows all count.
+text in the choice of training rows.  Repeated rows all count; rows of equal doc_id and text
+share a chunk, which is as large as they are.  A very long text is one row of one chunk and is
+worked on whole (some 120 bytes for each of its own).  An empty table gives an empty one.
+Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod5, written
@@ -98,7 +102,7 @@ def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (crc_mod5(F.col("doc_id")) != 1).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(LEAST_CHUNKS, math.ceil(size / CHUNK_BYTES))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int")), chunks
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")), chunks
 
 
 def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +128,11 @@ def portions(table: pa.Table) -> Iterator[tuple[list[str], np.ndarray]]:
         yield part.column("text").to_pylist(), part.column("train").to_numpy().astype(bool)
 
 
-def gather(rows: DataFrame, chunks: int) -> DataFrame:
-    """(chunk, kind, key, count, first): what occurs in each chunk, counted in all training rows.
+def gather(rows: DataFrame, chunks: int) -> tuple[DataFrame, DataFrame]:
+    """(chunk, kind, key) of what occurs in each chunk; (kind, key, count) in all training rows.
 
-    ``first`` is true in one row of each (kind, key).  Only keys with a count stay.
+    The sums have one row a key and only keys with a count; a key of all chunks is summed
+    in part where its rows are made.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -153,11 +158,10 @@ def gather(rows: DataFrame, chunks: int) -> DataFrame:
             out.append(pa.table({"chunk": pa.array(np.full(len(keys), table.column("chunk")[0].as_py(), np.int32)), "kind": pa.array(np.full(len(keys), kind, np.int8)), "key": pa.array(keys), "n": pa.array(n)}))
         return pa.concat_tables(out)
 
-    dealt = rows.select("chunk", "text", "train").repartition(chunks, "chunk")
-    found = dealt.groupBy("chunk").applyInArrow(run, "chunk int, kind byte, key long, n long")
-    same = Window.partitionBy("kind", "key")  # a row from each chunk at most
-    summed = found.select("chunk", "kind", "key", F.sum("n").over(same).alias("count"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
-    return written(summed.filter("count > 0"), "counts")
+    dealt = rows.select("chunk", "text", "train").repartitionById(chunks, F.col("chunk"))
+    found = written(dealt.groupBy("chunk").applyInArrow(run, "chunk int, kind byte, key long, n long"), "found")
+    sums = found.filter("n > 0").groupBy("kind", "key").agg(F.sum("n").alias("count"))
+    return found.select("chunk", "kind", "key"), written(sums, "counts")
 
 
 def contexts(counts: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
@@ -168,7 +172,7 @@ def contexts(counts: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     text.  follow: weights of all strings one symbol longer; kinds: how many there are;
     shorter: the weights that their symbols have after the context one symbol shorter.
     """
-    string = counts.filter(f"first AND kind > {WORD}").select("kind", "key", "count")
+    string = counts.filter(f"kind > {WORD}")
     low = F.expr(f"key & (shiftleft(1L, (kind - 1) * {WIDTH}) - 1)")
     down = (F.col("kind") - 1).cast("byte").alias("kind")
     before = string.filter("kind > 1").groupBy(down, low.alias("key")).agg(F.count(F.lit(1)).alias("symbols"), F.sum("count").alias("times"))
@@ -189,21 +193,23 @@ def contexts(counts: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     rows, chunks = chunked(docs)
-    counts = gather(rows, chunks)
+    found, counts = gather(rows, chunks)
     strings, root = contexts(counts)
-    words, vocabulary, ends = counts.filter("first").agg(F.sum(F.when(F.col("kind") == WORD, F.col("count"))), F.count_if(F.col("kind") == WORD), F.sum(F.when((F.col("kind") == 1) & (F.col("key") == END), F.col("count")))).first()
+    words, vocabulary, ends = counts.agg(F.sum(F.when(F.col("kind") == WORD, F.col("count"))), F.count_if(F.col("kind") == WORD), F.sum(F.when((F.col("kind") == 1) & (F.col("key") == END), F.col("count")))).first()
     ends = ends or 0
     constants = ((words or 0) + ends, vocabulary + (ends > 0), ends, root)
     inner = F.col("kind").between(1, ORDER)
-    placed = counts.filter(inner).select("chunk", "kind", "key").join(strings, ["kind", "key"]).select("chunk", "kind", "key", F.col("weight").alias("count"), "follow", "kinds", "shorter")
     none = F.lit(0).cast("long")
-    wanted = placed.union(counts.filter(~inner).select("chunk", "kind", "key", "count", none, none, none))
+    plain = counts.filter(~inner).select("kind", "key", F.col("count").alias("weight"), none.alias("follow"), none.alias("kinds"), none.alias("shorter"))
+    model = strings.unionByName(plain).withColumnRenamed("weight", "count")
+    wanted = found.join(model, ["kind", "key"]).select("chunk", "kind", "key", "count", "follow", "kinds", "shorter")
 
     def run(texts: pa.Table, model: pa.Table) -> pa.Table:
         return score_chunk(texts, model, *constants)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(run, schema)
+    texts, counted = (df.repartitionById(chunks, F.col("chunk")).groupBy("chunk") for df in (rows, wanted))
+    return texts.cogroup(counted).applyInArrow(run, schema)
 
 
 def score_chunk(table: pa.Table, counts: pa.Table, known: int, vocabulary: int, ends: int, root: tuple[int, int]) -> pa.Table:
@@ -337,29 +343,3 @@ class Trie:
                 total[rest[going]] -= math.log(max(1.0, SYMBOLS - self.kinds[0][0]))
         sums = np.concatenate([[0], np.cumsum(total)])
         return (sums[ends] - sums[ends - sizes]) / math.log(10)
-
-
-def adaptive_bits(text: str, order: int = ORDER) -> float:
-    """Code length in bits of a text and its end when the model learns as it reads."""
-    counts: dict[tuple, dict[int, int]] = defaultdict(dict)
-    history: list[int] = []
-    bits = 0.0
-    for symbol in [*text.encode(), END]:
-        excluded: set[int] = set()
-        contexts = [tuple(history[len(history) - k :]) for k in range(min(order, len(history)), -1, -1)]
-        for ctx in contexts:
-            found = {s: c for s, c in counts[ctx].items() if s not in excluded}
-            if not found:
-                continue
-            n, d = sum(found.values()), len(found)
-            if symbol in found:
-                bits -= math.log2(found[symbol] / (n + d))
-                break
-            bits -= math.log2(d / (n + d))
-            excluded.update(found)
-        else:
-            bits += math.log2(SYMBOLS - len(excluded))
-        for ctx in contexts:
-            counts[ctx][symbol] = counts[ctx].get(symbol, 0) + 1
-        history.append(symbol)
-    return bits
