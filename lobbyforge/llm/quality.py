@@ -15,9 +15,11 @@ them is the sign of another language, of gibberish and of lists.
 
 Null texts and texts without words have no words and fail the base rule.  A document
 without language is compared with the reference of all documents, its words with the
-nearest reference of any language.  One whose language has under MIN_REFERENCE_WORDS words
-is compared with that of all documents too, but its words do not reject it, as nothing says
-what is usual there.  Repeated rows stay; an empty table gives none.
+nearest reference of any language.  One whose language has under MIN_REFERENCE_WORDS words, or
+under one in LANGUAGES of all words, is compared with that of all documents too, but its words
+do not reject it, as nothing says what is usual there; so there are at most LANGUAGES references,
+whatever the column holds.  Repeated rows stay; an empty table gives none.  Clashing column
+names are no matter.  A very long text is worked on as arrays of some 60 bytes a byte of text.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of, written
+from .common import arrow_map, discard, texts_of, written
 
 #: Character classes: lower case, upper case, other letters, blanks, line ends, common
 #: punctuation, symbols of the contract, all other signs; digits are left out.
@@ -57,7 +59,7 @@ class Limits:
     few_allowance: float = 1.45  # 3.4 standard deviations of a share; as a floor, not added
 
 
-MIN_REFERENCE_WORDS = 1000
+MIN_REFERENCE_WORDS, LANGUAGES = 1000, 1000
 
 
 def class_table() -> np.ndarray:
@@ -87,15 +89,18 @@ FOLD[ord("A") : ord("Z") + 1] += 32
 
 
 POWERS: dict[int, np.ndarray] = {}
+KEPT_POWERS = 1 << 23
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n at least, kept from call to call."""
+    """base ** 0 .. base ** n at least, kept from call to call unless they are very many."""
     found = POWERS.get(int(base))
     if found is None or len(found) <= n:
         found = np.full(max(n + 1, 1 << 16), base, np.uint64)
         found[0] = 1
-        POWERS[int(base)] = found = np.multiply.accumulate(found)
+        found = np.multiply.accumulate(found)
+        if len(found) <= KEPT_POWERS:
+            POWERS[int(base)] = found
     return found
 
 
@@ -165,6 +170,8 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
 #: Words are counted in so many buckets of their hash, shares in steps of 1 / SHARES: what
 #: is counted for a language has a fixed size.
 BUCKETS, SHARES, QUANTILE = 1 << 14, 1000, 0.75
+#: Languages that a task sums before it hands on what it has.
+HELD = 64
 
 
 def word_buckets(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -188,8 +195,9 @@ class Reference:
 def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str | None, Reference]:
     """References by language (None: of all documents), counted over all documents.
 
-    Each task sums what it reads; Spark sums those rows of (language, cell, count).  The
-    driver gets ``CLASSES + common_words + 1`` rows of each language.
+    Each task sums what it reads, of HELD languages at a time; Spark sums those rows of
+    (language, cell, count) and leaves out languages of too few words.  The driver gets
+    ``CLASSES + common_words + 1`` rows of each of at most LANGUAGES languages.
     """
     shares = CLASSES * (SHARES + 1)
     cells = shares + BUCKETS
@@ -197,21 +205,31 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str | None, R
 
     def count(batches):
         found: dict[str | None, np.ndarray] = {}
+
+        def rows():
+            for lang, mine in found.items():
+                at = np.flatnonzero(mine)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "cell": pa.array(at, pa.int32()), "count": pa.array(mine[at])})
+            found.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 if text:
+                    if len(found) >= HELD and lang not in found:
+                        yield from rows()
                     mine = found.setdefault(lang, np.zeros(cells, np.int64))
                     raw = np.frombuffer(text.encode(), np.uint8)
                     classes = class_counts(text)
                     mine[first + classes * SHARES // max(1, classes.sum())] += 1
                     mine[shares:] += np.bincount(word_buckets(raw, *words_of(raw)), minlength=BUCKETS)
-        for lang, mine in found.items():
-            at = np.flatnonzero(mine)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "cell": pa.array(at, pa.int32()), "count": pa.array(mine[at])})
+        yield from rows()
 
     counted = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(count, "lang string, cell int, count long")
     counted = written(counted, "histograms")  # a few cells a task and language: read thrice below
+    every = counted.filter(F.col("cell") >= shares).agg(F.sum("count")).first()[0] or 0
     own = counted.filter(F.col("lang").isNotNull())
+    spoken = own.filter(F.col("cell") >= shares).groupBy("lang").agg(F.sum("count").alias("words")).filter(F.col("words") >= max(MIN_REFERENCE_WORDS, every / LANGUAGES))
+    own = own.join(spoken, "lang", "left_semi")
     sums = own.groupBy("lang", "cell").agg(F.sum("count").alias("count")).unionByName(counted.groupBy("cell").agg(F.sum("count").alias("count")).withColumn("lang", F.lit(None).cast("string")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "cell"))
     words = sums.filter(F.col("cell") >= shares).withColumn("rank", rank)
@@ -230,11 +248,11 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str | None, R
     out = {}
     for lang, mine in by_lang.items():
         common = sorted(c for c in mine if c >= 0)
-        place = np.full(BUCKETS, len(common))
+        place = np.full(BUCKETS, len(common), np.uint16)
         place[common] = np.arange(len(common))
         counts = np.array([*(mine[c] for c in common), mine.get(-1, 0)], float)
-        if lang is None or counts.sum() >= MIN_REFERENCE_WORDS:
-            out[lang] = Reference(level.get(lang, np.zeros(CLASSES)), place, counts)
+        out[lang] = Reference(level.get(lang, np.zeros(CLASSES)), place, counts)
+    discard(counted)
     return out
 
 
