@@ -8,11 +8,17 @@ limits, which comes to the same.)  A leaf's supply is its tokens times ``max_epo
 
 A leaf is read in epochs, each in its own seeded order.  Whole epochs are taken as long
 as the budget lasts; of the last one, the longest prefix that does not exceed the rest.
-The prefix is found by buckets of the order: only the bucket in which the budget ends is
-summed row by row, so a source with a third of all rows is no task of its own.
+The prefix is found by buckets of the order: tokens are summed by bucket, every row before the
+bucket in which the budget ends is taken where it is, and only the rows of that bucket are
+moved and summed one by one.  So texts stay in place and a source with a third of all rows
+is no task of its own.  What is decided for each leaf is broadcast if there are at most
+BROADCAST_LEAVES of them; for more, rows and decisions are joined by leaf and salt.
 
 All amounts are whole tokens; shares are rounded down.  Null keys are nodes of their own
-(``none``), null texts have one token.  Repeated rows are documents of their own.
+(``none``), null texts have one token.  Repeated rows are documents of their own; equal or null
+doc_ids stand together in an epoch.  An empty table gives none.  Input columns may have any
+names (they travel as one struct).  A very long text counts as many tokens and is moved whole,
+if at all.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 LEVELS = ("_domain", "_lang", "_source")
 
 
@@ -105,19 +113,37 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = Non
         (tokens if tokens is not None else token_estimate()).alias("_tokens"),
     )
     leaves = rows.groupBy(*LEVELS).agg(F.sum("_tokens").alias("tokens"))
-    budgets = leaf_budgets(leaves, mix).select(*LEVELS, F.expr("budget div tokens").alias("_whole"), F.expr("budget % tokens").alias("_part"))
-    number = F.explode(F.sequence(F.lit(0), F.lit(mix.max_epochs - 1)))
+    budgets = written(leaf_budgets(leaves, mix).select(*LEVELS, F.expr("budget div tokens").alias("_whole"), F.expr("budget % tokens").alias("_part")), "budgets")
     order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_epoch").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("none"))).cast("binary"))
-    wanted = rows.join(budgets, list(LEVELS)).withColumn("_epoch", number).filter((F.col("_epoch") < F.col("_whole")) | ((F.col("_epoch") == F.col("_whole")) & (F.col("_part") > 0)))
-    wanted = wanted.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, 3))
-    key = [*LEVELS, "_epoch", "_bucket"]
-    sums = wanted.filter(F.col("_epoch") == F.col("_whole")).groupBy(*key).agg(F.sum("_tokens").alias("_sum"))
-    starts = Window.partitionBy(*key[:-1]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(starts), F.lit(0)))
-    inside = Window.partitionBy(*key).orderBy("_order", "_id", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = wanted.join(sums, key, "left").withColumn("_end", F.col("_start") + F.sum("_tokens").over(inside))
-    taken = dealt.filter((F.col("_epoch") < F.col("_whole")) | (F.col("_end") <= F.col("_part")))
-    return taken.select("_doc", *LEVELS, "_tokens", "_epoch", "_order")
+    bucket = F.substring("_order", 1, 3)
+
+    cut = by_leaf(rows, budgets.filter("_part > 0")).withColumn("_epoch", F.col("_whole")).withColumn("_order", order)
+    sums = cut.groupBy(*LEVELS, bucket.alias("_bucket")).agg(F.sum("_tokens").alias("_sum"))
+    before = Window.partitionBy(*LEVELS).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(budgets, list(LEVELS))
+    ends = sums.filter("_start <= _part AND _start + _sum > _part").select(*LEVELS, F.col("_bucket").alias("_cut"), "_start")
+    decided = written(budgets.join(ends, list(LEVELS), "left"), "decided")
+
+    epochs = F.explode(F.sequence(F.lit(0), F.lit(mix.max_epochs - 1))).alias("_epoch")
+    offered = by_leaf(rows, decided).select("*", epochs).filter("_epoch < _whole OR (_epoch = _whole AND _part > 0)").withColumn("_order", order)
+    out = ["_doc", *LEVELS, "_tokens", "_epoch", "_order"]
+    last = (F.col("_epoch") == F.col("_whole")) & (bucket == F.col("_cut"))
+    taken = offered.filter((F.col("_epoch") < F.col("_whole")) | (bucket < F.col("_cut"))).select(*out)
+    inside = Window.partitionBy(*LEVELS, "_epoch").orderBy("_order", "_id", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = offered.filter(last).withColumn("_end", F.col("_start") + F.sum("_tokens").over(inside)).filter("_end <= _part")
+    return taken.unionByName(rest.select(*out))
+
+
+#: Leaves whose decisions are broadcast (some 100 bytes each); ways that a leaf's rows are dealt beyond.
+BROADCAST_LEAVES, SALTS = 100_000, 64
+
+
+def by_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Rows joined with what was decided for their leaf."""
+    if leaves.count() <= BROADCAST_LEAVES:
+        return rows.join(F.broadcast(leaves), list(LEVELS))
+    salted = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "_tokens"), F.lit(SALTS)).cast("int")).join(salted, [*LEVELS, "_salt"]).drop("_salt")
 
 
 def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:

@@ -413,6 +413,29 @@ def test_deobfuscation(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+def all_readings(token):
+    """Every spelling of a token and its cost before the model's: the lattice, path by path."""
+    paths = [("", 0.0)]
+    for m in re.finditer(r"(.)\1*", token, re.S):
+        paths = [(text + letters, cost + own) for text, cost in paths for letters, own in toxicity.readings(m[1], len(m[0]))]
+    return paths
+
+
+def test_restore_is_the_cheapest_path():
+    r = random.Random(31)
+    costs = np.random.default_rng(3).random((toxicity.SIZE,) * 3) * 6
+    for _ in range(300):
+        token = "".join(r.choice("ab1!@.$0é-ll") for _ in range(r.randrange(1, 8)))
+        best = min((own + spelling_cost(text, costs), text) for text, own in all_readings(token))
+        got = toxicity.restore(token, costs)
+        assert spelling_cost(got, costs) + min(own for text, own in all_readings(token) if text == got) == pytest.approx(best[0])
+
+
+def spelling_cost(text, costs):
+    ids = [toxicity.EDGE, toxicity.EDGE, *(int(toxicity.IDS[ord(c)]) for c in text), toxicity.EDGE]
+    return sum(costs[a, b, c] for a, b, c in zip(ids, ids[1:], ids[2:]))
+
+
 @pytest.fixture(scope="module")
 def spelt(spark):
     r = random.Random(4)
@@ -480,6 +503,110 @@ def test_divergence(spark):
     assert quality.distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1) and quality.distance(np.zeros(2), np.ones(2)) == 0
 
 
+def brute_distance(p, q):
+    """The square root of the Jensen-Shannon divergence, from entropies."""
+    if not sum(p) or not sum(q):
+        return 0.0
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    entropy = lambda v: -sum(x * math.log2(x) for x in v if x > 0)
+    return max(0.0, entropy([(a + b) / 2 for a, b in zip(p, q)]) - (entropy(p) + entropy(q)) / 2) ** 0.5
+
+
+CLASS_OF = [str.islower, str.isupper, str.isalpha, " \t\u00a0".__contains__, "\n\v\f\r".__contains__, quality.PUNCTUATION_SIGNS.__contains__, quality.SYMBOLS.__contains__]
+
+
+def brute_classes(text):
+    out = [0] * 8
+    for c in text:
+        if not c.isdigit():
+            out[next((i for i, f in enumerate(CLASS_OF) if f(c) and (i > 1 or c.isalpha())), 7)] += 1
+    return out
+
+
+def brute_references(data):
+    """By language and for all: upper quartiles of class shares, and common words with the rest."""
+    out = {}
+    for lang in {d[2] for d in data} | {None}:
+        mine = [d[1] for d in data if d[1] and (lang is None or d[2] == lang)]
+        levels = []
+        for k in range(8):
+            steps = sorted(brute_classes(t)[k] * 1000 // max(1, sum(brute_classes(t))) for t in mine)
+            levels.append(steps[math.ceil(0.75 * len(steps)) - 1] if steps else 0)
+        buckets = Counter()
+        for t in mine:
+            raw = np.frombuffer(t.encode(), np.uint8)
+            buckets.update(quality.word_buckets(raw, *quality.words_of(raw)).tolist())
+        common = sorted(b for b, _ in sorted(buckets.items(), key=lambda x: (-x[1], x[0]))[:40])
+        if lang is None or sum(buckets.values()) >= 1000:
+            out[lang] = (levels, common, [*(buckets[b] for b in common), sum(n for b, n in buckets.items() if b not in common)])
+    return out
+
+
+def brute_verdict(text, lang, refs):
+    """(distance of classes, of words, verdict) by the rules as they are written."""
+    limits = quality.Limits()
+    raw = np.frombuffer(text.encode(), np.uint8)
+    buckets = quality.word_buckets(raw, *quality.words_of(raw)).tolist()
+    n, chars = len(buckets), len(text)
+    by_class = brute_distance(brute_classes(text), refs.get(lang, refs[None])[0])
+
+    def words(ref):
+        _, common, usual = ref
+        own = [sum(b == c for b in buckets) for c in common]
+        own.append(n - sum(own))
+        two = lambda v: [sum(v[:-1]), v[-1]]
+        few = brute_distance(two(own), two(usual)) if own[-1] * sum(usual) > usual[-1] * n else 0.0
+        return brute_distance(own, usual), few, brute_distance([0] * len(common) + [1], usual)
+
+    if lang is None:
+        by_word, few, none = min(words(r) for k, r in refs.items() if k is not None or len(refs) == 1)
+    else:
+        by_word, few, none = words(refs.get(lang, refs[None]))
+        none = none if lang in refs else 0.0
+    bad = chars >= limits.min_chars and by_class > limits.class_distance + limits.class_allowance / chars**0.5
+    bad |= none > 0 and n >= limits.min_common_words and by_word > limits.word_distance * none + limits.word_allowance / n**0.5
+    bad |= none > 0 and n >= limits.min_few_words and few > max(limits.few_distance * none, limits.few_allowance / n**0.5)
+    return by_class, by_word, not bad
+
+
+def test_divergence_matches_brute_force(spark):
+    """References, distances and verdicts, over odd classes, languages and lengths."""
+    r = random.Random(21)
+    usual = {"en": WORDS, "de": ["Der", "und", "Ähre", "größe", "in", "den"], None: WORDS, "rare": ["xx", "yy"]}
+    odd = ["###", "12", "3.5", "ПРИВЕТ", "中文", "a|b", "%%%", "www@x.y", "ñ", "\u00a0"]
+
+    def made():
+        lang = r.choice(["en", "en", "en", "de", "de", None, None])
+        share = r.choice([0.0, 0.0, 0.1, 0.6])
+        n = r.choice([3, 12, 25, 60, 300])
+        return lang, r.choice([" ", "\n", "\t"]).join(r.choice(odd) if r.random() < share else r.choice(usual[lang]) + str(r.randrange(9) if r.random() < 0.05 else "") for _ in range(n))
+
+    data = [(i, t, lang) for i, (lang, t) in enumerate(made() for _ in range(160))] + [(900, "xx yy xx", "rare"), (901, "", "en"), (902, None, "de")]
+    refs = brute_references(data)
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    own = quality.references(docs)
+    assert set(own) == set(refs) == {"en", "de", None}
+    for lang, (levels, common, counts) in refs.items():
+        assert own[lang].classes.tolist() == levels and np.flatnonzero(own[lang].place < len(common)).tolist() == common and own[lang].words.tolist() == counts
+    got = {x.doc_id: x for x in quality.judge(docs).collect()}
+    for i, t, lang in data:
+        if t:
+            by_class, by_word, good = brute_verdict(t, lang, refs)
+            assert (got[i].class_divergence, got[i].word_divergence) == (pytest.approx(by_class, abs=1e-9), pytest.approx(by_word, abs=1e-9))
+            assert got[i].kept == (good and not got[i].base_failed)
+    assert {x.kept for x in got.values()} == {True, False}
+
+
+def test_many_languages(spark, monkeypatch):
+    """A dirty language column makes no references, and tasks hand on what they hold."""
+    monkeypatch.setattr(quality, "HELD", 3)
+    text = " ".join(WORDS * 4)
+    data = [(i, text, f"l{i}") for i in range(400)] + [(1000 + i, text, "en") for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert set(quality.references(docs)) == {None, "en"}
+    assert quality.judge(docs).count() == len(data)
+
+
 def test_words_of_another_language(spark):
     r = random.Random(7)
     usual = {lang: [a + b for a in first for b in "aeiou"] for lang, first in (("en", "bcdfghjk"), ("fr", "lmnprstv"))}
@@ -512,6 +639,38 @@ def test_mixing(docs, empty):
     assert mixing.mixed_documents(empty, mix).count() == 0
 
 
+def test_mixing_with_many_leaves(docs, monkeypatch):
+    """Beyond the bound of a broadcast the same rows are taken."""
+    mix = mixing.Mix(percent=50, max_epochs=2)
+    columns = ["_doc.doc_id", *mixing.LEVELS, "_tokens", "_epoch", "_order"]
+    want = Counter(map(tuple, mixing.mix_documents(docs, mix).select(*columns).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+    assert Counter(map(tuple, mixing.mix_documents(docs, mix).select(*columns).collect())) == want
+
+
+def test_prefixes_of_epochs(spark):
+    """Every leaf's taken rows are whole epochs and the longest prefix that its budget allows."""
+    r = random.Random(23)
+    data = [(i, "x" * r.randrange(1, 400), "en", r.choice(["s0", "s0", "s1", "s6"]), 0) for i in range(700)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars int")
+    for percent in (7, 60, 130):
+        mix = mixing.Mix(percent=percent)
+        taken = mixing.mix_documents(docs, mix).select("_doc.doc_id", "_source", "_tokens", "_epoch", "_order").collect()
+        tokens = {i: max(1, (len(t) + 3) // 4) for i, t, *_ in data}
+        leaves = spark.createDataFrame([(f"d{ord(s[-1]) % 4}", "en", s, sum(tokens[d[0]] for d in data if d[3] == s)) for s in ("s0", "s1", "s6")], "_domain string, _lang string, _source string, tokens long")
+        for leaf in mixing.leaf_budgets(leaves, mix).collect():
+            left, want = leaf.budget, Counter()
+            for epoch in range(mix.max_epochs):
+                ordered = sorted((hashlib.md5(f"17:{epoch}:{d[0]}".encode()).hexdigest(), d[0]) for d in data if d[3] == leaf._source)
+                for _, i in ordered:
+                    if tokens[i] > left:
+                        left = 0
+                        break
+                    left -= tokens[i]
+                    want[i, epoch] += 1
+            assert Counter((x.doc_id, x._epoch) for x in taken if x._source == leaf._source) == want
+
+
 def test_shares_pass_shortages_on(spark):
     nodes = spark.createDataFrame([("a", 5, 1, 100), ("b", 200, 1, 100), ("c", 200, 2, 100)], "_domain string, supply long, weight long, given long")
     got = {r._domain: r.budget for r in mixing.share(nodes, []).collect()}
