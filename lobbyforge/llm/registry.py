@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, licenses, mixing, near_dedup, ppm, quality, sharding, simple8b, toxicity, winnowing
-from .common import crc_mod5, documents
+from .common import crc_mod5, documents, new_path
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -32,9 +32,9 @@ OLD_SHARDS, NEW_SHARDS = 16, 24
 
 
 def op1_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 16 shards by source, which are uneven, to 24 even ones."""
+    """From 16 shards by source, which are uneven, to 24 even ones; told from the files as they were rewritten."""
     old = F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS))
-    return sharding.reshard(documents(spark, sf_dir), old, NEW_SHARDS)
+    return sharding.digest(sharding.rewrite(documents(spark, sf_dir), old, NEW_SHARDS, new_path(spark, "shards")))
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,15 @@ which a byte that stays costs nothing and a byte that moves costs one, says how
 bytes go from each old shard to each new one; no plan moves fewer.  Blocks are dealt to
 those flows, large ones first, and rows follow their block.
 
-Null texts have 8 bytes and checksum 0; null sources form an old shard like any other.
-Rows of equal doc_id and text are interchangeable.  An empty table gives no rows.
+Affected shards, those that gain or lose a row, are then written anew: as many parts of about
+PART_BYTES as a shard needs, each by a task of its own, with rows in the order of their slots.
+Shards that keep all they have and get none are left as they are.
+
+Null texts have 8 bytes and checksum 0.  Null sources or shards form an old shard like any other
+(NO_SHARD, from which all rows move).  Rows of equal doc_id and text are interchangeable and share a
+block.  An empty table gives no rows and no files.  Columns of the documents may have any names: they
+are kept in a struct.  A very long text is one row of one block: its size is counted, and it is
+moved whole.
 """
 
 from __future__ import annotations
@@ -19,7 +26,9 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS, ROW_BYTES = 2048, 8
+BLOCKS, ROW_BYTES, NO_SHARD = 2048, 8, -1
+#: Bytes of texts in a part of a rewritten shard.
+PART_BYTES = 64 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -97,20 +106,18 @@ def deal(blocks: list[tuple[int, int, int]], flow: dict[tuple[int, int], int]) -
     return out
 
 
-def sized(docs: DataFrame, old: Column) -> DataFrame:
-    """doc_id, size, text_crc32, old shard and block of each row; the text goes no further."""
+def sized(docs: DataFrame, old: Column, *keep: Column) -> DataFrame:
+    """doc_id, size, text_crc32, old shard and block of each row, and the columns to keep."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old.cast("int").alias("old_shard"))
+    rows = docs.select(*keep, "doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(NO_SHARD)).alias("old_shard"))
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BLOCKS)).cast("int"))
 
 
-def reshard(docs: DataFrame, old: Column, shards: int, capacities: list[int] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard and moved of each row.
+def planned(docs: DataFrame, old: Column, shards: int, capacities: list[int] | None = None) -> list[tuple[int, int, int, int, int, bool]]:
+    """(old shard, block, shard, first slot, part, whether its shard changes) of every block.
 
-    ``old`` gives a row's present shard; shard j stays the same place when it is kept.
-    Law ``bytes``: the shards' sizes follow the capacities (even ones by default).
+    A part is a run of blocks of one shard; parts are numbered over all shards.
     """
-    spark = docs.sparkSession
     rows = sized(docs, old)
     sums = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     found = sorted((r.old_shard, r.block, r.bytes, r["rows"]) for r in sums.collect())
@@ -118,28 +125,65 @@ def reshard(docs: DataFrame, old: Column, shards: int, capacities: list[int] | N
     supply = [sum(b for o, _, b, _ in found if o == i) for i in olds]
     room = capacities or even_capacities(sum(supply), shards)
     flow = min_cost_flow(supply, room, lambda i, j: 0 if olds[i] == j else 1)
-    flow = {(olds[i], j): amount for (i, j), amount in flow.items()}
-    shard = deal([(o, b, n) for o, _, b, n in found], flow)
+    shard = deal([(o, b, n) for o, _, b, n in found], {(olds[i], j): amount for (i, j), amount in flow.items()})
+    changed = {x for (o, *_), j in zip(found, shard) if o != j for x in (o, j)}
+    plan, part = [], -1
     first: dict[int, int] = defaultdict(int)
-    plan = []
-    for (o, block, _, n), j in zip(found, shard):
-        plan.append((o, block, j, first[j]))
+    held: dict[int, tuple[int, int]] = {}
+    for (o, block, size, n), j in sorted(zip(found, shard), key=lambda x: x[1]):
+        number, used = held.get(j, (-1, PART_BYTES))
+        if used >= PART_BYTES:
+            part += 1
+            number, used = part, 0
+        held[j] = number, used + size
+        plan.append((o, block, j, first[j], number, j in changed))
         first[j] += n
-    table = F.broadcast(spark.createDataFrame(plan, "old_shard int, block int, shard int, first long"))
-    order = Window.partitionBy("old_shard", "block").orderBy("doc_id", "size", "text_crc32")
-    placed = rows.join(table, ["old_shard", "block"]).withColumn("slot", F.col("first") + F.row_number().over(order) - 1)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", (F.col("old_shard") != F.col("shard")).alias("moved"))
+    return plan
+
+
+PLAN = "old_shard int, block int, shard int, first long, part int, changed boolean"
+
+
+def slotted(rows: DataFrame) -> DataFrame:
+    order = Window.partitionBy("part", "old_shard", "block").orderBy("doc_id", "size", "text_crc32")
+    return rows.withColumn("slot", F.col("first") + F.row_number().over(order) - 1)
+
 
+def reshard(docs: DataFrame, old: Column, shards: int, capacities: list[int] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard and moved of each row.
+
+    ``old`` gives a row's present shard; shard j stays the same place when it is kept.
+    Law ``bytes``: the shards' sizes follow the capacities (even ones by default).
+    """
+    table = F.broadcast(docs.sparkSession.createDataFrame(planned(docs, old, shards, capacities), PLAN))
+    return told(slotted(sized(docs, old).join(table, ["old_shard", "block"])))
+
+
+def told(rows: DataFrame) -> DataFrame:
+    moved = (F.col("old_shard") != F.col("shard")).alias("moved")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", moved)
 
-def rewrite_affected(docs: DataFrame, old: Column, placed: DataFrame, folder: str) -> DataFrame:
-    """Writes the rows of each shard that gains or loses any to ``folder/shard=j``.
 
-    ``docs`` must have unique doc_ids here, as its rows are joined with their places.
-    Shards whose rows all stay and that get none are not written.  Returns (shard, rows).
+def rewrite(docs: DataFrame, old: Column, shards: int, folder: str, capacities: list[int] | None = None) -> DataFrame:
+    """Writes the affected shards to ``folder/shard=j``; returns all rows (doc, shard, slot, old_shard).
+
+    Rows of the shards written are those of the files, read again; ``doc`` is a document with
+    its own columns.
     """
-    moved = placed.filter("moved")
-    touched = moved.select(F.col("shard").alias("s")).union(moved.select(F.col("old_shard").alias("s"))).distinct()
-    places = placed.join(F.broadcast(touched), F.col("shard") == F.col("s"), "left_semi").select(F.col("doc_id").alias("_id"), "shard", "slot")
-    rows = docs.join(places, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(folder)
-    return places.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    spark = docs.sparkSession
+    plan = planned(docs, old, shards, capacities)
+    parts = 1 + max((part for *_, part, _ in plan), default=0)
+    table = F.broadcast(spark.createDataFrame(plan, PLAN))
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = sized(docs, old, doc).join(table, ["old_shard", "block"])
+    out = ["doc", "slot", "old_shard", "shard"]
+    changed = slotted(rows.filter("changed").repartitionById(parts, F.col("part"))).sortWithinPartitions("shard", "slot").select(*out)
+    changed.write.mode("overwrite").partitionBy("shard").parquet(folder)
+    back = spark.read.schema(changed.schema).parquet(folder).select(*out)
+    return back.unionByName(slotted(rows.filter("NOT changed")).select(*out))
+
+
+def digest(rows: DataFrame) -> DataFrame:
+    """What ``reshard`` returns, from the documents as ``rewrite`` gives them."""
+    own = sized(rows.select("doc.doc_id", "doc.text", "shard", "slot", "old_shard"), F.col("old_shard"), F.col("shard"), F.col("slot"))
+    return told(own)

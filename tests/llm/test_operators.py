@@ -70,25 +70,54 @@ def test_flow_is_least_cost():
         assert sum(a for (i, j), a in flow.items() if i != j) == sum(max(0, s - c) for s, c in zip(supply, capacity))
 
 
-def test_reshard(docs, empty, spark, tmp_path):
-    old = F.pmod(F.xxhash64("source"), F.lit(3))
-    got = sharding.reshard(docs, old, 4).collect()
+def test_reshard(docs, empty, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_BYTES", 6000)
+    old = F.when(F.col("source") == "src1", 7).otherwise(F.pmod(F.xxhash64("source"), F.lit(3)))
+    old = F.when(F.col("source").isNotNull(), old)  # null sources have no shard
     want = Counter((d[0], len(text_of(d).encode()) + 8, zlib.crc32(text_of(d).encode())) for d in rows())
-    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
-    by = defaultdict(list)
-    for r in got:
-        by[r.shard].append(r)
-    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
-    assert sharding.reshard(empty, old, 4).count() == 0
-    one = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    placed = written(sharding.reshard(one, old, 4), "placed")
     folder = f"file://{tmp_path}/shards"
-    sharding.rewrite_affected(one, old, placed, folder)
-    moved = placed.filter("moved")
-    touched = {r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()}
-    back = spark.read.parquet(folder)
-    assert {r.shard for r in back.select("shard").distinct().collect()} == touched & {r.shard for r in placed.collect()}
-    assert back.count() == placed.filter(F.col("shard").isin(*touched)).count()
+    whole = sharding.rewrite(docs, old, 4, folder)
+    for got in (sharding.reshard(docs, old, 4).collect(), sharding.digest(whole).collect()):
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+        by = defaultdict(list)
+        for r in got:
+            by[r.shard].append(r)
+        assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+        assert all(r.moved == (r.old_shard != r.shard) for r in got) and {-1, 7} <= {r.old_shard for r in got}
+    docs_back = Counter(tuple(r.doc) for r in whole.collect())
+    assert docs_back == Counter(tuple(r) for r in docs.collect())
+    files = spark.read.parquet(folder)
+    touched = {s for r in got if r.moved for s in (r.shard, r.old_shard)}
+    assert {r.shard for r in files.select("shard").distinct().collect()} == touched & {r.shard for r in got}
+    assert sharding.reshard(empty, old, 4).count() == 0 and sharding.digest(sharding.rewrite(empty, old, 4, folder + "-none")).count() == 0
+
+
+def test_shards_that_keep_their_rows_are_left(docs, spark, tmp_path):
+    """Two of three shards trade rows; the third has just its share and is not written."""
+    data = [(i, "x" * 92, "en", "s", i % 4 if i % 4 < 2 else 0, "", 0) for i in range(800)] + [(1000 + i, "y" * 92, "en", "s", 2, "", 0) for i in range(400)]
+    table = spark.createDataFrame(data, SCHEMA)
+    folder = f"file://{tmp_path}/shards"
+    got = sharding.digest(sharding.rewrite(table, F.col("n_chars"), 3, folder)).collect()
+    assert {r.shard for r in spark.read.parquet(folder).select("shard").distinct().collect()} == {0, 1}
+    assert len(got) == 1200 and all(r.shard == 2 and not r.moved for r in got if r.doc_id >= 1000)
+    assert sorted(r.slot for r in got if r.shard == 2) == list(range(400))
+
+
+def test_law_and_moved_bytes(spark):
+    """Sizes are as near equal as blocks allow, and no plan moves fewer bytes but by a block's size."""
+    r = random.Random(19)
+    data = [(i, "z" * r.randrange(0, 300), "en", "s", r.choice([0, 0, 0, 1, 2, 5]), "", 0) for i in range(6000)]
+    table = spark.createDataFrame(data, SCHEMA)
+    got = sharding.reshard(table, F.col("n_chars"), 4).collect()
+    sizes, old = Counter(), Counter()
+    for x in got:
+        sizes[x.shard] += x.size
+        old[x.old_shard] += x.size
+    mean = sum(sizes.values()) / 4
+    largest = max(x.size for x in got) * 4  # a block of some rows
+    assert all(abs(v - mean) <= largest for v in sizes.values())
+    least = sum(max(0, v - mean) if j < 4 else v for j, v in old.items())
+    assert abs(sum(x.size for x in got if x.moved) - least) <= 4 * largest
 
 
 # ---------------------------------------------------------------- 2
