@@ -69,7 +69,9 @@ def buckets_in_scope(scope: tuple[str, ...]) -> set[str] | None:
 def method_label(path: Column) -> Column:
     bare, out = F.split_part(path, F.lit("?"), F.lit(1)), F.lit("other")
     for prefix, name in reversed(METHOD_OF_PATH):
-        out = F.when(bare.startswith(prefix), name).otherwise(out)
+        # a tier is a whole word of the path
+        here = bare.rlike(f"^{re.escape(prefix)}\\b") if name == "league.apex" else bare.startswith(prefix)
+        out = F.when(here, name).otherwise(out)
     return out
 
 
@@ -152,7 +154,7 @@ def decode_planner(code: Column) -> Column:
 
 def resolve_text(template: str | None, values: dict[str, float] | None) -> str:
     """Fills ``@Name*factor@`` from the values, drops tags and unknown names, joins blanks."""
-    known = {k.lower(): v for k, v in (values or {}).items()}
+    known = {k.lower(): v for k, v in (values or {}).items() if k is not None and v is not None}
 
     def fill(m: re.Match) -> str:
         value = known.get(m[1].lower())
@@ -169,7 +171,8 @@ def resolve_desc(template: Column, names: Column, values: Column) -> Column:
     """Descriptions from templates, arrays of names and arrays of values."""
 
     def fill(template: pd.Series, names: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([resolve_text(t, dict(zip(n, v))) for t, n, v in zip(template, names, values)])
+        known = lambda n, v: dict(zip(n, v)) if n is not None and v is not None else {}
+        return pd.Series([resolve_text(t, known(n, v)) for t, n, v in zip(template, names, values)])
 
     return F.pandas_udf(fill, "string")(template, names, values)
 

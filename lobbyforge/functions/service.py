@@ -1,23 +1,16 @@
-"""What a service around the engine needs: input checks, tokens, cached results, schedules."""
+"""What a service around the engine needs, as columns: input checks, settings, texts, tokens."""
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import hmac
-import time
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIGRATIONS = ("0001_base", "0002_derived", "0003_labels")
 
 
-def pending(applied: list[str], known: tuple[str, ...] = MIGRATIONS) -> list[str]:
-    """Schema versions still to apply, in order; each only goes forward."""
-    done = set(applied)
-    return [m for m in known if m not in done]
+def pending(known: Column, applied: Column) -> Column:
+    """Of the known migrations (structs), in order, those that a ledger does not have."""
+    return F.filter(known, lambda m: ~F.array_contains(applied, m["migration"]))
 
 
 def http_status(region_known: Column, name: Column, found: Column, limited: Column, upstream_ok: Column) -> Column:
@@ -25,35 +18,37 @@ def http_status(region_known: Column, name: Column, found: Column, limited: Colu
     return F.when(~region_known | (F.trim(name) == ""), 400).when(limited, 429).when(~upstream_ok, 502).when(~found, 404).otherwise(200)
 
 
-def issue_token(subject: str, expires: int, secret: str) -> str:
-    body = base64.urlsafe_b64encode(f"{subject}:{expires}".encode()).decode()
-    return f"{body}.{hmac.new(secret.encode(), body.encode(), hashlib.sha256).hexdigest()}"
+def setting_status(value: Column, needed: Column) -> Column:
+    bad = value.isNull() | value.isin("changeme", "")
+    return F.when(~bad, "ok").when(needed, "fatal").otherwise("warn")
+
+
+def trait_content(template: Column, steps: Column) -> Column:
+    """The introduction of a trait and one line for each of its steps, from ``intro | line of @n@``."""
+    head, row = (F.trim(F.split_part(template, F.lit("|"), F.lit(n))) for n in (1, 2))
+    line = lambda n: F.concat(F.lit("("), n.cast("string"), F.lit(") "), F.replace(row, F.lit("@n@"), n.cast("string")))
+    return F.concat(F.array(head), F.transform(steps, line))
 
 
-def verify_token(token: str, now: int, secret: str) -> str | None:
-    """Subject of a token that is whole, signed with the secret and not expired."""
-    body, _, signature = token.partition(".")
-    if not hmac.compare_digest(hmac.new(secret.encode(), body.encode(), hashlib.sha256).hexdigest(), signature):
-        return None
-    subject, _, expires = base64.urlsafe_b64decode(body).decode().rpartition(":")
-    return subject if int(expires) > now else None
+def padded(secret: str, pad: int) -> bytes:
+    """The key block of HMAC-SHA256 for a secret of up to 64 bytes."""
+    return bytes(b ^ pad for b in secret.encode().ljust(64, b"\0"))
 
 
-class Cached:
-    """Results by key that live for some seconds."""
+def signature(body: Column, secret: str) -> Column:
+    """HMAC-SHA256 in hex, from the digests that Spark has."""
+    outer, inner = (F.lit(bytearray(padded(secret, pad))) for pad in (0x5C, 0x36))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, body.cast("binary")), 256))), 256)
 
-    def __init__(self, seconds: float, clock: Callable[[], float] = time.monotonic):
-        self.seconds, self.clock = seconds, clock
-        self.held: dict = {}
 
-    def get(self, key, make: Callable):
-        now = self.clock()
-        if key not in self.held or self.held[key][0] <= now:
-            self.held[key] = (now + self.seconds, make())
-        return self.held[key][1]
+def token(subject: Column, expires: Column, secret: str) -> Column:
+    body = F.translate(F.base64(F.concat(subject, F.lit(":"), expires.cast("string")).cast("binary")), "+/", "-_")
+    return F.concat(body, F.lit("."), signature(body, secret))
 
 
-def trait_content(template: str, breakpoints: list[int]) -> list[str]:
-    """The introduction of a trait and one line for each of its breakpoints."""
-    head, _, row = template.partition("|")
-    return [head.strip(), *(f"({b}) {row.strip().replace('@n@', str(b))}" for b in breakpoints)]
+def token_subject(shown: Column, now: int, secret: str) -> Column:
+    """Subject of a token that is whole, signed with the secret and not expired; else null."""
+    body = F.split_part(shown, F.lit("."), F.lit(1))
+    text = F.unbase64(F.translate(body, "-_", "+/")).cast("string")
+    live = F.element_at(F.split(text, ":"), -1).cast("long") > now
+    return F.when((signature(body, secret) == F.split_part(shown, F.lit("."), F.lit(2))) & live, F.regexp_extract(text, "^(.*):", 1))

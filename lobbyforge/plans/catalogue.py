@@ -282,9 +282,10 @@ def fn_method_label(b):
     return b.events.select("event_id", codecs.method_label(path).alias("method"))
 
 
-@query("fn_retryable", "SELECT * FROM (VALUES (0, true), (200, false), (404, false), (429, true), (503, true)) AS t(status, retry)", ctes=NONE)
+@query("fn_retryable", "SELECT event_id, status, status IN (0, 401, 403, 429) OR status >= 500 AS retry FROM (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 200 WHEN 2 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN 503 WHEN 5 THEN 401 ELSE 403 END AS status FROM events)", ctes=NONE)
 def fn_retryable(b):
-    return b.spark.createDataFrame([(s,) for s in (0, 200, 404, 429, 503)], "status int").withColumn("retry", codecs.retryable(F.col("status")))
+    status = F.element_at(F.array(*map(F.lit, (0, 200, 404, 429, 503, 401, 403))), (F.col("event_id") % 7 + 1).cast("int"))
+    return b.events.select("event_id", status.alias("status")).withColumn("retry", codecs.retryable(F.col("status")))
 
 
 @query("rm_resolve_patch", "SELECT * FROM (VALUES ('Version 14.11.633.5272 (x)', '14.11'), ('Unreal Version ?.?.?.?', '18.0')) AS t(version, patch)", ctes=NONE)

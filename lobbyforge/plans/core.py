@@ -23,6 +23,14 @@ def joined(c):
     return F.array_join(c, "|")
 
 
+@query("clu_pass", """SELECT 'clustered' AS name, count(*)::BIGINT AS rows FROM clustered UNION ALL SELECT 'comps', count(DISTINCT signature)::BIGINT FROM signed UNION ALL SELECT 'stats', count(*)::BIGINT FROM stats UNION ALL SELECT 'totals', count(*)::BIGINT FROM totals""", ctes=ALL, stored=True)
+def clu_pass(b):
+    """One pass: writes the tables that read models read, if they are not there yet, and counts their rows."""
+    made = {"clustered": stages.clustered(b), "comps": stages.comps(b), "stats": stages.stats(b), "totals": stages.totals(b)}
+    counts = [rows.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows")) for name, rows in made.items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
 @query("sig_build", "SELECT board_id, signature FROM signed", ctes=ALL)
 def sig_build(b):
     return stages.signed(b).select("board_id", "signature")

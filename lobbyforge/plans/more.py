@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import codecs, service
+from ..functions import service
 from ..operators import itemization, merge
 from ..sources import store
 from . import stages
@@ -186,18 +186,6 @@ def flt_show_breakpoints(b):
     return b.d_breakpoints.groupBy("trait_id").agg((F.count(F.lit(1)) > 1).alias("shown"))
 
 
-@query("prj_status", "SELECT * FROM (VALUES ('url', 'ok'), ('key', 'fatal'), ('cache', 'warn')) AS t(name, status)", ctes=NONE)
-def prj_status(b):
-    rows = b.spark.createDataFrame([("url", "db://x", True), ("key", "changeme", True), ("cache", None, False)], "name string, value string, needed boolean")
-    bad = F.col("value").isNull() | F.col("value").isin("changeme", "")
-    return rows.select("name", F.when(~bad, "ok").when(F.col("needed"), "fatal").otherwise("warn").alias("status"))
-
-
-@query("ddl_migrate", "SELECT * FROM (VALUES ('0002_derived'), ('0003_labels')) AS t(migration)", ctes=NONE)
-def ddl_migrate(b):
-    return b.spark.createDataFrame([(m,) for m in service.pending(["0001_base"])], "migration string")
-
-
 @query("api_http", "SELECT c_custkey, CASE WHEN c_nationkey >= 16 THEN 400 WHEN c_acctbal > 9000 THEN 429 WHEN c_acctbal < -900 THEN 502 WHEN c_custkey % 7 = 0 THEN 404 ELSE 200 END AS status FROM customer", ctes=NONE)
 def api_http(b):
     status = service.http_status(F.col("c_nationkey") < 16, F.col("c_name"), F.col("c_custkey") % 7 != 0, F.col("c_acctbal") > 9000, F.col("c_acctbal") >= -900)
@@ -210,55 +198,7 @@ def fn_trait_contribution(b):
     return b.d_unit_traits.select("character_id", "trait_id", F.when(double, 2).otherwise(1).alias("contribution"))
 
 
-@query("fn_trait_content", "SELECT * FROM (VALUES (0, 'Gain power.'), (1, '(2) 2 per hit'), (2, '(4) 4 per hit')) AS t(place, line)", ctes=NONE)
-def fn_trait_content(b):
-    return b.spark.createDataFrame(list(enumerate(service.trait_content("Gain power. | @n@ per hit", [2, 4]))), "place int, line string")
-
-
-@query("fn_keyword", "SELECT * FROM (VALUES ('Keyword_Burn', 'Takes damage each second'), ('Keyword_X', NULL)) AS t(ref, text)", ctes=NONE)
-def fn_keyword(b):
-    words = {"burn": "Takes damage each second", "chill": "Attacks more slowly"}
-    key = F.lower(F.regexp_extract("ref", "Keyword_(.*)$", 1))
-    return b.spark.createDataFrame([("Keyword_Burn",), ("Keyword_X",)], "ref string").withColumn("text", codecs.from_map(key, words, F.lit(None).cast("string")))
-
-
 @query("fn_emblem_desc", "SELECT DISTINCT item_id, 'The holder gains the ' || replace(replace(item_id, 'TFT17_Item_', ''), 'EmblemItem', '') || ' trait.' AS text FROM b_items WHERE lower(item_id) LIKE '%emblem%'")
 def fn_emblem_desc(b):
     worn = b.items.select("item_id").distinct().filter(F.col("item_id").rlike("(?i)emblem"))
     return worn.withColumn("text", F.concat(F.lit("The holder gains the "), F.regexp_extract("item_id", "_Item_(.*)EmblemItem$", 1), F.lit(" trait.")))
-
-
-@query("fn_stat_icon", "SELECT * FROM (VALUES ('Attack Damage', 'ad'), ('AD', 'ad'), ('Armor', 'armor'), ('Luck', NULL)) AS t(name, icon)", ctes=NONE)
-def fn_stat_icon(b):
-    aliases = {"attackdamage": "ad", "ad": "ad", "armor": "armor", "magicresist": "mr", "mr": "mr"}
-    key = F.lower(F.regexp_replace("name", "[^A-Za-z]", ""))
-    return b.spark.createDataFrame([("Attack Damage",), ("AD",), ("Armor",), ("Luck",)], "name string").withColumn("icon", codecs.from_map(key, aliases, F.lit(None).cast("string")))
-
-
-@query("fn_token", "SELECT * FROM (VALUES ('good', 'admin'), ('late', NULL), ('forged', NULL)) AS t(kind, subject)", ctes=NONE)
-def fn_token(b):
-    token = service.issue_token("admin", 100, "secret")
-    rows = [("good", service.verify_token(token, 50, "secret")), ("late", service.verify_token(token, 150, "secret")), ("forged", service.verify_token(token, 50, "other"))]
-    return b.spark.createDataFrame(rows, "kind string, subject string")
-
-
-@query("st_schedule", "SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-01 02:00:00', INTERVAL 30 MINUTE)) AS due", ctes=NONE)
-def st_schedule(b):
-    due = F.expr("explode(sequence(TIMESTAMP_NTZ '2024-01-01 00:00:00', TIMESTAMP_NTZ '2024-01-01 02:00:00', INTERVAL 30 MINUTES))")
-    return b.spark.range(1).select(due.alias("due"))
-
-
-@query("st_ttl_cache", 'SELECT * FROM (VALUES (0, 1), (200, 1), (301, 2)) AS t("at", made)', ctes=NONE)
-def st_ttl_cache(b):
-    now, made = [0.0], [0]
-    held = service.Cached(300, lambda: now[0])
-
-    def make() -> int:
-        made[0] += 1
-        return made[0]
-
-    rows = []
-    for at in (0, 200, 301):
-        now[0] = at
-        rows.append((at, held.get("k", make)))
-    return b.spark.createDataFrame(rows, "at int, made int")

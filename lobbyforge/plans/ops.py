@@ -164,9 +164,10 @@ def prj_tier_fresh(b):
 @query("st_usage_tumble", "SELECT date_trunc('minute', ts) AS minute, event_type AS method, (user_id % 4)::BIGINT AS region, count(*)::BIGINT AS requests FROM events GROUP BY ALL", ctes=NONE)
 def st_usage_tumble(b):
     """As a stream: one-minute windows, additive, read until the source is drained."""
-    from ..streaming.usage import drain, usage_counts
+    from ..streaming.usage import event_stream, latest_by_key, usage_counts
 
-    return drain(b.spark, b.folder, usage_counts).select(F.col("window.start").cast("timestamp_ntz").alias("minute"), "method", "region", "requests")
+    counts = latest_by_key(usage_counts(event_stream(b.spark, b.folder)), ["window", "method", "region"])
+    return counts.select(F.col("window.start").cast("timestamp_ntz").alias("minute"), "method", "region", "requests")
 
 
 @query("st_fixed_window_limit", """w AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 3600) ORDER BY ts, event_id) AS k, 3600 - floor(epoch(ts))::BIGINT % 3600 AS left_s FROM events)
@@ -191,14 +192,10 @@ def st_sliding_window_limit(b, seconds: int = 3600):
 
 @query("st_dedupe", "SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type", ctes=NONE)
 def st_dedupe(b):
-    from ..streaming.usage import first_seen
+    """First event of each user and type, as a stream."""
+    from ..streaming.usage import event_stream, first_seen
 
-    return first_seen(b.spark, b.folder)
-
-
-@query("st_late_data", "SELECT CAST(game_datetime AS DATE) AS day, count(*)::BIGINT AS games FROM b_matches GROUP BY 1")
-def st_late_data(b):
-    return b.matches.groupBy(F.to_date("game_datetime").alias("day")).agg(F.count(F.lit(1)).alias("games"))
+    return first_seen(event_stream(b.spark, b.folder), ["user_id", "event_type"], "event_id")
 
 
 @query("st_self_heal", "SELECT match_id, coalesce(CASE WHEN lobby % 5 <> 0 THEN player_count END, player_count)::BIGINT AS player_count FROM b_matches")

@@ -36,15 +36,16 @@ def src_pg_table(b):
     return b.table("customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey", "c_acctbal")
 
 
-@query("src_keyset_scan", "SELECT board_id, lobby FROM b_players WHERE board_id > 1000 AND board_id <= 4000")
-def src_keyset_scan(b):
-    """A page by key range; the scan is split and bounded by files, not by a cursor."""
-    return b.players.filter("board_id > 1000 AND board_id <= 4000").select("board_id", "lobby")
+@query("src_keyset_scan", "SELECT board_id, lobby, floor((board_id - 1) / 25000)::BIGINT AS page FROM b_players")
+def src_keyset_scan(b, page: int = 25_000):
+    """All boards with their page of keys; the scan is split and bounded by files, not by a cursor."""
+    return b.players.select("board_id", "lobby", F.floor((F.col("board_id") - 1) / page).alias("page"))
 
 
-@query("src_fanout_by_ids", "SELECT board_id, string_agg(character_id, '|' ORDER BY unit_row) AS units FROM b_units WHERE board_id IN (SELECT o_orderkey FROM orders WHERE o_custkey < 50) GROUP BY 1")
+@query("src_fanout_by_ids", "SELECT board_id, string_agg(character_id, '|' ORDER BY unit_row) AS units FROM b_units WHERE board_id IN (SELECT o_orderkey FROM orders) GROUP BY 1")
 def src_fanout_by_ids(b):
-    ids = b.table("orders").filter("o_custkey < 50").select(F.col("o_orderkey").alias("board_id"))
+    """The children of every parent, parents and children each read once."""
+    ids = b.table("orders").select(F.col("o_orderkey").alias("board_id"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("unit_row", "character_id"))), lambda u: u["character_id"])
     return b.units.join(ids, "board_id", "left_semi").groupBy("board_id").agg(joined(listed).alias("units"))
 
@@ -207,21 +208,6 @@ def sink_catalog_load(b):
     return store.saved(b.d_units, "units", "set_number").select("character_id", "cost", "set_number")
 
 
-@query("sink_job_log", "SELECT * FROM (VALUES ('good', 'success', 3), ('bad', 'failed', 0)) AS t(job, status, items)", ctes=NONE)
-def sink_job_log(b):
-    from ..operators.jobs import tracked
-
-    log: list[tuple] = []
-    tracked("good", lambda: 3, log)
-    tracked("bad", lambda: 1 // 0, log)
-    return b.spark.createDataFrame(log, "job string, status string, items int")
-
-
-@query("ops_reset_queue", "SELECT event_id FROM events WHERE false", ctes=NONE)
-def ops_reset_queue(b):
-    return b.events.select("event_id").limit(0)
-
-
 @query("st_daily_snapshot", "SELECT date_trunc('month', game_datetime)::DATE AS snapshot_date, count(*)::BIGINT AS n FROM b_matches GROUP BY 1")
 def st_daily_snapshot(b):
     rows = b.matches.groupBy(F.trunc(F.to_date("game_datetime"), "month").alias("snapshot_date")).agg(F.count(F.lit(1)).alias("n"))
@@ -260,30 +246,6 @@ def mig_clear_flag(b):
     return b.matches.select("patch_id").distinct().join(live, "patch_id", "left").select("patch_id", F.coalesce("flagged", F.lit(False)).alias("flagged"))
 
 
-@query("st_chain", "SELECT * FROM (VALUES ('cluster', 1), ('rollup', 2), ('merge', 3), ('trend', 4)) AS t(stage, place)", ctes=NONE)
-def st_chain(b):
-    from ..operators.jobs import chain
-
-    ran: list[tuple] = []
-    chain([(name, lambda name=name: ran.append((name, len(ran) + 1))) for name in ("cluster", "rollup", "merge", "trend")])
-    return b.spark.createDataFrame(ran, "stage string, place int")
-
-
-@query("st_retry", "SELECT * FROM (VALUES (3, true)) AS t(calls, ok)", ctes=NONE)
-def st_retry(b):
-    from ..operators.jobs import retried
-
-    calls: list[int] = []
-
-    def flaky() -> int:
-        calls.append(1)
-        if len(calls) < 3:
-            raise ConnectionError
-        return len(calls)
-
-    return b.spark.createDataFrame([(retried(flaky, waits=(0, 0, 0)), True)], "calls int, ok boolean")
-
-
 @query("rm_ops", "SELECT event_type AS method, count(*)::BIGINT AS requests, max(ts) AS last_seen FROM events GROUP BY 1", ctes=NONE)
 def rm_ops(b):
     return b.events.groupBy(F.col("event_type").alias("method")).agg(F.count(F.lit(1)).alias("requests"), F.max("ts").alias("last_seen"))

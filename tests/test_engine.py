@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lobbyforge import registry
 from lobbyforge.config import FIXTURE, PRODUCTION
-from lobbyforge.functions import codecs, scoring
+from lobbyforge.functions import codecs, scoring, service
 from lobbyforge.operators import identity, itemization, jobs, merge
 from lobbyforge.operators.merge import Archetype, Profile
 
@@ -121,12 +121,38 @@ def test_overlap_bounds():
     assert Archetype().add(Profile(1, frozenset("A"))).total == 1
 
 
-def test_jobs():
-    log: list = []
-    assert jobs.tracked("x", lambda: 1 // 0, log) == 0 and log == [("x", "failed", 0)]
-    assert jobs.chain([("a", lambda: 1), ("b", lambda: 1 // 0), ("c", lambda: 1)]) == ["a"]
-    with pytest.raises(ConnectionError):
-        jobs.retried(lambda: (_ for _ in ()).throw(ConnectionError()), waits=(0,))
+def test_tokens_are_hmac(spark):
+    import base64
+    import hashlib
+    import hmac
+
+    rows = spark.createDataFrame([("a:b", 60), ("ö", 50), ("", 99)], "subject string, expires int")
+    got = rows.withColumn("t", service.token(F.col("subject"), F.col("expires"), "key")).withColumn("who", service.token_subject(F.col("t"), 50, "key")).collect()
+    for r in got:
+        body = base64.urlsafe_b64encode(f"{r.subject}:{r.expires}".encode()).decode()
+        assert r.t == f"{body}.{hmac.new(b'key', body.encode(), hashlib.sha256).hexdigest()}"
+        assert r.who == (r.subject if r.expires > 50 else None)
+
+
+def test_cache_is_sequential(spark):
+    at = [0, 100, 299, 300, 301, 599, 600, 1000]
+    rows = spark.createDataFrame([(i, k, f"2024-01-01 00:{t // 60:02d}:{t % 60:02d}") for k in (1, 2) for i, t in enumerate(at, 10 * k)], "event_id long, k int, ts string")
+    got = {r.event_id: r.hit for r in jobs.cache_hits(rows.withColumn("ts", F.col("ts").cast("timestamp")), "k", 300).collect()}
+    assert [got[10 + i] for i in range(len(at))] == [False, True, True, False, True, True, False, False] == [got[20 + i] for i in range(len(at))]
+
+
+def test_chain_stops_at_a_failure(spark):
+    rows = jobs.chained(spark.createDataFrame([(1,), (3,)], "v int"), ("a", "b"), lambda place: F.col("v") * place).collect()
+    assert [(r.v, r.stage, r.attempts, r.done, r.waited) for r in rows] == [(1, "a", 2, True, 5), (1, "b", 3, True, 15), (3, "a", 3, False, 15)]
+
+
+def test_late_rows_change_their_own_day(spark):
+    from lobbyforge.streaming.usage import arrivals, first_seen, latest_by_key
+
+    rows = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (3, "a", 1), (4, "c", 1), (0, "b", 1)], "event_id long, day string, turn int")
+    stream = arrivals(spark, rows, F.col("turn"), 2)
+    assert {r.day: r.n for r in latest_by_key(stream.groupBy("day").agg(F.count(F.lit(1)).alias("n")), ["day"]).collect()} == {"a": 2, "b": 2, "c": 1}
+    assert {r.day: r.event_id for r in first_seen(arrivals(spark, rows, F.col("turn"), 2), ["day"], "event_id").collect()} == {"a": 1, "b": 2, "c": 4}
 
 
 def test_carries_fall_back(spark):
