@@ -38,7 +38,7 @@ from .common import crc_mod5, written
 from .quality import FOLD, word_hashes, words_of
 
 ORDER, END, SYMBOLS, WIDTH = 4, 256, 257, 9
-CHUNK_BYTES, LEAST_CHUNKS = 28 << 20, 32
+CHUNK_BYTES = 28 << 20
 WORD = 0  # kind of a row of word counts; a row of kind k counts strings of k symbols
 
 
@@ -101,7 +101,7 @@ def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (crc_mod5(F.col("doc_id")) != 1).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(LEAST_CHUNKS, math.ceil(size / CHUNK_BYTES))
+    chunks = max(1, math.ceil(size / CHUNK_BYTES))
     return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")), chunks
 
 
