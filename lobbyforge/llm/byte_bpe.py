@@ -9,7 +9,10 @@ pass replays every block from its true entry state.  Slices between boundaries
 feed a cache of merged pieces; the ids of a piece come from pair merging by rank.
 
 Nulls count as empty texts; an empty text has no ids and decodes to the empty
-byte string.  Repeated rows stay; order of rows does not matter.
+byte string.  Repeated rows stay; order of rows does not matter; an empty table gives an empty
+one.  Columns that are kept may have any name but ``ids`` and ``offsets``, which are refused.
+A very long text is one value of a slice of its own: its classes, symbols and states are
+arrays of some 30 bytes a code point.
 """
 
 from __future__ import annotations
@@ -255,6 +258,8 @@ def decode_ids(ids: list[int], rank_path: str) -> bytes:
 
 def encode_documents(docs: DataFrame, rank_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds ``ids array<int>`` and ``offsets array<int>`` (code point where each piece begins)."""
+    if {"ids", "offsets"} & set(keep):
+        raise ValueError("columns named ids or offsets cannot be kept beside the operator's own")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

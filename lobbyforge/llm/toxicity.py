@@ -10,7 +10,9 @@ The character model counts all documents.  The words are learnt from labelled ro
 most ``max_labelled`` of them in hash order; near copies count once, so a copied
 document does not teach its own words.  Null and empty texts get the prior.  Labelled
 rows without a label are left out; of a document with several labels the greatest holds.
-Repeated rows stay.
+Repeated rows stay; an empty table gives an empty one, empty labels a model that marks nothing.
+Column names play no part (``score`` and the like may be among the documents').  A very long
+text is read whole, token by token: what is kept of it is its different words.
 """
 
 from __future__ import annotations

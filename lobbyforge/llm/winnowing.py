@@ -7,7 +7,10 @@ points that two texts share gives them a fingerprint in common (the match guaran
 
 A text of 1 to K - 1 code points has one hash, of all of it; an empty or null text has
 none.  Two texts without hashes are alike (1.0); one without and one with are not (0.0).
-Likeness is the Jaccard similarity of the sets of hashes.  Repeated rows stay.
+Likeness is the Jaccard similarity of the sets of hashes.  Repeated rows stay; rows of equal
+doc_id stand in the order of their texts and share a range.  Null doc_ids come first.  An
+empty table gives none.  Only doc_id and text are read.  A very long text is one row: its
+hashes are arrays of some 50 bytes a code point, in its own slice.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import math
@@ -16,6 +17,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -172,7 +174,20 @@ def test_fingerprints_of_documents(docs, empty):
         half = len(text) // 2
         want.append((d[0], len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(want)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    alike = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    coded = lambda pairs: base64.b64encode(b"".join(h.to_bytes(4, "little") for h, _ in pairs)).decode()
+    prints = {text_of(d): brute_winnow(text_of(d), winnowing.K, winnowing.WINDOW) for d in order if len(text_of(d)) < 2000}
+    whole = {}
+    for i, d in enumerate(order):
+        text, after = text_of(d), text_of(order[i - 1])
+        if text in prints and after in prints:
+            own, changed, other = prints[text], brute_winnow(winnowing.edited(text, after), winnowing.K, winnowing.WINDOW), prints[after]
+            sets = [{h for h, _ in x} for x in (own, changed, other)]
+            whole.setdefault((d[0], len(text), hashlib.sha256(winnowing.edited(text, after).encode()).hexdigest()), set()).add((coded(own), coded(changed), round(alike(sets[0], sets[1]), 9), round(alike(sets[0], sets[2]), 9), tuple(p for _, p in own)))
+    checked = [r for r in got if (r.doc_id, r.n_chars, r.edited_sha256) in whole]
+    assert len(checked) > 40
+    for r in checked:
+        assert (r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9), tuple(r.positions)) in whole[r.doc_id, r.n_chars, r.edited_sha256]
     assert winnowing.digest(empty).count() == 0
     assert winnowing.fingerprints(docs).count() == sum(len(winnowing.winnow(text_of(d))[0]) for d in rows())
 
@@ -377,8 +392,14 @@ def test_bpe_of_documents(docs, empty, reference):
         want[d[0], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text_of(d).encode()).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     assert byte_bpe.digest(empty, RANKS).count() == 0
-    for r in byte_bpe.encode_documents(docs, RANKS).limit(5).collect():
-        assert len(r.offsets) <= len(r.ids)
+    want = Counter()
+    for d in rows():
+        pieces = [(m.start(), m.end()) for m in regex.finditer(public_tokenizers.PATTERN, text_of(d))]
+        want[d[0], tuple(reference.encode_ordinary(text_of(d))), tuple(a for a, _ in pieces)] += 1
+    got = byte_bpe.encode_documents(docs, RANKS).collect()
+    assert Counter((r.doc_id, tuple(r.ids), tuple(r.offsets)) for r in got) == want
+    with pytest.raises(ValueError):
+        byte_bpe.encode_documents(docs.withColumn("ids", F.lit(1)), RANKS, keep=("doc_id", "ids"))
 
 
 def test_simple8b_round_trip():
