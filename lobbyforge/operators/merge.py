@@ -529,6 +529,21 @@ def trace_profiles(profiles: DataFrame, config: Config) -> DataFrame:
     return profiles.filter("NOT tail").groupBy("set_number").applyInPandas(run, "comp_id long, pass1 long, pass2 long, pass3 long, label string, score double, reason string")
 
 
+def evaluated(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b, wanted, got and verdict of pairs (a, b, wanted, known) under labels (comp_id, meta_comp).
+
+    ``wanted`` is merge or split; a comp without label is in no archetype, so it is split from
+    all others.  Verdict: pass, known (a failure that is expected) or fail; ``fixed`` where a
+    known failure passes now.
+    """
+    of = lambda side: labels.select(F.col("comp_id").alias(side), F.col("meta_comp").alias(f"label_{side}"))
+    rows = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    got = F.when(F.col("label_a") == F.col("label_b"), "merge").otherwise("split")
+    right = got == F.col("wanted")
+    verdict = F.when(right & F.col("known"), "fixed").when(right, "pass").when(F.col("known"), "known").otherwise("fail")
+    return rows.select("a", "b", "wanted", got.alias("got"), verdict.alias("verdict"))
+
+
 def set_similarity_pairs(sets: DataFrame, least: float) -> DataFrame:
     """(a, b, shared, sa, sb): pairs of comps whose unit sets (comp_id, unit) reach a Jaccard; their shared units and sizes.
 

@@ -71,6 +71,10 @@ def profiles(b):
         "emblem_sig", "gated_sig", "boards", "level", "frame", tail.alias("tail"))
 
 
+def stored_profiles(b):
+    return b.once("profiles", lambda: profiles(b))
+
+
 def merged_labels(b):
     return merge.merge_profiles(profiles(b), b.config, store.saved)
 
@@ -81,9 +85,9 @@ def mrg_stage(b):
     return merged_labels(b)
 
 
-@query("prof_load_floored", "SELECT comp_id, sum(n)::BIGINT AS boards FROM stats GROUP BY comp_id HAVING max(n) >= 3 OR sum(n) >= 2", ctes=ALL)
+@query("prof_load_floored", "SELECT comp_id, sum(n)::BIGINT AS boards FROM stats GROUP BY comp_id HAVING max(n) >= 3 OR sum(n) >= 2", ctes=ALL, stored=True)
 def prof_load_floored(b):
-    return profiles(b).filter("NOT tail").select("comp_id", "boards")
+    return stored_profiles(b).filter("NOT tail").select("comp_id", "boards")
 
 
 PARSE = CARRIES + """, lab AS (SELECT c.comp_id, c.carries || CASE WHEN c.comp_id % 2 = 0 THEN '##dup:' || c.carries ELSE '' END || CASE WHEN c.comp_id % 3 = 0 THEN '##gate:U2' ELSE '' END || '##k:' || c.comp_id AS meta_comp FROM (SELECT comp_id, string_agg(character_id, '|' ORDER BY character_id) AS carries FROM carry GROUP BY 1) c)
@@ -118,13 +122,13 @@ def unit_sets(b):
 
 
 @query("join_inverted_index", SETS + """SELECT a, b, shared::BIGINT AS shared FROM (SELECT x.comp_id AS a, y.comp_id AS b, count(*) AS shared FROM s x JOIN s y ON x.unit = y.unit AND x.comp_id < y.comp_id GROUP BY ALL) p
-    JOIN z za ON za.comp_id = p.a JOIN z zb ON zb.comp_id = p.b WHERE shared >= 0.54 / 1.54 * (za.size + zb.size) - 1e-9""", ctes=ALL)
+    JOIN z za ON za.comp_id = p.a JOIN z zb ON zb.comp_id = p.b WHERE shared >= 0.54 / 1.54 * (za.size + zb.size) - 1e-9""", ctes=ALL, stored=True)
 def join_inverted_index(b):
     return merge.set_similarity_pairs(unit_sets(b), 0.54).select("a", "b", "shared")
 
 
 @query("mrg_dice", SETS + """SELECT a, b, round(2 * shared / (za.size + zb.size), 6) AS dice FROM (SELECT x.comp_id AS a, y.comp_id AS b, count(*) AS shared FROM s x JOIN s y ON x.unit = y.unit AND x.comp_id < y.comp_id GROUP BY ALL) p
-    JOIN z za ON za.comp_id = p.a JOIN z zb ON zb.comp_id = p.b WHERE 2 * shared >= 0.75 * (za.size + zb.size)""", ctes=ALL)
+    JOIN z za ON za.comp_id = p.a JOIN z zb ON zb.comp_id = p.b WHERE 2 * shared >= 0.75 * (za.size + zb.size)""", ctes=ALL, stored=True)
 def mrg_dice(b):
     sized = merge.set_similarity_pairs(unit_sets(b), 0.54)
     return sized.filter("2 * shared >= 0.75 * (sa + sb)").select("a", "b", r6(2 * F.col("shared") / (F.col("sa") + F.col("sb"))).alias("dice"))

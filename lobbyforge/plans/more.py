@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import service
 from ..operators import itemization, merge
-from ..sources import store
 from . import stages
 from .core import joined, r6
 from .items import CARRIES, FRAME, comp_boards, comp_rates, emblems_of
-from .merging import SETS, profiles, unit_sets
+from .merging import SETS, stored_profiles, unit_sets
 from .ops import NONE
 from .stages import sql
 
@@ -20,7 +19,8 @@ ALL = sql()
 
 
 def traced(b):
-    return merge.trace_profiles(profiles(b), b.config)
+    """The passes, step by step: run once, as the queries below all read what they did."""
+    return b.once("trace", lambda: merge.trace_profiles(stored_profiles(b), b.config))
 
 
 @query("mrg_pass1", stored=True)
@@ -57,8 +57,8 @@ def mrg_debug(b):
 @query("mrg_tail", stored=True)
 def mrg_tail(b):
     """Comps of few boards and the archetype they were assigned to."""
-    made = store.saved(profiles(b), "profiles")
-    archetypes = store.saved(merge.merge_sets(made, b.config), "archetypes")
+    made = stored_profiles(b)
+    archetypes = b.once("archetypes", lambda: merge.merge_sets(made, b.config))
     return merge.tail_labels(made, archetypes, b.config, int(b.spark.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -67,27 +67,24 @@ def mrg_eval(b):
     """Pairs of comps with a wanted outcome against what the merge did with them.
 
     Wanted: pairs whose unit sets agree nine tenths are to merge, pairs whose classes (copies,
-    gated units, heroes) differ are not.  ``known`` marks failures that the merge is known to
-    make: the units agree, but the carries have nothing in common.  Verdict: pass, known or fail.
+    gated units, heroes) differ are not.  Known failures: the units agree, but the carries have
+    nothing in common.
     """
-    made = store.saved(profiles(b), "profiles")
+    made = stored_profiles(b)
     classes = F.struct("copy_sig", "gated_sig", "hero_sig")
     of = lambda side: made.select(F.col("comp_id").alias(side), classes.alias(f"class_{side}"), F.coalesce("carries", F.array().cast("array<string>")).alias(f"carries_{side}"))
     pairs = merge.set_similarity_pairs(unit_sets(b), 0.54).join(of("a"), "a").join(of("b"), "b")
     wanted = F.when(F.col("class_a") != F.col("class_b"), "split").when(F.col("shared") >= 0.9 * F.greatest("sa", "sb"), "merge")
-    named = stages.labels(b)
-    rows = pairs.withColumn("wanted", wanted).filter("wanted IS NOT NULL").join(named.toDF("a", "la"), "a").join(named.toDF("b", "lb"), "b")
-    got = F.when(F.col("la") == F.col("lb"), "merge").otherwise("split")
     apart = ~F.arrays_overlap("carries_a", "carries_b") & (F.size("carries_a") > 0) & (F.size("carries_b") > 0)
-    verdict = F.when(got == F.col("wanted"), "pass").when(apart & (F.col("wanted") == "merge"), "known").otherwise("fail")
-    return rows.select("a", "b", "shared", "wanted", got.alias("got"), verdict.alias("verdict"))
+    rows = pairs.select("a", "b", wanted.alias("wanted"), (apart & (wanted == "merge")).alias("known")).filter("wanted IS NOT NULL")
+    return merge.evaluated(rows, stages.labels(b))
 
 
 PAIRS = SETS + """, pr AS (SELECT p.a, p.b, p.shared, za.size AS sa, zb.size AS sb FROM (SELECT x.comp_id AS a, y.comp_id AS b, count(*) AS shared FROM s x JOIN s y ON x.unit = y.unit AND x.comp_id < y.comp_id GROUP BY ALL) p
     JOIN z za ON za.comp_id = p.a JOIN z zb ON zb.comp_id = p.b WHERE shared >= 0.54 / 1.54 * (za.size + zb.size) - 1e-9)"""
 
 
-@query("mrg_overlap", PAIRS + "SELECT a, b, round(shared / least(sa, sb), 6) AS containment, round(shared / (sa + sb - shared), 6) AS jaccard FROM pr", ctes=ALL)
+@query("mrg_overlap", PAIRS + "SELECT a, b, round(shared / least(sa, sb), 6) AS containment, round(shared / (sa + sb - shared), 6) AS jaccard FROM pr", ctes=ALL, stored=True)
 def mrg_overlap(b):
     rows = merge.set_similarity_pairs(unit_sets(b), 0.54)
     shared = F.col("shared")
@@ -96,7 +93,7 @@ def mrg_overlap(b):
 
 @query("mrg_trait_sim", PAIRS + FRAME.replace("inn AS", "inn AS", 1) + """, cf AS (SELECT c.comp_id, f.trait_id, max(f.level)::DOUBLE AS x FROM frame f JOIN clustered c USING (board_id) WHERE c.comp_id IS NOT NULL GROUP BY ALL), sq AS (SELECT comp_id, sum(x * x) AS q FROM cf GROUP BY 1),
     sh AS (SELECT pr.a, pr.b, sum(least(fa.x, fb.x) * greatest(fa.x, fb.x)) AS num, sum(least(fa.x, fb.x) * least(fa.x, fb.x)) AS low FROM pr JOIN cf fa ON fa.comp_id = pr.a JOIN cf fb ON fb.comp_id = pr.b AND fb.trait_id = fa.trait_id GROUP BY ALL)
-    SELECT pr.a, pr.b, round(CASE WHEN qa.q IS NULL OR qb.q IS NULL THEN -1 ELSE coalesce(num, 0) / (qa.q + qb.q - coalesce(low, 0)) END, 6) AS similarity FROM pr LEFT JOIN sh USING (a, b) LEFT JOIN sq qa ON qa.comp_id = pr.a LEFT JOIN sq qb ON qb.comp_id = pr.b""", ctes=ALL)
+    SELECT pr.a, pr.b, round(CASE WHEN qa.q IS NULL OR qb.q IS NULL THEN -1 ELSE coalesce(num, 0) / (qa.q + qb.q - coalesce(low, 0)) END, 6) AS similarity FROM pr LEFT JOIN sh USING (a, b) LEFT JOIN sq qa ON qa.comp_id = pr.a LEFT JOIN sq qb ON qb.comp_id = pr.b""", ctes=ALL, stored=True)
 def mrg_trait_sim(b):
     """Shared activation of trait frames over squared peaks; -1 where one is unknown."""
     frame = itemization.trait_frame(b.units, b.d_unit_traits, emblems_of(b), b.d_breakpoints)

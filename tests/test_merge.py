@@ -274,6 +274,23 @@ def test_passes_match_the_rules(seed):
     assert sum(k is not None for k in found) > 10
 
 
+def test_verdicts(spark):
+    labels = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "comp_id long, meta_comp string")
+    pairs = spark.createDataFrame([(1, 2, "merge", False), (1, 3, "merge", False), (1, 3, "split", False), (2, 3, "merge", True), (1, 2, "merge", True), (1, 9, "split", False), (8, 9, "merge", False)], "a long, b long, wanted string, known boolean")
+    got = sorted((r.a, r.b, r.wanted, r.got, r.verdict) for r in merge.evaluated(pairs, labels).collect())
+    assert got == sorted([(1, 2, "merge", "merge", "pass"), (1, 3, "merge", "split", "fail"), (1, 3, "split", "split", "pass"), (2, 3, "merge", "split", "known"), (1, 2, "merge", "merge", "fixed"), (1, 9, "split", "split", "pass"), (8, 9, "merge", "split", "fail")])
+
+
+def test_prefix_join_finds_all_pairs(spark):
+    r = random.Random(3)
+    sets = {i: sorted(r.sample("ABCDEFGHIJKLMN", r.randrange(1, 9))) for i in range(120)}
+    table = spark.createDataFrame([(i, u) for i, us in sets.items() for u in us], "comp_id long, unit string")
+    for least in (0.54, 0.75, 1.0):
+        got = {(x.a, x.b): x.shared for x in merge.set_similarity_pairs(table, least).collect()}
+        want = {(i, j): len(set(sets[i]) & set(sets[j])) for i in sets for j in sets if i < j and len(set(sets[i]) & set(sets[j])) >= least * len(set(sets[i]) | set(sets[j])) - 1e-9}
+        assert got == want
+
+
 def test_order_of_rows_does_not_matter():
     profiles = made_up(77)
     assert merge.labelled(merge.merge(profiles, PRODUCTION), PRODUCTION) == merge.labelled(merge.merge(profiles[::-1], PRODUCTION), PRODUCTION)
