@@ -160,6 +160,10 @@ def parts_of(tokens: list[str]) -> list[str]:
     return out
 
 
+def tokens_of(text: str) -> list[str]:
+    return parts_of(text.lower().split())
+
+
 def tampered(token: str) -> bool:
     """Whether signs stand among letters, or a letter comes three times in a row."""
     letters = sum(map(str.isalpha, token))
@@ -169,7 +173,8 @@ def tampered(token: str) -> bool:
     return bool(RUN.search(token)) or any(not c.isalpha() for c in inside.lstrip(".-_*~'`^/\\,:;=#%&?\"()[]{}<>"))
 
 
-CACHED = 400_000
+CACHED = 200_000
+NONE: frozenset[str] = frozenset()
 
 
 class Restorer:
@@ -193,11 +198,10 @@ class Restorer:
         out = {skeleton(p) for p in PLAIN.findall(core)} if not core.isalpha() else {skeleton(core)}
         if len(token) <= MAX_TOKEN and tampered(token):
             out.update(skeleton(p) for p in restore(token.rstrip("!?.,;:*%&#\"'"), self.costs).split("?") if p)
-        return tuple(out)
+        return tuple(token if p == token else p for p in out)  # most words are their own: one string, not two
 
-    def text(self, text: str) -> set[str]:
-        """Words of a text, and stems (with ``~``) that begin several of its words densely."""
-        tokens = parts_of(text.lower().split())
+    def text(self, tokens: list[str]) -> set[str]:
+        """Words of a text's tokens, and stems (with ``~``) that begin several of its words densely."""
         words = self.words
         found: set[str] = set()
         for token in set(tokens):
@@ -209,14 +213,14 @@ class Restorer:
         found.update(f"{stem}~" for stem, n in stems.items() if n > 1 and n * STEM_EVERY >= len(tokens))
         return found
 
-    def spelt(self, text: str) -> list[str]:
+    def spelt(self, text: str, tokens: list[str]) -> list[str]:
         """Skeletons of the letters set apart by blanks, and of long tokens in windows."""
         out = []
         for m in SPELT.finditer(text):
             letters = re.sub(r"[ \t]+", "", m[0].lower())
             for at in range(0, len(letters), 200):  # overlapping windows: any length in bounded time
                 out.append(skeleton(restore(letters[at : at + 240], self.costs)))
-        for token in parts_of(text.lower().split()):
+        for token in tokens:
             if len(token) > MAX_TOKEN and tampered(token):
                 for at in range(0, len(token) - MAX_TOKEN // 2, MAX_TOKEN // 2):
                     out.append(skeleton(restore(token[at : at + MAX_TOKEN], self.costs)))
@@ -242,7 +246,7 @@ class Joiner:
                 if c not in MARKS:
                     letters = LEET.get(c, c)
                     now = {h + x for h in now for x in letters if h + x in self.heads} | {h for h in now if h and h[-1] in letters}
-            found = frozenset(now)
+            found = frozenset(now) or NONE
             if len(self.steps) >= CACHED:
                 self.steps.clear()
             self.steps[heads, token] = found
@@ -253,8 +257,7 @@ class Joiner:
         if found is None:
             if len(self.first) >= CACHED:
                 self.first.clear()
-            found = self.step(frozenset([""]), token) if len(token) <= PIECE and not ends(token) else frozenset()
-            found = found - {""}
+            found = NONE if ends(token) else (self.step(frozenset([""]), token) - {""}) or NONE
             self.first[token] = found
         return found
 
@@ -270,8 +273,7 @@ class Joiner:
         """Words that a run of pieces makes, if they are likelier in one than apart."""
         begin, out = self.begin, set()
         for at, token in enumerate(tokens):
-            heads = begin(token)
-            if not heads:
+            if len(token) > PIECE or not (heads := begin(token)):
                 continue
             for end in range(at + 1, len(tokens)):
                 piece = tokens[end]
@@ -314,7 +316,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         for batch in batches:
             out = []
             for toxic, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                found = restorer.text(text)
+                found = restorer.text(tokens_of(text))
                 out.append((toxic, group_of(found), sorted(found)))
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.list_(pa.string())))], names=["toxic", "copies", "words"])
@@ -338,10 +340,11 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
 def score(text: str, restorer: Restorer, joiner: Joiner, model: Model) -> tuple[float, list[str]]:
     """(probability, toxic words found) of a text."""
-    hits = {w for w in restorer.text(text) if w in model.weights}
-    for letters in restorer.spelt(text) if text else ():
+    tokens = tokens_of(text)
+    hits = {w for w in restorer.text(tokens) if w in model.weights}
+    for letters in restorer.spelt(text, tokens) if text else ():
         hits.update(w for w in model.weights if w in letters and len(w) > STEM)
-    hits |= joiner.find(parts_of(text.lower().split()))
+    hits |= joiner.find(tokens)
     logit = model.prior + sum(model.weights[w] for w in sorted(hits))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), sorted(hits)
 
