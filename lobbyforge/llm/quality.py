@@ -229,7 +229,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str | None, R
     every = counted.filter(F.col("cell") >= shares).agg(F.sum("count")).first()[0] or 0
     own = counted.filter(F.col("lang").isNotNull())
     spoken = own.filter(F.col("cell") >= shares).groupBy("lang").agg(F.sum("count").alias("words")).filter(F.col("words") >= max(MIN_REFERENCE_WORDS, every / LANGUAGES))
-    own = own.join(spoken, "lang", "left_semi")
+    own = own.join(F.broadcast(spoken.select("lang")), "lang", "left_semi")  # LANGUAGES rows at most
     sums = own.groupBy("lang", "cell").agg(F.sum("count").alias("count")).unionByName(counted.groupBy("cell").agg(F.sum("count").alias("count")).withColumn("lang", F.lit(None).cast("string")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "cell"))
     words = sums.filter(F.col("cell") >= shares).withColumn("rank", rank)
