@@ -23,9 +23,10 @@ def prj_rank_bucket(b):
     return players(b).select("c_custkey", codecs.rank_bucket(F.col("tier")).alias("rank_bucket"))
 
 
-@query("prj_bucket_label", "SELECT * FROM (VALUES ('challenger', 'Challenger'), ('master_plus', 'Master+'), ('bronze', 'Bronze')) AS t(bucket, label)", ctes=NONE)
+@query("prj_bucket_label", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Challenger' WHEN 1 THEN 'Master+' ELSE 'Bronze' END AS label FROM customer", ctes=NONE)
 def prj_bucket_label(b):
-    return b.spark.createDataFrame([("challenger",), ("master_plus",), ("bronze",)], "bucket string").withColumn("label", codecs.bucket_label(F.col("bucket")))
+    bucket = F.element_at(F.array(*map(F.lit, ("challenger", "master_plus", "bronze"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return b.table("customer").select("c_custkey", codecs.bucket_label(bucket).alias("label"))
 
 
 @query("flt_tier_scope", f"SELECT c_custkey FROM customer WHERE upper({TIER}) IN ('CHALLENGER', 'EMERALD') OR {TIER} IS NULL", ctes=NONE)
@@ -33,9 +34,11 @@ def flt_tier_scope(b):
     return players(b).filter(codecs.tier_in_scope(F.col("tier"), ("challenger", "Emerald", "unranked"))).select("c_custkey")
 
 
-@query("prj_buckets_in_scope", "SELECT * FROM (VALUES ('challenger'), ('unknown')) AS t(bucket)", ctes=NONE)
+@query("prj_buckets_in_scope", f"SELECT c_custkey FROM customer WHERE upper(coalesce({TIER}, '')) NOT IN ('GRANDMASTER', 'GOLD', 'EMERALD')", ctes=NONE)
 def prj_buckets_in_scope(b):
-    return b.spark.createDataFrame([(x,) for x in sorted(codecs.buckets_in_scope(("CHALLENGER", "unranked")))], "bucket string")
+    """Players in the buckets that a scope of tiers reaches."""
+    wanted = sorted(codecs.buckets_in_scope(("CHALLENGER", "unranked")))
+    return players(b).filter(codecs.rank_bucket(F.col("tier")).isin(*wanted)).select("c_custkey")
 
 
 @query("prj_route", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'americas' WHEN 1 THEN 'europe' WHEN 2 THEN 'asia' ELSE 'sea' END AS route FROM nation", ctes=NONE)
@@ -63,10 +66,11 @@ def prj_classify_item(b):
     return ids.withColumn("kind", codecs.item_kind(F.col("item_id"), F.col("item_id").isin(*COMPONENT_ITEMS)))
 
 
-@query("prj_rng_item", "SELECT * FROM (VALUES ('TFT_Item_Artifact_X', true), ('TFT5_Item_SwordRadiant', true), ('TFT17_AnimaSquadItem_RadiantField', true), ('TFT_Item_I0', false)) AS t(item_id, rng)", ctes=NONE)
+@query("prj_rng_item", "SELECT p_partkey, p_partkey % 4 <> 3 AS rng FROM part", ctes=NONE)
 def prj_rng_item(b):
-    rows = b.spark.createDataFrame([("TFT_Item_Artifact_X",), ("TFT5_Item_SwordRadiant",), ("TFT17_AnimaSquadItem_RadiantField",), ("TFT_Item_I0",)], "item_id string")
-    return rows.withColumn("rng", codecs.rng_item(F.col("item_id")))
+    kinds = F.array(*map(F.lit, ("TFT_Item_Artifact_", "TFT5_Item_SwordRadiant", "TFT17_AnimaSquadItem_RadiantField", "TFT_Item_I")))
+    item = F.concat(F.element_at(kinds, (F.col("p_partkey") % 4 + 1).cast("int")), F.col("p_partkey").cast("string"))
+    return b.table("part").select("p_partkey", codecs.rng_item(item).alias("rng"))
 
 
 @query("flt_item_junk", "SELECT p_partkey, p_name FROM part WHERE p_type NOT LIKE '%BRUSHED%' AND p_partkey % 5 <> 0", ctes=NONE)
@@ -132,11 +136,13 @@ def trait_style(b):
     return counts.select(F.col("units").cast("long").alias("units"), "trait_id", F.coalesce(F.try_element_at(met, F.lit(-1))["style"], F.lit(0)).alias("style"))
 
 
-@query("trait_normalise", "SELECT * FROM (VALUES ('TFT17_T1_x', 'TFT17_T1'), ('TFT17_T2', 'TFT17_T2'), ('Odd_y', 'Odd_y')) AS t(raw, trait_id)", ctes=NONE)
+@query("trait_normalise", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 AND p_partkey % 6 < 4 THEN 'TFT17_T' || (p_partkey % 6) ELSE 'TFT17_T' || (p_partkey % 6) || CASE WHEN p_partkey % 3 = 1 THEN '_x' ELSE '' END END AS trait_id FROM part", ctes=NONE)
 def trait_normalise(b):
-    raw = b.spark.createDataFrame([("TFT17_T1_x",), ("TFT17_T2",), ("Odd_y",)], "raw string")
+    """A variant's trait is its parent's where taking its last part off gives a known one."""
+    k = F.col("p_partkey")
+    raw = b.table("part").select("p_partkey", F.concat(F.lit("TFT17_T"), (k % 6).cast("string"), F.when(k % 3 == 1, "_x").otherwise("")).alias("raw"))
     known = F.broadcast(b.d_breakpoints.select(F.col("trait_id").alias("parent")).distinct())
-    return raw.withColumn("stem", F.regexp_replace("raw", "_[^_]*$", "")).join(known, F.col("stem") == F.col("parent"), "left").select("raw", F.coalesce("parent", "raw").alias("trait_id"))
+    return raw.withColumn("stem", F.regexp_replace("raw", "_[^_]*$", "")).join(known, F.col("stem") == F.col("parent"), "left").select("p_partkey", F.coalesce("parent", "raw").alias("trait_id"))
 
 
 @query("join_trait_name", "SELECT DISTINCT i.item_id, t.trait_id FROM b_items i JOIN (SELECT DISTINCT trait_id FROM d_breakpoints) t ON lower(replace(replace(i.item_id, 'TFT17_Item_', ''), 'EmblemItem', '')) = lower(replace(t.trait_id, 'TFT17_', '')) WHERE lower(item_id) LIKE '%emblem%'")
@@ -213,17 +219,18 @@ def join_multi_membership(b):
     return stages.stats(b).select("n", F.explode(groups).alias("group_key")).groupBy("group_key").agg(F.sum("n").alias("n"))
 
 
-@query("fn_bin_hash", "SELECT * FROM (VALUES ('capstonead', '1b76cfed'), ('EssencePerDeath', '7a9d7f0e')) AS t(name, hash)", ctes=NONE)
+@query("fn_bin_hash", "SELECT p_partkey, printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(lower(p_name || p_partkey), ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)) AS hash FROM part", ctes=NONE)
 def fn_bin_hash(b):
-    return b.spark.createDataFrame([("capstonead",), ("EssencePerDeath",)], "name string").withColumn("hash", codecs.fnv1a32(F.col("name")))
+    return b.table("part").select("p_partkey", codecs.fnv1a32(F.concat(F.col("p_name"), F.col("p_partkey").cast("string"))).alias("hash"))
 
 
-@query("fn_bin_lookup", "SELECT * FROM (VALUES ('capstonead', 5.0), ('Speed', 2.0), ('none', NULL)) AS t(name, value)", ctes=NONE)
+@query("fn_bin_lookup", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 END::DOUBLE AS value FROM part", ctes=NONE)
 def fn_bin_lookup(b):
+    """A field by its name, or by the hash of its name where only that is kept."""
     fields = F.create_map(F.lit("speed"), F.lit(2.0), F.lit("{1b76cfed}"), F.lit(5.0))
-    names = b.spark.createDataFrame([("capstonead",), ("Speed",), ("none",)], "name string")
-    hashed = F.concat(F.lit("{"), codecs.fnv1a32(F.col("name")), F.lit("}"))
-    return names.withColumn("value", F.coalesce(F.try_element_at(fields, F.lower("name")), F.try_element_at(fields, hashed)))
+    name = F.element_at(F.array(*map(F.lit, ("capstonead", "Speed", "none"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    hashed = F.concat(F.lit("{"), codecs.fnv1a32(name), F.lit("}"))
+    return b.table("part").select("p_partkey", F.coalesce(F.try_element_at(fields, F.lower(name)), F.try_element_at(fields, hashed)).alias("value"))
 
 
 def board_cells(b):
@@ -288,10 +295,10 @@ def fn_retryable(b):
     return b.events.select("event_id", status.alias("status")).withColumn("retry", codecs.retryable(F.col("status")))
 
 
-@query("rm_resolve_patch", "SELECT * FROM (VALUES ('Version 14.11.633.5272 (x)', '14.11'), ('Unreal Version ?.?.?.?', '18.0')) AS t(version, patch)", ctes=NONE)
+@query("rm_resolve_patch", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '14.' || p_size ELSE '18.0' END AS patch FROM part", ctes=NONE)
 def rm_resolve_patch(b):
-    rows = b.spark.createDataFrame([("Version 14.11.633.5272 (x)",), ("Unreal Version ?.?.?.?",)], "version string")
-    return rows.withColumn("patch", codecs.patch_of_version(F.col("version"), F.lit(18)))
+    version = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Version 14."), F.col("p_size").cast("string"), F.lit(".633.5272 (x)"))).otherwise("Unreal Version ?.?.?.?")
+    return b.table("part").select("p_partkey", codecs.patch_of_version(version, F.lit(18)).alias("patch"))
 
 
 @query("fn_ordinal", "SELECT n, n || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END AS name FROM (SELECT unnest(generate_series(1, 120)) AS n)", ctes=NONE)
@@ -299,25 +306,29 @@ def fn_ordinal(b):
     return b.spark.range(1, 121).select(F.col("id").alias("n"), codecs.ordinal(F.col("id")).alias("name"))
 
 
-@query("fn_prettify", "SELECT * FROM (VALUES ('TFT_Item_NeedlesslyLargeRod', 'Needlessly Large Rod'), ('TFT17_MissFortune', 'Miss Fortune')) AS t(id, name)", ctes=NONE)
+@query("fn_prettify", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM part", ctes=NONE)
 def fn_prettify(b):
-    return b.spark.createDataFrame([("TFT_Item_NeedlesslyLargeRod",), ("TFT17_MissFortune",)], "id string").withColumn("name", codecs.prettify(F.col("id")))
+    prefix = F.when(F.col("p_partkey") % 2 == 0, "TFT_Item_").otherwise("TFT17_")
+    return b.table("part").select("p_partkey", codecs.prettify(F.concat(prefix, F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")))).alias("name"))
 
 
-@query("fn_resolve_desc", "SELECT * FROM (VALUES ('Gain <b>@AD*100@</b>% power.', 'Gain 25 % power.')) AS t(template, text)", ctes=NONE)
+@query("fn_resolve_desc", "SELECT p_partkey, 'Gain ' || p_size || ' % ' || p_name || '.' AS text FROM part", ctes=NONE)
 def fn_resolve_desc(b):
-    rows = b.spark.createDataFrame([("Gain <b>@AD*100@</b>% power.", ["ad"], [0.25])], "template string, names array<string>, vals array<double>")
-    return rows.select("template", codecs.resolve_desc("template", "names", "vals").alias("text"))
+    template = F.concat(F.lit("Gain <b>@AD*100@</b>% "), F.col("p_name"), F.lit("."))
+    rows = b.table("part").select("p_partkey", template.alias("template"), F.array(F.lit("ad")).alias("names"), F.array(F.col("p_size") / 100.0).alias("vals"))
+    return rows.select("p_partkey", codecs.resolve_desc("template", "names", "vals").alias("text"))
 
 
-@query("fn_rich_plain", "SELECT * FROM (VALUES ('a <i>b</i> [[icon]] c', 'a b c')) AS t(rich, plain)", ctes=NONE)
+@query("fn_rich_plain", "SELECT p_partkey, 'a ' || p_name || ' ' || p_type AS plain FROM part", ctes=NONE)
 def fn_rich_plain(b):
-    return b.spark.createDataFrame([("a <i>b</i> [[icon]] c",)], "rich string").withColumn("plain", codecs.plain_text(F.col("rich")))
+    rich = F.concat(F.lit("a <i>"), F.col("p_name"), F.lit("</i> [[icon]] "), F.col("p_type"))
+    return b.table("part").select("p_partkey", codecs.plain_text(rich).alias("plain"))
 
 
-@query("fn_rarity", "SELECT * FROM (VALUES ('aug_III.tex', 'Prismatic'), ('aug-2.png', 'Gold'), ('aug_I', 'Silver'), ('aug', NULL)) AS t(icon, tier)", ctes=NONE)
+@query("fn_rarity", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Prismatic' WHEN 1 THEN 'Gold' WHEN 2 THEN 'Silver' END AS tier FROM part", ctes=NONE)
 def fn_rarity(b):
-    return b.spark.createDataFrame([("aug_III.tex",), ("aug-2.png",), ("aug_I",), ("aug",)], "icon string").withColumn("tier", codecs.rarity(F.col("icon")))
+    end = F.element_at(F.array(*map(F.lit, ("_III.tex", "-2.png", "_I", ""))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return b.table("part").select("p_partkey", codecs.rarity(F.concat(F.lit("aug_of_"), F.split_part("p_name", F.lit(" "), F.lit(1)), end)).alias("tier"))
 
 
 @query("fn_item_stats", "SELECT p_partkey, CASE WHEN p_size < 10 THEN p_size * 10 || '%' ELSE p_size::VARCHAR END AS stat FROM part", ctes=NONE)
@@ -328,10 +339,12 @@ def fn_item_stats(b):
     return b.table("part").select("p_partkey", shown.alias("stat"))
 
 
-@query("fn_ability_map", "SELECT * FROM (VALUES ('dmg', '10/20/30'), ('mana', '5')) AS t(name, text)", ctes=NONE)
+@query("fn_ability_map", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size || '/' || 2 * p_size || '/' || 3 * p_size ELSE p_size::VARCHAR END AS text FROM part", ctes=NONE)
 def fn_ability_map(b):
-    rows = b.spark.createDataFrame([("dmg", [0, 10, 20, 30, 40]), ("mana", [5, 5, 5, 5])], "name string, vals array<int>")
-    return rows.select("name", F.array_join(F.array_distinct(F.slice("vals", 2, 3)).cast("array<string>"), "/").alias("text"))
+    """Values of an ability at one to three stars; one value where they are the same."""
+    k, even = F.col("p_size"), F.col("p_partkey") % 2 == 0
+    values = F.when(even, F.array(F.lit(0), k, 2 * k, 3 * k, F.lit(9))).otherwise(F.array(k, k, k, k))
+    return b.table("part").select("p_partkey", F.array_join(F.array_distinct(F.slice(values, 2, 3)).cast("array<string>"), "/").alias("text"))
 
 
 @query("rm_library", "SELECT character_id, cost, (SELECT string_agg(trait_id, '|' ORDER BY trait_id) FROM d_unit_traits t WHERE t.character_id = d.character_id) AS traits FROM d_units d WHERE cost BETWEEN 1 AND 5")
