@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 
 UNKNOWN = -1.0
-#: Rounding that the matrices may differ by from sums in another order.
+#: Sums in another order may differ by so much: what misses a limit by less still meets it.
 SLIP = 1e-9
 
 
@@ -194,7 +194,7 @@ def hero_conflict(p: Profile, a: Archetype, d: dict, config: Config) -> bool:
         rate = a.hero_rate[p.hero_sig] / a.evidence if a.evidence else 0.0
     else:
         rate = p.hero_rates.get(d["hero"], 0.0)
-    return rate <= config.merge_hero_low
+    return rate <= config.merge_hero_low + SLIP
 
 
 def judged(p: Profile, a: Archetype, config: Config) -> tuple[float, float, list[str]]:
@@ -206,22 +206,22 @@ def judged(p: Profile, a: Archetype, config: Config) -> tuple[float, float, list
     wc, wj, wo = config.merge_weights
     score = wc * contained + wj * jaccard + wo * overlap
     similar = frame_similarity(p.frame, d["frame"])
-    slack_j = slack_s = config.merge_carry_slack if overlap >= config.merge_carry_strong else 0.0
-    if p.carries and similar >= config.merge_trait_strong:
+    slack_j = slack_s = config.merge_carry_slack if overlap >= config.merge_carry_strong - SLIP else 0.0
+    if p.carries and similar >= config.merge_trait_strong - SLIP:
         slack_j, slack_s = slack_j + config.merge_trait_slack[0], slack_s + config.merge_trait_slack[1]
     margin = config.merge_assign_margin if not p.carries and d["carries"] else 0.0
     failed = (
         ("grade3_conflict", bool(p.grade3 and d["grade3"]) and not p.grade3 & d["grade3"] and p.boards >= config.merge_grade3_min_n),
         ("copy_class", p.copy_sig != d["copy"]),
         ("hero_augment", hero_conflict(p, a, d, config)),
-        ("level_gap", p.level > 0 and d["level"] > 0 and abs(p.level - d["level"]) >= config.merge_level_gap),
+        ("level_gap", p.level > 0 and d["level"] > 0 and abs(p.level - d["level"]) >= config.merge_level_gap - SLIP),
         ("emblem_class", config.require_emblem and p.emblem_sig != d["emblem"]),
         ("gated_class", p.gated_sig != d["gated"]),
-        ("carry_overlap", overlap < config.merge_carry_overlap),
-        ("trait_frame", 0 <= similar < config.merge_trait_min),
-        ("containment", contained < config.merge_containment),
-        ("jaccard", jaccard < config.merge_jaccard - slack_j),
-        ("score", score < config.merge_score + margin - slack_s),
+        ("carry_overlap", overlap < config.merge_carry_overlap - SLIP),
+        ("trait_frame", 0 <= similar < config.merge_trait_min - SLIP),
+        ("containment", contained < config.merge_containment - SLIP),
+        ("jaccard", jaccard < config.merge_jaccard - slack_j - SLIP),
+        ("score", score < config.merge_score + margin - slack_s - SLIP),
     )
     return score, overlap, [name for name, bad in failed if bad]
 
@@ -277,7 +277,7 @@ class Shelf:
         """Archetypes that share enough of the comp's units, in order of founding."""
         ok = (self.sums > 0) & (self.kinds == self.kind(p.copy_sig, p.gated_sig))
         if p.level > 0:
-            ok &= (self.levels == 0) | (np.abs(self.levels - p.level) < self.config.merge_level_gap)
+            ok &= (self.levels == 0) | (np.abs(self.levels - p.level) < self.config.merge_level_gap - SLIP)
         at = np.flatnonzero(ok)
         units = [u for u in p.units if u in self.column]
         mine = np.array([p.weights.get(u, 1.0) for u in units])
@@ -287,7 +287,7 @@ class Shelf:
         with np.errstate(divide="ignore", invalid="ignore"):
             contained, jaccard = both / np.minimum(own, sums), both / (own + sums - both)
         score = self.config.merge_weights[0] * contained + self.config.merge_weights[1] * jaccard
-        return at[(contained >= self.config.merge_containment - SLIP) & (jaccard >= self.least_jaccard - SLIP) & (score >= self.least_score - SLIP)].tolist()
+        return at[(contained >= self.config.merge_containment - 2 * SLIP) & (jaccard >= self.least_jaccard - 2 * SLIP) & (score >= self.least_score - 2 * SLIP)].tolist()
 
     def takers(self, p: Profile, ids: Iterable[int]) -> Iterator[tuple[int, bool, float]]:
         """(archetype, whether it has evidence, score) of those that take the comp."""
@@ -436,18 +436,18 @@ def assign_tail(tail: list[Profile], archetypes: list[Profile], config: Config,
             present = np.where(checkable > 0, (mine @ proxies.T) / checkable, 1.0)
             contained = both / np.minimum(own[:, None], sums)
             jaccard = both / (own[:, None] + sums - both)
-        slack = np.where(present >= config.merge_carry_strong, config.merge_carry_slack, 0.0)
+        slack = np.where(present >= config.merge_carry_strong - SLIP, config.merge_carry_slack, 0.0)
         score = wc * contained + wj * jaccard + wo * present
-        fits = (present >= config.merge_carry_overlap) & (contained >= config.merge_containment) & (jaccard >= config.merge_jaccard - slack) & (score >= config.merge_score + config.merge_assign_margin - slack)
+        fits = (present >= config.merge_carry_overlap - SLIP) & (contained >= config.merge_containment - SLIP) & (jaccard >= config.merge_jaccard - slack - SLIP) & (score >= config.merge_score + config.merge_assign_margin - slack - SLIP)
         for name, theirs in classes.items():
             fits &= text(part, name)[:, None] == theirs
         level = number(part, "level")[:, None]
-        fits &= ~((level > 0) & (levels > 0) & (np.abs(level - levels) >= config.merge_level_gap))
+        fits &= ~((level > 0) & (levels > 0) & (np.abs(level - levels) >= config.merge_level_gap - SLIP))
         third = marks([p.grade3 for p in part])
         sampled = np.array([bool(p.grade3) and p.boards >= config.merge_grade3_min_n for p in part])
         fits &= ~(sampled[:, None] & hits & (third @ grade3.T == 0))
         for row, p in enumerate(part):
-            found = [k for k in np.flatnonzero(fits[row]).tolist() if not 0 <= frame_similarity(p.frame, archetypes[k].frame) < config.merge_trait_min]
+            found = [k for k in np.flatnonzero(fits[row]).tolist() if not 0 <= frame_similarity(p.frame, archetypes[k].frame) < config.merge_trait_min - SLIP]
             out.append(max(found, key=lambda k: (evidence[k], score[row, k], -k), default=None))
     return out
 
@@ -544,6 +544,24 @@ def evaluated(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("a", "b", "wanted", got.alias("got"), verdict.alias("verdict"))
 
 
+def compare_pairs(pairs: DataFrame, profiles: DataFrame, config: Config) -> DataFrame:
+    """a, b, score and reason of pairs (a, b): comp a against an archetype of comp b alone."""
+    columns = [c.split(" ")[0] for c in PROFILE.split(", ")]
+    of = lambda side: profiles.select(F.col("comp_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+    rows = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            sides = []
+            for side in "ab":
+                mine = pdf[[f"{c}_{side}" for c in columns]].set_axis(columns, axis=1)
+                sides.append([to_profile(r) for r in mine.itertuples()])
+            found = [compare(p, Archetype().add(q), config) for p, q in zip(*sides)]
+            yield pd.DataFrame({"a": pdf.a, "b": pdf.b, "score": [s for s, _ in found], "reason": [r for _, r in found]})
+
+    return rows.mapInPandas(run, "a long, b long, score double, reason string")
+
+
 def set_similarity_pairs(sets: DataFrame, least: float) -> DataFrame:
     """(a, b, shared, sa, sb): pairs of comps whose unit sets (comp_id, unit) reach a Jaccard; their shared units and sizes.
 

@@ -43,11 +43,6 @@ def mrg_pass4_label(b):
     return traced(b).select("comp_id", "label")
 
 
-@query("mrg_compare", stored=True)
-def mrg_compare(b):
-    return traced(b).select("comp_id", "label", r6("score").alias("score"), "reason")
-
-
 @query("mrg_debug", stored=True)
 def mrg_debug(b):
     """Comps that their own archetype would not take today, with the reason."""
@@ -84,6 +79,44 @@ PAIRS = SETS + """, pr AS (SELECT p.a, p.b, p.shared, za.size AS sa, zb.size AS
     JOIN z za ON za.comp_id = p.a JOIN z zb ON zb.comp_id = p.b WHERE shared >= 0.54 / 1.54 * (za.size + zb.size) - 1e-9)"""
 
 
+#: Profiles and their comparison, as they are written down: sets are tables of (comp, unit).
+COMPARE = PAIRS + CARRIES + """, tt AS (SELECT comp_id, sum(n) AS boards, max(n) >= 3 AS known FROM stats GROUP BY 1), lv AS (SELECT comp_id, avg(level) AS level FROM clustered WHERE comp_id IS NOT NULL GROUP BY 1),
+cs AS (SELECT DISTINCT ('0x' || substr(md5(signature), 1, 15))::BIGINT AS comp_id, core_units, three_stars, worn FROM signed),
+raw AS (SELECT comp_id, unnest(string_split(core_units, '|')) AS u FROM cs), cu AS (SELECT DISTINCT comp_id, u FROM raw), th AS (SELECT DISTINCT comp_id, unnest(string_split(three_stars, '|')) AS u FROM cs WHERE three_stars <> ''),
+ca AS (SELECT c.comp_id, c.character_id AS u, c.damage_rate >= 0.25 AS hurts FROM carry c JOIN tt ON tt.comp_id = c.comp_id WHERE tt.known),
+rt AS (SELECT cu.comp_id, cu.u, tt.known, d.cost, coalesce(r.full_rate, 0) AS f, coalesce(r.top_rate, 0) AS t, coalesce(r.damage_rate, 0) AS h, th.u IS NOT NULL AS third, ca.u IS NOT NULL AS carries FROM cu JOIN tt ON tt.comp_id = cu.comp_id JOIN d_units d ON d.character_id = cu.u
+    LEFT JOIN rates r ON r.comp_id = cu.comp_id AND r.character_id = cu.u LEFT JOIN th ON th.comp_id = cu.comp_id AND th.u = cu.u LEFT JOIN ca ON ca.comp_id = cu.comp_id AND ca.u = cu.u),
+wt AS (SELECT comp_id, u, CASE WHEN NOT known OR third OR carries OR t >= 0.5 THEN 1.0 WHEN cost >= 4 AND f < 0.25 AND t < 0.25 THEN 0.25 ELSE 0.7 END::DOUBLE AS w, third AND (NOT known OR carries OR t >= 0.5) AS hit, CASE WHEN known AND third AND u IN ('U0', 'U1') THEN h END AS hero FROM rt),
+hs AS (SELECT comp_id, arg_min(u, (-hero, u)) AS hero_sig FROM wt WHERE hero >= 0.5 GROUP BY 1),
+cp2 AS (SELECT comp_id, string_agg(u, '|' ORDER BY u) AS copy_sig FROM (SELECT comp_id, u FROM raw JOIN d_units d ON d.character_id = u WHERE cost <= 3 GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1),
+gs AS (SELECT comp_id, string_agg(u, '|' ORDER BY u) AS gated_sig FROM cu WHERE u IN ('U2', 'U5') GROUP BY 1),
+tn AS (SELECT comp_id, trait_id, count(*) AS k FROM (SELECT cu.comp_id, t.trait_id FROM cu JOIN d_unit_traits t ON t.character_id = cu.u UNION ALL SELECT comp_id, replace(replace(replace(unnest(string_split(worn, '|')), 'emb:', ''), 'Item_', ''), 'EmblemItem', '') FROM cs WHERE worn <> '') GROUP BY ALL),
+fr AS (SELECT tn.comp_id, tn.trait_id, count(*)::DOUBLE AS x FROM tn JOIN d_breakpoints d ON d.trait_id = tn.trait_id AND d.min_units <= tn.k GROUP BY ALL), fq AS (SELECT comp_id, sum(x * x) AS q FROM fr GROUP BY 1),
+one AS (SELECT tt.comp_id, boards, level, coalesce(hero_sig, '') AS hero_sig, coalesce(copy_sig, '') AS copy_sig, coalesce(gated_sig, '') AS gated_sig, (SELECT count(*) FROM ca WHERE ca.comp_id = tt.comp_id) AS nc, (SELECT count(*) FROM ca WHERE ca.comp_id = tt.comp_id AND hurts) AS nd,
+    (SELECT count(*) FROM wt WHERE wt.comp_id = tt.comp_id AND hit) AS nh, (SELECT sum(w) FROM wt WHERE wt.comp_id = tt.comp_id) AS sw, (SELECT count(*) FROM ca JOIN cu ON cu.comp_id = ca.comp_id AND cu.u = ca.u WHERE ca.comp_id = tt.comp_id) AS nf, fq.q
+    FROM tt JOIN lv ON lv.comp_id = tt.comp_id LEFT JOIN hs ON hs.comp_id = tt.comp_id LEFT JOIN cp2 ON cp2.comp_id = tt.comp_id LEFT JOIN gs ON gs.comp_id = tt.comp_id LEFT JOIN fq ON fq.comp_id = tt.comp_id),
+cc AS (SELECT pr.a, pr.b, count(*) AS both_c, count(*) FILTER (WHERE x.hurts AND y.hurts) AS both_d FROM pr JOIN ca x ON x.comp_id = pr.a JOIN ca y ON y.comp_id = pr.b AND y.u = x.u GROUP BY ALL),
+ab AS (SELECT pr.a, pr.b, count(*) AS a_in_b FROM pr JOIN ca x ON x.comp_id = pr.a JOIN cu y ON y.comp_id = pr.b AND y.u = x.u GROUP BY ALL), ba AS (SELECT pr.a, pr.b, count(*) AS b_in_a FROM pr JOIN ca x ON x.comp_id = pr.b JOIN cu y ON y.comp_id = pr.a AND y.u = x.u JOIN cu z ON z.comp_id = pr.b AND z.u = x.u GROUP BY ALL),
+ww AS (SELECT pr.a, pr.b, sum((x.w + y.w) / 2) AS both_w, count(*) FILTER (WHERE x.hit AND y.hit) AS both_h FROM pr JOIN wt x ON x.comp_id = pr.a JOIN wt y ON y.comp_id = pr.b AND y.u = x.u GROUP BY ALL),
+ff AS (SELECT pr.a, pr.b, sum(least(x.x, y.x) * greatest(x.x, y.x)) AS num, sum(least(x.x, y.x) * least(x.x, y.x)) AS low FROM pr JOIN fr x ON x.comp_id = pr.a JOIN fr y ON y.comp_id = pr.b AND y.trait_id = x.trait_id GROUP BY ALL),
+ol AS (SELECT pr.a, pr.b, x.boards, x.level AS la, y.level AS lb, x.copy_sig <> y.copy_sig AS copies, x.gated_sig <> y.gated_sig AS gates, x.hero_sig AS ha, y.hero_sig AS hb, x.nc, y.nc AS nc_b, x.nh > 0 AND y.nh > 0 AND both_h = 0 AS hits, both_w / least(x.sw, y.sw) AS c, both_w / (x.sw + y.sw - both_w) AS j,
+    CASE WHEN x.q IS NULL OR y.q IS NULL THEN -1 ELSE coalesce(num, 0) / (x.q + y.q - coalesce(low, 0)) END AS s,
+    CASE WHEN x.nd > 0 AND y.nd > 0 AND coalesce(both_d, 0) > 0 THEN 2 * both_d / (x.nd + y.nd) WHEN x.nd > 0 AND y.nd > 0 THEN 2 * coalesce(both_c, 0) / (x.nc + y.nc) WHEN x.nc = 0 AND y.nc = 0 THEN 1 WHEN x.nc = 0 THEN CASE WHEN y.nf = 0 THEN 1 ELSE coalesce(b_in_a, 0) / y.nf END
+        WHEN y.nc = 0 THEN coalesce(a_in_b, 0) / x.nc ELSE 2 * coalesce(both_c, 0) / (x.nc + y.nc) END::DOUBLE AS o
+    FROM pr JOIN one x ON x.comp_id = pr.a JOIN one y ON y.comp_id = pr.b JOIN ww USING (a, b) LEFT JOIN cc USING (a, b) LEFT JOIN ab USING (a, b) LEFT JOIN ba USING (a, b) LEFT JOIN ff USING (a, b)),
+lim AS (SELECT *, 0.45 * c + 0.35 * j + 0.2 * o AS score, CASE WHEN o >= 0.75 - 1e-9 THEN 0.06 ELSE 0 END + CASE WHEN nc > 0 AND s >= 0.65 - 1e-9 THEN 0.12 ELSE 0 END AS sj, CASE WHEN o >= 0.75 - 1e-9 THEN 0.06 ELSE 0 END + CASE WHEN nc > 0 AND s >= 0.65 - 1e-9 THEN 0.15 ELSE 0 END AS ss,
+    CASE WHEN nc = 0 AND nc_b > 0 THEN 0.02 ELSE 0 END AS margin, ha <> hb AND ((ha <> '' AND hb <> '') OR coalesce(CASE WHEN ha <> '' THEN CASE WHEN nc_b > 0 THEN (SELECT hero FROM wt WHERE wt.comp_id = ol.b AND wt.u = ol.ha) END ELSE (SELECT hero FROM wt WHERE wt.comp_id = ol.a AND wt.u = ol.hb) END, 0) <= 0.2 + 1e-9) AS heroes FROM ol)
+SELECT a, b, round(score, 6) AS score, CASE WHEN hits AND boards >= 10 THEN 'grade3_conflict' WHEN copies THEN 'copy_class' WHEN heroes THEN 'hero_augment' WHEN abs(la - lb) >= 1.75 - 1e-9 THEN 'level_gap' WHEN gates THEN 'gated_class' WHEN o < 0.34 - 1e-9 THEN 'carry_overlap' WHEN s >= 0 AND s < 0.2 - 1e-9 THEN 'trait_frame'
+    WHEN c < 0.75 - 1e-9 THEN 'containment' WHEN j < 0.6 - sj - 1e-9 THEN 'jaccard' WHEN score < 0.78 + margin - ss - 1e-9 THEN 'score' ELSE '' END AS reason FROM lim"""
+
+
+@query("mrg_compare", COMPARE, ctes=ALL, stored=True)
+def mrg_compare(b):
+    """Similar comps one against the other: score, and the first reason why they are not one archetype."""
+    pairs = merge.set_similarity_pairs(unit_sets(b), 0.54)
+    return merge.compare_pairs(pairs, stored_profiles(b), b.config).select("a", "b", r6("score").alias("score"), "reason")
+
+
 @query("mrg_overlap", PAIRS + "SELECT a, b, round(shared / least(sa, sb), 6) AS containment, round(shared / (sa + sb - shared), 6) AS jaccard FROM pr", ctes=ALL, stored=True)
 def mrg_overlap(b):
     rows = merge.set_similarity_pairs(unit_sets(b), 0.54)

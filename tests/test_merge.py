@@ -179,16 +179,16 @@ def fit(p, a, c, tail=False):
         hero = p.hero_sig != a.hero_sig
     else:
         hero = (a.hero_rates.get(p.hero_sig, 0) if p.hero_sig else p.hero_rates.get(a.hero_sig, 0)) <= c.merge_hero_low
-    strong = agree >= c.merge_carry_strong
-    trait = not tail and bool(p.carries) and similar >= c.merge_trait_strong
+    strong = agree >= c.merge_carry_strong - 1e-9
+    trait = not tail and bool(p.carries) and similar >= c.merge_trait_strong - 1e-9
     sj = c.merge_carry_slack * strong + c.merge_trait_slack[0] * trait
     ss = c.merge_carry_slack * strong + c.merge_trait_slack[1] * trait
     margin = c.merge_assign_margin if tail or (not p.carries and a.carries) else 0.0
     score = sum(x * y for x, y in zip(c.merge_weights, (contained, jaccard, agree)))
     bad = (
         p.grade3 and a.grade3 and not p.grade3 & a.grade3 and p.boards >= c.merge_grade3_min_n, p.copy_sig != a.copy_sig, hero,
-        p.level > 0 and a.level > 0 and abs(p.level - a.level) >= c.merge_level_gap, p.gated_sig != a.gated_sig, agree < c.merge_carry_overlap,
-        0 <= similar < c.merge_trait_min, contained < c.merge_containment, jaccard < c.merge_jaccard - sj, score < c.merge_score + margin - ss,
+        p.level > 0 and a.level > 0 and abs(p.level - a.level) >= c.merge_level_gap, p.gated_sig != a.gated_sig, agree < c.merge_carry_overlap - 1e-9,
+        0 <= similar < c.merge_trait_min - 1e-9, contained < c.merge_containment - 1e-9, jaccard < c.merge_jaccard - sj - 1e-9, score < c.merge_score + margin - ss - 1e-9,
     )
     return score, not any(bad)
 
