@@ -174,7 +174,7 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 #: Words that a cache holds before it begins anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_300_000
 
 
 class Words:
