@@ -89,7 +89,7 @@ FOLD[ord("A") : ord("Z") + 1] += 32
 
 
 POWERS: dict[int, np.ndarray] = {}
-KEPT_POWERS = 1 << 23
+KEPT_POWERS = 1 << 21
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:

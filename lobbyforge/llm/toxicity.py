@@ -173,7 +173,7 @@ def tampered(token: str) -> bool:
     return bool(RUN.search(token)) or any(not c.isalpha() for c in inside.lstrip(".-_*~'`^/\\,:;=#%&?\"()[]{}<>"))
 
 
-CACHED = 200_000
+CACHED = 120_000
 NONE: frozenset[str] = frozenset()
 
 
