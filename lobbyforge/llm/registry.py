@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, licenses, mixing, near_dedup, ppm, quality, sharding, simple8b, toxicity, winnowing
-from .common import crc_mod5, documents, new_path
+from . import byte_bpe, licenses, mixing, near_dedup, ppm, quality, resampling, search, sharding, simple8b, toxicity, url_filter, winnowing
+from .common import crc_mod5, discard, documents, new_path
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -66,6 +66,25 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(documents(spark, sf_dir))
 
 
+def op11_word_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards ``benchmark``, its score and, if drawn, its rank."""
+    found = resampling.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
+    return found.select("_doc.doc_id", F.col("_features").alias("n_features"), F.col("_weight").alias("weight"), F.col("_score").alias("score"), F.col("_rank").alias("rank"))
+
+
+def op12_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id"])
+    return judged.select("_page.page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+
+
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each ``benchmark`` item, from an index of all documents."""
+    index = search.build(documents(spark, sf_dir))
+    found = search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    discard(index.shards)
+    return found
+
+
 def _filled(name: str, nodes: str, parent: str, key: str) -> str:
     """CTEs that share each parent's budget among its children by weight, with limits."""
     own = f"PARTITION BY {parent}" if parent else ""
@@ -138,7 +157,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hierarchical_mix": op8_hierarchical_mix,
     "op9_simple8b": op9_simple8b,
     "op10_chosen_path": op10_chosen_path,
+    "op11_word_tries": op11_word_tries,
+    "op12_url_trees": op12_url_trees,
+    "op13_impact_search": op13_impact_search,
 }
 
+#: Terms of whole texts, for operators 11 and 13: letters and digits of ASCII and all other characters.
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: The CRC of a word is a fold over its bytes with the table of the polynomial 0xEDB88320.
+RESAMPLING_SQL = f"""WITH bits AS (SELECT i, list_reduce(list_prepend(i, range(1, 9)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM (SELECT unnest(range(256)) AS i)),
+crcs AS (SELECT list(v ORDER BY i) AS t FROM bits),
+doc AS (SELECT row_number() OVER () AS row_id, doc_id, {_TERMS} AS terms FROM documents),
+words AS (SELECT row_id, unnest(terms) AS word FROM doc),
+goal AS (SELECT unnest({_TERMS}) AS word FROM benchmark),
+vocabulary AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM words UNION SELECT word FROM goal)),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket FROM vocabulary, crcs),
+source AS (SELECT bucket, count(*) AS s FROM words JOIN hashed USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM goal JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM source)::DOUBLE AS sa, (SELECT coalesce(sum(t), 0) FROM target)::DOUBLE AS ta),
+gains AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (sa + 10000)) / ((s + 1)::DOUBLE * (ta + 10000))))::BIGINT AS gain FROM source LEFT JOIN target USING (bucket), sums),
+weights AS (SELECT row_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM words JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY row_id),
+lucky AS (SELECT row_id, doc_id, len(terms)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM doc LEFT JOIN weights USING (row_id)),
+placed AS (SELECT row_id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM lucky WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM placed) * 10 // 100 THEN rank END::BIGINT AS rank FROM lucky LEFT JOIN placed USING (row_id)"""
+
+SEARCH_SQL = f"""WITH doc AS (SELECT row_number() OVER () AS row_id, doc_id, {_TERMS} AS terms FROM documents),
+held AS (SELECT row_id, len(terms)::BIGINT AS n FROM doc WHERE len(terms) > 0),
+sums AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM held),
+asked AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS terms FROM benchmark),
+wanted AS (SELECT q, term, count(*)::BIGINT AS times FROM (SELECT q, unnest(terms) AS term FROM asked) GROUP BY ALL),
+posting AS (SELECT row_id, term, count(*)::BIGINT AS tf FROM (SELECT row_id, unnest(terms) AS term FROM doc) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM posting, sums GROUP BY term, docs),
+impact AS (SELECT row_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)) AS worth FROM posting JOIN held USING (row_id), sums),
+scored AS (SELECT q, row_id, sum(times * w * worth)::BIGINT AS score FROM wanted JOIN weight USING (term) JOIN impact USING (term) GROUP BY q, row_id HAVING sum(times * w * worth) > 0),
+placed AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored JOIN doc USING (row_id))
+SELECT item_id, rank::INT AS rank, doc_id, score FROM placed JOIN asked USING (q) WHERE rank <= 20"""
+
 #: SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op3_sentence_rules": LICENSE_SQL, "op8_hierarchical_mix": MIX_SQL}
+ORACLES: dict[str, str] = {"op3_sentence_rules": LICENSE_SQL, "op8_hierarchical_mix": MIX_SQL, "op11_word_tries": RESAMPLING_SQL, "op13_impact_search": SEARCH_SQL}
