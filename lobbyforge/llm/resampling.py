@@ -14,7 +14,7 @@ Null and empty texts have no words, no features, a weight of 0, and are drawn on
 Repeated rows are documents each; those equal in all that orders them have different ranks in any order.
 Empty tables give empty results; an empty target has zero counts.  Other columns, whatever their
 names, travel with their documents in a struct.  Very long texts are worked through in windows
-of ``WINDOW`` characters that end between words.
+of ``window`` characters that end between words.
 """
 
 from __future__ import annotations
@@ -36,9 +36,8 @@ from .common import fold, slices, texts_of, written
 #: Letters and digits of ASCII and all other characters (fixed values of the contract), of lower-cased texts.
 WORDS = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 SEPARATOR = re.compile("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]")
-WINDOW = 1 << 20
-#: Nodes of a trie before it is poured out, and buckets that leave a task in one row.
-MOST_NODES, LANE = 300_000, 100
+#: Buckets that leave a task in one row.
+LANE = 100
 #: Width of the slices of scores that are counted before any row is ranked.
 SLICE = 100
 
@@ -50,6 +49,9 @@ class Settings:
     percent: int = 10
     least_words: int = 20
     seed: int = 2024
+    #: Characters worked through at once, and nodes of a trie before it is poured out: no result depends on them.
+    window: int = 1 << 20
+    most_nodes: int = 300_000
 
 
 class Node:
@@ -101,8 +103,8 @@ class Trie:
     def text(self, text: str) -> tuple[int, int, int]:
         """(features, words, gains) of a lower-cased text."""
         features = n_words = gain = 0
-        for words, starts in windows(text, self.settings.longest):
-            if self.nodes > MOST_NODES:
+        for words, starts in windows(text, self.settings):
+            if self.nodes > self.settings.most_nodes:
                 self.pour()
             f, g = self.walk(words, starts)
             features, n_words, gain = features + f, n_words + starts, gain + g
@@ -121,15 +123,16 @@ class Trie:
         self.clear()
 
 
-def windows(text: str, longest: int) -> Iterator[tuple[list[str], int]]:
+def windows(text: str, settings: Settings) -> Iterator[tuple[list[str], int]]:
     """Words of a text by windows, each with the words that runs begun in it need, and how many begin in it."""
-    if len(text) <= WINDOW:
+    longest, window = settings.longest, settings.window
+    if len(text) <= window:
         words = WORDS.findall(text)
         yield words, len(words)
         return
     at, held = 0, []
     while at < len(text):
-        cut = SEPARATOR.search(text, at + WINDOW)
+        cut = SEPARATOR.search(text, at + window)
         end = cut.start() if cut else len(text)
         held += WORDS.findall(text, at, end)
         at = end

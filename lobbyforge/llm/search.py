@@ -97,8 +97,8 @@ class Shard:
             self.counts.append(found)
             self.bytes += len(text)
 
-    def full(self) -> bool:
-        return self.bytes >= SHARD_BYTES or len(self.ids) >= SHARD_DOCS
+    def full(self, most_bytes: int) -> bool:
+        return self.bytes >= most_bytes or len(self.ids) >= SHARD_DOCS
 
     def batch(self, totals: Totals) -> pa.RecordBatch:
         place: dict[str, int] = {}
@@ -120,7 +120,7 @@ def totals_of(docs: DataFrame) -> Totals:
     return Totals(*row)
 
 
-def build(docs: DataFrame) -> Index:
+def build(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Index:
     """The index of all documents, written to the shared folder; no row leaves the task that read it."""
     totals = totals_of(docs)
 
@@ -130,7 +130,7 @@ def build(docs: DataFrame) -> Index:
             for piece in slices(batch):
                 for doc_id, text in zip(piece.column(0).to_pylist(), texts_of(piece.column(1))):
                     shard.add(doc_id, text)
-                    if shard.full():
+                    if shard.full(shard_bytes):
                         yield shard.batch(totals)
                         shard = Shard()
         if shard.ids:

@@ -10,7 +10,6 @@ import zlib
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from lobbyforge.llm import registry, resampling, search, url_filter
 from lobbyforge.llm.url_filter import Settings
@@ -64,10 +63,8 @@ def brute_weights(documents, target, longest, buckets=10_000):
 
 
 @pytest.mark.parametrize(("longest", "window", "nodes"), [(1, 1 << 20, 300_000), (2, 50, 20), (3, 7, 1)])
-def test_resampling(docs, goal, monkeypatch, longest, window, nodes):
-    monkeypatch.setattr(resampling, "WINDOW", window)
-    monkeypatch.setattr(resampling, "MOST_NODES", nodes)
-    settings = resampling.Settings(longest=longest, percent=30)
+def test_resampling(docs, goal, longest, window, nodes):
+    settings = resampling.Settings(longest=longest, percent=30, window=window, most_nodes=nodes)
     data = rows()
     want, able = Counter(), []
     for (doc_id, text, *_), (n, weight) in zip(data, brute_weights([d[1] for d in data], [g[1] for g in GOAL], longest)):
@@ -241,18 +238,22 @@ def brute_search(documents, queries, top):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("shard", "block", "window", "top"), [(1 << 20, 500, 1 << 20, 20), (300, 2, 30, 3), (1, 1, 5, 1)])
-def test_search(docs, goal, monkeypatch, shard, block, window, top):
-    monkeypatch.setattr(search, "SHARD_BYTES", shard)
+@pytest.mark.parametrize(("shard", "block", "top"), [(1 << 20, 500, 20), (300, 2, 3), (1, 1, 1)])
+def test_search(docs, goal, monkeypatch, shard, block, top):
     monkeypatch.setattr(search, "BLOCK_QUERIES", block)
-    monkeypatch.setattr(search, "WINDOW", window)
-    index = search.build(docs)
+    index = search.build(docs, shard)
     got = search.search(index, goal, top)
     assert got.dtypes == [("item_id", "bigint"), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
     assert Counter(map(tuple, got.collect())) == brute_search(rows(), GOAL, top)
     assert index.shards.count() >= (20 if shard == 300 else 1)
 
 
+def test_terms_of_long_texts(monkeypatch):
+    want = [search.counted(t or "") for _, t, *_ in rows()]
+    monkeypatch.setattr(search, "WINDOW", 5)
+    assert [search.counted(t or "") for _, t, *_ in rows()] == want
+
+
 def test_best_is_safe_with_ties():
     import numpy as np
 
