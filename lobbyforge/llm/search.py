@@ -33,10 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import fold, slices, texts_of, written
 
-#: Letters and digits of ASCII and all other characters (fixed values of the contract), of lower-cased texts.
-TERM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-TERMS = re.compile(TERM)
-SEPARATOR = re.compile("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]")
+#: Letters and digits of ASCII and all other characters (fixed values of the contract).
+TERMS = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+SEPARATOR = re.compile("[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")
 WINDOW = 1 << 20
 SHARD_BYTES, SHARD_DOCS = 2 << 20, 1 << 14
 #: Queries answered by one pass over the index: at most so many, and of so many bytes (a longer one alone).
@@ -63,19 +62,28 @@ class Index:
     totals: Totals
 
 
-def counted(text: str) -> Counter:
-    """Occurrences of a lower-cased text's terms."""
-    if len(text) <= WINDOW:
-        return Counter(TERMS.findall(text))
-    out, at = Counter(), 0
+def windows(text: str) -> Iterator[list[str]]:
+    """Terms of a text by windows that end between terms."""
+    at = 0
     while at < len(text):
-        cut = SEPARATOR.search(text, at + WINDOW)
+        cut = SEPARATOR.search(text, at + WINDOW) if len(text) > at + WINDOW else None
         end = cut.start() if cut else len(text)
-        out.update(TERMS.findall(text, at, end))
+        yield TERMS.findall(text, at, end)
         at = end
+
+
+def counted(text: str) -> Counter:
+    """Occurrences of a lower-cased text's terms."""
+    out: Counter = Counter()
+    for terms in windows(text):
+        out.update(terms)
     return out
 
 
+def n_terms(text: str) -> int:
+    return sum(map(len, windows(text)))
+
+
 def impacts(tf: np.ndarray, length: np.ndarray, totals: Totals) -> np.ndarray:
     """What an occurrence count is worth in a document of so many terms."""
     norm = 100 - LENGTH_PART + LENGTH_PART * length * totals.documents // totals.terms
@@ -114,9 +122,18 @@ class Shard:
 
 
 def totals_of(docs: DataFrame) -> Totals:
-    """Counted by columns in one pass, before any impact can be reckoned."""
-    n = F.regexp_count(fold(F.coalesce("text", F.lit(""))), F.lit(TERM))
-    row = docs.select(n.cast("long").alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+    """Counted in one pass, before any impact can be reckoned; a task gives one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents = terms = 0
+        for batch in batches:
+            for piece in slices(batch):
+                found = [n_terms(t) for t in texts_of(piece.column(0))]
+                documents, terms = documents + len(found) - found.count(0), terms + sum(found)
+        yield pa.RecordBatch.from_pydict({"documents": [documents], "terms": [terms]})
+
+    # letters of either case make the same terms, so no text need be folded to count them
+    row = docs.select("text").mapInArrow(run, "documents long, terms long").agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
     return Totals(*row)
 
 
