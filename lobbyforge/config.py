@@ -34,6 +34,15 @@ class Config:
     unit_min_boards: int = 10
     variant_cap: int = 8
     build_min_boards: int = 5
+    build_items: int = 3
+    build_cap: int = 3
+    flex_cap: int = 8
+    strip_units: int = 10
+    top_boards: int = 3
+    hit_share: float = 0.35
+    representative_boards: int = 5
+    representative_fraction: float = 0.05
+    reroll_max_cost: int = 3
     emblem_split_swing: float = 0.15
     emblem_split_k: float = 1.5
     emblem_split_floor: int = 50

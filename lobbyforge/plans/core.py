@@ -348,10 +348,3 @@ def win_rank_bucket(b):
     s = stages.stats(b).filter(F.col("n") >= b.config.seed_min_total).withColumn("score", scoring.shrunk_score(b.config))
     rows = scoring.ranked(s, list(rollup.BUCKET), "comp_id")
     return rows.select("comp_id", *rollup.BUCKET, scoring.static_tier(F.col("score"), b.config).alias("tier"), F.col("_rank").alias("rank_order"))
-
-
-@query("rm_tier_list", CUTS + f"""SELECT gkey, patch_id, region, rank_bucket, {DYNAMIC} AS tier, n, round(score, 6) AS score, round(placement_sum / n, 6) AS avg_placement, round(top4_count / n, 6) AS top4_rate, round(n / total_boards, 6) AS play_rate,
-    row_number() OVER (PARTITION BY patch_id, region, rank_bucket ORDER BY score DESC, gkey) AS position FROM scored LEFT JOIN cuts USING (patch_id, region, rank_bucket) JOIN totals USING (patch_id, region, rank_bucket) WHERE n >= 3""", ctes=ALL, stored=True, merged=True)
-def rm_tier_list(b):
-    rows = tiered(b).join(F.broadcast(stages.totals(b)), list(rollup.BUCKET))
-    return rows.select("gkey", *rollup.BUCKET, "tier", "n", r6("score").alias("score"), r6(F.col("placement_sum") / F.col("n")).alias("avg_placement"), r6(F.col("top4_count") / F.col("n")).alias("top4_rate"), r6(F.col("n") / F.col("total_boards")).alias("play_rate"), F.col("_rank").alias("position"))

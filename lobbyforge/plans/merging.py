@@ -156,45 +156,6 @@ def set_union_all(b):
     return s.filter("n >= 3").withColumn("kind", F.lit("floored")).unionByName(s.filter("n = 2").withColumn("kind", F.lit("mid")))
 
 
-@query("rm_archetype_row", f""", m AS (SELECT k.*, s.three_stars, s.three_stars <> '' AS hit FROM keyed k JOIN (SELECT DISTINCT ('0x' || substr(md5(signature), 1, 15))::BIGINT AS comp_id, three_stars FROM signed) s USING (comp_id)),
-    p AS (SELECT gkey, patch_id, region, rank_bucket, sum(n)::BIGINT AS n, sum(placement_sum)::BIGINT AS placement_sum, sum(top4_count)::BIGINT AS top4_count, sum(CASE WHEN hit THEN n ELSE 0 END) / sum(n) AS hit_share FROM m GROUP BY ALL),
-    r AS (SELECT m.gkey, m.patch_id, m.region, m.rank_bucket, m.comp_id, row_number() OVER (PARTITION BY m.gkey, m.patch_id, m.region, m.rank_bucket ORDER BY (p.hit_share >= 0.35 AND m.hit AND m.n >= greatest(5, ceil(0.05 * p.n))) DESC, m.n DESC, m.comp_id) AS k FROM m JOIN p USING (gkey, patch_id, region, rank_bucket))
-    SELECT p.gkey, p.patch_id, p.region, p.rank_bucket, p.n, r.comp_id AS representative, round(p.hit_share, 6) AS hit_share, round({SCORE}, 6) AS score FROM p JOIN r USING (gkey, patch_id, region, rank_bucket) WHERE r.k = 1""", ctes=ALL, stored=True, merged=True)
-def rm_archetype_row(b):
-    key = ["gkey", *rollup.BUCKET]
-    three = stages.comps(b).select("comp_id", (F.size("three_stars") > 0).alias("hit"))
-    m = stages.keyed(b).join(three, "comp_id")
-    own = Window.partitionBy(*key)
-    total = F.sum("n").over(own)
-    m = m.withColumns({"total": total, "hit_share": F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).over(own) / total})
-    wanted = (F.col("hit_share") >= 0.35) & F.col("hit") & (F.col("n") >= F.greatest(F.lit(5), F.ceil(0.05 * F.col("total"))))
-    best = F.min_by("comp_id", F.struct((~wanted).alias("a"), (-F.col("n")).alias("b"), F.col("comp_id").alias("c")))
-    out = m.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("placement_sum").alias("placement_sum"), F.sum("top4_count").alias("top4_count"), best.alias("representative"), F.first("hit_share").alias("hit_share"))
-    return out.select(*key, "n", "representative", r6("hit_share").alias("hit_share"), r6(scoring.shrunk_score(b.config)).alias("score"))
-
-
-FAMILY = f""", v AS (SELECT k.gkey, s.worn AS emblem, sum(n)::BIGINT AS n, sum(placement_sum)::BIGINT AS placement_sum, sum(placement_sumsq)::BIGINT AS placement_sumsq FROM keyed k JOIN (SELECT DISTINCT ('0x' || substr(md5(signature), 1, 15))::BIGINT AS comp_id, worn FROM signed) s USING (comp_id) GROUP BY ALL),
-    w AS (SELECT *, {SEM} AS sem, sum(n) OVER (PARTITION BY gkey) AS family_n, row_number() OVER (PARTITION BY gkey ORDER BY (emblem = '') DESC, n DESC, emblem) AS base_k FROM v),
-    b AS (SELECT gkey, emblem AS base, placement_sum / n AS base_avg, sem AS base_sem FROM w WHERE base_k = 1),
-    k AS (SELECT w.*, b.base, b.base_avg, b.base_avg - w.placement_sum / w.n AS swing, CASE WHEN w.sem * w.sem + b.base_sem * b.base_sem > 0 THEN sqrt(w.sem * w.sem + b.base_sem * b.base_sem) ELSE 'infinity'::DOUBLE END AS both_sem FROM w JOIN b USING (gkey))"""
-
-
-@query("rm_family", FAMILY + """SELECT gkey, CASE WHEN emblem <> '' AND emblem <> base AND swing >= 0.15 AND swing >= 1.5 * both_sem AND n >= greatest(3, ceil(0.05 * family_n)) THEN emblem ELSE base END AS variant, sum(n)::BIGINT AS n, count(*)::BIGINT AS parts FROM k GROUP BY ALL""", ctes=ALL, stored=True, merged=True)
-def rm_family(b):
-    c = b.config
-    worn = stages.comps(b).select("comp_id", joined(F.transform("emblems", lambda e: F.concat(F.lit("emb:"), e))).alias("emblem"))
-    v = rollup.pool(stages.keyed(b).join(worn, "comp_id"), "gkey", "emblem")
-    own = Window.partitionBy("gkey")
-    order = own.orderBy((F.col("emblem") != ""), F.desc("n"), "emblem")
-    avg = F.col("placement_sum") / F.col("n")
-    w = v.withColumns({"sem": scoring.sem(), "avg": avg, "family_n": F.sum("n").over(own)})
-    w = w.withColumns({"base": F.first("emblem").over(order), "base_avg": F.first("avg").over(order), "base_sem": F.first("sem").over(order)})
-    square = F.col("sem") ** 2 + F.col("base_sem") ** 2
-    swing = F.col("base_avg") - F.col("avg")
-    keep = (F.col("emblem") != "") & (F.col("emblem") != F.col("base")) & (swing >= c.emblem_split_swing) & (square > 0) & (swing >= c.emblem_split_k * F.sqrt(square)) & (F.col("n") >= F.greatest(F.lit(c.emblem_split_floor), F.ceil(c.emblem_split_fraction * F.col("family_n"))))
-    return w.groupBy("gkey", F.when(keep, F.col("emblem")).otherwise(F.col("base")).alias("variant")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
-
-
 @query("agg_inspector", """SELECT gkey, comp_id, n, sum(n) OVER (PARTITION BY gkey)::BIGINT AS group_n, count(*) OVER (PARTITION BY gkey) AS comps FROM (SELECT gkey, comp_id, sum(n)::BIGINT AS n FROM keyed GROUP BY ALL)""", ctes=ALL)
 def agg_inspector(b):
     """Members of every group with their boards, a row each, beside the group's totals."""

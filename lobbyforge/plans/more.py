@@ -191,12 +191,6 @@ def agg_weighted_mean_frame(b):
     return mean_frames(b).select("gkey", "trait_id", r6("mean").alias("mean"))
 
 
-@query("rm_key_traits", MEAN + "SELECT gkey, trait_id, round(mean, 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY gkey ORDER BY round(mean, 9) DESC, trait_id) AS r FROM mf) WHERE r <= 2", ctes=ALL, stored=True, merged=True)
-def rm_key_traits(b):
-    order = Window.partitionBy("gkey").orderBy(F.desc(F.round("mean", 9)), "trait_id")
-    return mean_frames(b).withColumn("r", F.row_number().over(order)).filter("r <= 2").select("gkey", "trait_id", r6("mean").alias("mean"))
-
-
 @query("rm_profile_vm", "SELECT puuid, count(*)::BIGINT AS games, min(placement) AS best, string_agg(placement::VARCHAR, ' ' ORDER BY board_id) AS placements FROM b_players WHERE puuid <> 'BOT' GROUP BY 1")
 def rm_profile_vm(b):
     line = F.transform(F.array_sort(F.collect_list(F.struct("board_id", "placement"))), lambda x: x["placement"].cast("string"))

@@ -249,18 +249,3 @@ def mig_clear_flag(b):
 @query("rm_ops", "SELECT event_type AS method, count(*)::BIGINT AS requests, max(ts) AS last_seen FROM events GROUP BY 1", ctes=NONE)
 def rm_ops(b):
     return b.events.groupBy(F.col("event_type").alias("method")).agg(F.count(F.lit(1)).alias("requests"), F.max("ts").alias("last_seen"))
-
-
-@query("rm_detail", """, mine AS (SELECT c.*, k.gkey FROM clustered c JOIN (SELECT DISTINCT comp_id, gkey FROM keyed) k USING (comp_id)) SELECT gkey, 'boards' AS part, count(*)::BIGINT AS n, round(avg(placement), 6) AS value FROM mine GROUP BY gkey
-    UNION ALL SELECT gkey, 'level:' || level, count(*)::BIGINT, round(avg(placement), 6) FROM mine GROUP BY gkey, level UNION ALL SELECT gkey, 'place:' || placement, count(*)::BIGINT, avg(placement) FROM mine GROUP BY gkey, placement""", ctes=ALL, stored=True, merged=True)
-def rm_detail(b):
-    """Boards, levels and placements of every group, in one pass over the boards."""
-    mine = stages.grouped(b, stages.clustered(b).filter("comp_id IS NOT NULL").select("comp_id", "placement", "level"))
-    parts = F.explode(F.array(F.lit("boards"), F.concat(F.lit("level:"), F.col("level")), F.concat(F.lit("place:"), F.col("placement")))).alias("part")
-    return mine.select("gkey", "placement", parts).groupBy("gkey", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("placement"), 6).alias("value"))
-
-
-@query("rm_identity", "SELECT gkey, CASE WHEN gkey LIKE 'm:%' THEN substr(gkey, 3) ELSE 'comp ' || substr(gkey, 3) END AS name FROM (SELECT DISTINCT gkey FROM keyed)", ctes=ALL, stored=True)
-def rm_identity(b):
-    rest = F.substring("gkey", 3, 100)
-    return stages.keyed(b).select("gkey").distinct().withColumn("name", F.when(F.col("gkey").startswith("m:"), rest).otherwise(F.concat(F.lit("comp "), rest)))

@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .catalog import ORACLES, QUERIES
-from .plans import catalogue, core, items, merging, more, ops, service, storage  # noqa: F401
+from .plans import catalogue, core, items, merging, more, ops, pages, service, storage  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
