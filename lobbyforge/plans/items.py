@@ -133,24 +133,6 @@ def join_emblem_convention(b):
     return worn.withColumn("trait_id", itemization.emblem_trait(F.col("item_id")))
 
 
-@query("var_infer", FRAME + """, rep AS (SELECT board_id, trait_id, num_units FROM num), ov AS (SELECT r.board_id, r.trait_id, r.num_units - coalesce(i.n, 0) AS delta FROM rep r LEFT JOIN inn i USING (board_id, trait_id) WHERE r.num_units - coalesce(i.n, 0) >= 2)
-    SELECT board_id, trait_id, delta::BIGINT AS delta FROM (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY delta DESC, trait_id) AS r FROM ov) WHERE r = 1""")
-def var_infer(b):
-    implied = b.units.select("board_id", "character_id").distinct().join(F.broadcast(b.d_unit_traits), "character_id").groupBy("board_id", "trait_id").agg(F.count(F.lit(1)).alias("implied"))
-    given = emblems_of(b).groupBy("board_id", "trait_id").agg(F.count(F.lit(1)).alias("n"))
-    reported = implied.withColumnRenamed("implied", "n").unionByName(given).groupBy("board_id", "trait_id").agg(F.sum("n").alias("num_units"))
-    return itemization.over_counts(reported, implied).select("board_id", "trait_id", "delta")
-
-
-@query("join_left_implied", FRAME + "SELECT n.board_id, n.trait_id, (n.num_units - coalesce(i.n, 0))::BIGINT AS delta FROM num n LEFT JOIN inn i USING (board_id, trait_id) WHERE n.num_units - coalesce(i.n, 0) >= 1")
-def join_left_implied(b):
-    implied = b.units.select("board_id", "character_id").distinct().join(F.broadcast(b.d_unit_traits), "character_id").groupBy("board_id", "trait_id").agg(F.count(F.lit(1)).alias("implied"))
-    given = emblems_of(b).groupBy("board_id", "trait_id").agg(F.count(F.lit(1)).alias("n"))
-    reported = implied.withColumnRenamed("implied", "n").unionByName(given).groupBy("board_id", "trait_id").agg(F.sum("n").alias("num_units"))
-    delta = F.col("num_units") - F.coalesce("implied", F.lit(0))
-    return reported.join(implied, ["board_id", "trait_id"], "left").withColumn("delta", delta).filter("delta >= 1").select("board_id", "trait_id", "delta")
-
-
 TALLY = FRAME + """, tally AS (SELECT c.comp_id, f.trait_id, count(*) AS boards FROM clustered c JOIN frame f USING (board_id) WHERE c.comp_id IS NOT NULL AND f.level >= 2 GROUP BY ALL)"""
 
 
@@ -159,27 +141,6 @@ def tallies(b):
     return comp_boards(b).select("board_id", "comp_id").join(frame, "board_id").groupBy("comp_id", "trait_id").agg(F.count(F.lit(1)).alias("boards"))
 
 
-@query("agg_variant_tally", TALLY + "SELECT comp_id, trait_id, boards::BIGINT AS boards FROM tally", ctes=ALL)
-def agg_variant_tally(b):
-    return tallies(b)
-
-
-@query("agg_pick_variant", TALLY + """SELECT gkey, trait_id, boards FROM (SELECT k.gkey, t.trait_id, sum(t.boards)::BIGINT AS boards, row_number() OVER (PARTITION BY k.gkey ORDER BY sum(t.boards) DESC, t.trait_id) AS r
-    FROM tally t JOIN (SELECT DISTINCT comp_id, gkey FROM keyed) k USING (comp_id) GROUP BY k.gkey, t.trait_id) WHERE r = 1""", ctes=ALL)
-def agg_pick_variant(b):
-    keyed = stages.grouped(b, tallies(b))
-    sums = keyed.groupBy("gkey", "trait_id").agg(F.sum("boards").alias("boards"))
-    order = Window.partitionBy("gkey").orderBy(F.desc("boards"), "trait_id")
-    return sums.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
-
-
-@query("win_argmax_trait", FRAME + "SELECT board_id, trait_id, num_units FROM (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY num_units DESC, trait_id) AS r FROM frame) WHERE r = 1")
-def win_argmax_trait(b):
-    frame = itemization.trait_frame(b.units, b.d_unit_traits, emblems_of(b), b.d_breakpoints)
-    order = Window.partitionBy("board_id").orderBy(F.desc("num_units"), "trait_id")
-    return frame.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("board_id", "trait_id", "num_units")
-
-
 SHAPES = """,
 shape AS (SELECT c.comp_id, u.board_id, u.character_id, count(*) AS copies, string_agg(coalesce(star_tier, 0)::VARCHAR, ',' ORDER BY coalesce(star_tier, 0) DESC) AS stars FROM b_units u JOIN clustered c USING (board_id) WHERE c.comp_id IS NOT NULL GROUP BY ALL),
 sc AS (SELECT comp_id, character_id, copies, stars, count(*)::BIGINT AS boards FROM shape GROUP BY ALL)"""

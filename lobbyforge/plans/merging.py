@@ -183,14 +183,6 @@ def rm_selection(b):
     return combos.orderBy(F.desc("patch_id"), F.desc("n"), "region", "rank_bucket").limit(1)
 
 
-@query("rm_stale_key", """SELECT k.comp_id, CASE WHEN k.comp_id % 3 = 0 THEN 'm:fam' || (k.comp_id % 20) ELSE 'c:' || k.comp_id END AS gkey FROM (SELECT DISTINCT comp_id FROM keyed) k""", ctes=ALL, stored=True)
-def rm_stale_key(b):
-    """A key ``c:id`` of before a merge resolves to the group the comp is in now."""
-    stale = stages.stats(b).select("comp_id").distinct().select(F.concat(F.lit("c:"), F.col("comp_id").cast("string")).alias("key"))
-    ids = stale.select(F.split_part("key", F.lit(":"), F.lit(2)).cast("long").alias("comp_id"))
-    return ids.join(stages.keyed(b).select("comp_id", "gkey").distinct(), "comp_id")
-
-
 @query("rm_profile", "SELECT p.puuid, p.match_id, p.placement, p.level, count(u.unit_row)::BIGINT AS units FROM b_players p LEFT JOIN b_units u USING (board_id) GROUP BY p.board_id, p.puuid, p.match_id, p.placement, p.level")
 def rm_profile(b):
     mine = b.players.select("puuid", "board_id", "match_id", "placement", "level")

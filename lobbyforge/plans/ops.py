@@ -170,26 +170,6 @@ def st_usage_tumble(b):
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("minute"), "method", "region", "requests")
 
 
-@query("st_fixed_window_limit", """w AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 3600) ORDER BY ts, event_id) AS k, 3600 - floor(epoch(ts))::BIGINT % 3600 AS left_s FROM events)
-SELECT event_id, k <= 1 AS ok, CASE WHEN k <= 1 THEN 0 ELSE left_s END AS retry_after FROM w""".split("\nSELECT", 1)[1].join(["SELECT", ""]),
-    ctes="w AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 3600) ORDER BY ts, event_id) AS k, 3600 - floor(epoch(ts))::BIGINT % 3600 AS left_s FROM events)")
-def st_fixed_window_limit(b, per_key: int = 1, seconds: int = 3600):
-    """Verdict of each call under a limit by fixed windows, with the seconds until the next one."""
-    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    order = Window.partitionBy("user_id", F.floor(at / seconds)).orderBy("ts", "event_id")
-    k = F.row_number().over(order)
-    rows = b.events.select("event_id", (k <= per_key).alias("ok"), (seconds - at % seconds).cast("long").alias("_left"))
-    return rows.select("event_id", "ok", F.when(F.col("ok"), 0).otherwise(F.col("_left")).cast("long").alias("retry_after"))
-
-
-@query("st_sliding_window_limit", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)::BIGINT AS in_window FROM events", ctes=NONE)
-def st_sliding_window_limit(b, seconds: int = 3600):
-    """Calls in the sliding window that ends with each call."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    frame = Window.partitionBy("user_id").orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-    return b.events.select("event_id", F.count(F.lit(1)).over(frame).alias("in_window"))
-
-
 @query("st_dedupe", "SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type", ctes=NONE)
 def st_dedupe(b):
     """First event of each user and type, as a stream."""
@@ -206,25 +186,6 @@ def st_self_heal(b):
     return stored.join(counted, "match_id", "left").select("match_id", F.coalesce("stored", "counted").cast("long").alias("player_count"))
 
 
-@query("st_frontier_expand", "SELECT DISTINCT puuid FROM b_players WHERE puuid <> 'BOT' AND puuid NOT IN (SELECT puuid FROM b_players WHERE lobby % 2 = 0 AND puuid <> 'BOT')")
-def st_frontier_expand(b):
-    people = b.players.filter("puuid <> 'BOT'")
-    known = people.filter("lobby % 2 = 0").select("puuid")
-    return people.select("puuid").distinct().join(known, "puuid", "left_anti")
-
-
-@query("st_frontier_drain", """d AS (SELECT c_custkey, row_number() OVER (ORDER BY (c_mktsegment = 'BUILDING') DESC, c_acctbal DESC, c_custkey) AS place, 1 + c_custkey % 3 AS cost FROM customer), s AS (SELECT *, sum(cost) OVER (ORDER BY place) AS spent FROM d)
-SELECT c_custkey, place, spent::BIGINT AS spent FROM s WHERE spent <= 100""".split("\nSELECT", 1)[1].join(["SELECT", ""]),
-    ctes="d AS (SELECT c_custkey, row_number() OVER (ORDER BY (c_mktsegment = 'BUILDING') DESC, c_acctbal DESC, c_custkey) AS place, 1 + c_custkey % 3 AS cost FROM customer), s AS (SELECT *, sum(cost) OVER (ORDER BY place) AS spent FROM d)")
-def st_frontier_drain(b, budget: int = 100):
-    """Candidates in order of priority until the budget of calls is spent; each costs one call at least."""
-    key = [(F.col("c_mktsegment") == "BUILDING").desc(), F.desc("c_acctbal"), F.asc("c_custkey")]
-    first = b.table("customer").orderBy(*key).limit(budget)
-    order = Window.partitionBy(F.lit(0)).orderBy(*key)
-    rows = first.select("c_custkey", F.row_number().over(order).cast("long").alias("place"), F.sum(1 + F.col("c_custkey") % 3).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("spent"))
-    return rows.filter(F.col("spent") <= budget)
-
-
 @query("st_release", "SELECT c_custkey, TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 12 HOUR + INTERVAL 15 MINUTE AS last_crawled_at FROM customer WHERE c_acctbal < 0", ctes=NONE)
 def st_release(b):
     at = F.expr("TIMESTAMP_NTZ '2024-01-02 00:00:00' - INTERVAL 12 HOURS + INTERVAL 15 MINUTES")

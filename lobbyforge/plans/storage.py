@@ -16,18 +16,28 @@ from .stages import sql
 ALL = sql()
 
 
-def documents(b):
-    """Match documents of the views' lobbies, written as JSON lines and read under the schema."""
-    units = b.units.groupBy("board_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit_row", "character_id", "star_tier"))), lambda u: F.struct(u["character_id"].alias("character_id"), u["star_tier"].alias("tier"), F.lit(1).alias("rarity"), F.array().cast("array<string>").alias("itemNames"))).alias("units"))
-    boards = b.players.join(units, "board_id", "left")
-    none = F.array().cast("array<struct<name:string,num_units:int,style:int>>")
-    person = F.struct("puuid", "placement", "level", F.coalesce("units", F.expr("cast(array() as array<struct<character_id:string,tier:int,rarity:int,itemNames:array<string>>>)")).alias("units"), none.alias("traits"), F.array().cast("array<string>").alias("augments"))
-    people = boards.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("placement", person.alias("p")))).alias("ps"))
-    rows = people.join(b.matches, "match_id").select(
+def documents(b, turn=None):
+    """Match documents of the views' lobbies, written as JSON lines and read under the schema; with ``turn`` the path, in folders by turn."""
+    items = b.items.groupBy("board_id", "unit_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "item_id"))), lambda x: x["item_id"]).alias("names"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = b.units.join(items, ["board_id", "unit_row"], "left").join(F.broadcast(b.d_units.select("character_id", "cost")), "character_id", "left")
+    unit = F.struct("unit_row", F.struct("character_id", F.col("star_tier").alias("tier"), F.col("cost").alias("rarity"), F.coalesce("names", none("string")).alias("itemNames")).alias("u"))
+    units = rows.groupBy("board_id").agg(F.transform(F.array_sort(F.collect_list(unit)), lambda x: x["u"]).alias("units"))
+    traits = b.traits.groupBy("board_id").agg(F.array_sort(F.collect_list(F.struct(F.col("trait_id").alias("name"), "num_units", F.least(F.lit(4), F.col("num_units") / 2).cast("int").alias("style")))).alias("traits"))
+    boards = b.players.join(units, "board_id", "left").join(traits, "board_id", "left")
+    augments = F.array(*(F.concat(F.lit("A"), F.col("board_id") % k) for k in (5, 7))).alias("augments")
+    unit_kind, trait_kind = "struct<character_id:string,tier:int,rarity:int,itemNames:array<string>>", "struct<name:string,num_units:int,style:int>"
+    person = F.struct("puuid", "placement", "level", F.coalesce("units", none(unit_kind)).alias("units"), F.coalesce("traits", none(trait_kind)).alias("traits"), augments)
+    people = boards.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("placement", "board_id", person.alias("p")))).alias("ps"))
+    docs = people.join(b.matches, "match_id").select(
         F.struct("match_id").alias("metadata"),
-        F.struct(F.unix_millis(F.col("game_datetime").cast("timestamp")).alias("game_datetime"), F.lit(1800.0).alias("game_length"), F.lit("Version 14.11").alias("game_version"), "queue_id", F.col("set_number").alias("tft_set_number"), F.transform("ps", lambda x: x["p"]).alias("participants")).alias("info"))
+        F.struct(F.unix_millis(F.col("game_datetime").cast("timestamp")).alias("game_datetime"), F.lit(1800.0).alias("game_length"), F.lit("Version 14.11").alias("game_version"), "queue_id", F.col("set_number").alias("tft_set_number"), F.transform("ps", lambda x: x["p"]).alias("participants")).alias("info"),
+        *([] if turn is None else [turn.alias("turn")]))
     path = store.new_path(b.spark, "matches")
-    rows.write.json(path)
+    if turn is not None:
+        docs.write.partitionBy("turn").json(path)
+        return path
+    docs.write.json(path)
     return source.read_matches(b.spark, path)
 
 
@@ -61,12 +71,6 @@ def src_match_units(b):
     return source.flat_units(source.flat_participants(documents(b))).drop("item_ids")
 
 
-@query("sink_match_persist", "SELECT match_id, CASE WHEN lobby % 4 = 0 THEN 'skipped' WHEN queue_id = 1100 THEN 'stored' ELSE 'meta-only' END AS outcome FROM b_matches")
-def sink_match_persist(b):
-    known = b.matches.filter("lobby % 4 = 0").select("match_id")
-    return source.persist(documents(b), known)
-
-
 @query("src_match_ids", "SELECT match_id, game_datetime FROM (SELECT m.match_id, m.game_datetime, row_number() OVER (ORDER BY m.game_datetime DESC, m.match_id) AS r FROM b_matches m WHERE match_id IN (SELECT match_id FROM b_players WHERE puuid = 'P7')) WHERE r BETWEEN 1 AND 5")
 def src_match_ids(b):
     mine = b.players.filter("puuid = 'P7'").select("match_id").distinct()
@@ -149,14 +153,6 @@ def sink_upsert_ignore(b):
     return store.insert_absent(old, new, ["p_partkey"])
 
 
-@query("sink_insert_returning", "SELECT p_partkey, ('0x' || substr(md5(p_name || '#' || p_partkey), 1, 15))::BIGINT AS id FROM part WHERE p_partkey % 4 <> 0", ctes=NONE)
-def sink_insert_returning(b):
-    """Ids come from the row itself, so children can use them before anything is written."""
-    part = b.table("part")
-    new = part.join(part.filter("p_partkey % 4 = 0").select("p_partkey"), "p_partkey", "left_anti")
-    return new.select("p_partkey", identity.comp_id(F.concat("p_name", F.lit("#"), F.col("p_partkey"))).alias("id"))
-
-
 @query("sink_update_from", "SELECT p.board_id, m.region FROM b_players p JOIN b_matches m USING (match_id)")
 def sink_update_from(b):
     return store.stamp(b.players.select("board_id", "match_id"), b.matches, "match_id", "region").select("board_id", "region")
@@ -168,14 +164,6 @@ def sink_clear_then_stamp(b):
     return stamped.select("board_id", F.coalesce("comp_id", F.lit(-1)).alias("comp_id"))
 
 
-@query("sink_prune_orphans", "SELECT DISTINCT comp_id FROM clustered WHERE comp_id IS NOT NULL", ctes=ALL)
-def sink_prune_orphans(b):
-    boards = stages.clustered(b)
-    comps = boards.filter("comp_id IS NOT NULL").select("comp_id").distinct()
-    stale = comps.limit(5).select((F.col("comp_id") + 1).alias("comp_id"))
-    return store.prune(comps.union(stale), boards, "comp_id").distinct()
-
-
 @query("sink_full_rebuild", "SELECT comp_id, patch_id, region, rank_bucket, n FROM stats", ctes=ALL)
 def sink_full_rebuild(b):
     return store.saved(stages.stats(b), "stats").select("comp_id", *rollup.BUCKET, "n")
@@ -190,12 +178,6 @@ def sink_partition_rewrite(b):
     return b.spark.read.parquet(path).select("day", "match_id", "version")
 
 
-@query("sink_retention", "SELECT match_id FROM b_matches WHERE CAST(game_datetime AS DATE) >= (SELECT max(CAST(game_datetime AS DATE)) FROM b_matches) - 90")
-def sink_retention(b):
-    newest = F.broadcast(b.matches.agg(F.date_sub(F.max(F.to_date("game_datetime")), 90).alias("since")))
-    return b.matches.join(newest, F.to_date("game_datetime") >= F.col("since")).select("match_id")
-
-
 @query("sink_preserve_manual", "SELECT comp_id, patch_id, region, rank_bucket, CASE WHEN comp_id % 11 = 0 THEN 'pinned' ELSE 'auto' END AS kind FROM stats", ctes=ALL)
 def sink_preserve_manual(b):
     key = ["comp_id", *rollup.BUCKET]

@@ -88,6 +88,12 @@ class Boards:
         )
         return rows.select("board_id", "unit_row", "character_id", "slot", item.alias("item_id"))
 
+    @cached_property
+    def traits(self) -> DataFrame:
+        """One row a trait that a board's document reports, whatever its units imply."""
+        count = (F.count(F.lit(1)) + F.max("l_linenumber") % 3).cast("int")
+        return self.table("lineitem").groupBy(F.col("l_orderkey").alias("board_id"), F.concat(F.lit("TFT17_T"), F.col("l_suppkey") % 4).alias("trait_id")).agg(count.alias("num_units"))
+
     @cached_property
     def d_units(self) -> DataFrame:
         k = F.col("id")
@@ -126,6 +132,7 @@ b_units AS (SELECT l.l_orderkey AS board_id, CAST(ROW_NUMBER() OVER (PARTITION B
 b_items AS (SELECT u.board_id, u.unit_row, u.character_id, s.slot, CASE WHEN (u.l_partkey + s.slot) % 11 = 0 THEN 'TFT_Item_BFSword'
     WHEN (u.l_suppkey + s.slot) % 41 = 0 THEN CONCAT('TFT17_Item_T', u.l_partkey % 4, 'EmblemItem')
     ELSE CONCAT('TFT_Item_I', (u.l_partkey + s.slot) % 9) END AS item_id FROM b_units u JOIN (VALUES (1), (2), (3)) AS s(slot) ON s.slot <= u.l_linenumber % 4),
+b_traits AS (SELECT l_orderkey AS board_id, 'TFT17_T' || (l_suppkey % 4) AS trait_id, CAST(count(*) + max(l_linenumber) % 3 AS INT) AS num_units FROM lineitem GROUP BY ALL),
 d_units AS (SELECT 17 AS set_number, CONCAT('U', k) AS character_id, CAST(CASE WHEN k = 7 THEN 11 ELSE 1 + k % 5 END AS INT) AS cost
     FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS t(k)),
 d_unit_traits AS (SELECT 17 AS set_number, CONCAT('U', k) AS character_id, CONCAT('TFT17_T', (k + j) % 4) AS trait_id
