@@ -272,17 +272,6 @@ def fn_decode_riot(b):
     return unit_codes(b).select("board_id", F.array_join(codecs.decode_planner(code).cast("array<string>"), " ").alias("codes"))
 
 
-@query("fn_active_traits", """, f AS (SELECT u.board_id, t.trait_id, count(DISTINCT u.character_id)::BIGINT AS count FROM b_units u JOIN d_unit_traits t USING (character_id) GROUP BY ALL)
-    SELECT f.board_id, f.trait_id, f.count, (SELECT count(*) FROM d_breakpoints d WHERE d.trait_id = f.trait_id AND d.min_units <= f.count)::INT AS style, (SELECT min(min_units) FROM d_breakpoints d WHERE d.trait_id = f.trait_id AND d.min_units > f.count) AS next_at FROM f""")
-def fn_active_traits(b):
-    """Units by trait, style by the breakpoints met and the next one."""
-    innate = b.units.select("board_id", "character_id").distinct().join(F.broadcast(b.d_unit_traits), "character_id")
-    each = innate.groupBy("board_id", "trait_id", "character_id").agg(F.max(F.lit(1)).alias("c"))
-    count = each.groupBy("board_id", "trait_id").agg(F.sum("c").alias("count"))
-    steps = F.broadcast(b.d_breakpoints.groupBy("trait_id").agg(F.array_sort(F.collect_list("min_units")).alias("mins")))
-    return count.join(steps, "trait_id").select("board_id", "trait_id", "count", F.size(F.filter("mins", lambda m: m <= F.col("count"))).alias("style"), F.get(F.filter("mins", lambda m: m > F.col("count")), F.lit(0)).alias("next_at"))
-
-
 @query("fn_method_label", "SELECT event_id, CASE event_type WHEN 'view' THEN 'match.byId' WHEN 'click' THEN 'league.apex' ELSE 'other' END AS method FROM events", ctes=NONE)
 def fn_method_label(b):
     path = F.when(F.col("event_type") == "view", "/tft/match/v1/matches/EUW1_1?x=1").when(F.col("event_type") == "click", "/tft/league/v1/challenger").otherwise("/other")
@@ -312,13 +301,6 @@ def fn_prettify(b):
     return b.table("part").select("p_partkey", codecs.prettify(F.concat(prefix, F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")))).alias("name"))
 
 
-@query("fn_resolve_desc", "SELECT p_partkey, 'Gain ' || p_size || ' % ' || p_name || '.' AS text FROM part", ctes=NONE)
-def fn_resolve_desc(b):
-    template = F.concat(F.lit("Gain <b>@AD*100@</b>% "), F.col("p_name"), F.lit("."))
-    rows = b.table("part").select("p_partkey", template.alias("template"), F.array(F.lit("ad")).alias("names"), F.array(F.col("p_size") / 100.0).alias("vals"))
-    return rows.select("p_partkey", codecs.resolve_desc("template", "names", "vals").alias("text"))
-
-
 @query("fn_rich_plain", "SELECT p_partkey, 'a ' || p_name || ' ' || p_type AS plain FROM part", ctes=NONE)
 def fn_rich_plain(b):
     rich = F.concat(F.lit("a <i>"), F.col("p_name"), F.lit("</i> [[icon]] "), F.col("p_type"))

@@ -97,36 +97,6 @@ def prj_status(b):
     return rows.select("c_custkey", service.setting_status(F.col("value"), F.col("needed")).alias("status"))
 
 
-@query("fn_trait_content", """SELECT p_partkey, 0 AS place, p_name AS line FROM part UNION ALL SELECT p_partkey, s.n AS place, '(' || u || ') gain ' || u || ' ' || lower(p_type) FROM (SELECT *, CASE n WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE p_size + 4 END AS u FROM part CROSS JOIN (VALUES (1), (2), (3)) AS t(n)) s""", ctes=NONE)
-def fn_trait_content(b):
-    """The introduction of each text and a line for each of its steps."""
-    template = F.concat(F.col("p_name"), F.lit(" | gain @n@ "), F.lower("p_type"))
-    steps = F.array(F.lit(2), F.lit(4), F.col("p_size") + 4)
-    return b.table("part").select("p_partkey", F.posexplode(service.trait_content(template, steps)).alias("place", "line"))
-
-
-@query("fn_keyword", "SELECT p_partkey, CASE split_part(p_name, ' ', 1) WHEN 'small' THEN 'Takes little room' WHEN 'red' THEN 'Deals damage each second' WHEN 'blue' THEN 'Attacks more slowly' END AS text FROM part", ctes=NONE)
-def fn_keyword(b):
-    """What a reference to a keyword stands for."""
-    ref = F.concat(F.lit("TFT_Keyword_"), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(1))))
-    words = {"small": "Takes little room", "red": "Deals damage each second", "blue": "Attacks more slowly"}
-    key = F.lower(F.regexp_extract(ref, "Keyword_(.*)$", 1))
-    return b.table("part").select("p_partkey", codecs.from_map(key, words, F.lit(None).cast("string")).alias("text"))
-
-
-#: Names of statistics in texts and their keys (fixed values of the domain).
-STAT_KEYS = {"attackdamage": "ad", "ad": "ad", "armor": "armor", "magicresist": "mr", "mr": "mr"}
-STAT_NAMES = ("Attack Damage", "AD", "Armor:", "Magic-Resist", "m.r.", "Luck")
-
-
-@query("fn_stat_icon", "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'ad' WHEN 1 THEN 'ad' WHEN 2 THEN 'armor' WHEN 3 THEN 'mr' WHEN 4 THEN 'mr' END AS icon FROM part", ctes=NONE)
-def fn_stat_icon(b):
-    """Statistics by any of their names, whatever their case and signs."""
-    name = F.element_at(F.array(*map(F.lit, STAT_NAMES)), (F.col("p_size") % 6 + 1).cast("int"))
-    key = F.lower(F.regexp_replace(name, "[^A-Za-z]", ""))
-    return b.table("part").select("p_partkey", codecs.from_map(key, STAT_KEYS, F.lit(None).cast("string")).alias("icon"))
-
-
 OUTER, INNER = (service.padded("secret", pad).hex() for pad in (0x5C, 0x36))
 
 
