@@ -1,10 +1,9 @@
-"""Codes, labels and text of the domain, as column functions; Python only where text is a template."""
+"""Codes, labels and text of the domain, as column functions."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -152,31 +151,6 @@ def decode_planner(code: Column) -> Column:
     return F.when(good, F.filter(values, lambda v: v != 0))
 
 
-def resolve_text(template: str | None, values: dict[str, float] | None) -> str:
-    """Fills ``@Name*factor@`` from the values, drops tags and unknown names, joins blanks."""
-    known = {k.lower(): v for k, v in (values or {}).items() if k is not None and v is not None}
-
-    def fill(m: re.Match) -> str:
-        value = known.get(m[1].lower())
-        if value is None:
-            return ""
-        number = round(value * float(m[2] or 1), 2)
-        return str(int(number)) if number == int(number) else str(number)
-
-    filled = re.sub(r"@([A-Za-z0-9_]+)(?:\*(-?[0-9.]+))?@", fill, template or "")
-    return re.sub(r"\s+", " ", re.sub(r"<[^>]*>|%i:[^%]*%", " ", filled)).strip()
-
-
-def resolve_desc(template: Column, names: Column, values: Column) -> Column:
-    """Descriptions from templates, arrays of names and arrays of values."""
-
-    def fill(template: pd.Series, names: pd.Series, values: pd.Series) -> pd.Series:
-        known = lambda n, v: dict(zip(n, v)) if n is not None and v is not None else {}
-        return pd.Series([resolve_text(t, known(n, v)) for t, n, v in zip(template, names, values)])
-
-    return F.pandas_udf(fill, "string")(template, names, values)
-
-
 def plain_text(rich: Column) -> Column:
     """Rich text without its tokens and tags."""
     return F.trim(F.regexp_replace(F.regexp_replace(rich, r"<[^>]*>|\[\[[^\]]*\]\]|%i:[^%]*%", " "), r"\s+", " "))

@@ -23,13 +23,6 @@ def setting_status(value: Column, needed: Column) -> Column:
     return F.when(~bad, "ok").when(needed, "fatal").otherwise("warn")
 
 
-def trait_content(template: Column, steps: Column) -> Column:
-    """The introduction of a trait and one line for each of its steps, from ``intro | line of @n@``."""
-    head, row = (F.trim(F.split_part(template, F.lit("|"), F.lit(n))) for n in (1, 2))
-    line = lambda n: F.concat(F.lit("("), n.cast("string"), F.lit(") "), F.replace(row, F.lit("@n@"), n.cast("string")))
-    return F.concat(F.array(head), F.transform(steps, line))
-
-
 def padded(secret: str, pad: int) -> bytes:
     """The key block of HMAC-SHA256 for a secret of up to 64 bytes."""
     return bytes(b ^ pad for b in secret.encode().ljust(64, b"\0"))

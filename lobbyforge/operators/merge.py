@@ -470,8 +470,13 @@ PROFILE = (
 MERGED = f"{PROFILE}, label string, place int, members array<long>"
 
 
-def merge_sets(profiles: DataFrame, config: Config) -> DataFrame:
-    """Archetypes of each set: profile, label, place in the order of founding, and members.
+#: A comp joins only archetypes of its own set, copies and gated units, and a label says both, so all
+#: passes are apart for each such class.
+CLASS = ("set_number", "copy_sig", "gated_sig")
+
+
+def merge_classes(profiles: DataFrame, config: Config) -> DataFrame:
+    """Archetypes of each class: profile, label, place in the order of founding within it, and members.
 
     Rows marked ``tail`` take no part.
     """
@@ -487,18 +492,23 @@ def merge_sets(profiles: DataFrame, config: Config) -> DataFrame:
             ))
         return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in MERGED.split(", ")])
 
-    return profiles.filter("NOT tail").groupBy("set_number").applyInPandas(run, MERGED)
+    return profiles.filter("NOT tail").groupBy(*CLASS).applyInPandas(run, MERGED)
+
+
+#: Comps of a class's tail that one task compares with its archetypes.
+TAIL_COMPS = 4096
 
 
-def tail_labels(profiles: DataFrame, archetypes: DataFrame, config: Config, tasks: int) -> DataFrame:
+def tail_labels(profiles: DataFrame, archetypes: DataFrame, config: Config) -> DataFrame:
     """(comp_id, meta_comp) of the comps of the tail that an archetype takes.
 
-    Comps are dealt to groups; the archetypes of the set, which the sample floors bound, go
-    to each.
+    A large class's comps are dealt to lanes, and its archetypes, which the sample floors bound, go to each.
+    Classes without an archetype have nothing to join.
     """
-    deal = F.pmod(F.xxhash64("comp_id"), F.lit(tasks)).cast("int")
-    comps = profiles.filter("tail").withColumn("dealt", deal)
-    every = archetypes.drop("members").withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    tail = profiles.filter("tail").join(archetypes.select(*CLASS).distinct(), list(CLASS), "left_semi")
+    lanes = tail.groupBy(*CLASS).agg(F.ceil(F.count(F.lit(1)) / TAIL_COMPS).cast("int").alias("lanes"))
+    comps = tail.join(lanes, list(CLASS)).withColumn("lane", F.pmod(F.xxhash64("comp_id"), F.col("lanes")).cast("int")).drop("lanes")
+    every = archetypes.drop("members").join(lanes, list(CLASS)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).drop("lanes")
 
     def run(tail: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
         rows = [to_profile(r) for r in tail.itertuples()]
@@ -507,16 +517,13 @@ def tail_labels(profiles: DataFrame, archetypes: DataFrame, config: Config, task
         names = made.label.tolist()
         return pd.DataFrame([(p.comp_id, names[k]) for p, k in zip(rows, found) if k is not None], columns=["comp_id", "meta_comp"])
 
-    return comps.groupBy("set_number", "dealt").cogroup(every.groupBy("set_number", "dealt")).applyInPandas(run, "comp_id long, meta_comp string")
+    return comps.groupBy(*CLASS, "lane").cogroup(every.groupBy(*CLASS, "lane")).applyInPandas(run, "comp_id long, meta_comp string")
 
 
-def merge_profiles(profiles: DataFrame, config: Config, saved: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(comp_id, meta_comp) of all comps that belong to an archetype; ``saved`` writes and rereads a table."""
-    profiles = saved(profiles, "profiles")
-    archetypes = saved(merge_sets(profiles, config), "archetypes")
-    tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def all_labels(profiles: DataFrame, archetypes: DataFrame, config: Config) -> DataFrame:
+    """(comp_id, meta_comp) of all comps that belong to an archetype."""
     own = archetypes.select(F.explode("members").alias("comp_id"), F.col("label").alias("meta_comp"))
-    return own.unionByName(tail_labels(profiles, archetypes, config, tasks))
+    return own.unionByName(tail_labels(profiles, archetypes, config))
 
 
 def trace_profiles(profiles: DataFrame, config: Config) -> DataFrame:
@@ -526,7 +533,7 @@ def trace_profiles(profiles: DataFrame, config: Config) -> DataFrame:
         rows = trace([to_profile(r) for r in pdf.itertuples()], config)
         return pd.DataFrame(rows, columns=["comp_id", "pass1", "pass2", "pass3", "label", "score", "reason"])
 
-    return profiles.filter("NOT tail").groupBy("set_number").applyInPandas(run, "comp_id long, pass1 long, pass2 long, pass3 long, label string, score double, reason string")
+    return profiles.filter("NOT tail").groupBy(*CLASS).applyInPandas(run, "comp_id long, pass1 long, pass2 long, pass3 long, label string, score double, reason string")
 
 
 def evaluated(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -290,9 +290,9 @@ def rm_resolve_patch(b):
     return b.table("part").select("p_partkey", codecs.patch_of_version(version, F.lit(18)).alias("patch"))
 
 
-@query("fn_ordinal", "SELECT n, n || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END AS name FROM (SELECT unnest(generate_series(1, 120)) AS n)", ctes=NONE)
+@query("fn_ordinal", "SELECT n, n || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END AS name FROM (SELECT DISTINCT p_partkey % 120 + 1 AS n FROM part)", ctes=NONE)
 def fn_ordinal(b):
-    return b.spark.range(1, 121).select(F.col("id").alias("n"), codecs.ordinal(F.col("id")).alias("name"))
+    return b.keys(120).select((F.col("id") + 1).alias("n")).withColumn("name", codecs.ordinal(F.col("n")))
 
 
 @query("fn_prettify", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM part", ctes=NONE)

@@ -75,14 +75,18 @@ def stored_profiles(b):
     return b.once("profiles", lambda: profiles(b))
 
 
+def stored_archetypes(b):
+    return b.once("archetypes", lambda: merge.merge_classes(stored_profiles(b), b.config))
+
+
 def merged_labels(b):
-    return merge.merge_profiles(profiles(b), b.config, store.saved)
+    return merge.all_labels(stored_profiles(b), stored_archetypes(b), b.config)
 
 
 @query("mrg_stage", stored=True)
 def mrg_stage(b):
-    """comp -> archetype label: load, merge, assign the tail."""
-    return merged_labels(b)
+    """comp -> archetype label: load, merge, assign the tail; each step is a table that read models read."""
+    return stages.labels(b)
 
 
 @query("prof_load_floored", "SELECT comp_id, sum(n)::BIGINT AS boards FROM stats GROUP BY comp_id HAVING max(n) >= 3 OR sum(n) >= 2", ctes=ALL, stored=True)

@@ -11,7 +11,7 @@ from ..operators import itemization, merge
 from . import stages
 from .core import joined, r6
 from .items import CARRIES, FRAME, comp_boards, comp_rates, emblems_of
-from .merging import SETS, stored_profiles, unit_sets
+from .merging import SETS, stored_archetypes, stored_profiles, unit_sets
 from .ops import NONE
 from .stages import sql
 
@@ -52,9 +52,7 @@ def mrg_debug(b):
 @query("mrg_tail", stored=True)
 def mrg_tail(b):
     """Comps of few boards and the archetype they were assigned to."""
-    made = stored_profiles(b)
-    archetypes = b.once("archetypes", lambda: merge.merge_sets(made, b.config))
-    return merge.tail_labels(made, archetypes, b.config, int(b.spark.conf.get("spark.sql.shuffle.partitions")))
+    return merge.tail_labels(stored_profiles(b), stored_archetypes(b), b.config)
 
 
 @query("mrg_eval", stored=True)

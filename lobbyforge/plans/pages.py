@@ -18,10 +18,13 @@ ALL = sql()
 K = "gkey, patch_id, region, rank_bucket"
 SUMS = "sum(n)::BIGINT AS n, sum(placement_sum)::BIGINT AS placement_sum, sum(placement_sumsq)::BIGINT AS placement_sumsq, sum(top4_count)::BIGINT AS top4_count, sum(win_count)::BIGINT AS win_count"
 
+#: Carries that a label names: by the rule of the test tables' groups two units for each family.
+NAMED = "CASE WHEN k.gkey LIKE 'm:fam%' THEN ['U' || (substr(k.gkey, 6)::INT % 8), 'U' || ((substr(k.gkey, 6)::INT + 3) % 8)] ELSE []::VARCHAR[] END"
+
 #: Members with what a group's label names, variants of emblem sets, members of the shown variant, who stands for a group.
 FAMILIES = f""", cm AS (SELECT DISTINCT ('0x' || substr(md5(signature), 1, 15))::BIGINT AS comp_id, three_stars, worn FROM signed),
 cheap AS (SELECT list(character_id) AS ids FROM d_units WHERE cost BETWEEN 1 AND 3),
-mem0 AS (SELECT k.*, cm.three_stars, cm.worn AS emblem, CASE WHEN k.gkey LIKE 'm:fam%' THEN ['U' || (substr(k.gkey, 6)::INT % 8), 'U' || ((substr(k.gkey, 6)::INT + 3) % 8)] ELSE []::VARCHAR[] END AS named FROM keyed k JOIN cm USING (comp_id)),
+mem0 AS (SELECT k.*, cm.three_stars, cm.worn AS emblem, {NAMED} AS named FROM keyed k JOIN cm USING (comp_id)),
 mem AS (SELECT m.*, len(list_filter(list_distinct(string_split(three_stars, '|')), lambda x: list_contains(named, x) AND list_contains(ids, x))) AS stars FROM mem0 m, cheap),
 vs0 AS (SELECT {K}, emblem, {SUMS} FROM mem GROUP BY ALL),
 vw AS (SELECT *, {SEM} AS sem, sum(n) OVER (PARTITION BY {K}) AS family_n, row_number() OVER (PARTITION BY {K} ORDER BY (emblem = '') DESC, n DESC, emblem) AS base_k FROM vs0),

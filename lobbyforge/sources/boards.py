@@ -26,7 +26,7 @@ class Boards:
     @cached_property
     def state(self) -> tuple:
         """What the views were read from: changed files make new stored tables."""
-        return self.folder, self.config, *(store.state_of(self.spark, f"{self.folder}/{t}.parquet") for t in ("orders", "lineitem", "region"))
+        return self.folder, self.config, *(store.state_of(self.spark, f"{self.folder}/{t}.parquet") for t in ("orders", "lineitem", "region", "part"))
 
     def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return store.once(self.spark, name, self.state, build)
@@ -94,21 +94,26 @@ class Boards:
         count = (F.count(F.lit(1)) + F.max("l_linenumber") % 3).cast("int")
         return self.table("lineitem").groupBy(F.col("l_orderkey").alias("board_id"), F.concat(F.lit("TFT17_T"), F.col("l_suppkey") % 4).alias("trait_id")).agg(count.alias("num_units"))
 
+    def keys(self, n: int) -> DataFrame:
+        """What the part keys leave by n: the numbers of the catalogue's entries."""
+        return self.table("part").select((F.col("p_partkey") % n).alias("id")).distinct()
+
     @cached_property
     def d_units(self) -> DataFrame:
         k = F.col("id")
         cost = F.when(k == 7, 11).otherwise(1 + k % 5).cast("int")
-        return self.spark.range(8).select(F.lit(17).alias("set_number"), F.concat(F.lit("U"), k).alias("character_id"), cost.alias("cost"))
+        return self.once("d_units", lambda: self.keys(8).select(F.lit(17).alias("set_number"), F.concat(F.lit("U"), k).alias("character_id"), cost.alias("cost")).coalesce(1))
 
     @cached_property
     def d_unit_traits(self) -> DataFrame:
         k = F.col("id")
-        rows = self.spark.range(8).select(k.alias("id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
-        return rows.select(F.lit(17).alias("set_number"), F.concat(F.lit("U"), k).alias("character_id"), F.concat(F.lit("TFT17_T"), (k + F.col("j")) % 4).alias("trait_id"))
+        rows = self.keys(8).select(k.alias("id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
+        return self.once("d_unit_traits", lambda: rows.select(F.lit(17).alias("set_number"), F.concat(F.lit("U"), k).alias("character_id"), F.concat(F.lit("TFT17_T"), (k + F.col("j")) % 4).alias("trait_id")).coalesce(1))
 
     @cached_property
     def d_breakpoints(self) -> DataFrame:
-        return self.spark.range(4).select(F.lit(17).alias("set_number"), F.concat(F.lit("TFT17_T"), F.col("id")).alias("trait_id"), F.explode(F.array(F.lit(2), F.lit(4))).alias("min_units"))
+        steps = F.explode(F.array(F.lit(2), F.lit(4))).alias("min_units")
+        return self.once("d_breakpoints", lambda: self.keys(4).select(F.lit(17).alias("set_number"), F.concat(F.lit("TFT17_T"), F.col("id")).alias("trait_id"), steps).coalesce(1))
 
     @cached_property
     def events(self) -> DataFrame:
@@ -134,7 +139,7 @@ b_items AS (SELECT u.board_id, u.unit_row, u.character_id, s.slot, CASE WHEN (u.
     ELSE CONCAT('TFT_Item_I', (u.l_partkey + s.slot) % 9) END AS item_id FROM b_units u JOIN (VALUES (1), (2), (3)) AS s(slot) ON s.slot <= u.l_linenumber % 4),
 b_traits AS (SELECT l_orderkey AS board_id, 'TFT17_T' || (l_suppkey % 4) AS trait_id, CAST(count(*) + max(l_linenumber) % 3 AS INT) AS num_units FROM lineitem GROUP BY ALL),
 d_units AS (SELECT 17 AS set_number, CONCAT('U', k) AS character_id, CAST(CASE WHEN k = 7 THEN 11 ELSE 1 + k % 5 END AS INT) AS cost
-    FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS t(k)),
+    FROM (SELECT DISTINCT p_partkey % 8 AS k FROM part)),
 d_unit_traits AS (SELECT 17 AS set_number, CONCAT('U', k) AS character_id, CONCAT('TFT17_T', (k + j) % 4) AS trait_id
-    FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS t(k) CROSS JOIN (VALUES (0), (1)) AS s(j)),
-d_breakpoints AS (SELECT 17 AS set_number, CONCAT('TFT17_T', k) AS trait_id, m AS min_units FROM (VALUES (0), (1), (2), (3)) AS t(k) CROSS JOIN (VALUES (2), (4)) AS s(m))"""
+    FROM (SELECT DISTINCT p_partkey % 8 AS k FROM part) CROSS JOIN (VALUES (0), (1)) AS s(j)),
+d_breakpoints AS (SELECT 17 AS set_number, CONCAT('TFT17_T', k) AS trait_id, m AS min_units FROM (SELECT DISTINCT p_partkey % 4 AS k FROM part) CROSS JOIN (VALUES (2), (4)) AS s(m))"""

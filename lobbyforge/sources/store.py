@@ -53,10 +53,16 @@ def state_of(spark: SparkSession, path: str) -> tuple[int, int]:
     return size, changed
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end and is still there."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def once(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table, written the first time it is asked for under this key and read from then on."""
+    """A derived table, written the first time it is asked for under this key and read from then on; anew if it is gone."""
     key = (spark.sparkContext.applicationId, name, *key)
-    if key not in MADE:
+    if key not in MADE or not there(spark, MADE[key]):
         path = new_path(spark, name)
         build().write.parquet(path)
         MADE[key] = path

@@ -109,7 +109,6 @@ def test_codecs(spark):
     assert back[0].code[0] == "1" and "=" not in back[0].code
     assert [(c.i, c.u, c.it) for c in back[0].cells] == [(0, "U0", ["a", "b"]), (27, "U1", [])]
     assert back[1].code == ""
-    assert codecs.resolve_text("a @X*100@% <b>b</b> @Y@", {"x": 0.5}) == "a 50% b"
     assert codecs.buckets_in_scope(("challenger", "ALL")) is None
 
 

@@ -14,7 +14,7 @@ from lobbyforge import registry
 from lobbyforge.config import FIXTURE, PRODUCTION
 from lobbyforge.operators import merge
 from lobbyforge.operators.merge import Profile
-from lobbyforge.plans import merging, stages
+from lobbyforge.plans import merging, pages, stages
 from lobbyforge.plans.items import comp_rates
 from lobbyforge.sources.boards import Boards
 
@@ -341,6 +341,39 @@ def test_read_models_over_the_merge(name, spark, data):
     sql = registry.ORACLES[name]
     assert rule in sql
     sql = sql.replace(rule, "coalesce('m:' || meta_comp, 'c:' || comp_id) AS gkey FROM stats LEFT JOIN merged USING (comp_id)").replace("SELECT *, coalesce('m:'", "SELECT stats.*, coalesce('m:'")
+    sql = sql.replace(pages.NAMED, "CASE WHEN k.gkey LIKE 'm:%' THEN list_filter(string_split(split_part(substr(k.gkey, 3), '##', 1), '|'), lambda u: u NOT IN ('', 'no_carry')) ELSE []::VARCHAR[] END")
     got = registry.QUERIES[f"{name}_merged"](spark, data)
     assert got.filter(F.col("gkey").startswith("m:")).count() > 0
     assert plain(got.toPandas()) == plain(con.execute(sql).df())
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_classes_merge_as_the_whole(seed):
+    """Merged class by class, comps get the labels that merging all of a set at once gives them."""
+    profiles, c = made_up(seed, 200), FIXTURE
+    whole = merge.labelled(merge.merge(profiles, c), c)
+    classes = defaultdict(list)
+    for p in profiles:
+        classes[p.copy_sig, p.gated_sig].append(p)
+    apart = {}
+    for mine in classes.values():
+        apart |= merge.labelled(merge.merge(mine, c), c)
+    assert apart == whole and len(classes) > 1
+
+
+def test_a_table_that_is_gone_is_made_anew(spark, tmp_path):
+    import shutil
+
+    from lobbyforge.sources import store
+
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    key = (str(tmp_path),)
+    assert store.once(spark, "gone", key, build).count() == store.once(spark, "gone", key, build).count() == 3 and len(calls) == 1
+    path = next(p for k, p in store.MADE.items() if k[1] == "gone" and k[2:] == key)
+    shutil.rmtree(path.removeprefix("file://"))
+    assert store.once(spark, "gone", key, build).count() == 3 and len(calls) == 2
