@@ -57,19 +57,25 @@ def named(b):
     return F.when(F.col("gkey").startswith("m:fam"), F.array(*(F.concat(F.lit("U"), (number + k) % 8) for k in (0, 3)))).otherwise(F.array().cast("array<string>"))
 
 
+def kept(b, name, rows):
+    """A table of the read models, stored once for the rule's groups and once for the merge's."""
+    return b.once(name + "_merged" * b.merged, lambda: rows) if b.stored else rows
+
+
 def members(b):
     """Comps of each bucket with statistics, group, emblem set, three-star units, and the label's carries."""
     worn = joined(F.transform("emblems", lambda e: F.concat(F.lit("emb:"), e))).alias("emblem")
     comps = stages.comps(b).select("comp_id", joined("three_stars").alias("state"), F.array_distinct("three_stars").alias("threes"), worn)
     cheap = b.d_units.filter(F.col("cost").between(1, b.config.reroll_max_cost)).agg(F.collect_set("character_id").alias("_cheap"))
     rows = stages.keyed(b).join(comps, "comp_id").withColumn("named", named(b)).crossJoin(F.broadcast(cheap))  # one row of unit ids
-    return rows.withColumn("named_cheap", F.array_intersect("named", "_cheap")).drop("_cheap")
+    rows = rows.withColumn("named_cheap", F.array_intersect("named", "_cheap")).drop("_cheap")
+    return kept(b, "members", rows)
 
 
 def shown_members(b):
     """(members of the shown variant of each group, all variants)."""
     rows = members(b)
-    found = family.variants(rows, b.config)
+    found = kept(b, "variants", family.variants(rows, b.config))
     shown = found.filter("shown").select(*KEY, "emblem", "variant")
     return rows.join(shown, [*KEY, "emblem"]).withColumns({"builds": (F.col("variant") != "") | (F.col("emblem") == ""), "own": F.col("emblem") == F.col("variant")}), found
 
@@ -83,7 +89,7 @@ def manual(b):
 @query("rm_family", FAMILIES + f"SELECT {K}, variant, n, family_n::BIGINT AS family_n, round(score, 6) AS score, shown, variants FROM fam", ctes=ALL, stored=True, merged=True)
 def rm_family(b):
     """Variants that each group shows after folding, and which of them stands for it."""
-    found = family.variants(members(b), b.config).filter("emblem = variant")
+    found = shown_members(b)[1].filter("emblem = variant")
     return found.select(*KEY, "variant", "n", "family_n", r6("score").alias("score"), "shown", "variants")
 
 
@@ -225,7 +231,7 @@ def rm_detail(b):
     chosen, found = shown_members(b)
     own = chosen.filter("own")
     heads = family.representatives(own, KEY, c)
-    counts = b.once("page_counts" + "_merged" * b.merged, lambda: page_counts(b))
+    counts = b.once("page_counts" + "_merged" * b.merged, lambda: page_counts(b))  # lazily: only if it is not there
     lines = family.page(counts, heads.select(*KEY, "carries"), b.d_units, c)
     groups = rollup.pool(members(b), *KEY).withColumn("score", scoring.shrunk_score(c)).filter(F.col("n") >= c.tier_min_sample)
     variants = found.filter("emblem = variant")
