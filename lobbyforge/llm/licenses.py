@@ -1,14 +1,17 @@
 """Licence scans by sentence rules.
 
-A text is cut into pieces (at line ends and after ``. ! ?`` with a blank), which become
-words: A-Z lower-cased, runs of other ASCII signs and of typographic quotes one blank.  A
-known sentence is found where one piece, or several with no blank line between them (wrapped
+A text is cut into pieces (at line ends, after ``. ! ?`` with a blank, at commas, semicolons and
+brackets), which become words: A-Z lower-cased, runs of other ASCII signs and of typographic quotes
+one blank.  Slots are filled first: a named holder where licences leave room for one reads as the
+copyright holder, ``this file is licensed`` as ``licensed``, and an SPDX expression as an identifier for each
+licence in it, without exceptions.  A known sentence is found where one piece, or several with no blank line between them (wrapped
 lines, or ``v. 2.0``), are its words and no more.  Of those that begin together the longest
 counts, and the next is sought behind it.  A table maps sentences to identifiers; those of a
 document form a sequence.  Rules are tried in order; a rule names a licence and the
 identifiers that must follow one another, with none between, in the document's sequence.
 Identifiers that a rule has used stay in their places but no later rule sees them.  A licence
-is reported once, at the first of its rules that matches.
+is reported once, at the first of its rules that matches; a reservation of all rights only where there
+is no licence.
 
 Everything is done within a row, by column functions: nothing is shuffled.  Null and
 empty texts have no sentences and no licences.  Repeated rows stay; an empty table gives an
@@ -154,9 +157,20 @@ RULES = (
     ("Public-Domain", ("PublicDomain",)),
     ("All-Rights-Reserved", ("Reserved",)),
 )
-#: Cut points (fixed values); what stands between words, line ends being kept.
+#: Cut points (fixed values); what stands between words, line ends and the signs of CLAUSE being kept.
 CUT = r"([.!?])[ \t]+"
-BETWEEN = "[\\x00-\\x09\\x0B-/:-@\\[-`{-\\x7F\u00a0\u201c\u201d\u2018\u2019\u00ab\u00bb]+"
+BETWEEN = "[\\x00-\\x09\\x0B-'*+\\-./:<-@\\[-`{-\\x7F\u00a0\u201c\u201d\u2018\u2019\u00ab\u00bb]+"
+CLAUSE = " ?\n? ?(?:[,;()] ?)+\n? ?"
+#: (slot, what it reads as), over words set apart by one blank or line end (fixed values of the public licences).
+W = "[ \n]"
+SLOTS = tuple((p.replace(" ", W), r) for p, r in (
+    ("(neither the name of)(?: [a-z0-9]+){1,12}?( nor the names of (?:its|the|their|any) contributors)", "\\1 the copyright holder\\2"),
+    ("(nor the names of) (?:the|their|any) (contributors)", "\\1 its \\2"),
+    ("(this software is provided by)(?: [a-z0-9]+){1,12}?( as is and any express or implied)", "\\1 the copyright holders and contributors\\2"),
+)) + ((f"(^|\n)this{W}(?:file|project|software|program|library|code|package|repository|module){W}is{W}(licensed|released){W}under", "\\1\\2 under"),)
+#: A line of an SPDX expression, its exceptions, and the place where it goes on with another licence.
+SPDX_LINE, SPDX_EXCEPTION = r"spdx-license-identifier:[^\n]*", r"(spdx-license-identifier:[^\n]*?)[ \t]+with[ \t]+[a-z0-9.\-]+"
+SPDX_JOIN, SPDX_NEXT = r"(spdx-license-identifier:[^\n]*?)[ \t)]+(?:or|and)[ \t(]+", "\\1\nspdx-license-identifier: "
 
 
 def words_of(sentence: str) -> str:
@@ -168,14 +182,35 @@ KNOWN = {words_of(s): (i,) for s, i in SENTENCES.items()} | {words_of(s): ids fo
 HINTS = "licens|permi|redistribut|copyright|warrant|reserved|domain|software|endorse|compliance|applicable|unencumbered|conditions|mpl"
 
 
+def java(replacement: str) -> str:
+    """A replacement with groups as ``\\1``, as DuckDB has them, for Spark."""
+    return re.sub(r"\\\\?([0-9])", r"$\1", replacement)
+
+
+def expressions(low: Column) -> Column:
+    """SPDX expressions as a line for each licence, as often as the longest of them goes on."""
+    lines = F.regexp_extract_all(low, F.lit(SPDX_LINE), F.lit(0))
+    joins = F.coalesce(F.array_max(F.transform(lines, lambda x: F.regexp_count(x, F.lit("[ )](?:or|and)[ (]")))), F.lit(0))
+    bare = F.regexp_replace(low, SPDX_EXCEPTION, "$1")
+    split = F.aggregate(F.sequence(F.lit(1), F.greatest(joins, F.lit(1))), bare, lambda t, _: F.regexp_replace(t, SPDX_JOIN, java(SPDX_NEXT)))
+    return F.when(low.contains("spdx-license-identifier:"), split).otherwise(low)
+
+
+def pieces_of(text: Column) -> Column:
+    """Words of a text, set apart by blanks within pieces and line ends between them."""
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(expressions(text), CUT, "$1\n"), BETWEEN, " "), CLAUSE, "\n"), " ?\n ?", "\n")
+    for slot, reads in SLOTS:
+        out = F.regexp_replace(out, slot, java(reads))
+    return F.trim(out)
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order.
 
     Texts without any word of licences are passed over before the costly steps.
     """
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    pieces = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, CUT, "$1\n"), BETWEEN, " "), " ?\n ?", "\n")
-    pieces = F.concat(F.lit("\n"), F.trim(pieces), F.lit("\n"))
+    pieces = F.concat(F.lit("\n"), pieces_of(low), F.lit("\n"))
     longest_first = sorted(KNOWN, key=lambda s: (-len(s), s))
     pattern = "\n(" + "|".join(s.replace(" ", "[ \n]") for s in longest_first) + ")(?=\n)"
     known = F.create_map(*(x for s, ids in KNOWN.items() for x in (F.lit(s), F.array(*map(F.lit, ids)))))
@@ -197,7 +232,15 @@ def match_rules(ids: Column) -> Column:
         found = F.when(hit, F.concat(state["found"], F.array(rule["name"]))).otherwise(state["found"])
         return F.struct(F.replace(state["rest"], rule["ids"], F.lit(USED)).alias("rest"), found.alias("found"))
 
-    return F.aggregate(rules, start, step, lambda state: F.array_distinct(state["found"]))
+    return F.aggregate(rules, start, step, lambda state: granted(F.array_distinct(state["found"])))
+
+
+#: What a text claims that grants nothing.
+RESERVED = "All-Rights-Reserved"
+
+
+def granted(found: Column) -> Column:
+    return F.when(F.size(found) > 1, F.array_remove(found, RESERVED)).otherwise(found)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

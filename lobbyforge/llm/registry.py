@@ -122,6 +122,12 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _slotted(sql: str) -> str:
+    for slot, reads in licenses.SLOTS:
+        sql = f"regexp_replace({sql}, {_quoted(slot)}, {_quoted(reads)}, 'g')"
+    return sql
+
+
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join(map(str, row)) + ")" for row in rows)
 
@@ -131,8 +137,11 @@ def _values(rows) -> str:
 LICENSE_SQL = f"""WITH known(sentence, ids) AS (VALUES {_values((_quoted(s), _quoted('|'.join(ids))) for s, ids in licenses.KNOWN.items())}),
 rules(n, name, ids) AS (VALUES {_values((n, _quoted(name), _quoted('|' + '||'.join(ids) + '|')) for n, (name, ids) in enumerate(licenses.RULES))}),
 numbered AS (SELECT row_number() OVER () AS row_id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
-cut AS (SELECT row_id, string_split(trim(regexp_replace(regexp_replace(regexp_replace(low, {_quoted(licenses.CUT)}, '\\1\n', 'g'), {_quoted(licenses.BETWEEN)}, ' ', 'g'), ' ?\n ?', '\n', 'g'), ' '), chr(10)) AS s
-    FROM numbered WHERE regexp_matches(low, {_quoted(licenses.HINTS)})),
+spdx AS (SELECT row_id, low, CASE WHEN contains(low, 'spdx-license-identifier:') THEN list_reduce(list_prepend(regexp_replace(low, {_quoted(licenses.SPDX_EXCEPTION)}, '\\1', 'g'),
+        list_transform(range(greatest(1, coalesce(list_max(list_transform(regexp_extract_all(low, {_quoted(licenses.SPDX_LINE)}), lambda x: len(regexp_extract_all(x, '[ )](?:or|and)[ (]')))), 0))), lambda i: '')),
+        lambda t, i: regexp_replace(t, {_quoted(licenses.SPDX_JOIN)}, {_quoted(licenses.SPDX_NEXT)}, 'g')) ELSE low END AS spread FROM numbered WHERE regexp_matches(low, {_quoted(licenses.HINTS)})),
+cut AS (SELECT row_id, string_split(trim({_slotted(f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(spread, {_quoted(licenses.CUT)}, '\\1\n', 'g'), {_quoted(licenses.BETWEEN)}, ' ', 'g'), {_quoted(licenses.CLAUSE)}, '\n', 'g'), ' ?\n ?', '\n', 'g')""")}, ' '), chr(10)) AS s
+    FROM spdx),
 one AS (SELECT row_id, unnest(s) AS piece, generate_subscripts(s, 1) AS pos FROM cut),
 run AS (SELECT *, sum(CASE WHEN piece = '' THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY pos) AS blanks FROM one),
 begins AS (SELECT * FROM run WHERE piece <> '' AND split_part(piece, ' ', 1) IN (SELECT split_part(sentence, ' ', 1) FROM known)),
@@ -143,7 +152,8 @@ taken AS (SELECT row_id, list_reduce(list_prepend({{'pos': 0, 'upto': 0, 'ids':
     lambda a, b: {{'pos': b.pos, 'upto': CASE WHEN b.pos > a.upto THEN b.upto ELSE a.upto END, 'ids': CASE WHEN b.pos > a.upto THEN a.ids || '|' || b.ids ELSE a.ids END}}).ids[2:] AS license_ids FROM hit GROUP BY row_id),
 fold AS (SELECT row_id, license_ids, list_reduce(list_prepend({{'n': -1, 'name': '', 'ids': '', 'rest': '|' || replace(license_ids, '|', '||') || '|', 'found': ['']}}, (SELECT list({{'n': n, 'name': name, 'ids': ids, 'rest': '', 'found': ['']}} ORDER BY n) FROM rules)),
     lambda a, b: {{'n': b.n, 'name': b.name, 'ids': b.ids, 'rest': replace(a.rest, b.ids, '{licenses.USED}'), 'found': CASE WHEN contains(a.rest, b.ids) AND NOT list_contains(a.found, b.name) THEN list_append(a.found, b.name) ELSE a.found END}}) AS f FROM taken)
-SELECT d.doc_id, coalesce(license_ids, '') AS license_ids, coalesce(array_to_string(f.found[2:], '|'), '') AS licenses, coalesce(len(f.found) - 1, 0)::BIGINT AS n_licenses FROM numbered d LEFT JOIN fold USING (row_id)"""
+SELECT d.doc_id, coalesce(license_ids, '') AS license_ids, coalesce(array_to_string(named, '|'), '') AS licenses, coalesce(len(named), 0)::BIGINT AS n_licenses FROM numbered d
+LEFT JOIN (SELECT row_id, license_ids, CASE WHEN len(f.found) > 2 THEN list_filter(f.found[2:], lambda x: x <> '{licenses.RESERVED}') ELSE f.found[2:] END AS named FROM fold) USING (row_id)"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

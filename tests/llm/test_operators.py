@@ -197,7 +197,7 @@ def test_fingerprints_of_documents(docs, empty):
 
 def test_licences(spark, docs):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."
-    cases = {mit: "MIT", "words\n * Licensed under the Apache License, Version 2.0.\nmore": "Apache-2.0", "Released under the MIT License. All rights reserved.": "MIT|All-Rights-Reserved", "a mit license": "", "": "", None: ""}
+    cases = {mit: "MIT", "words\n * Licensed under the Apache License, Version 2.0.\nmore": "Apache-2.0", "Released under the MIT License. All rights reserved.": "MIT", "All rights reserved.": "All-Rights-Reserved", "a mit license": "", "": "", None: ""}
     df = spark.createDataFrame([(t, 1) for t in cases], "text string, licenses int")
     got = {r.text: "|".join(r.found) for r in licenses.scan(df.select("text")).withColumnRenamed("licenses", "found").collect()}
     assert got == cases
@@ -280,6 +280,40 @@ def rewrapped(text, r):
     return out.upper() if r.random() < 0.2 else out
 
 
+def named_bsd(holder, organisation):
+    return (
+        f"Copyright (c) 2011, {holder}\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+        "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n"
+        "   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+        f"3. Neither the name of {organisation} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+        f'THIS SOFTWARE IS PROVIDED BY {organisation.upper()} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED\nWARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.\n'
+    )
+
+
+#: Texts with slots, short references and SPDX expressions, and their licences.
+FILLED = {
+    named_bsd("Example Inc.", "Example Inc."): "BSD-3-Clause",
+    named_bsd("The Regents", "the University of\n   California, Example (and others)"): "BSD-3-Clause",
+    named_bsd("J. Doe", "the copyright holder").replace("\n", "\n # "): "BSD-3-Clause",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT|Apache-2.0",
+    "// SPDX-License-Identifier: (ISC OR MIT) AND BSD-2-Clause\nint x;": "MIT|BSD-2-Clause|ISC",
+    "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 or MIT": "MIT|GPL-2.0-only",
+    "SPDX-License-Identifier: MIT OR " + " OR ".join(["ISC"] * 12) + " OR MPL-2.0": "MIT|ISC|MPL-2.0",
+    "This file is licensed under the MIT License, see LICENSE.": "MIT",
+    "Licensed under the MIT License (see LICENSE file).": "MIT",
+    "code (released under the MIT license; see below)": "MIT",
+    "This library\nis licensed under the Apache License, Version 2.0": "Apache-2.0",
+    "it is not licensed under the MIT License": "",
+    "Neither the name of the game nor the names of its contributors matter": "",
+    "licensed under the\n\nMIT License": "",
+}
+
+
+def test_licences_with_slots(spark):
+    got = {r.text: "|".join(r.licenses) for r in licenses.scan(spark.createDataFrame([(t,) for t in FILLED], "text string")).collect()}
+    assert got == FILLED
+
+
 def test_licence_titles_and_wrapping(spark):
     r = random.Random(14)
     plain = {**TITLES, **{k: v.replace("\r", "").replace("\n * ", "\n").replace("\n# ", "\n").replace("\n#\n", "\n\n").lstrip("# *") for k, v in WRAPPED.items() if k not in ("MPL-2.0", "All-Rights-Reserved")}}
@@ -297,7 +331,7 @@ def test_used_identifiers_do_not_meet(spark):
 def test_licence_sql_on_mutations(spark):
     """The query's SQL gives the same on licences rewrapped, cut, mixed and marked at random."""
     r = random.Random(15)
-    entries = [*licenses.SENTENCES, *licenses.OFFICIAL, *TITLES.values(), *WRAPPED.values(), "all other words", "the licensed thing", "", "permission"]
+    entries = [*licenses.SENTENCES, *licenses.OFFICIAL, *TITLES.values(), *WRAPPED.values(), *FILLED, "all other words", "the licensed thing", "", "permission"]
 
     def broken(text):
         for _ in range(r.choice([0, 0, 1, 2, 4])):
