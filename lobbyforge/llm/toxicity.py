@@ -4,11 +4,13 @@ Tokens that look tampered with (signs or digits for letters, letters repeated, l
 set apart by blanks or marks) become lattices of the characters that they may stand
 for; a Viterbi search finds the likeliest spelling under a character trigram model of
 the corpus and the cost of each substitution.  The restored text is scored by the log
-odds of the words that set toxic documents apart from others.
+odds of the words that set toxic documents apart from others, and, within a bound, by the mean
+leaning of all its words, toxic or clean, which are counted in buckets of a hash.  A text with a toxic word
+starts from the share of toxic documents, one without from their share among labelled texts without.
 
 The character model counts all documents.  The words are learnt from labelled rows, at
 most ``max_labelled`` of them in hash order; near copies count once, so a copied
-document does not teach its own words.  Null and empty texts get the prior.  Labelled
+document does not teach its own words.  Null and empty texts have no words and lean nowhere.  Labelled
 rows without a label are left out; of a document with several labels the greatest holds.
 Repeated rows stay; an empty table gives an empty one, empty labels a model that marks nothing.
 Column names play no part (``score`` and the like may be among the documents').  A very long
@@ -63,13 +65,20 @@ class Settings:
     least_spread: float = 0.5
     least_weight: float = 4.0
     least_stem_weight: float = 2.75
+    #: Buckets of words that lean to either side, documents against which a bucket's leaning is drawn to none, and the most that all words move a score (in nats).
+    buckets: int = 1 << 13
+    leaning_prior: float = 8.0
+    most_leaning: float = 1.0
 
 
 @dataclass(frozen=True)
 class Model:
     costs: np.ndarray  # -log p(third | first, second), SIZE x SIZE x SIZE
     weights: dict[str, float]  # skeleton -> log odds
-    prior: float
+    prior: float  # log odds of a text with a toxic word before its words are counted
+    without: float  # log odds of a text without any
+    leanings: list[float]  # bucket of a word -> log odds, drawn to 0
+    most_leaning: float
 
 
 def letter_ids() -> np.ndarray:
@@ -334,18 +343,35 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     kept = counts.filter((F.col("toxic") >= settings.least_documents) & (F.col("toxic") >= settings.least_spread * F.col("n")) & (F.length("word") >= 3))
     kept = kept.withColumn("weight", weight).filter(F.col("weight") >= F.when(F.col("word").endswith("~"), settings.least_stem_weight).otherwise(settings.least_weight))
     chosen = kept.orderBy(F.desc("toxic"), "word").limit(settings.max_words).select("word", "weight").collect()
+    names = [w for w, _ in chosen]
+    plain = spelled.filter(~F.arrays_overlap("words", F.array(*map(F.lit, names)).cast("array<string>"))) if names else spelled
+    unmarked = {r[0]: r[1] for r in plain.groupBy("toxic").agg(F.count_distinct("copies")).collect()}
+    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(settings.buckets)).cast("int")
+    met = each.select(bucket.alias("bucket"), "toxic", "copies").distinct().groupBy("bucket").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
+    leanings = [0.0] * settings.buckets
+    for at, t, c in met.collect():  # a row a bucket at most
+        leanings[at] = leaning(t, c, toxic, clean, settings)
     spelled.unpersist()
-    return Model(costs, {w: float(x) for w, x in chosen}, math.log((toxic + 1) / (clean + 9)))
+    return Model(costs, {w: float(x) for w, x in chosen}, math.log((toxic + 1) / (clean + 9)), math.log((unmarked.get(1, 0) + 0.5) / (unmarked.get(0, 0) + 9)), leanings, settings.most_leaning)
+
+
+def leaning(toxic_with: int, clean_with: int, toxic: int, clean: int, settings: Settings) -> float:
+    """Log odds of a bucket's words, drawn to 0 where few documents have them."""
+    n = toxic_with + clean_with
+    return (math.log((toxic_with + 0.5) / (toxic + 1)) - math.log((clean_with + 0.5) / (clean + 1))) * n / (n + settings.leaning_prior)
 
 
 def score(text: str, restorer: Restorer, joiner: Joiner, model: Model) -> tuple[float, list[str]]:
     """(probability, toxic words found) of a text."""
     tokens = tokens_of(text)
-    hits = {w for w in restorer.text(tokens) if w in model.weights}
+    words = restorer.text(tokens)
+    hits = {w for w in words if w in model.weights}
     for letters in restorer.spelt(text, tokens) if text else ():
         hits.update(w for w in model.weights if w in letters and len(w) > STEM)
     hits |= joiner.find(tokens)
-    logit = model.prior + sum(model.weights[w] for w in sorted(hits))
+    table, size = model.leanings, len(model.leanings)
+    mean = math.fsum(table[zlib.crc32(w.encode()) % size] for w in words) / max(1, len(words))
+    logit = (model.prior if hits else model.without) + sum(model.weights[w] for w in sorted(hits)) + model.most_leaning * math.tanh(mean)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), sorted(hits)
 
 

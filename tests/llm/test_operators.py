@@ -497,6 +497,100 @@ def test_deobfuscation(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+def brute_costs(texts):
+    """Trigram costs by counting every text's characters one by one."""
+    n = toxicity.SIZE
+    three = Counter()
+    for t in texts:
+        ids = [toxicity.EDGE, toxicity.EDGE, *(int(toxicity.IDS[ord(c)]) for c in t), toxicity.EDGE]
+        three.update(zip(ids, ids[1:], ids[2:]))
+    for a in range(n):
+        three.pop((a, toxicity.EDGE, toxicity.EDGE), None)
+    two, one = Counter(), Counter()
+    for (_, b, c), k in three.items():
+        two[b, c] += k
+        one[c] += k
+    p1 = [(one[c] + 1) / (one.total() + n) for c in range(n)]
+    row2, row3 = Counter(), Counter()
+    for (b, c), k in two.items():
+        row2[b] += k
+    for (a, b, _), k in three.items():
+        row3[a, b] += k
+    p2 = {(b, c): (two[b, c] + 5 * p1[c]) / (row2[b] + 5) for b in range(n) for c in range(n)}
+    return np.array([[[-math.log((three[a, b, c] + 5 * p2[b, c]) / (row3[a, b] + 5)) for c in range(n)] for b in range(n)] for a in range(n)])
+
+
+def brute_toxicity(docs, labels, settings=toxicity.Settings()):
+    """(score, predicted) of each (doc_id, text): learning and scoring restated over plain sets and counters."""
+    costs = brute_costs([t or "" for _, t in docs])
+    restorer = toxicity.Restorer(costs)
+    known = {}
+    for i, label in labels:
+        if i is not None and label is not None and zlib.crc32(str(i).encode()) % 5:
+            known[i] = max(label, known.get(i, 0))
+    sample = []
+    for i, text in docs:
+        if i in known:
+            words = restorer.text(toxicity.tokens_of(text or ""))
+            sample.append((known[i], toxicity.group_of(words), words))
+    groups = {c: len({g for k, g, _ in sample if k == c}) for c in (0, 1)}
+    seen = defaultdict(lambda: (set(), set()))  # word -> copies' groups among clean and toxic rows
+    rows_of = defaultdict(Counter)
+    for label, g, words in sample:
+        for w in words:
+            seen[w][label].add(g)
+            rows_of[w][label] += 1
+    able = []
+    for w, (clean, toxic) in seen.items():
+        weight = math.log((len(toxic) + 0.5) / (groups[1] + 1)) - math.log((len(clean) + 0.5) / (groups[0] + 1))
+        least = settings.least_stem_weight if w.endswith("~") else settings.least_weight
+        if len(toxic) >= settings.least_documents and len(toxic) >= settings.least_spread * rows_of[w][1] and len(w) >= 3 and weight >= least:
+            able.append((-len(toxic), w, weight))
+    weights = {w: x for _, w, x in sorted(able)[: settings.max_words]}
+    without = {c: len({g for k, g, words in sample if k == c and not words & weights.keys()}) for c in (0, 1)}
+    buckets = defaultdict(lambda: (set(), set()))
+    for w, (clean, toxic) in seen.items():
+        b = zlib.crc32(w.encode()) % settings.buckets
+        buckets[b][0].update(clean)
+        buckets[b][1].update(toxic)
+    prior, none = math.log((groups[1] + 1) / (groups[0] + 9)), math.log((without[1] + 0.5) / (without[0] + 9))
+    joiner = toxicity.Joiner(toxicity.Model(costs, weights, prior, none, [0.0], 0.0))
+    out = []
+    for _, text in docs:
+        tokens = toxicity.tokens_of(text or "")
+        words = restorer.text(tokens)
+        hits = (words & weights.keys()) | joiner.find(tokens)
+        for letters in restorer.spelt(text, tokens) if text else ():
+            hits |= {w for w in weights if w in letters and len(w) > toxicity.STEM}
+        lean = 0.0
+        for w in words:
+            clean, toxic = (len(x) for x in buckets.get(zlib.crc32(w.encode()) % settings.buckets, ((), ())))
+            lean += (math.log((toxic + 0.5) / (groups[1] + 1)) - math.log((clean + 0.5) / (groups[0] + 1))) * (toxic + clean) / (toxic + clean + settings.leaning_prior)
+        logit = (prior if hits else none) + sum(weights[w] for w in hits) + settings.most_leaning * math.tanh(lean / max(1, len(words)))
+        out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
+    return out
+
+
+def test_toxicity_matches_brute_force(spark, data):
+    """The whole query on the smallest table, and a table of odd rows: null ids and texts, repeats, absent documents, labels that disagree."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{data}/labels.parquet").collect()]
+    got = {r.doc_id: r for r in registry.QUERIES["op6_deobfuscation"](spark, data).collect()}
+    want = brute_toxicity(docs, labels)
+    assert len(got) == len(docs)
+    for (i, _), score in zip(docs, want):
+        assert got[i].score == pytest.approx(score, abs=1e-9) and got[i].predicted == int(score >= 0.5)
+    r = random.Random(21)
+    words = "read thing nation over there shed blend".split()
+    text = lambda bad: " ".join([*(r.choice(words) + r.choice(words) for _ in range(12)), *(["slimeball", "sl1meb4ll", "s l i m e b a l l"][r.randrange(3)] for _ in range(bad))])
+    odd = [(i, text(i % 3 == 0)) for i in range(120)] + [(None, text(1)), (None, None), (200, None), (201, ""), (202, "  "), (5, text(0)), (5, text(0)), (203, "thing " * 3000 + "slimeball")]
+    marks = [(i, int(i % 3 == 0)) for i in range(120)] + [(3, 0), (7, None), (None, 1), (999, 1), (200, 1), (5, 1)]
+    table = spark.createDataFrame([(i, t, 1, "i", "c") for i, t in odd], "doc_id long, text string, c0 int, i0 string, score string")
+    some = Counter((x.i, x.t, round(x.s, 9), x.p) for x in toxicity.judge(table, spark.createDataFrame(marks, "doc_id long, toxic int"), keep=("doc_id", "text", "c0", "i0")).toDF("i", "t", "c0", "i0", "s", "p", "w").collect())
+    assert some == Counter((i, t, round(s, 9), int(s >= 0.5)) for (i, t), s in zip(odd, brute_toxicity(odd, marks)))
+    assert toxicity.clean_documents(table, spark.createDataFrame(marks, "doc_id long, toxic int")).columns == table.columns
+
+
 def all_readings(token):
     """Every spelling of a token and its cost before the model's: the lattice, path by path."""
     paths = [("", 0.0)]

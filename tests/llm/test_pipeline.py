@@ -8,10 +8,10 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import tiktoken
-from test_operators import FOLD, RANKS, brute_base, brute_groups, brute_references, brute_verdict
+from test_operators import FOLD, RANKS, brute_base, brute_groups, brute_references, brute_toxicity, brute_verdict
 
 import corpus_pipeline
-from lobbyforge.llm import byte_bpe, mixing, toxicity
+from lobbyforge.llm import byte_bpe, mixing
 from lobbyforge.llm.common import documents, written
 
 
@@ -51,8 +51,14 @@ def test_quality_stage(stages):
 
 
 def test_toxicity_stage(spark, data, stages):
-    judged = toxicity.judge(stages[1], spark.read.parquet(f"{data}/labels.parquet"))
-    assert ids(stages[2]) == ids(judged.filter("predicted = 0"))
+    """By brute force: learning and scores over what the stage before kept, and over a table with more labels."""
+    larger = data.replace("sf0.001", "sf0.01")
+    for where, given, kept in ((data, stages[1], stages[2]), (larger, documents(spark, larger), None)):
+        docs = [(i, t) for i, t, _ in rows(given)]
+        labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{where}/labels.parquet").collect()]
+        want = [i for (i, _), score in zip(docs, brute_toxicity(docs, labels)) if score < 0.5]
+        assert ids(corpus_pipeline.keep_clean(spark, given, where) if kept is None else kept) == sorted(want)
+    assert 0 < len(want) < len(docs)
 
 
 def test_near_dedup_stage(stages):
