@@ -6,7 +6,8 @@ the model escapes to the context one byte shorter, and the symbols of the longer
 are excluded there.  With n occurrences and d different symbols in a context (after
 exclusion), a symbol seen c times has probability (2c - 1) / 2n and the escape d / 2n
 (method D).  Shorter contexts count a symbol once for each context they are the end of,
-as when a trie is updated with exclusion.  Below the empty context all symbols not yet excluded are equally likely.
+as when a trie is updated with exclusion.  Above the contexts of ORDER bytes stands one of words: within a word,
+from its ORDER-th to its DEPTH-th byte, all of it so far, so a word's spelling is known whole.  Below the empty context all symbols not yet excluded are equally likely.
 
 The model is pretrained: counts come from the training documents, by context, summed over
 the whole corpus.  Documents are dealt to chunks of bounded size, each of which is a
@@ -40,6 +41,10 @@ from .quality import FOLD, word_hashes, words_of
 ORDER, END, SYMBOLS, WIDTH = 4, 256, 257, 9
 CHUNK_BYTES = 28 << 20
 WORD = 0  # kind of a row of word counts; a row of kind k counts strings of k symbols
+#: Kinds of rows of a word's bytes so far with the next symbol, and of these bytes as a context; most bytes of one.
+SPELLED, SPELLING, DEPTH = ORDER + 2, ORDER + 3, 24
+BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def mask(symbols: int) -> np.int64:
@@ -69,6 +74,31 @@ def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, length, ends
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * STEP
+    x = (x ^ (x >> np.uint64(29))) * BASE
+    return x ^ (x >> np.uint64(32))
+
+
+def spellings(symbol: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a place has a context of its word, hash of that context, hash of it with the symbol) of each place.
+
+    Hashes of all beginnings of words come from one running sum of symbols times powers.
+    """
+    n = len(symbol)
+    blank = (symbol == 32) | ((symbol >= 9) & (symbol <= 13))
+    at = np.arange(n)
+    first = begin.copy()
+    first[1:] |= blank[:-1]
+    start = np.maximum.accumulate(np.where(first, at, 0))
+    length = at - start
+    powers, back = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n - 1, 0), b, np.uint64))])[:n] for b in (BASE, UNBASE))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((symbol + 1).astype(np.uint64) * powers)])[:n]
+    up = mixed((sums - sums[start]) * back[start] + length.astype(np.uint64))
+    key = mixed(up + (symbol + 1).astype(np.uint64) * STEP)
+    return (length >= ORDER) & (length <= DEPTH), up.view(np.int64), key.view(np.int64)
+
+
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sum of each one's weights (1 by default)."""
     if weights is None:
@@ -116,6 +146,13 @@ def word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(FOLD[raw], start, end).view(np.int64), np.diff(upto)
 
 
+def told_apart(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Each key once, in order, with what belongs to it."""
+    keys, *more = (np.concatenate(x) for x in zip(*rows))
+    keys, at = np.unique(keys, return_index=True)
+    return keys, *(m[at] for m in more)
+
+
 SLICE_BYTES = 1 << 20
 
 
@@ -137,10 +174,18 @@ def gather(rows: DataFrame, chunks: int) -> tuple[DataFrame, DataFrame]:
 
     def run(table: pa.Table) -> pa.Table:
         parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        whose: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (spelled, its context, its last symbols)
         for texts, train in portions(table):
             key, length, ends = packed(texts)
-            for kind, keys, n in string_counts(key, length, np.repeat(train, np.diff(np.concatenate([[0], ends])))):
+            known = np.repeat(train, np.diff(np.concatenate([[0], ends])))
+            for kind, keys, n in string_counts(key, length, known):
                 parts[kind].append((keys, n))
+            inside, up, spelled = spellings(key & mask(1), length == 1)
+            keys, n = counted(spelled[inside], known[inside].astype(np.int64))
+            parts[SPELLED].append((keys, n))
+            parts[SPELLING].append((np.unique(up[inside]), np.zeros(len(np.unique(up[inside])), np.int64)))
+            _, place = np.unique(spelled[inside], return_index=True)
+            whose.append((keys, up[inside][place], key[inside][place]))
             words, per_text = word_keys(texts)
             every, _ = counted(words)
             known, n = counted(words[np.repeat(train, per_text)])
@@ -150,17 +195,21 @@ def gather(rows: DataFrame, chunks: int) -> tuple[DataFrame, DataFrame]:
             if len(parts[WORD]) > 6:  # sums of the portions so far take less room
                 for found in parts.values():
                     found[:] = [counted(*(np.concatenate(x) for x in zip(*found)))]
+                whose[:] = [told_apart(whose)]
                 pa.default_memory_pool().release_unused()
         out = []
+        _, up, low = told_apart(whose)
         for kind, found in parts.items():
             keys, n = counted(*(np.concatenate(x) for x in zip(*found)))
             found.clear()
-            out.append(pa.table({"chunk": pa.array(np.full(len(keys), table.column("chunk")[0].as_py(), np.int32)), "kind": pa.array(np.full(len(keys), kind, np.int8)), "key": pa.array(keys), "n": pa.array(n)}))
+            none = pa.nulls(len(keys), pa.int64())
+            more = (pa.array(up), pa.array(low)) if kind == SPELLED else (none, none)
+            out.append(pa.table({"chunk": pa.array(np.full(len(keys), table.column("chunk")[0].as_py(), np.int32)), "kind": pa.array(np.full(len(keys), kind, np.int8)), "key": pa.array(keys), "n": pa.array(n), "up": more[0], "low": more[1]}))
         return pa.concat_tables(out)
 
     dealt = rows.select("chunk", "text", "train").repartitionById(chunks, F.col("chunk"))
-    found = written(dealt.groupBy("chunk").applyInArrow(run, "chunk int, kind byte, key long, n long"), "found")
-    sums = found.filter("n > 0").groupBy("kind", "key").agg(F.sum("n").alias("count"))
+    found = written(dealt.groupBy("chunk").applyInArrow(run, "chunk int, kind byte, key long, n long, up long, low long"), "found")
+    sums = found.filter("n > 0").groupBy("kind", "key").agg(F.sum("n").alias("count"), F.max("up").alias("up"), F.max("low").alias("low"))
     return found.select("chunk", "kind", "key"), written(sums, "counts")
 
 
@@ -172,7 +221,7 @@ def contexts(counts: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     text.  follow: weights of all strings one symbol longer; kinds: how many there are;
     shorter: the weights that their symbols have after the context one symbol shorter.
     """
-    string = counts.filter(f"kind > {WORD}")
+    string = counts.filter(f"kind BETWEEN 1 AND {ORDER + 1}").select("kind", "key", "count")
     low = F.expr(f"key & (shiftleft(1L, (kind - 1) * {WIDTH}) - 1)")
     down = (F.col("kind") - 1).cast("byte").alias("kind")
     before = string.filter("kind > 1").groupBy(down, low.alias("key")).agg(F.count(F.lit(1)).alias("symbols"), F.sum("count").alias("times"))
@@ -187,7 +236,11 @@ def contexts(counts: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     root = after.filter("kind = 0").select("follow", "kinds").first() or (0, 0)
     own = weighted.filter(f"kind <= {ORDER}").join(after, ["kind", "key"], "left")
     none = F.lit(0).cast("long")
-    return own.select("kind", "key", "weight", *(F.coalesce(c, none).alias(c) for c in ("follow", "kinds", "shorter"))), (int(root[0]), int(root[1]))
+    bytes_ = own.select("kind", "key", "weight", *(F.coalesce(c, none).alias(c) for c in ("follow", "kinds", "shorter")))
+    below = weighted.filter(f"kind = {ORDER + 1}").select(F.col("key").alias("low"), F.col("weight").alias("short"))
+    words = counts.filter(f"kind = {SPELLED}").join(below, "low").groupBy(F.col("up").alias("key")).agg(F.sum("count").alias("follow"), F.count(F.lit(1)).alias("kinds"), F.sum("short").alias("shorter"))
+    words = words.select(F.lit(SPELLING).cast("byte").alias("kind"), "key", none.alias("weight"), "follow", "kinds", "shorter")
+    return bytes_.unionByName(words), (int(root[0]), int(root[1]))
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -215,7 +268,7 @@ def scores(docs: DataFrame) -> DataFrame:
 def score_chunk(table: pa.Table, counts: pa.Table, known: int, vocabulary: int, ends: int, root: tuple[int, int]) -> pa.Table:
     kind = counts.column("kind").to_numpy()
     columns = {c: counts.column(c).to_numpy() for c in ("key", "count", "follow", "kinds", "shorter")}
-    trie = Trie({k: {c: v[kind == k] for c, v in columns.items()} for k in range(1, ORDER + 2)}, root)
+    trie = Trie({k: {c: v[kind == k] for c, v in columns.items()} for k in range(1, SPELLING + 1)}, root)
     order = np.argsort(columns["key"][kind == WORD])
     words, seen = columns["key"][kind == WORD][order], columns["count"][kind == WORD][order]
     floor = known + 0.5 * (vocabulary + 1)
@@ -245,6 +298,14 @@ def score_chunk(table: pa.Table, counts: pa.Table, known: int, vocabulary: int,
     })
 
 
+def found_at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted key among sorted ones, -1 where it is not."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
 class Trie:
     """Contexts and counts as arrays by level, walked for all places of many texts at once.
 
@@ -285,6 +346,14 @@ class Trie:
             self.first = [np.log(2 * n) for n in follow]
             self.escape = [np.log(d) - np.log(np.maximum(2 * n, 1)) for n, d in zip(follow, kinds)]
         self.follow, self.kinds, self.shorter = follow, kinds, shorter
+        order = np.argsort(levels[SPELLED]["key"])
+        self.spelled, self.times = levels[SPELLED]["key"][order], np.log(2.0 * levels[SPELLED]["count"][order] - 1)
+        order = np.argsort(levels[SPELLING]["key"])
+        self.spelling, n, d, less = (levels[SPELLING][c][order] for c in ("key", "follow", "kinds", "shorter"))
+        self.whole = np.log(2.0 * n)
+        self.broken = np.log(d) - self.whole
+        # contexts of words stand where those of one byte more would
+        kinds[ORDER + 1], shorter[ORDER + 1] = np.append(d, 0).astype(float), np.append(less, 0).astype(float)
 
     def log10(self, texts: list[str]) -> np.ndarray:
         """log10 of the probability of each text with its end."""
@@ -312,8 +381,16 @@ class Trie:
                 before.append(shifted)
         total = np.zeros(n)
         # the longest context that was seen and has successors
-        rest = np.arange(n)
-        came = np.full(n, -1, np.int64)  # string one longer, from which the model escaped
+        came = np.full(n, -1, np.int64)  # context one longer, from which the model escaped
+        inside, up, spelled = spellings(symbol, begin)
+        place, own = found_at(self.spelling, up), found_at(self.spelled, spelled)
+        known = inside & (place >= 0)
+        hit = np.flatnonzero(known & (own >= 0))
+        total[hit] += self.times[own[hit]] - self.whole[place[hit]]
+        missed = np.flatnonzero(known & (own < 0))
+        total[missed] += self.broken[place[missed]]
+        came[missed] = place[missed]
+        rest = np.flatnonzero(~(known & (own >= 0)))
         for k in range(ORDER, -1, -1):
             ctx = before[k][rest]
             seen = self.follow[k][ctx] > 0

@@ -353,12 +353,23 @@ def test_licence_sql_on_mutations(spark):
 # ---------------------------------------------------------------- 4
 
 
+def word_so_far(symbols, p, order):
+    """The bytes of the word before a place, if it has a context of its own."""
+    start = p
+    while start > 0 and not (symbols[start - 1] == 32 or 9 <= symbols[start - 1] <= 13):
+        start -= 1
+    return tuple(symbols[start:p]) if order <= p - start <= ppm.DEPTH else None
+
+
 def brute_ppm(train, text, order):
     seen = defaultdict(set)
     full = Counter()
+    spelled = defaultdict(Counter)
     for t in train:
         symbols = [*t.encode(), ppm.END]
         for p, s in enumerate(symbols):
+            if (word := word_so_far(symbols, p, order)) is not None:
+                spelled[word][s] += 1
             for k in range(min(order, p) + 1):
                 before = symbols[p - k - 1] if p > k else "begin"
                 seen[tuple(symbols[p - k : p]), s].add(before)
@@ -369,8 +380,8 @@ def brute_ppm(train, text, order):
     symbols, total = [*text.encode(), ppm.END], 0.0
     for p, s in enumerate(symbols):
         out: set = set()
-        for k in range(min(order, p), -1, -1):
-            found = counts.get(tuple(symbols[p - k : p]))
+        ladder = [spelled.get(word_so_far(symbols, p, order)), *(counts.get(tuple(symbols[p - k : p])) for k in range(min(order, p), -1, -1))]
+        for found in ladder:
             left = {x: c for x, c in (found or {}).items() if x not in out}
             if left:
                 n = sum(left.values())
