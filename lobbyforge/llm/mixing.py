@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 LEVELS = ("_domain", "_lang", "_source")
 
@@ -115,14 +115,19 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = Non
     leaves = rows.groupBy(*LEVELS).agg(F.sum("_tokens").alias("tokens"))
     budgets = written(leaf_budgets(leaves, mix).select(*LEVELS, F.expr("budget div tokens").alias("_whole"), F.expr("budget % tokens").alias("_part")), "budgets")
     order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_epoch").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("none"))).cast("binary"))
-    bucket = F.substring("_order", 1, 3)
-
-    cut = by_leaf(rows, budgets.filter("_part > 0")).withColumn("_epoch", F.col("_whole")).withColumn("_order", order)
-    sums = cut.groupBy(*LEVELS, bucket.alias("_bucket")).agg(F.sum("_tokens").alias("_sum"))
-    before = Window.partitionBy(*LEVELS).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(budgets, list(LEVELS))
-    ends = sums.filter("_start <= _part AND _start + _sum > _part").select(*LEVELS, F.col("_bucket").alias("_cut"), "_start")
-    decided = written(budgets.join(ends, list(LEVELS), "left"), "decided")
+    decided = budgets.withColumns({"_cut": F.lit(""), "_start": F.lit(0).cast("long")})
+    for digits in CUTS:
+        # sums of the buckets into which the bucket found so far is cut: no more a leaf than a step has
+        inside = by_leaf(rows, decided.filter("_part > 0")).withColumn("_epoch", F.col("_whole")).withColumn("_order", order).filter(F.col("_order").startswith(F.col("_cut")))
+        sums = inside.groupBy(*LEVELS, "_part", "_start", F.substring("_order", 1, digits).alias("_bucket")).agg(F.sum("_tokens").alias("_sum"))
+        before = Window.partitionBy(*LEVELS).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        begin = F.col("_start") + F.coalesce(F.sum("_sum").over(before), F.lit(0))
+        ends = sums.withColumn("_begin", begin).filter("_begin <= _part AND _begin + _sum > _part").select(*LEVELS, F.col("_bucket").alias("_cut"), F.col("_begin").alias("_start"))
+        spent, decided = decided, written(budgets.join(ends, list(LEVELS), "left"), "decided")
+        if hasattr(spent, "written_to"):
+            discard(spent)
+    discard(budgets)
+    bucket = F.substring("_order", 1, CUTS[-1])
 
     epochs = F.explode(F.sequence(F.lit(0), F.lit(mix.max_epochs - 1))).alias("_epoch")
     offered = by_leaf(rows, decided).select("*", epochs).filter("_epoch < _whole OR (_epoch = _whole AND _part > 0)").withColumn("_order", order)
@@ -134,6 +139,8 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = Non
     return taken.unionByName(rest.select(*out))
 
 
+#: Hex digits of the hash by which the place where a budget ends is narrowed, step by step: 256 buckets each.
+CUTS = (2, 4, 6)
 #: Leaves whose decisions are broadcast (some 100 bytes each); ways that a leaf's rows are dealt beyond.
 BROADCAST_LEAVES, SALTS = 100_000, 64
 
