@@ -8,10 +8,10 @@ limits, which comes to the same.)  A leaf's supply is its tokens times ``max_epo
 
 A leaf is read in epochs, each in its own seeded order.  Whole epochs are taken as long
 as the budget lasts; of the last one, the longest prefix that does not exceed the rest.
-The prefix is found by buckets of the order: tokens are summed by bucket, every row before the
-bucket in which the budget ends is taken where it is, and only the rows of that bucket are
-moved and summed one by one.  So texts stay in place and a source with a third of all rows
-is no task of its own.  What is decided for each leaf is broadcast if there are at most
+The prefix is found by buckets of the order: tokens are summed by bucket, then within the bucket
+in which the budget ends, and so on, each step 256 times finer.  Every row before the last of these is
+taken where it is, and only its few rows are moved and summed one by one.  So texts stay in
+place and a source with a third of all rows is no task of its own.  What is decided for each leaf is broadcast if there are at most
 BROADCAST_LEAVES of them; for more, rows and decisions are joined by leaf and salt.
 
 All amounts are whole tokens; shares are rounded down.  Null keys are nodes of their own
