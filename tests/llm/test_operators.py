@@ -971,4 +971,4 @@ def test_components_in_parts(spark, monkeypatch):
 
 
 def test_all_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 14))
