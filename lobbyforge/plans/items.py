@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import codecs
 from ..operators import itemization, rollup
 from . import stages
 from .core import joined, r6
@@ -192,9 +193,11 @@ def agg_set_count(b):
     return set_counts(b).drop("placement_sum")
 
 
-@query("agg_mode_itemset", SETS + """SELECT comp_id, character_id, done FROM (SELECT *, row_number() OVER (PARTITION BY comp_id, character_id ORDER BY (done LIKE '%Emblem%'), boards DESC, done) AS r FROM st) WHERE r = 1""", ctes=ALL)
+@query("agg_mode_itemset", SETS + """SELECT comp_id, character_id, done FROM (SELECT *, row_number() OVER (PARTITION BY comp_id, character_id ORDER BY regexp_matches(done, '(?i)_Item_Artifact_|_Item_Ornn|Radiant|AnimaSquadItem'), boards DESC, done) AS r FROM st) WHERE r = 1""", ctes=ALL)
 def agg_mode_itemset(b):
-    order = Window.partitionBy("comp_id", "character_id").orderBy(F.col("done").contains("Emblem"), F.desc("boards"), "done")
+    """The usual set of each unit; sets with items that chance gives come last."""
+    chance = F.exists(F.split("done", r"\|"), codecs.rng_item)
+    order = Window.partitionBy("comp_id", "character_id").orderBy(chance, F.desc("boards"), "done")
     return set_counts(b).withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("comp_id", "character_id", "done")
 
 
