@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import store
@@ -26,6 +26,25 @@ class Budgets:
     out_of_scope_hours: int = 168
 
 
+def hours(n) -> Column:
+    return F.make_dt_interval(F.lit(0), n)
+
+
+def in_scope(tier: Column, budgets: Budgets) -> Column:
+    return F.coalesce(F.upper(tier).isin(*budgets.tiers), F.lit(False))
+
+
+def tier_fresh(budgets: Budgets) -> Column:
+    """Whether a tier need not be looked up at ``now``: those in scope last shorter than the others."""
+    lasts = F.when(in_scope(F.col("tier"), budgets), budgets.tier_hours).otherwise(budgets.out_of_scope_hours)
+    return F.coalesce(F.col("tier_checked_at") > F.col("now") - hours(lasts), F.lit(False))
+
+
+def released(budgets: Budgets, minutes: int = 15) -> Column:
+    """When an account whose fetch failed counts as crawled last, so that it is due again in a few minutes."""
+    return F.col("now") - hours(F.lit(budgets.recrawl_hours)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+
+
 def drain(accounts: DataFrame, now: DataFrame, budgets: Budgets) -> DataFrame:
     """What a pass does with each account it comes to: (id, place, action, lookup, matches, enqueued, spent).
 
@@ -35,13 +54,10 @@ def drain(accounts: DataFrame, now: DataFrame, budgets: Budgets) -> DataFrame:
     ones only so many are looked up and the others wait.  Accounts out of scope spend no
     matches.  The pass ends with the account that spends the last enqueue or the last match.
     """
-    good = lambda tier: F.coalesce(F.upper(tier).isin(*budgets.tiers), F.lit(False))
-    hours = lambda n: F.make_dt_interval(F.lit(0), n)
+    good = lambda tier: in_scope(tier, budgets)
     rows = accounts.crossJoin(F.broadcast(now))  # one row
     due = F.col("last_crawled_at").isNull() | (F.col("last_crawled_at") < F.col("now") - hours(F.lit(budgets.recrawl_hours)))
-    lasts = F.when(good(F.col("tier")), budgets.tier_hours).otherwise(budgets.out_of_scope_hours)
-    fresh = F.coalesce(F.col("tier_checked_at") > F.col("now") - hours(lasts), F.lit(False))
-    rows = rows.filter(due).withColumns({"good": good(F.col("tier")), "unknown": F.col("tier").isNull(), "fresh": fresh})
+    rows = rows.filter(due).withColumns({"good": good(F.col("tier")), "unknown": F.col("tier").isNull(), "fresh": tier_fresh(budgets)})
     by = [F.desc("good"), F.desc("unknown"), F.asc_nulls_first("last_crawled_at"), F.asc("id")]
     table = order.dealt(rows, by, "frontier")
     blind = F.col("unknown") & ~F.col("fresh")

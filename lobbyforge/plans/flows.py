@@ -80,6 +80,22 @@ def st_frontier_drain(b, budgets=PASS):
     return frontier.drain(accounts(b), now, budgets)
 
 
+@query("prj_tier_fresh", "SELECT id, coalesce(checked > t - CASE WHEN tier IN ('CHALLENGER', 'MASTER') THEN INTERVAL 24 HOUR ELSE INTERVAL 168 HOUR END, false) AS fresh FROM acc, now", ctes=DRAIN_SQL)
+def prj_tier_fresh(b, budgets=PASS):
+    """Whether each account's tier still holds, by how long its class lasts."""
+    now = b.events.agg(F.max("ts").alias("now"))
+    return accounts(b).crossJoin(F.broadcast(now)).select("id", frontier.tier_fresh(budgets).alias("fresh"))  # one row
+
+
+@query("st_release", "SELECT id, t - INTERVAL 12 HOUR + INTERVAL 15 MINUTE AS last_crawled_at FROM acc, now WHERE id IN (SELECT user_id FROM events WHERE event_type = 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)", ctes=DRAIN_SQL)
+def st_release(b, budgets=PASS):
+    """Accounts that failed within the last hour are offered again soon."""
+    now = b.events.agg(F.max("ts").alias("now"))
+    failed = b.events.filter("event_type = 'error'").crossJoin(F.broadcast(now)).filter(F.col("ts") >= F.col("now") - F.expr("INTERVAL 1 HOUR"))  # one row
+    ids = failed.select(F.col("user_id").alias("id")).distinct()
+    return accounts(b).join(ids, "id", "left_semi").crossJoin(F.broadcast(now)).select("id", frontier.released(budgets).alias("last_crawled_at"))
+
+
 @query("st_frontier_expand", "SELECT puuid, min(level) AS level FROM r GROUP BY 1", ctes="RECURSIVE " + stages.BOARDS_SQL + """, e AS (SELECT DISTINCT match_id, puuid FROM b_players WHERE puuid <> 'BOT'),
 nb AS (SELECT DISTINCT a.puuid AS a, z.puuid AS z FROM e a JOIN e z USING (match_id)), r(puuid, level) AS (SELECT DISTINCT puuid, 0 FROM e WHERE puuid LIKE 'P%1' AND length(puuid) <= 3 UNION SELECT nb.z, r.level + 1 FROM r JOIN nb ON nb.a = r.puuid WHERE r.level < 12)""")
 def st_frontier_expand(b):

@@ -155,12 +155,6 @@ def flt_recrawl(b):
     return last.join(now, F.col("last") < F.col("now") - F.expr("INTERVAL 12 HOURS")).select("user_id")
 
 
-@query("prj_tier_fresh", "SELECT c_custkey, CASE WHEN c_acctbal IS NULL THEN false WHEN c_mktsegment = 'BUILDING' THEN c_acctbal > 4000 ELSE c_acctbal > 7000 END AS fresh FROM customer", ctes=NONE)
-def prj_tier_fresh(b):
-    limit = F.when(F.col("c_mktsegment") == "BUILDING", 4000).otherwise(7000)
-    return b.table("customer").select("c_custkey", F.when(F.col("c_acctbal").isNull(), False).otherwise(F.col("c_acctbal") > limit).alias("fresh"))
-
-
 @query("st_usage_tumble", "SELECT date_trunc('minute', ts) AS minute, event_type AS method, (user_id % 4)::BIGINT AS region, count(*)::BIGINT AS requests FROM events GROUP BY ALL", ctes=NONE)
 def st_usage_tumble(b):
     """As a stream: one-minute windows, additive, read until the source is drained."""
@@ -184,9 +178,3 @@ def st_self_heal(b):
     missing = stored.filter("stored IS NULL").select("match_id")
     counted = b.players.join(missing, "match_id", "left_semi").groupBy("match_id").agg(F.count_if(F.col("puuid") != "BOT").alias("counted"))
     return stored.join(counted, "match_id", "left").select("match_id", F.coalesce("stored", "counted").cast("long").alias("player_count"))
-
-
-@query("st_release", "SELECT c_custkey, TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 12 HOUR + INTERVAL 15 MINUTE AS last_crawled_at FROM customer WHERE c_acctbal < 0", ctes=NONE)
-def st_release(b):
-    at = F.expr("TIMESTAMP_NTZ '2024-01-02 00:00:00' - INTERVAL 12 HOURS + INTERVAL 15 MINUTES")
-    return b.table("customer").filter("c_acctbal < 0").select("c_custkey", at.alias("last_crawled_at"))
