@@ -190,10 +190,6 @@ class Words:
             self.place.clear()
             self.used = 0
 
-    def of(self, word: bytes) -> bytes:
-        i = self.place[word]
-        return self.ids[self.starts[i] : self.starts[i] + self.sizes[i]].tobytes()
-
     def learn(self, words: list[bytes], coded: list[bytes]) -> None:
         """Adds words that are not there yet, with their ids (little-endian)."""
         n, count = len(self.place), len(words)
@@ -223,7 +219,6 @@ class Coder:
 
     library: Tokenizer
     words: Words
-    signs: dict[bytes, bytes]  # ids of punctuation behind words
     cuttable: bool  # whether texts may be cut at blanks, see ``splits_at_blanks``
     added: tuple[str, ...]  # texts of tokens that the library seeks before all else
 
@@ -246,7 +241,7 @@ def coder(path: str) -> Coder:
     library = Tokenizer.from_file(path)
     config = json.loads(library.to_str())
     added = tuple(t["content"] for t in config.get("added_tokens") or [])
-    return Coder(library, Words(), {}, splits_at_blanks(config), added)
+    return Coder(library, Words(), splits_at_blanks(config), added)
 
 
 @lru_cache(2)
@@ -296,43 +291,49 @@ def plain(text: str) -> bool:
 
 
 #: Signs that, behind an ASCII letter or digit at the end of a word, are a piece of their own.
-CLOSING = string.punctuation.encode()
+CLOSING = np.isin(np.arange(256), np.frombuffer(string.punctuation.encode(), np.uint8))
+ALNUM = np.isin(np.arange(256), np.frombuffer((string.ascii_letters + string.digits).encode(), np.uint8))
+#: Signs that are looked for at the end of a word; words that end in more are not cut.
+CLOSING_SIGNS = 8
 #: What stands before a word: a blank, a line end, or the beginning of the text.
 BLANK, LINE_END, BEGIN = b" \n\0"
 
 
-def learn(words: list[bytes], path: str) -> None:
-    """Encodes words, each with the byte before it, that the cache does not have.
+def closing_signs(raw: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where the signs at the end of words begin, of words whose signs follow a letter or digit."""
+    found = []
+    going = CLOSING[raw[end - 1]]
+    at, cut = at[going], end[going] - 1
+    for _ in range(CLOSING_SIGNS):
+        before = raw[cut - 1]
+        found.append(cut[ALNUM[before] & (cut > at + 1)])
+        going = CLOSING[before]
+        if not going.any():
+            break
+        at, cut = at[going], cut[going] - 1
+    return np.concatenate(found)
 
-    Signs at the end of a word that follow a letter or digit are one piece and have no part
-    in what the word before them becomes, so both are encoded apart and most stems are known.
-    """
+
+def learn(words: list[bytes], path: str) -> None:
+    """Encodes pieces that the cache does not have: words, each with the byte before it, and closing signs."""
     mine = coder(path)
-    stems = [w.rstrip(CLOSING) for w in words]
-    for i, (word, stem) in enumerate(zip(words, stems)):
-        if len(stem) < len(word) and not (len(stem) > 1 and stem[-1:].isalnum()):
-            stems[i] = word
-    place = mine.words.place
-    fresh = list({t for t in stems if t not in place})
-    begins = [t for t in fresh if t[0] == BEGIN]
-    inner = [t for t in fresh if t[0] != BEGIN]
-    mine.words.learn(begins + inner, encode_apart([t[1:].decode() for t in begins], path) + encode_together(inner, path))
-    longer = [(w, t, w[len(t) :]) for w, t in zip(words, stems) if len(t) < len(w)]
-    if signs := list({x for *_, x in longer if x not in mine.signs}):
-        if len(mine.signs) + len(signs) > CACHED_WORDS:
-            mine.signs.clear()
-            signs = list({x for *_, x in longer})
-        mine.signs.update(zip(signs, encode_apart([x.decode() for x in signs], path)))
-    mine.words.learn([w for w, _, _ in longer], [mine.words.of(t) + mine.signs[x] for _, t, x in longer])
+    begins = [w for w in words if w[0] == BEGIN]
+    inner = [w for w in words if w[0] in (BLANK, LINE_END)]
+    signs = [w for w in words if CLOSING[w[0]]]
+    apart = encode_apart([w[1:].decode() for w in begins] + [w.decode() for w in signs], path)
+    mine.words.learn(begins + signs + inner, apart + encode_together(inner, path))
 
 
 def plain_ids(texts: list[str], path: str) -> list[np.ndarray] | None:
-    """Ids of plain texts (none if hashes clash): their words are cut and told apart as arrays,
-    each different word of a call is looked up once, and each of a cache encoded once."""
+    """Ids of plain texts (none if hashes clash): words and the signs behind them are cut and told apart
+    as arrays, each different piece of a call is looked up once, and each of a cache encoded once."""
     words = coder(path).words
     data = ("\0" + "\0".join(texts)).encode()
     raw = np.frombuffer(data, np.uint8)
-    at = np.flatnonzero((raw == BLANK) | (raw == LINE_END) | (raw == BEGIN))
+    starts = (raw == BLANK) | (raw == LINE_END) | (raw == BEGIN)
+    at = np.flatnonzero(starts)
+    starts[closing_signs(raw, at, np.append(at[1:], len(raw)))] = True
+    at = np.flatnonzero(starts)
     end = np.append(at[1:], len(raw))
     _, first, which = np.unique(word_hashes(raw, at, end), return_index=True, return_inverse=True)
     sizes, shift = end - at, (at[first][which] - at).astype(np.int32)

@@ -436,6 +436,15 @@ def test_bpe_of_documents(docs, empty, reference):
         byte_bpe.encode_documents(docs.withColumn("ids", F.lit(1)), RANKS, keep=("doc_id", "ids"))
 
 
+def test_closing_signs_are_cut_where_the_library_cuts():
+    library = simple8b.coder(TOKENIZER).library
+    parts = ["a", "B", "9", "'", ".", ",", "!!", "'s", "n't", "é", "¿", " ", "\n", "(", ")", "$", "_", "ab", "!" * 9]
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    texts += ["a" + "!" * k + " b." for k in range(20)] + ["w" + "." * 50_000, ".", ". .", "x.\ny,"]
+    assert [x.tolist() for x in simple8b.token_ids(texts, TOKENIZER)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     makers = (lambda n: rng.integers(0, 50000, n), lambda n: rng.integers(0, 2, n), lambda n: np.zeros(n), lambda n: (rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)) >> rng.integers(0, 64, n).astype(np.uint64))
