@@ -174,7 +174,7 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 #: Words that a cache holds before it begins anew.
-CACHED_WORDS = 1_300_000
+CACHED_WORDS = 600_000
 
 
 class Words:
@@ -367,7 +367,7 @@ def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     return [next(found) if ok else next(whole) for ok in easy]
 
 
-FILE_IDS, ENCODE_BYTES = 1 << 19, 3 << 20
+FILE_IDS, ENCODE_BYTES = 1 << 19, 1 << 20
 
 
 def write_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
