@@ -97,11 +97,6 @@ def flt_null_safe(b):
     return b.table("part").filter(~a.eqNullSafe(c)).select("p_partkey")
 
 
-@query("flt_queue_mode", """SELECT CASE queue_id WHEN 1100 THEN 'ranked' WHEN 1160 THEN 'double_up' ELSE 'unranked' END AS mode, count(*)::BIGINT AS games FROM b_matches GROUP BY 1""")
-def flt_queue_mode(b):
-    mode = F.when(F.col("queue_id") == 1100, "ranked").when(F.col("queue_id") == 1160, "double_up").otherwise("unranked")
-    return b.matches.groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("games"))
-
 
 @query("flt_roster", "SELECT d.character_id FROM d_units d WHERE cost BETWEEN 1 AND 5 AND EXISTS (SELECT 1 FROM d_unit_traits t WHERE t.character_id = d.character_id)")
 def flt_roster(b):
@@ -284,11 +279,6 @@ def fn_retryable(b):
     return b.events.select("event_id", status.alias("status")).withColumn("retry", codecs.retryable(F.col("status")))
 
 
-@query("rm_resolve_patch", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '14.' || p_size ELSE '18.0' END AS patch FROM part", ctes=NONE)
-def rm_resolve_patch(b):
-    version = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Version 14."), F.col("p_size").cast("string"), F.lit(".633.5272 (x)"))).otherwise("Unreal Version ?.?.?.?")
-    return b.table("part").select("p_partkey", codecs.patch_of_version(version, F.lit(18)).alias("patch"))
-
 
 @query("fn_ordinal", "SELECT n, n || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END AS name FROM (SELECT DISTINCT p_partkey % 120 + 1 AS n FROM part)", ctes=NONE)
 def fn_ordinal(b):
@@ -340,15 +330,3 @@ def rm_planner(b):
     units = b.d_unit_traits.join(b.d_units, "character_id").groupBy("trait_id").agg(F.count_distinct("character_id").alias("units"))
     steps = b.d_breakpoints.groupBy("trait_id").agg(F.array_join(F.array_sort(F.collect_list("min_units")).cast("array<string>"), "/").alias("steps"))
     return units.join(steps, "trait_id")
-
-
-@query("rm_current_set", "SELECT max(set_number) AS set_number FROM b_matches m WHERE EXISTS (SELECT 1 FROM d_units u WHERE u.set_number = m.set_number)")
-def rm_current_set(b):
-    return b.matches.join(b.d_units.select("set_number").distinct(), "set_number", "left_semi").agg(F.max("set_number").alias("set_number"))
-
-
-@query("rm_advance_patch", "SELECT patch_id, patch_id = (SELECT max(patch_id) FROM b_matches) AS is_current FROM (SELECT DISTINCT patch_id FROM b_matches)")
-def rm_advance_patch(b):
-    patches = b.matches.select("patch_id").distinct()
-    newest = F.max("patch_id").over(Window.partitionBy(F.lit(0)))
-    return patches.select("patch_id", (F.col("patch_id") == newest).alias("is_current"))

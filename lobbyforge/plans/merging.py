@@ -181,27 +181,8 @@ def rm_core_flex(b):
     return g.filter(F.col("core") | (F.col("r") <= F.least(F.lit(8), 10 - F.col("cores")))).select("gkey", "character_id", r6("freq").alias("freq"), F.when(F.col("core"), "core").otherwise("flex").alias("part"))
 
 
-@query("rm_selection", "SELECT patch_id, region, rank_bucket, n FROM (SELECT patch_id, region, rank_bucket, sum(n)::BIGINT AS n FROM stats GROUP BY ALL) ORDER BY patch_id DESC, n DESC, region, rank_bucket LIMIT 1", ctes=ALL, stored=True)
-def rm_selection(b):
-    combos = stages.stats(b).groupBy(*rollup.BUCKET).agg(F.sum("n").alias("n"))
-    return combos.orderBy(F.desc("patch_id"), F.desc("n"), "region", "rank_bucket").limit(1)
 
 
-@query("rm_profile", "SELECT p.puuid, p.match_id, p.placement, p.level, count(u.unit_row)::BIGINT AS units FROM b_players p LEFT JOIN b_units u USING (board_id) GROUP BY p.board_id, p.puuid, p.match_id, p.placement, p.level")
-def rm_profile(b):
-    mine = b.players.select("puuid", "board_id", "match_id", "placement", "level")
-    return mine.join(b.units, "board_id", "left").groupBy("board_id", "puuid", "match_id", "placement", "level").agg(F.count("unit_row").alias("units")).drop("board_id")
-
-
-@query("rm_match", "SELECT p.match_id, p.placement, p.puuid, string_agg(u.character_id, ' ' ORDER BY u.character_id) AS units FROM b_players p JOIN b_units u USING (board_id) GROUP BY ALL")
-def rm_match(b):
-    boards = b.players.select("match_id", "placement", "puuid", "board_id")
-    return boards.join(b.units, "board_id").groupBy("match_id", "placement", "puuid").agg(F.array_join(F.array_sort(F.collect_list("character_id")), " ").alias("units"))
-
-
-@query("rm_crawl_boundary", "SELECT min(game_datetime) - INTERVAL 12 HOUR AS since FROM b_matches WHERE patch_id = 3")
-def rm_crawl_boundary(b):
-    return b.matches.filter("patch_id = 3").agg((F.min("game_datetime") - F.expr("INTERVAL 12 HOURS")).alias("since"))
 
 
 @query("rm_example_team", """, t AS (SELECT gkey, sum(n) AS total FROM keyed GROUP BY 1), x AS (SELECT k.gkey, u.board_id, u.character_id, count(*) AS copies, string_agg(coalesce(star_tier, 0)::VARCHAR, ',' ORDER BY coalesce(star_tier, 0) DESC) AS stars FROM b_units u JOIN clustered c USING (board_id) JOIN (SELECT DISTINCT comp_id, gkey FROM keyed) k ON k.comp_id = c.comp_id GROUP BY ALL),

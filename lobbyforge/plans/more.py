@@ -189,11 +189,6 @@ def agg_weighted_mean_frame(b):
     return mean_frames(b).select("gkey", "trait_id", r6("mean").alias("mean"))
 
 
-@query("rm_profile_vm", "SELECT puuid, count(*)::BIGINT AS games, min(placement) AS best, string_agg(placement::VARCHAR, ' ' ORDER BY board_id) AS placements FROM b_players WHERE puuid <> 'BOT' GROUP BY 1")
-def rm_profile_vm(b):
-    line = F.transform(F.array_sort(F.collect_list(F.struct("board_id", "placement"))), lambda x: x["placement"].cast("string"))
-    return b.players.filter("puuid <> 'BOT'").groupBy("puuid").agg(F.count(F.lit(1)).alias("games"), F.min("placement").alias("best"), F.array_join(line, " ").alias("placements"))
-
 
 @query("trait_style_vm", "SELECT board_id, trait_id, greatest(level, 0)::INT AS style FROM frame", ctes=sql("ranked") + FRAME)
 def trait_style_vm(b):

@@ -118,13 +118,6 @@ def top_1_group(b):
     return b.table("customer").groupBy("c_mktsegment").agg((F.sum("c_acctbal") > 0).alias("positive"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c_mktsegment").limit(1)
 
 
-@query("page_slice", "SELECT c_custkey, rank FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank BETWEEN 26 AND 50", ctes=NONE)
-def page_slice(b, page: int = 2, size: int = 25):
-    key = [F.desc("c_acctbal"), F.asc("c_custkey")]
-    upto = b.table("customer").orderBy(*key).limit(page * size)
-    ranked = upto.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*key)).cast("long"))
-    return ranked.filter(F.col("rank") > (page - 1) * size).select("c_custkey", "rank")
-
 
 @query("sort_custom_order", "SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'AUTOMOBILE' THEN 2 ELSE 3 END AS place FROM customer", ctes=NONE)
 def sort_custom_order(b):

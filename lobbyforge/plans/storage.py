@@ -71,11 +71,6 @@ def src_match_units(b):
     return source.flat_units(source.flat_participants(documents(b))).drop("item_ids")
 
 
-@query("src_match_ids", "SELECT match_id, game_datetime FROM (SELECT m.match_id, m.game_datetime, row_number() OVER (ORDER BY m.game_datetime DESC, m.match_id) AS r FROM b_matches m WHERE match_id IN (SELECT match_id FROM b_players WHERE puuid = 'P7')) WHERE r BETWEEN 1 AND 5")
-def src_match_ids(b):
-    mine = b.players.filter("puuid = 'P7'").select("match_id").distinct()
-    return b.matches.join(mine, "match_id", "left_semi").orderBy(F.desc("game_datetime"), "match_id").limit(5).select("match_id", "game_datetime")
-
 
 @query("src_account", "SELECT 'P' || c_custkey AS puuid, c_mktsegment AS name FROM customer WHERE c_custkey IN (1, 2, 3)", ctes=NONE)
 def src_account(b):
