@@ -160,3 +160,27 @@ def rarity(icon: Column) -> Column:
     """Augment tier by the end of its icon's name."""
     name = F.regexp_extract(icon, r"[_-](III|II|I|[123])(\.[A-Za-z.]*)?$", 1)
     return F.when(name.isin("I", "1"), "Silver").when(name.isin("II", "2"), "Gold").when(name.isin("III", "3"), "Prismatic")
+
+
+#: Effects of items that are stats, in the order shown: key, label, whether in per cent (fixed values of the domain).
+ITEM_STATS = (
+    ("AD", "Attack Damage", True), ("AP", "Ability Power", False), ("Health", "Health", False), ("HealthMax", "Health", False), ("Armor", "Armor", False), ("MagicResist", "Magic Resist", False),
+    ("AttackSpeed", "Attack Speed", True), ("AS", "Attack Speed", True), ("CritChance", "Crit Chance", True), ("CritDamage", "Crit Damage", True), ("LifeSteal", "Life Steal", True),
+    ("Omnivamp", "Omnivamp", True), ("StatOmnivamp", "Omnivamp", True), ("Mana", "Mana", False), ("DamageAmp", "Damage Amp", True), ("DurabilityToGive", "Durability", True),
+)
+
+
+def item_stats(effects: Column) -> Column:
+    """Array of (label, value) of a map of effects; none or zero is left out, of one label the first stays.
+
+    Per cents under one are shares.  Halves are rounded up.
+    """
+    shown = []
+    for key, label, share in ITEM_STATS:
+        raw = F.try_element_at(effects, F.lit(key))
+        value = F.floor((F.when(raw < 1, raw * 100).otherwise(raw) if share else raw) + 0.5).cast("string")
+        text = F.concat(F.lit("+"), value, F.lit("%" if share else ""))
+        shown.append(F.when(raw != 0, F.struct(F.lit(label).alias("label"), text.alias("value"))))
+    found = F.filter(F.array(*shown), lambda x: x.isNotNull())
+    labels = F.transform(found, lambda x: x["label"])
+    return F.coalesce(F.filter(found, lambda x, i: F.array_position(labels, x["label"]) == i + 1), F.array().cast("array<struct<label:string,value:string>>"))

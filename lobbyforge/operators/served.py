@@ -98,3 +98,60 @@ def page(rows: DataFrame, by: list[Column], number: int, size: int, name: str) -
     number = min(max(1, number), max(1, -(-total // size)))
     ranked = order.running(dealt, by, rank=F.lit(1))
     return ranked.filter(F.col("rank").between((number - 1) * size + 1, number * size)).drop("_part").withColumn("page", F.lit(number))
+
+
+def inspector(stats: DataFrame, floor: int) -> DataFrame:
+    """Members of every labelled group with their rates, place and the group's own, over all buckets.
+
+    ``stats`` are sums by gkey, comp_id and bucket.  A comp counts once it reaches the floor in one bucket.  Members are
+    placed by boards, then comp_id; the first stands for the group.  Places come from counts by slice of the order: of
+    few boards slices of equal boards are cut by comp_id, so a group with most comps is no one task.
+    """
+    sums = ("n", "placement_sum", "top4_count", "win_count")
+    rates = {"avg_placement": F.col("placement_sum") / F.col("n"), "top4_rate": F.col("top4_count") / F.col("n"), "win_rate": F.col("win_count") / F.col("n")}
+    members = stats.filter(F.col("gkey").startswith("m:")).groupBy("gkey", "comp_id").agg(*(F.sum(c).alias(c) for c in sums), F.max("n").alias("most"))
+    members = members.filter(F.col("most") >= floor).drop("most")
+    few = F.when(F.col("n") <= 8, F.shiftright("comp_id", 52)).otherwise(F.lit(0).cast("long"))
+    placed = order.places(members, ["gkey"], F.struct((-F.floor(F.log2("n") * 8)).alias("size"), few.alias("few")), [F.desc("n"), F.asc("comp_id")], "place")
+    groups = members.groupBy("gkey").agg(*(F.sum(c).alias(c) for c in sums), F.count(F.lit(1)).alias("members"))
+    groups = groups.withColumns(rates).select("gkey", "members", F.col("n").alias("group_boards"), *(F.col(r).alias(f"group_{r}") for r in rates))
+    return placed.withColumns(rates).join(groups, "gkey").select("gkey", "comp_id", F.col("n").alias("boards"), *rates, "place", (F.col("place") == 1).alias("representative"), "members", "group_boards", *(f"group_{r}" for r in rates))
+
+
+def operations(calls: DataFrame, jobs: DataFrame, minutes: int = 60, newest: int = 20) -> DataFrame:
+    """(part, key, requests, errors, seen, stale) of the last minutes before the last call.
+
+    ``calls`` are (ts, method, rejected), ``jobs`` (id, job, ts, done).  Parts: total (with the peak minute and the number of
+    methods), minute (without gaps), method, health of each job (its last success), and the newest jobs.  Calls are counted
+    once, by minute and method; all parts on calls read these few sums.
+    """
+    now = calls.agg(F.max("ts").alias("now"), F.date_trunc("minute", F.max("ts")).cast("timestamp_ntz").alias("last"))
+    since = F.col("last") - F.make_dt_interval(mins=F.lit(minutes - 1))
+    minute = F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")
+    recent = calls.join(F.broadcast(now), F.col("ts") >= since)
+    cells = recent.groupBy(minute, "method").agg(F.count(F.lit(1)).alias("requests"), F.count_if("rejected").alias("errors"), F.max("ts").alias("seen"))
+    span = now.select(F.explode(F.sequence(since, F.col("last"), F.make_dt_interval(mins=F.lit(1)))).alias("minute"))
+    series = span.join(cells.groupBy("minute").agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors")), "minute", "left").na.fill(0, ["requests", "errors"])
+    methods = cells.groupBy("method").agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"), F.max("seen").alias("seen"))
+    none, stamp = F.lit(None).cast("boolean"), F.lit(None).cast("timestamp_ntz")
+
+    def part(rows: DataFrame, name: str, key: Column, requests: Column, errors: Column, seen: Column = stamp, stale: Column = none) -> DataFrame:
+        return rows.select(F.lit(name).alias("part"), key.alias("key"), requests.cast("long").alias("requests"), errors.cast("long").alias("errors"), seen.cast("timestamp_ntz").alias("seen"), stale.alias("stale"))
+
+    r, e = F.col("requests"), F.col("errors")
+    health = jobs.groupBy("job").agg(F.max(F.when(F.col("done"), F.col("ts"))).alias("seen")).join(F.broadcast(now), F.lit(True))
+    late = F.coalesce(F.col("seen") < F.col("now") - F.make_dt_interval(mins=F.lit(minutes)), F.lit(True))
+    last = jobs.orderBy(F.desc("ts"), F.desc("id")).limit(newest)
+    parts = [
+        part(series.agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors")), "total", F.lit("calls"), r, e),
+        part(series.agg(F.max("requests").alias("requests")), "total", F.lit("peak"), r, F.lit(None)),
+        part(methods.agg(F.count(F.lit(1)).alias("requests")), "total", F.lit("methods"), r, F.lit(None)),
+        part(series, "minute", F.date_format("minute", "yyyy-MM-dd HH:mm"), r, e),
+        part(methods, "method", F.col("method"), r, e, F.col("seen")),
+        part(health, "health", F.col("job"), F.lit(None), F.lit(None), F.col("seen"), late),
+        part(last, "job", F.concat(F.col("id").cast("string"), F.lit(" "), "job"), F.lit(None), F.lit(None), F.col("ts"), ~F.col("done")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionAll(more)
+    return out

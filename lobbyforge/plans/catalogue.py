@@ -303,13 +303,6 @@ def fn_rarity(b):
     return b.table("part").select("p_partkey", codecs.rarity(F.concat(F.lit("aug_of_"), F.split_part("p_name", F.lit(" "), F.lit(1)), end)).alias("tier"))
 
 
-@query("fn_item_stats", "SELECT p_partkey, CASE WHEN p_size < 10 THEN p_size * 10 || '%' ELSE p_size::VARCHAR END AS stat FROM part", ctes=NONE)
-def fn_item_stats(b):
-    """Effects under one are shares: shown in per cent."""
-    effect = F.when(F.col("p_size") < 10, F.col("p_size") / 10.0).otherwise(F.col("p_size").cast("double"))
-    shown = F.when(effect < 1, F.concat(F.round(effect * 100).cast("int").cast("string"), F.lit("%"))).otherwise(effect.cast("int").cast("string"))
-    return b.table("part").select("p_partkey", shown.alias("stat"))
-
 
 @query("fn_ability_map", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size || '/' || 2 * p_size || '/' || 3 * p_size ELSE p_size::VARCHAR END AS text FROM part", ctes=NONE)
 def fn_ability_map(b):

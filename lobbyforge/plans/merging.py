@@ -160,13 +160,6 @@ def set_union_all(b):
     return s.filter("n >= 3").withColumn("kind", F.lit("floored")).unionByName(s.filter("n = 2").withColumn("kind", F.lit("mid")))
 
 
-@query("agg_inspector", """SELECT gkey, comp_id, n, sum(n) OVER (PARTITION BY gkey)::BIGINT AS group_n, count(*) OVER (PARTITION BY gkey) AS comps FROM (SELECT gkey, comp_id, sum(n)::BIGINT AS n FROM keyed GROUP BY ALL)""", ctes=ALL)
-def agg_inspector(b):
-    """Members of every group with their boards, a row each, beside the group's totals."""
-    rows = stages.keyed(b).groupBy("gkey", "comp_id").agg(F.sum("n").alias("n"))
-    sums = rows.groupBy("gkey").agg(F.sum("n").alias("group_n"), F.count(F.lit(1)).alias("comps"))
-    return rows.join(sums, "gkey").select("gkey", "comp_id", "n", "group_n", "comps")
-
 
 @query("rm_core_flex", """, t AS (SELECT gkey, sum(n) AS total FROM keyed GROUP BY 1), f AS (SELECT k.gkey, x.character_id, count(*) AS boards FROM (SELECT DISTINCT u.board_id, u.character_id, c.comp_id FROM b_units u JOIN clustered c USING (board_id) WHERE c.comp_id IS NOT NULL) x JOIN (SELECT DISTINCT comp_id, gkey FROM keyed) k USING (comp_id) GROUP BY ALL),
     g AS (SELECT f.gkey, f.character_id, f.boards / t.total AS freq FROM f JOIN t USING (gkey)), q AS (SELECT *, freq >= 0.75 AS is_core, row_number() OVER (PARTITION BY gkey, freq >= 0.75 ORDER BY freq DESC, character_id) AS r, count(*) FILTER (WHERE freq >= 0.75) OVER (PARTITION BY gkey) AS cores FROM g WHERE freq >= 0.25)

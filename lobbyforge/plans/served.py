@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import codecs
 from ..operators import patches, served
 from ..sources.boards import BOARDS_SQL
 from . import stages
@@ -147,3 +148,46 @@ def page_slice(b, number: int = 2, size: int = 25):
     played = b.players.join(F.broadcast(rows.select("puuid")), "puuid", "left_semi").groupBy("puuid").agg(F.count(F.lit(1)).alias("games"), F.count_if(F.col("placement") == 1).alias("wins"))
     rate = F.when(F.col("games") > 0, F.col("wins") / F.col("games")).otherwise(-1.0)
     return rows.join(played, "puuid", "left").select("c_custkey", "lp", "rank", "page", F.coalesce("wins", F.lit(0)).cast("long").alias("wins"), r6(rate).alias("win_rate"))
+
+
+RATES = "round(placement_sum / n, 6) AS avg_placement, round(top4_count / n, 6) AS top4_rate, round(win_count / n, 6) AS win_rate"
+
+
+@query("agg_inspector", f""", mb AS (SELECT gkey, comp_id, sum(n)::BIGINT AS n, sum(placement_sum) AS placement_sum, sum(top4_count) AS top4_count, sum(win_count) AS win_count FROM keyed WHERE gkey LIKE 'm:%' GROUP BY ALL HAVING max(n) >= 3),
+gr AS (SELECT gkey, count(*) AS members, sum(n)::BIGINT AS group_boards, sum(placement_sum) / sum(n) AS a, sum(top4_count) / sum(n) AS t, sum(win_count) / sum(n) AS w FROM mb GROUP BY 1),
+pl AS (SELECT *, row_number() OVER (PARTITION BY gkey ORDER BY n DESC, comp_id) AS place FROM mb)
+SELECT gkey, comp_id, n AS boards, {RATES}, place::BIGINT AS place, place = 1 AS representative, members, group_boards, round(a, 6) AS group_avg_placement, round(t, 6) AS group_top4_rate, round(w, 6) AS group_win_rate FROM pl JOIN gr USING (gkey)""", ctes=sql(), stored=True, merged=True)
+def agg_inspector(b):
+    """Groups with their members: rates of each, its place, and what all have together."""
+    found = served.inspector(stages.keyed(b), b.config.tier_min_sample)
+    return found.withColumns({c: r6(F.col(c)) for c in found.columns if c.endswith(("_rate", "_placement"))}).withColumn("place", F.col("place").cast("long"))
+
+
+OPS = """hi AS (SELECT max(ts) AS now, date_trunc('minute', max(ts)) AS last FROM events),
+cl AS (SELECT date_trunc('minute', ts) AS minute, event_type AS method, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, max(ts) AS seen FROM events, hi WHERE ts >= last - INTERVAL 59 MINUTE GROUP BY ALL),
+se AS (SELECT c.minute, coalesce(sum(requests), 0) AS requests, coalesce(sum(errors), 0) AS errors FROM (SELECT unnest(generate_series(last - INTERVAL 59 MINUTE, last, INTERVAL 1 MINUTE)) AS minute FROM hi) c LEFT JOIN cl USING (minute) GROUP BY 1)"""
+
+
+@query("rm_ops", """SELECT 'total' AS part, 'calls' AS key, sum(requests)::BIGINT AS requests, sum(errors)::BIGINT AS errors, NULL::TIMESTAMP AS seen, NULL::BOOLEAN AS stale FROM se
+UNION ALL SELECT 'total', 'peak', max(requests)::BIGINT, NULL, NULL, NULL FROM se
+UNION ALL SELECT 'total', 'methods', count(DISTINCT method)::BIGINT, NULL, NULL, NULL FROM cl
+UNION ALL SELECT 'minute', strftime(minute, '%Y-%m-%d %H:%M'), requests::BIGINT, errors::BIGINT, NULL, NULL FROM se
+UNION ALL SELECT 'method', method, sum(requests)::BIGINT, sum(errors)::BIGINT, max(seen), NULL FROM cl GROUP BY method
+UNION ALL SELECT 'health', event_type, NULL, NULL, max(ts) FILTER (WHERE value > 50), coalesce(max(ts) FILTER (WHERE value > 50) < (SELECT now FROM hi) - INTERVAL 60 MINUTE, true) FROM events GROUP BY event_type
+UNION ALL (SELECT 'job', event_id || ' ' || event_type, NULL, NULL, ts, coalesce(value <= 50, true) FROM events ORDER BY ts DESC, event_id DESC LIMIT 20)""", ctes=OPS)
+def rm_ops(b):
+    """Usage, methods, health and newest jobs as one table; an event is a call, and a job that its value says is done."""
+    calls = b.events.select("ts", F.col("event_type").alias("method"), (F.col("event_type") == "error").alias("rejected"))
+    jobs = b.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("job"), "ts", F.coalesce(F.col("value") > 50, F.lit(False)).alias("done"))
+    return served.operations(calls, jobs)
+
+
+@query("fn_item_stats", """SELECT p_partkey, concat_ws('|', CASE WHEN p_size < 10 THEN 'Attack Damage +' || p_size * 10 || '%' ELSE 'Attack Damage +' || p_size || '%' END,
+    CASE WHEN p_partkey % 3 = 0 THEN 'Ability Power +' || p_size END, 'Health +' || CASE WHEN p_partkey % 2 = 0 THEN 10 * p_size ELSE 7 END, CASE WHEN p_size % 4 <> 0 THEN 'Omnivamp +' || p_size % 4 || '%' END) AS stats FROM part""", ctes="one AS (SELECT 1)")
+def fn_item_stats(b):
+    """Stats of an item from its effects: shares, whole per cents, points, zeros, a label met twice, effects that are no stats."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("double")
+    pairs = {"AD": F.when(n < 10, n / 10).otherwise(n), "AP": F.when(k % 3 == 0, n), "Health": F.when(k % 2 == 0, 10 * n), "HealthMax": F.lit(7.0), "StatOmnivamp": n % 4, "HealthThreshold": F.lit(0.5)}
+    effects = F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*(v.cast("double") for v in pairs.values())))
+    lines = F.transform(codecs.item_stats(effects), lambda x: F.concat_ws(" ", x["label"], x["value"]))
+    return b.table("part").select("p_partkey", F.array_join(lines, "|").alias("stats"))

@@ -221,8 +221,3 @@ def mig_player_count(b):
 def mig_clear_flag(b):
     live = b.matches.filter("queue_id = 1160").select("patch_id").distinct().withColumn("flagged", F.lit(True))
     return b.matches.select("patch_id").distinct().join(live, "patch_id", "left").select("patch_id", F.coalesce("flagged", F.lit(False)).alias("flagged"))
-
-
-@query("rm_ops", "SELECT event_type AS method, count(*)::BIGINT AS requests, max(ts) AS last_seen FROM events GROUP BY 1", ctes=NONE)
-def rm_ops(b):
-    return b.events.groupBy(F.col("event_type").alias("method")).agg(F.count(F.lit(1)).alias("requests"), F.max("ts").alias("last_seen"))

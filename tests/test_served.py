@@ -7,6 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from lobbyforge.functions import codecs
 from lobbyforge.operators import patches, served
 
 PATCH = "patch_id int, set_number int, patch string, is_current boolean"
@@ -108,3 +109,38 @@ def test_page_numbers_are_clamped(spark, number, page, ranks):
 def test_names_fall_back_to_the_id(spark):
     rows = spark.createDataFrame([("abcdefgh", None), ("abcdefgh", ""), ("p", "Ann")], "puuid string, name string")
     assert [r[0] for r in rows.select(served.display_name(F.col("name"), F.col("puuid"))).collect()] == ["abcdef…", "abcdef…", "Ann"]
+
+
+def test_inspector_places_ties_and_floors(spark):
+    rows = [("m:a", i, 3, 9, 2, 1) for i in range(600)] + [("m:a", 10**17 + i, 40 + i % 2, 100, 20, 5) for i in range(50)]
+    rows += [("m:a", 7, 2, 4, 2, 1), ("m:b", 1, 2, 9, 0, 0), ("m:b", 1, 2, 9, 0, 0), ("c:9", 9, 50, 200, 9, 9), ("m:d", 5, 3, 3, 3, 3)]
+    stats = spark.createDataFrame(rows, "gkey string, comp_id long, n long, placement_sum long, top4_count long, win_count long")
+    got = {(r.gkey, r.comp_id): r for r in served.inspector(stats, 3).collect()}
+    n = {}
+    for gkey, comp, boards, *_ in rows:
+        n[gkey, comp] = n.get((gkey, comp), 0) + boards
+    want = sorted((k for k in n if k[0] == "m:a"), key=lambda k: (-n[k], k[1]))
+    assert {k for k in got if k[0] != "m:a"} == {("m:d", 5)}  # no comp of b reaches the floor in one bucket
+    assert [got[k].place for k in want] == list(range(1, len(want) + 1)) and [k for k in got if got[k].representative] and got[want[0]].representative
+    assert got[want[0]].members == 650 and got[want[0]].group_boards == sum(n[k] for k in want)
+    assert got["m:d", 5].avg_placement == 1.0 and got["m:d", 5].group_win_rate == 1.0
+    assert served.inspector(stats.limit(0), 3).count() == 0
+
+
+def test_operations_have_no_gaps(spark):
+    at = datetime.datetime(2024, 1, 1, 12, 0, 30)
+    calls = spark.createDataFrame([(at, "a", False), (at - datetime.timedelta(minutes=2), "a", True), (at - datetime.timedelta(minutes=61), "b", False)], "ts timestamp_ntz, method string, rejected boolean")
+    jobs = spark.createDataFrame([(1, "x", at, False), (2, "x", at - datetime.timedelta(hours=2), True), (3, "y", at, True), (4, "z", at, False)], "id long, job string, ts timestamp_ntz, done boolean")
+    rows = served.operations(calls, jobs, minutes=5, newest=2).collect()
+    of = lambda part: {r.key: r for r in rows if r.part == part}
+    assert {k: (r.requests, r.errors) for k, r in of("minute").items()} == {"2024-01-01 11:56": (0, 0), "2024-01-01 11:57": (0, 0), "2024-01-01 11:58": (1, 1), "2024-01-01 11:59": (0, 0), "2024-01-01 12:00": (1, 0)}
+    assert {k: r.requests for k, r in of("total").items()} == {"calls": 2, "peak": 1, "methods": 1}
+    assert {k: (r.requests, r.errors, r.seen) for k, r in of("method").items()} == {"a": (2, 1, at)}
+    assert {k: r.stale for k, r in of("health").items()} == {"x": True, "y": False, "z": True}
+    assert set(of("job")) == {"4 z", "3 y"}
+
+
+def test_item_stats(spark):
+    rows = [({"AD": 0.15, "AS": 10.0, "Health": 0.0, "HealthMax": 150.0, "ShieldDuration": 3.0},), ({"AttackSpeed": 0.255, "AS": 10.0, "AP": 24.5},), ({},), (None,), ({"Mana": None},)]
+    found = spark.createDataFrame(rows, "effects map<string,double>").select(codecs.item_stats(F.col("effects")).alias("s")).collect()
+    assert [[tuple(x) for x in r.s] for r in found] == [[("Attack Damage", "+15%"), ("Health", "+150"), ("Attack Speed", "+10%")], [("Ability Power", "+25"), ("Attack Speed", "+26%")], [], [], []]
