@@ -64,3 +64,10 @@ def crawl_boundary(current: DataFrame, matches: DataFrame, hours: int = 12) -> D
     """One row: the first match of the current patch, so many hours earlier; null if it has none."""
     mine = matches.join(F.broadcast(current.select("patch_id")), "patch_id", "left_semi")
     return mine.agg((F.min("game_datetime") - F.make_interval(hours=F.lit(hours))).alias("since"))
+
+
+def cleared(patches: DataFrame, units: DataFrame) -> DataFrame:
+    """Patches without the flag of those whose set has no catalogue; ``changed`` marks the rows to write."""
+    there = units.select("set_number", F.lit(True).alias("_there")).distinct()
+    found = patches.join(F.broadcast(there), "set_number", "left").withColumn("_becomes", F.col("is_current") & F.coalesce("_there", F.lit(False)))
+    return found.withColumns({"changed": ~F.col("is_current").eqNullSafe(F.col("_becomes")), "is_current": F.col("_becomes")}).drop("_there", "_becomes")

@@ -155,3 +155,26 @@ def operations(calls: DataFrame, jobs: DataFrame, minutes: int = 60, newest: int
     for more in parts[1:]:
         out = out.unionAll(more)
     return out
+
+
+def find_accounts(asked: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Adds puuid to asked (name, tag, route), whatever the case; null where no account is known.
+
+    Accounts are kept on the three main routes, so those asked for by way of ``sea`` are sought in ``asia``.
+    """
+    key = {"_name": F.lower("name"), "_tag": F.lower("tag")}
+    host = F.when(F.col("route") == "sea", "asia").otherwise(F.col("route"))
+    known = accounts.select(F.col("puuid"), F.col("route").alias("host"), *(c.alias(n) for n, c in key.items()))
+    return asked.withColumns(key | {"host": host}).join(known, ["_name", "_tag", "host"], "left").drop("_name", "_tag")
+
+
+def ladders(entries: DataFrame, tiers: tuple[str, ...]) -> DataFrame:
+    """The ladder of each tier: entries by points with their place, whole and in slices of a hundred points."""
+    mine = entries.filter(F.col("tier").isin(*tiers))
+    return order.places(mine, ["tier"], -F.floor(F.col("lp") / 100), [F.desc("lp"), F.asc("puuid")], "place")
+
+
+def relabelled(tables: dict[str, DataFrame], column: str, old: str, new: str) -> dict[str, DataFrame]:
+    """The same tables with one value of a column under its new name."""
+    value = F.when(F.col(column) == old, new).otherwise(F.col(column))
+    return {name: rows.withColumn(column, value) for name, rows in tables.items()}

@@ -9,7 +9,7 @@ from ..functions import codecs
 from ..operators import patches, served
 from ..sources.boards import BOARDS_SQL
 from . import stages
-from .core import r6
+from .core import agg_trend_snapshot, r6
 from .stages import sql
 
 #: Patches of the test tables: versions as numbers, placeholders of two sets, one that is no number, one without matches.
@@ -191,3 +191,38 @@ def fn_item_stats(b):
     effects = F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*(v.cast("double") for v in pairs.values())))
     lines = F.transform(codecs.item_stats(effects), lambda x: F.concat_ws(" ", x["label"], x["value"]))
     return b.table("part").select("p_partkey", F.array_join(lines, "|").alias("stats"))
+
+
+@query("mig_clear_flag", "SELECT patch_id, is_current AND EXISTS (SELECT 1 FROM d_units u WHERE u.set_number = p.set_number) AS is_current, is_current AND NOT EXISTS (SELECT 1 FROM d_units u WHERE u.set_number = p.set_number) AS changed FROM d_patches p", ctes=VIEWS)
+def mig_clear_flag(b):
+    return patches.cleared(d_patches(b), b.d_units).select("patch_id", "is_current", "changed")
+
+
+@query("mig_relabel", """, tb AS (SELECT 'boards' AS name, rank_bucket FROM b_players UNION ALL SELECT 'stats', rank_bucket FROM stats UNION ALL SELECT 'totals', rank_bucket FROM totals
+    UNION ALL SELECT 'trends', rank_bucket FROM (SELECT gkey, patch_id, region, rank_bucket FROM keyed GROUP BY ALL HAVING sum(n) >= 2) UNION ALL SELECT 'tiers', rank_bucket FROM stats WHERE comp_id % 97 = 0)
+SELECT name, CASE rank_bucket WHEN 'challenger' THEN 'apex_mixed' ELSE rank_bucket END AS rank_bucket, count(*)::BIGINT AS rows FROM tb GROUP BY ALL""", ctes=sql(), stored=True)
+def mig_relabel(b):
+    """One bucket of five tables renamed; rows by table and bucket after that."""
+    stats = stages.stats(b)
+    tables = {"boards": b.players, "stats": stats, "totals": stages.totals(b), "trends": agg_trend_snapshot(b), "tiers": stats.filter("comp_id % 97 = 0")}
+    counts = [rows.groupBy("rank_bucket").agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.lit(name)) for name, rows in served.relabelled(tables, "rank_bucket", "challenger", "apex_mixed").items()]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+@query("src_account", """SELECT upper(c_name) AS name, 'T' || c_nationkey AS tag, CASE route WHEN 'sea' THEN 'asia' ELSE route END AS host, CASE WHEN c_custkey % 5 <> 0 THEN 'P' || c_custkey END AS puuid FROM a""", ctes="""a AS (SELECT *, CASE c_nationkey % 4 WHEN 0 THEN 'americas' WHEN 1 THEN 'europe' WHEN 2 THEN 'asia' ELSE 'sea' END AS route FROM customer)""")
+def src_account(b):
+    """Names asked for in capitals, sought among the accounts seen before."""
+    platform = F.get(F.array(*map(F.lit, ("na1", "euw1", "kr", "oc1"))), (F.col("c_nationkey") % 4).cast("int"))
+    people = b.table("customer").withColumns({"tag": F.concat(F.lit("T"), F.col("c_nationkey")), "route": codecs.route(platform)})
+    seen = people.filter("c_custkey % 5 <> 0").withColumn("route", F.when(F.col("route") == "sea", "asia").otherwise(F.col("route")))
+    accounts = seen.select(F.concat(F.lit("P"), "c_custkey").alias("puuid"), F.col("c_name").alias("name"), F.lower("tag").alias("tag"), "route")
+    return served.find_accounts(people.select(F.upper("c_name").alias("name"), "tag", "route"), accounts).select("name", "tag", "host", "puuid")
+
+
+@query("src_league", f"{LINES} SELECT tier, puuid, lp, row_number() OVER (PARTITION BY tier ORDER BY lp DESC, puuid) AS place FROM acc WHERE tier IN ('CHALLENGER', 'MASTER')")
+def src_league(b):
+    """The ladders of the tiers above all divisions."""
+    return served.ladders(accounts(b), ("CHALLENGER", "GRANDMASTER", "MASTER")).select("tier", "puuid", "lp", F.col("place").cast("long").alias("place"))

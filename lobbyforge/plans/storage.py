@@ -72,22 +72,12 @@ def src_match_units(b):
 
 
 
-@query("src_account", "SELECT 'P' || c_custkey AS puuid, c_mktsegment AS name FROM customer WHERE c_custkey IN (1, 2, 3)", ctes=NONE)
-def src_account(b):
-    wanted = F.broadcast(b.spark.createDataFrame([("P1",), ("P2",), ("P3",)], "puuid string"))
-    accounts = b.table("customer").select(F.concat(F.lit("P"), F.col("c_custkey")).alias("puuid"), F.col("c_mktsegment").alias("name"))
-    return accounts.join(wanted, "puuid", "left_semi")
-
 
 @query("src_summoner", "SELECT c_custkey, c_nationkey FROM customer", ctes=NONE)
 def src_summoner(b):
     return b.table("customer").select("c_custkey", "c_nationkey")
 
 
-@query("src_league", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 9500", ctes=NONE)
-def src_league(b):
-    return b.table("customer").filter("c_acctbal > 9500").select("c_custkey", "c_acctbal")
-
 
 def catalog_json(b):
     """The unit catalogue written as one JSON document a set and read under a schema."""
@@ -206,18 +196,8 @@ def mig_backfill_frontier(b):
     return rows.select("puuid", F.when(F.col("region") == "AFRICA", "europe").otherwise("americas").alias("routing")).distinct()
 
 
-@query("mig_relabel", "SELECT board_id, CASE rank_bucket WHEN 'challenger' THEN 'apex_mixed' ELSE rank_bucket END AS rank_bucket FROM b_players")
-def mig_relabel(b):
-    return b.players.select("board_id", F.when(F.col("rank_bucket") == "challenger", "apex_mixed").otherwise(F.col("rank_bucket")).alias("rank_bucket"))
-
 
 @query("mig_player_count", "SELECT match_id FROM b_matches WHERE player_count IS DISTINCT FROM 8")
 def mig_player_count(b):
     counted = b.players.groupBy("match_id").agg(F.count_if(F.col("puuid") != "BOT").alias("people"))
     return counted.filter(~F.col("people").eqNullSafe(F.lit(8))).select("match_id")
-
-
-@query("mig_clear_flag", "SELECT DISTINCT patch_id, patch_id IN (SELECT patch_id FROM b_matches WHERE queue_id = 1160) AS flagged FROM b_matches")
-def mig_clear_flag(b):
-    live = b.matches.filter("queue_id = 1160").select("patch_id").distinct().withColumn("flagged", F.lit(True))
-    return b.matches.select("patch_id").distinct().join(live, "patch_id", "left").select("patch_id", F.coalesce("flagged", F.lit(False)).alias("flagged"))

@@ -144,3 +144,28 @@ def test_item_stats(spark):
     rows = [({"AD": 0.15, "AS": 10.0, "Health": 0.0, "HealthMax": 150.0, "ShieldDuration": 3.0},), ({"AttackSpeed": 0.255, "AS": 10.0, "AP": 24.5},), ({},), (None,), ({"Mana": None},)]
     found = spark.createDataFrame(rows, "effects map<string,double>").select(codecs.item_stats(F.col("effects")).alias("s")).collect()
     assert [[tuple(x) for x in r.s] for r in found] == [[("Attack Damage", "+15%"), ("Health", "+150"), ("Attack Speed", "+10%")], [("Ability Power", "+25"), ("Attack Speed", "+26%")], [], [], []]
+
+
+def test_flags_without_catalogue_are_cleared(spark, catalogue):
+    table = known(spark, (1, 17, "16.9", True), (2, 19, "19.0", True), (3, 19, "19.1", False))
+    assert flags(patches.cleared(table, catalogue)) == {1: (True, False), 2: (False, True), 3: (False, False)}
+
+
+def test_accounts_by_name(spark):
+    asked = spark.createDataFrame([("ANN", "Eu1", "europe"), ("Ann", "eu1", "asia"), ("Bo", "OC", "sea"), (None, "x", "asia")], "name string, tag string, route string")
+    accounts = spark.createDataFrame([("p1", "Ann", "EU1", "europe"), ("p2", "bo", "oc", "asia")], "puuid string, name string, tag string, route string")
+    assert sorted((str(r.name), r.host, r.puuid) for r in served.find_accounts(asked, accounts).collect()) == [("ANN", "europe", "p1"), ("Ann", "asia", None), ("Bo", "asia", "p2"), ("None", "asia", None)]
+
+
+def test_ladders_break_ties_by_player(spark):
+    rows = [("CHALLENGER", f"p{i:03}", i % 7 * 90) for i in range(300)] + [("MASTER", "q", 5), ("GOLD", "r", 99), (None, "s", 9)]
+    got = served.ladders(spark.createDataFrame(rows, "tier string, puuid string, lp int"), ("CHALLENGER", "MASTER")).collect()
+    top = [r.puuid for r in sorted((r for r in got if r.tier == "CHALLENGER"), key=lambda r: r.place)]
+    assert top == [p for _, p, _ in sorted((r for r in rows if r[0] == "CHALLENGER"), key=lambda r: (-r[2], r[1]))]
+    assert {r.tier for r in got} == {"CHALLENGER", "MASTER"}
+
+
+def test_relabelling_leaves_other_values(spark):
+    rows = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    found = served.relabelled({"one": rows, "two": rows.filter("k = 'b'")}, "k", "a", "z")
+    assert {n: sorted(str(r.k) for r in t.collect()) for n, t in found.items()} == {"one": ["None", "b", "z"], "two": ["b"]}
