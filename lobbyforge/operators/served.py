@@ -41,10 +41,11 @@ def selection(totals: DataFrame, patches: DataFrame, patch_id: int | None = None
     return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
-def board_lines(units: DataFrame, items: DataFrame, traits: DataFrame) -> DataFrame:
+def board_lines(units: DataFrame, items: DataFrame, traits: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(board_id, units, traits): a board as two lines of text, from one shuffle of its parts.
 
-    Units in their order with stars and items (``U3*2+item+item``), traits by name (``T1:4``).
+    ``ids``: only these boards (a row each), met once for all parts by the same shuffle; a semi join would be
+    planned once a part.  Units in their order with stars and items (``U3*2+item+item``), traits by name (``T1:4``).
     """
     unit = F.concat("character_id", F.lit("*"), F.coalesce("star_tier", F.lit(0)))
     u = units.select("board_id", F.lit(False).alias("trait"), F.col("unit_row").alias("row"), F.lit(0).alias("slot"), unit.alias("text"))
@@ -56,7 +57,9 @@ def board_lines(units: DataFrame, items: DataFrame, traits: DataFrame) -> DataFr
         mine = F.filter("parts", lambda p: p["trait"] == is_trait)
         return F.ltrim(F.array_join(F.transform(mine, lambda p: F.when(p["slot"] == 0, F.concat(F.lit(" "), p["text"])).otherwise(p["text"])), ""))
 
-    return u.unionAll(i).unionAll(t).groupBy("board_id").agg(parts.alias("parts")).select("board_id", line(False).alias("units"), line(True).alias("traits"))
+    rows = u.unionAll(i).unionAll(t)
+    rows = rows if ids is None else rows.join(ids, "board_id")
+    return rows.groupBy("board_id").agg(parts.alias("parts")).select("board_id", line(False).alias("units"), line(True).alias("traits"))
 
 
 def placement_bucket(placement: Column) -> Column:

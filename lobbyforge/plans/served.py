@@ -85,11 +85,10 @@ def accounts(b):
     return b.table("customer").filter("c_custkey % 5 <> 0").select(F.concat(F.lit("P"), "c_custkey").alias("puuid"), F.col("c_name").alias("name"), tier.alias("tier"), lp.alias("lp"))
 
 
-def with_lines(b, boards):
-    """Boards with their two lines of text; only their own units, items and traits are read on."""
-    ids = boards.select("board_id")
-    mine = [rows.join(ids, "board_id", "left_semi") for rows in (b.units, b.items, b.traits)]
-    return boards.join(served.board_lines(*mine), "board_id", "left")
+def with_lines(b, boards, some: bool = False):
+    """Boards with their two lines of text; ``some``: parts of other boards are left out first."""
+    lines = served.board_lines(b.units, b.items, b.traits, boards.select("board_id") if some else None)
+    return boards.join(lines, "board_id", "left")
 
 
 def recent(b, start=0, count=20):
@@ -113,7 +112,7 @@ def rm_match(b):
 @query("rm_profile", f"{LINES} SELECT rec.puuid, coalesce(acc.name, substr(rec.puuid, 1, 6) || '…') AS name, tier, lp, place::INT AS place, match_id, queue_id, placement, {PLACED} AS bucket, level, coalesce(units, '') AS units, coalesce(traits, '') AS traits FROM rec LEFT JOIN acc USING (puuid) LEFT JOIN ul USING (board_id) LEFT JOIN tl USING (board_id)")
 def rm_profile(b):
     """Each player's account, rank and twenty newest matches with their boards."""
-    rows = with_lines(b, recent(b)).join(accounts(b), "puuid", "left")
+    rows = with_lines(b, recent(b), some=True).join(accounts(b), "puuid", "left")
     lines = [F.coalesce(n, F.lit("")).alias(n) for n in ("units", "traits")]
     return rows.select("puuid", served.display_name(F.col("name"), F.col("puuid")).alias("name"), "tier", "lp", "place", "match_id", "queue_id", "placement", served.placement_bucket(F.col("placement")).alias("bucket"), "level", *lines)
 

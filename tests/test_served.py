@@ -87,6 +87,8 @@ def test_board_lines(spark):
     items = spark.createDataFrame([(1, 2, 2, "y"), (1, 2, 1, "x")], "board_id long, unit_row int, slot int, item_id string")
     traits = spark.createDataFrame([(1, "T2", 4), (1, "T1", 2), (3, "T1", 1)], "board_id long, trait_id string, num_units int")
     assert {r.board_id: (r.units, r.traits) for r in served.board_lines(units, items, traits).collect()} == {1: ("A*0 B*3+x+y", "T1:2 T2:4"), 2: ("A*1", ""), 3: ("", "T1:1")}
+    some = units.select("board_id").distinct().filter("board_id = 2")
+    assert [(r.board_id, r.units) for r in served.board_lines(units, items, traits, some).collect()] == [(2, "A*1")]
 
 
 def test_recent_pages_of_one_player_with_most_rows(spark):
