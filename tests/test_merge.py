@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import replace
 
 import duckdb
@@ -291,6 +291,23 @@ def test_prefix_join_finds_all_pairs(spark):
         assert got == want
 
 
+def test_classes_stand_for_all_pairs(spark):
+    r = random.Random(5)
+    kinds = [sorted(r.sample("ABCDEFGH", r.randrange(3, 8))) for _ in range(25)]
+    sets = {i: kinds[r.randrange(25)] for i in range(300)}
+    classes = merge.set_classes(spark.createDataFrame(sorted(sets.items()), "comp_id long, units array<string>"))
+    rows = merge.linked(classes, merge.class_links(classes, 0.54), "shared", F.col("shared"), F.size("units").cast("long")).collect()
+    own = {x.a: x.b for x in rows if x.kind == "comp"}
+    assert own == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    shared = {(x.a, x.b): x.shared for x in rows if x.kind == "pair"}
+    alike = lambda i, j: len(set(sets[i]) & set(sets[j])) >= 0.54 * len(set(sets[i]) | set(sets[j])) - 1e-9
+    pairs = {(i, j) for i in sets for j in sets if i < j and alike(i, j)}
+    assert pairs == {(i, j) for i in sets for j in sets if i < j and (own[i] == own[j] or tuple(sorted((own[i], own[j]))) in shared)}
+    assert all(n == len(set(sets[a]) & set(sets[b])) for (a, b), n in shared.items())
+    assert {x.a: x.links for x in rows if x.kind == "comp"} == {i: sum(i in p for p in pairs) for i in sets}
+    assert sum(x.links for x in rows if x.kind == "comp") == 2 * len(pairs) and len(rows) <= 300 + 25 * 24 / 2
+
+
 def test_order_of_rows_does_not_matter():
     profiles = made_up(77)
     assert merge.labelled(merge.merge(profiles, PRODUCTION), PRODUCTION) == merge.labelled(merge.merge(profiles[::-1], PRODUCTION), PRODUCTION)
