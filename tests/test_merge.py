@@ -308,6 +308,31 @@ def test_classes_stand_for_all_pairs(spark):
     assert sum(x.links for x in rows if x.kind == "comp") == 2 * len(pairs) and len(rows) <= 300 + 25 * 24 / 2
 
 
+def test_verdicts_of_classes_are_those_of_pairs(spark):
+    r = random.Random(6)
+    comps = [(i, sorted(r.sample("ABCDE", r.randrange(3, 6))), r.choice("pq"), sorted(r.sample("XYZ", r.randrange(0, 3))), r.choice(["l", "m", None])) for i in range(80)]
+    table = spark.createDataFrame(comps, "comp_id long, units array<string>, sig string, carries array<string>, meta_comp string")
+    classes = merge.set_classes(table.select("comp_id", "units"))
+    links = merge.class_links(classes, 0.54)
+    close = F.col("shared") >= 0.9 * F.greatest("sa", "sb")
+    near = links.select(F.col("a").alias("set_id"), F.col("b").alias("other"), close.alias("close")).unionAll(links.select("b", "a", close)).unionAll(classes.filter("comp_id = class_id").select("class_id", "class_id", F.lit(True)))
+    kinds = merge.set_classes(table.join(classes.select("comp_id", F.col("class_id").alias("set_id")), "comp_id"), "set_id", "sig", "carries", "meta_comp")
+    got = {x.comp_id: {k: v for k, v in x.asDict().items() if "_" in k and k not in ("comp_id", "class_id")} for x in merge.evaluated_classes(kinds, near).collect()}
+    pairs = []
+    for a in comps:
+        for b in comps:
+            both, wider = len(set(a[1]) & set(b[1])), max(len(a[1]), len(b[1]))
+            if a[0] < b[0] and both >= 0.54 * len(set(a[1]) | set(b[1])) - 1e-9 and (a[2] != b[2] or both >= 0.9 * wider):
+                pairs.append((a[0], b[0], "split" if a[2] != b[2] else "merge", a[2] == b[2] and bool(a[3]) and bool(b[3]) and not set(a[3]) & set(b[3])))
+    verdicts = merge.evaluated(spark.createDataFrame(pairs, "a long, b long, wanted string, known boolean"), table.select("comp_id", "meta_comp").filter("meta_comp IS NOT NULL")).collect()
+    want = {i: Counter() for i in range(80)}
+    for x in verdicts:
+        want[x.a][f"{x.wanted}_{x.verdict}"] += 1
+        want[x.b][f"{x.wanted}_{x.verdict}"] += 1
+    assert {i: {k: v for k, v in g.items() if v} for i, g in got.items()} == {i: dict(w) for i, w in want.items()}
+    assert {x.verdict for x in verdicts} == {"pass", "fail", "known", "fixed"}
+
+
 def test_order_of_rows_does_not_matter():
     profiles = made_up(77)
     assert merge.labelled(merge.merge(profiles, PRODUCTION), PRODUCTION) == merge.labelled(merge.merge(profiles[::-1], PRODUCTION), PRODUCTION)
