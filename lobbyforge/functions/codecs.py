@@ -88,6 +88,11 @@ def rng_item(item: Column) -> Column:
     return item.rlike(ARTIFACT) | (item.rlike(RADIANT) & ~mechanic) | mechanic
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def item_kind(item: Column, components: Column) -> Column:
     """First rule that fits: component, emblem, craftable, artifact, other."""
     return F.when(components, "component").when(item.rlike("(?i)emblem"), "emblem").when(item.rlike("^TFT_Item_I"), "craftable").when(item.rlike(ARTIFACT), "artifact").otherwise("other")
@@ -175,12 +180,16 @@ def item_stats(effects: Column) -> Column:
 
     Per cents under one are shares.  Halves are rounded up.
     """
-    shown = []
-    for key, label, share in ITEM_STATS:
-        raw = F.try_element_at(effects, F.lit(key))
-        value = F.floor((F.when(raw < 1, raw * 100).otherwise(raw) if share else raw) + 0.5).cast("string")
-        text = F.concat(F.lit("+"), value, F.lit("%" if share else ""))
-        shown.append(F.when(raw != 0, F.struct(F.lit(label).alias("label"), text.alias("value"))))
+
+    def stat(label: str, share: bool):
+        def shown(raw: Column) -> Column:
+            value = F.floor((F.when(raw < 1, raw * 100).otherwise(raw) if share else raw) + 0.5).cast("string")
+            return F.when(raw != 0, F.struct(F.lit(label).alias("label"), F.concat(F.lit("+"), value, F.lit("%" if share else "")).alias("value")))
+
+        return shown
+
+    shown = [bound(F.try_element_at(effects, F.lit(key)), stat(label, share)) for key, label, share in ITEM_STATS]
+    first = lambda found, labels: F.filter(found, lambda x, i: F.array_position(labels, x["label"]) == i + 1)
     found = F.filter(F.array(*shown), lambda x: x.isNotNull())
-    labels = F.transform(found, lambda x: x["label"])
-    return F.coalesce(F.filter(found, lambda x, i: F.array_position(labels, x["label"]) == i + 1), F.array().cast("array<struct<label:string,value:string>>"))
+    stats = bound(found, lambda f: bound(F.transform(f, lambda x: x["label"]), lambda labels: first(f, labels)))
+    return F.coalesce(stats, F.array().cast("array<struct<label:string,value:string>>"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .codecs import fnv1a32
+from .codecs import bound, fnv1a32
 
 #: Tags of spans and the classes they become (fixed values of the domain).
 TAG_CLASS = {
@@ -59,11 +59,6 @@ def keyword(reference: Column) -> tuple[Column, Column]:
     return tuple(F.try_element_at(table({k: v[i] for k, v in KEYWORDS.items()}), key) for i in (0, 1))
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def woven(text: Column, pattern: str, fill) -> Column:
     """Text with ``fill(group 1)`` in place of each match."""
     parts = bound(text, lambda t: F.struct(F.regexp_extract_all(t, F.lit(pattern), 1).alias("found"), F.split(t, pattern, -1).alias("pieces")))
@@ -71,14 +66,21 @@ def woven(text: Column, pattern: str, fill) -> Column:
     return bound(parts, lambda x: F.array_join(F.transform(x["pieces"], lambda p, i: put(x, p, i)), ""))
 
 
-def rewritten(text: Column, steps: list[tuple[str, str, str]]) -> Column:
+def rewritten(rows: DataFrame, name: str, steps: list[tuple[str, str, str]]) -> DataFrame:
     """Applies (opening, pattern, replacement) one after another, each as often as the text then has its opening.
 
-    Each pass takes an opening away, so a step ends where nothing changes any more.
+    Each pass takes an opening away, so a step ends where nothing changes any more.  Patterns are literals, which Spark
+    compiles once a task; a text without the opening is not searched.
     """
-    table = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(p).alias("p"), F.lit(r).alias("r")) for o, p, r in steps))
-    times = lambda t, s: F.sequence(F.lit(1), F.greatest(F.regexp_count(t, s["o"]), F.lit(1)))
-    return F.aggregate(table, text, lambda t, s: F.aggregate(times(t, s), t, lambda x, _: F.regexp_replace(x, s["p"], s["r"])))
+
+    def step(opening: str, pattern: str, to: str):
+        once = lambda x: F.regexp_replace(x, pattern, to)
+        return lambda t: bound(F.regexp_count(t, F.lit(opening)), lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), t, lambda x, _: once(x))).otherwise(t))
+
+    for opening, pattern, to in steps:
+        text = F.col(name)
+        rows = rows.withColumn(name, F.regexp_replace(text, pattern, to) if opening == ONCE else bound(text, step(opening, pattern, to)))
+    return rows
 
 
 def compiled(template: Column) -> Column:
@@ -164,16 +166,25 @@ def rule_text(reference: Column) -> Column:
 
 
 def descriptions(rows: DataFrame, template: str, numbers: str, series: str, to: str) -> DataFrame:
-    """Adds the description of each row, null for an empty one; every different template is compiled once.
+    """Adds the description of each row, null for an empty one; every different template is compiled once, and rows of one
+    template and equal values are described once.
 
     Filled with values, then: blocks under a condition go, known spans become «class:text», other tags go, icons and
     keywords are named, what has emptied goes, blanks are put right.
     """
-    templates = rows.select(F.col(template).alias("_t")).filter("_t IS NOT NULL").distinct().withColumn("_parts", compiled(F.col("_t")))
-    out = rows.join(templates, F.col(template) == F.col("_t"), "left").withColumn(to, filled(F.col("_parts"), F.col(numbers), F.col(series)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = lambda c: F.to_json(F.map_entries(c))
+    values = lambda c, kind: F.map_from_entries(F.from_json(c, f"array<struct<key:string,value:{kind}>>"))
+    keyed = rows.withColumns({"_t": F.col(template), "_numbers_key": entries(numbers), "_series_key": entries(series)})
+    key = ["_t", "_numbers_key", "_series_key"]
+    different = keyed.filter("_t IS NOT NULL").select(*key).distinct().repartition(parts, *key)
+    templates = different.select(F.col("_t").alias("_of")).distinct().withColumn("_parts", compiled(F.col("_of")))
+    out = different.join(templates, F.col("_t") == F.col("_of"), "left").withColumn(to, filled(F.col("_parts"), values("_numbers_key", "double"), values("_series_key", "string")))
     text = F.col(to)
-    out = out.withColumn(to, rewritten(text, [*BLOCKS, *SPANS, (ONCE, "<[^>]+>", "")])).withColumn(to, woven(text, ICON, icon_text)).withColumn(to, woven(text, REFERENCE, rule_text))
-    return out.withColumn(to, F.nullif(rewritten(text, [*LEFTOVER, *BLANKS]), F.lit(""))).drop("_t", "_parts")
+    out = rewritten(out.select(*key, to), to, [*BLOCKS, *SPANS, (ONCE, "<[^>]+>", "")]).withColumn(to, woven(text, ICON, icon_text)).withColumn(to, woven(text, REFERENCE, rule_text))
+    out = rewritten(out, to, [*LEFTOVER, *BLANKS]).withColumn(to, F.nullif(text, F.lit("")))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in key]
+    return keyed.alias("x").join(out.alias("y"), same, "left").select(*(F.col(f"x.{c}") for c in rows.columns if c != to), F.col(f"y.{to}"))
 
 
 def with_icons(row: Column, groups: Column) -> Column:

@@ -19,7 +19,7 @@ WORDS = ("Burn", "chill", "Other")
 
 
 def text_rows(b):
-    part = b.table("part")
+    part = b.dealt("part", "p_partkey", "p_type", "p_size")
     word = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("p_partkey") % 3 + 1).cast("int"))
     pieces = TEMPLATE.replace("%%", "%").split("%s")
     template = F.concat(F.lit(pieces[0]), F.col("p_type"), F.lit(pieces[1]), word, F.lit(pieces[2]))
