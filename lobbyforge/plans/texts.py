@@ -42,7 +42,7 @@ def fn_trait_content(b):
     step = lambda n, add, x: F.struct(F.lit(n).alias("min_units"), F.create_map(F.lit("Gain"), (F.col("p_size") + add).cast("double"), F.lit("X"), F.lit(x)).alias("vars"))
     steps, even = F.array(step(2, 0, 1.5), step(4, 7, 2.5)), F.col("p_partkey") % 2 == 0
     desc = F.concat(F.col("p_name"), F.lit(" for @MinUnits@ allies."), F.when(even, "<expandRow>(@MinUnits@) @Gain@  of <status>@X@</status></expandRow>").otherwise("<row>First @gain@</row><row>Then @gain@</row>"))
-    rows = b.table("part").select("p_partkey", desc.alias("desc"), F.when(even, steps).otherwise(F.concat(steps, F.array(step(6, 9, 3.5)))).alias("steps"), F.array(F.array(F.lit("ad")), F.array(F.lit("mr"))).alias("icons"))
+    rows = b.dealt("part", "p_partkey", "p_name", "p_size").select("p_partkey", desc.alias("desc"), F.when(even, steps).otherwise(F.concat(steps, F.array(step(6, 9, 3.5)))).alias("steps"), F.array(F.array(F.lit("ad")), F.array(F.lit("mr"))).alias("icons"))
     return richtext.trait_lines(rows, "p_partkey")
 
 
