@@ -189,7 +189,7 @@ def fn_item_stats(b):
     pairs = {"AD": F.when(n < 10, n / 10).otherwise(n), "AP": F.when(k % 3 == 0, n), "Health": F.when(k % 2 == 0, 10 * n), "HealthMax": F.lit(7.0), "StatOmnivamp": n % 4, "HealthThreshold": F.lit(0.5)}
     effects = F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*(v.cast("double") for v in pairs.values())))
     lines = F.transform(codecs.item_stats(effects), lambda x: F.concat_ws(" ", x["label"], x["value"]))
-    return b.table("part").select("p_partkey", F.array_join(lines, "|").alias("stats"))
+    return b.dealt("part", "p_partkey", "p_size").select("p_partkey", F.array_join(lines, "|").alias("stats"))
 
 
 @query("mig_clear_flag", "SELECT patch_id, is_current AND EXISTS (SELECT 1 FROM d_units u WHERE u.set_number = p.set_number) AS is_current, is_current AND NOT EXISTS (SELECT 1 FROM d_units u WHERE u.set_number = p.set_number) AS changed FROM d_patches p", ctes=VIEWS)

@@ -130,3 +130,13 @@ def test_active_traits(spark):
     steps = frame([("x", 2, 1), ("x", 4, 3), ("x", 6, 4), ("y", 1, 5), ("z", 2, 1), ("z", 3, 2)], "trait_id string, min_units int, style int")
     got = sorted((r.board_id, r.place, r.trait_id, r["count"], r.style, r.next_at, r.is_unique) for r in planner.active_traits(units, traits, doubled, emblems, steps).collect())
     assert got == [(1, 1, "y", 1, 5, None, True), (1, 2, "x", 4, 3, 6, False), (1, 3, "new", 1, 0, None, False), (1, 4, "z", 1, 0, 2, False), (2, 1, "y", 1, 5, None, True), (2, 2, "z", 1, 0, 2, False)]
+
+
+def test_parts_are_described_in_many_tasks_and_each_kind_once(spark, data):
+    """One small file is one task, unless its rows are dealt out; rows of one template and equal values are one description."""
+    from lobbyforge import registry
+
+    for name in ("fn_resolve_desc", "fn_trait_content", "fn_item_stats"):
+        plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [p_partkey" in plan, name
+        assert name == "fn_item_stats" or "Aggregate [_t" in plan, name
