@@ -333,6 +333,19 @@ def test_verdicts_of_classes_are_those_of_pairs(spark):
     assert {x.verdict for x in verdicts} == {"pass", "fail", "known", "fixed"}
 
 
+def test_profiles_reckon_item_rates_once(spark, data):
+    """What units hold is one table, not read again by every part of a profile; its copies are those with all items."""
+    from lobbyforge.operators import itemization
+
+    b = Boards(spark, data, stored=True)
+    assert "l_linenumber" not in merging.profiles(b)._jdf.queryExecution().optimizedPlan().toString()
+    boards = stages.clustered(b).filter("comp_id IS NOT NULL").select("board_id", "comp_id")
+    columns = ["board_id", "unit_row", "character_id", "n_done", "n_damage"]
+    full = itemization.copies(b.units, b.items).join(boards, "board_id", "left_semi").select(*columns)
+    counted = itemization.counted_copies(boards, b.units, b.items).select(*columns)
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, counted.collect()))
+
+
 def test_order_of_rows_does_not_matter():
     profiles = made_up(77)
     assert merge.labelled(merge.merge(profiles, PRODUCTION), PRODUCTION) == merge.labelled(merge.merge(profiles[::-1], PRODUCTION), PRODUCTION)
