@@ -432,3 +432,32 @@ def test_a_table_that_is_gone_is_made_anew(spark, tmp_path):
     path = next(p for k, p in store.MADE.items() if k[1] == "gone" and k[2:] == key)
     shutil.rmtree(path.removeprefix("file://"))
     assert store.once(spark, "gone", key, build).count() == 3 and len(calls) == 2
+
+
+def test_blocks_compare_as_one_by_one(spark):
+    """Every pair of linked classes once, the lesser comp against the other, in whatever lanes they lie."""
+    r = random.Random(9)
+    some = lambda xs, n: frozenset(r.sample(xs, n))
+    profiles = []
+    for i in range(60):
+        units = some("ABCD", 3) | some("EF", r.randrange(2))
+        carries = some(sorted(units), r.randrange(3)) | some("GH", r.randrange(2))
+        known = r.random() < 0.7
+        weights = {u: r.choice((1.0, 0.7, 0.25)) for u in units} if known else {}
+        rates = {u: r.choice((0.1, 0.2, 0.6)) for u in some("AB", r.randrange(3))}
+        profiles.append(Profile(i * 7 % 61, units, weights, carries, some(sorted(carries), r.randrange(len(carries) + 1)), some(sorted(units), r.randrange(2)), r.choice(("", "", "", "A")), r.choice(("", "", "A", "B")), rates,
+                                "", r.choice(("", "", "", "C")), r.randrange(1, 20), r.choice((0.0, 7.0, 8.0, 9.0)), {t: r.choice((1.0, 2.0)) for t in some("XYZ", r.randrange(4))}))
+    columns = [c.split(" ")[0] for c in merge.PROFILE.split(", ")]
+    row = lambda p: (p.comp_id, 17, sorted(p.units), p.weights, sorted(p.carries), sorted(p.damage), sorted(p.grade3), p.copy_sig, p.hero_sig, p.hero_rates, p.emblem_sig, p.gated_sig, p.boards, p.level, p.frame)
+    table = spark.createDataFrame([row(p) for p in profiles], merge.PROFILE).select(*columns)
+    classes = merge.set_classes(table.select("comp_id", F.array_sort("units").alias("units")))
+    got = {(x.a, x.b): (round(x.score, 9), x.reason) for x in merge.compare_classes(classes, merge.class_links(classes, 0.54), table, FIXTURE, 3).collect()}
+    near = lambda p, q: len(p.units & q.units) >= 0.54 * len(p.units | q.units) - 1e-9
+    want = {}
+    for p in profiles:
+        for q in profiles:
+            if p.comp_id < q.comp_id and near(p, q):
+                score, reason = merge.compare(p, merge.Archetype().add(q), FIXTURE)
+                want[p.comp_id, q.comp_id] = round(score, 9), reason
+    assert got == want and len({reason for _, reason in want.values()}) > 6
+    assert merge.compare_classes(classes, merge.class_links(classes, 0.54), table, FIXTURE, 3).count() == len(want)
