@@ -119,12 +119,11 @@ def persisted(b, times: int = 2):
     """The tables after documents came in three turns, the first once more in the last, and each batch was run twice."""
     lobby = F.col("lobby") % 3
     path = documents(b, lobby)
-    spark, folder = b.spark, store.new_path(b.spark, "arrivals")
+    spark, folder, out = b.spark, store.new_path(b.spark, "arrivals"), store.new_path(b.spark, "persisted")
     for k, turns in enumerate(((0,), (1,), (2, 0))):
-        some = spark.read.schema(MATCH).json([f"{path}/turn={t}" for t in turns])
-        some.coalesce(1).write.mode("append").json(f"{folder}/{k}")
-    stream = spark.readStream.schema(MATCH).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(folder)
-    return persist.persist_stream(stream, times)
+        spark.read.schema(MATCH).json([f"{path}/turn={t}" for t in turns]).write.json(f"{folder}/{k}")
+        persist.persist_stream(spark.readStream.schema(MATCH).option("recursiveFileLookup", True).json(folder), times, out)
+    return out
 
 
 @query("sink_match_persist", PERSISTED, ctes=PERSIST_CTES)

@@ -58,15 +58,18 @@ def persist(batch: DataFrame, number: int, path: str, ranked_queue: int = 1100)
         rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
 
-def persist_stream(stream: DataFrame, times: int = 1) -> str:
-    """Runs a stream of match documents into the tables; gives their folder.  ``times``: how often each batch is run."""
-    spark, path = stream.sparkSession, store.new_path(stream.sparkSession, "persisted")
+def persist_stream(stream: DataFrame, times: int = 1, path: str | None = None) -> str:
+    """Runs a stream of match documents into the tables; gives their folder.  ``times``: how often each batch is run.
+
+    With the ``path`` of tables that are there it goes on after their last batch: what has come since is one batch, in however many files.
+    """
+    path = path or store.new_path(stream.sparkSession, "persisted")
 
     def keep(batch: DataFrame, number: int) -> None:
         for _ in range(times):
             persist(batch, number, path)
 
-    stream.writeStream.option("checkpointLocation", store.new_path(spark, "stream")).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.option("checkpointLocation", f"{path}-stream").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     return path
 
 

@@ -190,3 +190,22 @@ def test_variants_by_over_count(spark):
     boards = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "board_id long, comp_id long")
     picked = variants.pick(variants.tally(boards, variants.infer(units, traits, reported, (Family("Base", "^V[0-9]$", "Marker"),))), ["comp_id"]).collect()
     assert [(r.comp_id, r.variant_id, r.boards) for r in picked] == [(7, "V1", 1)]
+
+
+def test_a_turn_comes_in_many_files(spark, data, monkeypatch):
+    """Documents of a turn are never put into one file, which one task would write and read; a turn is a batch all the same."""
+    from lobbyforge.plans.flows import persisted
+    from lobbyforge.sources import store
+
+    made, new_path = {}, store.new_path
+    monkeypatch.setattr(store, "new_path", lambda s, name: made.setdefault(name, new_path(s, name)))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        path = persisted(Boards(spark, data), 1)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    root = made["arrivals"].removeprefix("file://").removeprefix("file:")
+    assert min(sum(f.startswith("part-") for f in os.listdir(f"{root}/{k}")) for k in range(3)) > 1
+    assert spark.read.schema("batch int").parquet(f"{path}/outcomes").distinct().count() == 3
