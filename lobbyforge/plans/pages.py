@@ -146,7 +146,7 @@ def group_traits(b):
     """(gkey, trait_id, num_units, style, freq, place): traits that half of a group's boards have at their usual count, in the order of the badge."""
     boards = stages.grouped(b, stages.clustered(b).filter("comp_id IS NOT NULL").select("board_id", "comp_id")).select("board_id", "gkey")
     total = boards.groupBy("gkey").agg(F.count(F.lit(1)).alias("total"))
-    frame = itemization.trait_frame(b.units, b.d_unit_traits, emblems_of(b), b.d_breakpoints)
+    frame = itemization.trait_frame(b.units, b.d_unit_traits, emblems_of(b), b.d_breakpoints, b.parts())
     counts = frame.join(boards, "board_id").groupBy("gkey", "trait_id", "num_units", "level").agg(F.count(F.lit(1)).alias("boards"))
     usual = counts.groupBy("gkey", "trait_id").agg(F.sum("boards").alias("appears"), F.max_by(F.struct("num_units", "level"), F.struct("boards", (-F.col("num_units")).alias("k"))).alias("m"))
     single = F.broadcast(b.d_breakpoints.groupBy("trait_id").agg((F.count(F.lit(1)) == 1).alias("is_unique")))
@@ -217,7 +217,7 @@ def page_counts(b):
     heads = family.representatives(chosen.filter("own"), KEY, b.config)
     rows = chosen.join(heads, list(KEY)).select("comp_id", *KEY, "state", "builds", "carries")
     boards = stages.clustered(b).select("board_id", "comp_id", *rollup.BUCKET, "placement", "level", "game_datetime")
-    return family.detail_counts(boards, itemization.copies(b.units, b.items), rows, b.config)
+    return family.detail_counts(boards, itemization.held_copies(b.held), rows, b.config)
 
 
 @query("rm_detail", _page_sql(), ctes=ALL, stored=True, merged=True)
