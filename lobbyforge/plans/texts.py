@@ -72,8 +72,8 @@ act AS (SELECT c.*, (SELECT count(*) FROM d_breakpoints d WHERE d.trait_id = c.t
     SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY style DESC, count DESC, trait_id) AS place FROM act""")
 def fn_active_traits(b):
     """Traits of every board: units that count twice, emblems that a unit with the trait wastes, style, next step and order."""
-    doubled = b.spark.createDataFrame([("U3", "TFT17_T3", 2), ("U4", "TFT17_T0", 2)], "character_id string, trait_id string, contribution int")
+    doubled = b.spark.sql("SELECT * FROM VALUES ('U3', 'TFT17_T3', 2), ('U4', 'TFT17_T0', 2) AS t(character_id, trait_id, contribution)")
     styles = b.d_breakpoints.groupBy("trait_id").agg(F.array_sort(F.collect_list("min_units")).alias("m")).select("trait_id", F.posexplode("m").alias("i", "min_units")).select("trait_id", "min_units", (F.col("i") + 1).alias("style"))
     worn = b.items.filter(F.col("item_id").rlike("(?i)emblem")).select("board_id", "character_id", "item_id")
     emblems = worn.select("board_id", "character_id", emblem_trait(F.col("item_id")).alias("trait_id"))
-    return planner.active_traits(b.units, b.d_unit_traits, doubled, emblems, styles)
+    return planner.active_traits(b.units, b.d_unit_traits, doubled, emblems, styles, b.parts())

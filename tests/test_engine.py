@@ -166,3 +166,20 @@ def test_carries_fall_back(spark):
     rows = spark.createDataFrame([(1, "A", 0.6, 0.1), (1, "B", 0.2, 0.9), (2, "A", 0.1, 0.7), (2, "B", 0.2, 0.7), (2, "C", 0.0, 0.6)], "comp_id int, character_id string, full_rate double, top_rate double")
     got = sorted((r.comp_id, r.character_id) for r in itemization.carries(rows, FIXTURE).collect())
     assert got == [(1, "A"), (2, "A"), (2, "B")]
+
+
+def shuffles(rows):
+    """Shuffles by key that a plan has, before it is adapted."""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning")
+
+
+def test_boards_traits_take_one_shuffle_of_units(spark, data):
+    """All that is reckoned by board stays where units and emblems met; a table twice as large gives tasks twice as many."""
+    from lobbyforge.plans.items import held
+    from lobbyforge.sources.boards import Boards
+
+    b = Boards(spark, data)
+    assert shuffles(registry.QUERIES["fn_active_traits"](spark, data)) <= 4  # two of them of the catalogue
+    assert shuffles(itemization.best_copy(held(b))) == 1
+    assert b.parts() == 4 and Boards(spark, "/root/testdata/sf0.1").parts(megabytes=1) > 8
