@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.identity import comp_id
@@ -18,11 +18,17 @@ def board_id(match_id: Column, puuid: Column) -> Column:
     return comp_id(F.concat(match_id, F.lit("#"), puuid))
 
 
+def first_boards(docs: DataFrame) -> DataFrame:
+    """Documents with the first board of each player: that of the least place, found in the document itself, so no board is shuffled."""
+    order = F.array_sort(F.transform("info.participants", lambda p, i: F.struct(p["placement"].alias("placement"), i.alias("i"), p["puuid"].alias("puuid"))))
+    rows = docs.withColumn("_order", order)
+    first = F.filter("info.participants", lambda p, i: F.get(F.filter("_order", lambda x: x["puuid"] == p["puuid"]), F.lit(0))["i"] == i)
+    return rows.withColumn("info", F.col("info").withField("participants", first)).drop("_order")
+
+
 def shaped(docs: DataFrame, ranked_queue: int = 1100) -> dict[str, DataFrame]:
-    """Rows of each table.  Boards of ranked matches only, without bots; of a player's boards in a match the first."""
-    flat = source.flat_participants(docs, ranked_queue)
-    first = Window.partitionBy("match_id", "puuid").orderBy("placement")
-    boards = flat.withColumn("_r", F.row_number().over(first)).filter("_r = 1").withColumn("id", board_id(F.col("match_id"), F.col("puuid")))
+    """Rows of each table, of documents of different matches.  Boards of ranked matches only, without bots; of a player's boards in a match the first."""
+    boards = source.flat_participants(first_boards(docs), ranked_queue).withColumn("id", board_id(F.col("match_id"), F.col("puuid")))
     most = F.array_sort(F.transform("units", lambda u, i: F.struct((-F.size(u["itemNames"])).alias("a"), (-u["rarity"]).alias("b"), i.alias("c"), u["character_id"].alias("d"))))
     units = boards.withColumn("carry", F.get(most, F.lit(0))["d"]).select("id", "carry", "units", F.posexplode("units").alias("pos", "u"))
     copy = F.size(F.filter(F.slice("units", F.lit(1), F.col("pos")), lambda x: x["character_id"] == F.col("u.character_id")))

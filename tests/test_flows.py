@@ -209,3 +209,18 @@ def test_a_turn_comes_in_many_files(spark, data, monkeypatch):
     root = made["arrivals"].removeprefix("file://").removeprefix("file:")
     assert min(sum(f.startswith("part-") for f in os.listdir(f"{root}/{k}")) for k in range(3)) > 1
     assert spark.read.schema("batch int").parquet(f"{path}/outcomes").distinct().count() == 3
+
+
+def test_first_boards_are_found_in_the_document(spark, data):
+    """Of a player's boards the one of least place; no board is shuffled for it, and documents take one shuffle of their lines."""
+    from lobbyforge.plans.storage import documents
+    from lobbyforge.sources.matches import MATCH
+
+    board = lambda who, place, level: (who, place, level, [], [], [])
+    people = [board("a", 3, 1), board("b", 2, 2), board("a", 1, 3), board("BOT", 4, 4), board("BOT", 5, 5), board("b", 6, 6), board(None, 7, 7), board("c", None, 8), board("c", 8, 9)]
+    docs = spark.createDataFrame([(("X_1",), (0, 1.0, "v", 1100, 17, people)), (("X_2",), (0, 1.0, "v", 1100, 17, []))], MATCH)
+    tables = persist.shaped(docs)
+    assert sorted((r.puuid, r.placement, r.level) for r in tables["participants"].collect()) == sorted([("a", 1, 3), ("b", 2, 2), ("c", None, 8)], key=str)
+    assert "Exchange" not in tables["units"]._jdf.queryExecution().executedPlan().toString()
+    assert {r.match_id: r.player_count for r in tables["matches"].collect()} == {"X_1": 6, "X_2": 0}
+    assert documents(Boards(spark, data)).count() == Boards(spark, data).matches.count()
