@@ -183,3 +183,15 @@ def test_boards_traits_take_one_shuffle_of_units(spark, data):
     assert shuffles(registry.QUERIES["fn_active_traits"](spark, data)) <= 4  # two of them of the catalogue
     assert shuffles(itemization.best_copy(held(b))) == 1
     assert b.parts() == 4 and Boards(spark, "/root/testdata/sf0.1").parts(megabytes=1) > 8
+
+
+def test_signatures_are_made_once(spark, data):
+    """The tables of a pass that rest on signatures read them as they were written."""
+    from lobbyforge.plans import stages
+    from lobbyforge.sources import store
+    from lobbyforge.sources.boards import Boards
+
+    b = Boards(spark, data, stored=True)
+    assert stages.clustered(b).count() == b.players.join(stages.rollup.ranked(b.matches, b.config), "match_id").count()
+    assert stages.comps(b).count() == stages.signed(b).select("signature").distinct().count()
+    assert any(key[1] == "signed" for key in store.MADE) and "Exchange" not in stages.signed(b)._jdf.queryExecution().executedPlan().toString()
