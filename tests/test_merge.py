@@ -308,6 +308,32 @@ def test_classes_stand_for_all_pairs(spark):
     assert sum(x.links for x in rows if x.kind == "comp") == 2 * len(pairs) and len(rows) <= 300 + 25 * 24 / 2
 
 
+def test_every_pair_is_a_row_in_whatever_lanes(spark):
+    r = random.Random(8)
+    kinds = [sorted(r.sample("ABCDEFGH", r.randrange(3, 8))) for _ in range(25)]
+    sets = {i: kinds[r.randrange(25)] for i in range(300)}
+    classes = merge.set_classes(spark.createDataFrame(sorted(sets.items()), "comp_id long, units array<string>"))
+    links = merge.class_links(classes, 0.54).unionByName(merge.own_links(classes))
+    want = {(i, j): len(set(sets[i]) & set(sets[j])) for i in sets for j in sets if i < j and len(set(sets[i]) & set(sets[j])) >= 0.54 * len(set(sets[i]) | set(sets[j])) - 1e-9}
+    for lane, task in ((3, 500), (1024, 1 << 22)):
+        rows = merge.expanded(classes, links, "units", lane=lane, task=task).collect()
+        assert len(rows) == len(want) and {(x.a, x.b): x.shared for x in rows} == want
+        assert all({x.p.comp_id, x.q.comp_id} == {x.a, x.b} and x.p.units == sets[x.p.comp_id] and x.q.units == sets[x.q.comp_id] for x in rows)
+
+
+@pytest.fixture(scope="module")
+def all_pairs(spark, data):
+    """Units of all comps, of however few boards, and every pair of them that is alike."""
+    sets = {r.comp_id: set(r.core_units) for r in stages.comps(Boards(spark, data)).collect()}
+    pairs = {(i, j): len(sets[i] & sets[j]) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.54 * len(sets[i] | sets[j]) - 1e-9}
+    return sets, pairs
+
+
+def test_join_gives_every_pair_of_comps(spark, data, all_pairs):
+    got = {(x.a, x.b): x.shared for x in registry.QUERIES["join_inverted_index"](spark, data).collect()}
+    assert got == all_pairs[1] and len(got) > 20_000
+
+
 def test_verdicts_of_classes_are_those_of_pairs(spark):
     r = random.Random(6)
     comps = [(i, sorted(r.sample("ABCDE", r.randrange(3, 6))), r.choice("pq"), sorted(r.sample("XYZ", r.randrange(0, 3))), r.choice(["l", "m", None])) for i in range(80)]
