@@ -334,6 +334,13 @@ def test_join_gives_every_pair_of_comps(spark, data, all_pairs):
     assert got == all_pairs[1] and len(got) > 20_000
 
 
+def test_dice_of_every_pair_of_comps(spark, data, all_pairs):
+    sets, pairs = all_pairs
+    dice = {p: 2 * n / (len(sets[p[0]]) + len(sets[p[1]])) for p, n in pairs.items()}
+    got = {(x.a, x.b): x.dice for x in registry.QUERIES["mrg_dice"](spark, data).collect()}
+    assert got == pytest.approx({p: x for p, x in dice.items() if x >= 0.75}, abs=1e-6) and len(got) > 20_000
+
+
 def test_verdicts_of_classes_are_those_of_pairs(spark):
     r = random.Random(6)
     comps = [(i, sorted(r.sample("ABCDE", r.randrange(3, 6))), r.choice("pq"), sorted(r.sample("XYZ", r.randrange(0, 3))), r.choice(["l", "m", None])) for i in range(80)]
