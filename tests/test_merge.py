@@ -341,6 +341,11 @@ def test_dice_of_every_pair_of_comps(spark, data, all_pairs):
     assert got == pytest.approx({p: x for p, x in dice.items() if x >= 0.75}, abs=1e-6) and len(got) > 20_000
 
 
+def test_overlap_of_every_pair_of_comps(spark, data, all_pairs):
+    rows = registry.QUERIES["mrg_overlap"](spark, data).select("a", "b").collect()
+    assert len(rows) == len(set(rows)) and set(all_pairs[1]) <= set(map(tuple, rows))
+
+
 def test_verdicts_of_classes_are_those_of_pairs(spark):
     r = random.Random(6)
     comps = [(i, sorted(r.sample("ABCDE", r.randrange(3, 6))), r.choice("pq"), sorted(r.sample("XYZ", r.randrange(0, 3))), r.choice(["l", "m", None])) for i in range(80)]
