@@ -346,6 +346,24 @@ def test_overlap_of_every_pair_of_comps(spark, data, all_pairs):
     assert len(rows) == len(set(rows)) and set(all_pairs[1]) <= set(map(tuple, rows))
 
 
+def test_overlap_weighs_units(spark, data):
+    """Units weigh what the profile says; a pair is met if its shared units can reach the floor by weight."""
+    from lobbyforge.plans.more import mrg_overlap
+
+    b = Boards(spark, data, replace(FIXTURE, tier_min_sample=2), stored=True)
+    made = {r.comp_id: {u: (r.weights or {}).get(u, 1.0) for u in r.units} for r in merging.stored_profiles(b).select("comp_id", "units", "weights").collect()}
+    got = {(x.a, x.b): (x.containment, x.jaccard) for x in mrg_overlap(b).collect()}
+    want = {}
+    for i, x in made.items():
+        for j, y in made.items():
+            wx, wy = sum(x.values()), sum(y.values())
+            if i < j and x.keys() & y.keys() and len(x.keys() & y.keys()) >= 0.54 / 1.54 * (wx + wy) - 1e-9:
+                both = sum((x[u] + y[u]) / 2 for u in x if u in y)
+                want[i, j] = both / min(wx, wy), both / (wx + wy - both)
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-6) for p in want)
+    assert any(w < 1 for x in made.values() for w in x.values())
+
+
 def test_verdicts_of_classes_are_those_of_pairs(spark):
     r = random.Random(6)
     comps = [(i, sorted(r.sample("ABCDE", r.randrange(3, 6))), r.choice("pq"), sorted(r.sample("XYZ", r.randrange(0, 3))), r.choice(["l", "m", None])) for i in range(80)]
