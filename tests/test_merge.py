@@ -364,6 +364,11 @@ def test_overlap_weighs_units(spark, data):
     assert any(w < 1 for x in made.values() for w in x.values())
 
 
+def test_trait_similarity_of_every_pair_of_comps(spark, data, all_pairs):
+    rows = registry.QUERIES["mrg_trait_sim"](spark, data).select("a", "b").collect()
+    assert len(rows) == len(all_pairs[1]) and set(map(tuple, rows)) == set(all_pairs[1])
+
+
 def test_verdicts_of_classes_are_those_of_pairs(spark):
     r = random.Random(6)
     comps = [(i, sorted(r.sample("ABCDE", r.randrange(3, 6))), r.choice("pq"), sorted(r.sample("XYZ", r.randrange(0, 3))), r.choice(["l", "m", None])) for i in range(80)]
