@@ -117,11 +117,11 @@ pp AS (SELECT *, ('0x' || substr(md5(match_id || '#' || puuid), 1, 15))::BIGINT:
 
 def persisted(b, times: int = 2):
     """The tables after documents came in three turns, the first once more in the last, and each batch was run twice."""
-    lobby = F.col("lobby") % 3
-    path = documents(b, lobby)
     spark, folder, out = b.spark, store.new_path(b.spark, "arrivals"), store.new_path(b.spark, "persisted")
-    for k, turns in enumerate(((0,), (1,), (2, 0))):
-        spark.read.schema(MATCH).json([f"{path}/turn={t}" for t in turns]).write.json(f"{folder}/{k}")
+    for k in range(3):
+        documents(b, F.col("lobby") % 3 == k, f"{folder}/{k}")
+        if k == 2:  # lines as they are
+            spark.read.text(f"{folder}/0").write.mode("append").text(f"{folder}/{k}", compression="gzip")
         persist.persist_stream(spark.readStream.schema(MATCH).option("recursiveFileLookup", True).json(folder), times, out)
     return out
 

@@ -33,11 +33,12 @@ def shaped(docs: DataFrame, ranked_queue: int = 1100) -> dict[str, DataFrame]:
     units = boards.withColumn("carry", F.get(most, F.lit(0))["d"]).select("id", "carry", "units", F.posexplode("units").alias("pos", "u"))
     copy = F.size(F.filter(F.slice("units", F.lit(1), F.col("pos")), lambda x: x["character_id"] == F.col("u.character_id")))
     carries = (F.col("u.character_id") == F.col("carry")) & (F.size("u.itemNames") > 0)
+    once = F.filter("traits", lambda t, i: ~F.exists(F.slice("traits", F.lit(1), i), lambda x: x["name"].eqNullSafe(t["name"])))
     return {
         "matches": source.flat_matches(docs),
         "participants": boards.select("id", "match_id", "puuid", "placement", "level"),
         "units": units.select("id", F.col("u.character_id").alias("character_id"), copy.alias("copy_index"), F.col("u.tier").alias("star_tier"), F.col("u.itemNames").alias("item_ids"), carries.alias("is_carry")),
-        "traits": boards.select("id", F.inline("traits")).dropDuplicates(["id", "name"]),
+        "traits": boards.select("id", F.inline(once)),
         "augments": boards.select("id", F.posexplode("augments").alias("slot", "augment_id")).select("id", "augment_id", (F.col("slot") + 1).alias("slot")),
     }
 
@@ -46,22 +47,20 @@ def persist(batch: DataFrame, number: int, path: str, ranked_queue: int = 1100)
     """Writes the batch's new matches and all that belongs to them, as parts of the batch's own number.
 
     Matches of earlier batches are skipped.  A batch that is run again replaces its own parts by the
-    same rows, so a failure between two tables leaves nothing half done.
+    same rows, so a failure between two tables leaves nothing half done.  Documents are shuffled once, by
+    match and as text, which is a fraction of their rows; what is new is stored, and all tables come from it.
     """
-    spark = batch.sparkSession
-    batch.withColumn("_id", F.col("metadata.match_id")).dropDuplicates(["_id"]).drop("_id").write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
-    docs = spark.read.schema(MATCH).parquet(f"{path}/documents/batch={number}")
-    match_id = F.col("metadata.match_id")
-    new = docs
+    spark, own = batch.sparkSession, f"{path}/documents/batch={number}"
+    rows = batch.select(F.col("metadata.match_id").alias("match_id"), F.col("info.queue_id").alias("queue_id"), F.to_json(F.struct("metadata", "info")).alias("doc")).dropDuplicates(["match_id"])
+    known = spark.createDataFrame([], "match_id string, known boolean")
     if number:
-        known = spark.read.schema("match_id string, batch int").parquet(f"{path}/matches").filter(F.col("batch") < number).select(F.col("match_id").alias("_known"))
-        new = docs.join(known, match_id == F.col("_known"), "left_anti")
-        ids = docs.select(match_id.alias("match_id"), F.col("info.queue_id").alias("queue_id")).join(known, F.col("match_id") == F.col("_known"), "left")
-    else:
-        ids = docs.select(match_id.alias("match_id"), F.col("info.queue_id").alias("queue_id"), F.lit(None).cast("string").alias("_known"))
-    outcome = F.when(F.col("_known").isNotNull(), "skipped").when(F.col("queue_id") == ranked_queue, "stored").otherwise("meta-only")
-    for name, rows in (shaped(new, ranked_queue) | {"outcomes": ids.select("match_id", outcome.alias("outcome"))}).items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        known = spark.read.schema("match_id string, batch int").parquet(f"{path}/matches").filter(F.col("batch") < number).select("match_id", F.lit(True).alias("known"))
+    new = F.from_json(F.when(F.col("known").isNull(), F.col("doc")), MATCH)
+    rows.join(known, "match_id", "left").select("match_id", "queue_id", "known", new.alias("doc")).write.mode("overwrite").parquet(own)
+    docs = spark.read.schema(f"match_id string, queue_id int, known boolean, doc struct<{MATCH}>").parquet(own)
+    outcome = F.when(F.col("known"), "skipped").when(F.col("queue_id") == ranked_queue, "stored").otherwise("meta-only")
+    for name, table in (shaped(docs.filter("known IS NULL").select("doc.*"), ranked_queue) | {"outcomes": docs.select("match_id", outcome.alias("outcome"))}).items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
 
 def persist_stream(stream: DataFrame, times: int = 1, path: str | None = None) -> str:

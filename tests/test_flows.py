@@ -224,3 +224,26 @@ def test_first_boards_are_found_in_the_document(spark, data):
     assert "Exchange" not in tables["units"]._jdf.queryExecution().executedPlan().toString()
     assert {r.match_id: r.player_count for r in tables["matches"].collect()} == {"X_1": 6, "X_2": 0}
     assert documents(Boards(spark, data)).count() == Boards(spark, data).matches.count()
+
+
+def test_documents_are_shuffled_once_as_text(spark, data, monkeypatch, tmp_path):
+    """A batch's documents are written once, compressed, and cross one shuffle as text; known ones are not kept again, and no table shuffles."""
+    from lobbyforge.plans.flows import persisted
+    from lobbyforge.sources import store
+
+    made, new_path = {}, store.new_path
+    monkeypatch.setattr(store, "new_path", lambda s, name: made.setdefault(name, new_path(s, name)))
+    path = persisted(Boards(spark, data), 1)
+    assert "matches" not in made
+    root = made["arrivals"].removeprefix("file://").removeprefix("file:")
+    assert all(f.endswith(".gz") for k in range(3) for f in os.listdir(f"{root}/{k}") if f.startswith("part-"))
+    kept = [r.match_id for r in spark.read.parquet(f"{path}/documents").filter("known IS NULL").collect()]
+    assert len(kept) == len(set(kept)) == Boards(spark, data).matches.count()
+    assert spark.read.parquet(f"{path}/documents").filter("known AND doc IS NOT NULL").count() == 0
+    person = "struct('P1' AS puuid, 1 AS placement, 7 AS level, array(named_struct('character_id', 'U1', 'tier', 1, 'rarity', 2, 'itemNames', array('I1'))) AS units, array(named_struct('name', 'T1', 'num_units', 2, 'style', 1), named_struct('name', CAST(NULL AS STRING), 'num_units', 1, 'style', 0), named_struct('name', 'T1', 'num_units', 9, 'style', 4)) AS traits, array('A') AS augments)"
+    docs = spark.sql(f"SELECT struct('ZZ1_1' AS match_id) AS metadata, struct(1L AS game_datetime, 1.5D AS game_length, CAST(NULL AS STRING) AS game_version, 1100 AS queue_id, 17 AS tft_set_number, array({person}) AS participants) AS info")
+    tables = persist.shaped(docs)
+    assert not any("Exchange" in t._jdf.queryExecution().executedPlan().toString() for t in tables.values())
+    assert sorted((r.name or "", r.num_units) for r in tables["traits"].collect()) == [("", 1), ("T1", 2)]
+    persist.persist(docs.unionAll(docs), 0, f"file://{tmp_path}/p")
+    assert spark.read.parquet(f"file://{tmp_path}/p/documents").select("doc.*").collect() == docs.collect()
